@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op1_forced_boundary_bpe
+from .mixing import op9_mix_sources
 from .sharding import op7_virtual_slots
 
-QUERIES = {f.__name__: f for f in (op7_virtual_slots,)}
+QUERIES = {f.__name__: f for f in (op1_forced_boundary_bpe, op7_virtual_slots, op9_mix_sources)}
 ORACLES: dict[str, str] = {}
