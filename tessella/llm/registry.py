@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op1_forced_boundary_bpe
+from .langid import op6_language_profiles
 from .media import op2_ogg_media
 from .mixing import op9_mix_sources
 from .secrets import op3_secret_scan
 from .sharding import op7_virtual_slots
 
-QUERIES = {f.__name__: f for f in (op1_forced_boundary_bpe, op2_ogg_media, op3_secret_scan, op7_virtual_slots, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_forced_boundary_bpe, op2_ogg_media, op3_secret_scan, op6_language_profiles, op7_virtual_slots, op9_mix_sources)}
 ORACLES: dict[str, str] = {}
