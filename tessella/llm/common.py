@@ -79,3 +79,71 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[at[0] : at[-1]], at - at[0]
+
+
+# The white space that parts words, and the odd factor and mixers of the hashes.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+FACTOR, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
+_powers: dict[str, np.ndarray] = {}
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes with all bits stirred."""
+    h = (h ^ (h >> np.uint64(32))) * MIXER
+    h = (h ^ (h >> np.uint64(32))) * MIXER
+    return h ^ (h >> np.uint64(32))
+
+
+def powers(factor: np.uint64, n: int) -> np.ndarray:
+    """factor ** 0 to factor ** (n - 1), modulo 2 ** 64; at least so many."""
+    have = _powers.get(str(factor))
+    if have is None or len(have) < n:
+        row = np.full(max(n, 1 << 16), factor, np.uint64)
+        row[0] = 1
+        have = _powers[str(factor)] = np.cumprod(row)
+    return have[:n]
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """For span_hash: sums of (byte + 1) * factor ** position up to each position, modulo 2 ** 64."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(FACTOR, len(data)), out=out[1:])
+    return out
+
+
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans; equal bytes have equal hashes wherever they stand."""
+    return mixed((prefix[ends] - prefix[starts]) * powers(INVERSE, len(prefix))[starts] ^ (ends - starts).astype(np.uint64) * FACTOR)
+
+
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the words, which are the maximal runs of other bytes than SPACE within a row."""
+    inside = ~SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    stops[:-1] &= ~inside[1:] | edge[1:-1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(stops) + 1, np.searchsorted(at, starts, "right") - 1
+
+
+def windows(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of n consecutive words of a row, and the positions of their first words."""
+    if len(hashes) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    m = len(hashes) - n + 1
+    out = np.zeros(m, np.uint64)
+    for k in range(n):
+        out = out * FACTOR + hashes[k : k + m]
+    first = np.flatnonzero(rows[:m] == rows[n - 1 :])
+    return mixed(out[first]), first
+
+
+def per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many flags each row has."""
+    sums = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return sums[at[1:]] - sums[at[:-1]]
