@@ -24,7 +24,7 @@ from .common import arrow_map, byte_view, crc_bucket, documents, prefix_hash, sp
 #: Labelled texts that teach, at most; features kept; lengths of beginnings in bytes; fewest texts with a feature.
 TAUGHT, FEATURES, BEGINNINGS, LEAST_TEXTS = 20_000, 512, (4, 5, 6), 5
 #: Weights of the penalties on the coefficients and on score changes by swaps; score from which a text counts as toxic.
-RIDGE, SWAP, THRESHOLD = 1.0, 10.0, 0.3
+RIDGE, SWAP, THRESHOLD = 0.1, 10.0, 0.3
 
 # Identity terms by kind; any may stand for any other of its row.
 IDENTITY = (
