@@ -10,7 +10,8 @@ from .quality import op5_log_ratio_quality
 from .secrets import op3_secret_scan
 from .setjoin import op10_chosen_path_join
 from .sharding import op7_virtual_slots
+from .substrings import op8_interval_expansion
 from .toxicity import op4_counterfactual_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_forced_boundary_bpe, op2_ogg_media, op3_secret_scan, op4_counterfactual_toxicity, op5_log_ratio_quality, op6_language_profiles, op7_virtual_slots, op9_mix_sources, op10_chosen_path_join)}
+QUERIES = {f.__name__: f for f in (op1_forced_boundary_bpe, op2_ogg_media, op3_secret_scan, op4_counterfactual_toxicity, op5_log_ratio_quality, op6_language_profiles, op7_virtual_slots, op8_interval_expansion, op9_mix_sources, op10_chosen_path_join)}
 ORACLES: dict[str, str] = {}
