@@ -1,0 +1 @@
+"""Operators: DataFrames in, DataFrames out, rows always told apart by keys."""
