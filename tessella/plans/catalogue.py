@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import cluster, evaluate, harmonise, matrix, memory, neighbours, prepare, project, select, sweep
+from ..sources import store
+from ..streaming import recall as streams
 from . import tables as T
 
 QUERIES: dict = {}
@@ -431,6 +435,25 @@ def recall_bits(spark: SparkSession, d: str) -> DataFrame:
     return _memory(spark, d, threshold=0.5).recall(T.bits(spark, d)).select("cell_id", as_text().alias("bits"))
 
 
+@query(f"{_BASE}, {T.sql_recall()} {_BITS.format(t=0.5)}")
+def recall_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a memory that was saved and loaded."""
+    path = f"{store.shared_dir(spark)}/memory-{uuid.uuid4().hex}"
+    _memory(spark, d, threshold=0.5).save(path)
+    return memory.load(spark, path).recall(T.bits(spark, d)).select("cell_id", as_text().alias("bits"))
+
+
+@query(f"{_BASE}, {T.sql_recall()} {_BITS.format(t=0.5)}")
+def recall_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The same on a stream of files that is run to its end."""
+    path = f"{store.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    cells = T.bits(spark, d)
+    cells.write.parquet(f"{path}/in")
+    stream = streams.cells_stream(spark, f"{path}/in", cells.schema)
+    streams.recall_stream(_memory(spark, d, threshold=0.5), stream, f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(cells.schema).parquet(f"{path}/out").select("cell_id", as_text().alias("bits"))
+
+
 @query(f"{_BASE}, {T.sql_recall(beta=0.05, steps=2)} {_BITS.format(t=0.5)}")
 def recall_iter2(spark: SparkSession, d: str) -> DataFrame:
     return _memory(spark, d, beta=0.05, steps=2, threshold=0.5).recall(T.bits(spark, d)).select("cell_id", as_text().alias("bits"))

@@ -1,0 +1 @@
+"""Recall of cells that keep arriving."""
