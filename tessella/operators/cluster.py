@@ -39,9 +39,10 @@ def first_centres(cells: DataFrame, counts: Mapping[int, int] | int, by: str = "
         wanted = F.coalesce(F.element_at(table, F.col(by)), F.lit(counts.get("default", 10)))
     else:
         wanted = F.lit(int(counts))
-    # The least ids of each class are picked before the vectors move.
-    ranked = cells.select(by, "cell_id").withColumn("cluster", F.row_number().over(W.partitionBy(by).orderBy("cell_id")) - 1)
-    chosen = ranked.filter(F.col("cluster") < wanted).drop(by)
+    most = max([n for n in counts.values()] + [counts.get("default", 10)]) if isinstance(counts, Mapping) else int(counts)
+    # The least ids of each class are picked before the vectors move; with a literal bound each task sends no more than that.
+    ranked = cells.select(by, "cell_id").withColumn("place", F.row_number().over(W.partitionBy(by).orderBy("cell_id"))).filter(F.col("place") <= most)
+    chosen = ranked.filter(F.col("place") <= wanted).select("cell_id", (F.col("place") - 1).alias("cluster"))
     return cells.join(chosen, "cell_id").select(by, "cluster", "x")
 
 
@@ -124,22 +125,22 @@ def nearest_in_class(cells: DataFrame, centres: Mapping[int, np.ndarray], k: int
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["g", "cluster", "cell_id", "d"])
 
     near = cells.select(F.col(by).cast("int").alias("g"), "cell_id", "x").mapInArrow(run, "g int, cluster int, cell_id bigint, d double")
-    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("g", "cluster").orderBy("d", "cell_id")))
-    return ranked.filter(F.col("rank") <= k).select(F.col("g").alias(by), "cluster", "cell_id", "rank")
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("g", "cluster").orderBy("d", "cell_id"))).filter(F.col("rank") <= k)
+    return ranked.select(F.col("g").alias(by), "cluster", "cell_id", "rank")
 
 
-def prototypes(cells: DataFrame, clusters: Mapping[int, int] | int = 10, k: int = 1, steps: int = 3, classes: Sequence[int] | None = None, space: DataFrame | None = None, by: str = "label") -> DataFrame:
+def prototypes(cells: DataFrame, clusters: Mapping[int, int] | int = 10, k: int = 1, steps: int = 3, classes: Sequence[int] | None = None, space: DataFrame | None = None, by: str = "label", centres: dict[int, np.ndarray] | None = None) -> DataFrame:
     """pattern_id, cls, source_cell_id and p: prototypes of each class.
 
     Cells are clustered in ``space`` (cell_id, x; the cells' own vectors if none), the pattern is taken from the cells
     themselves: the cell nearest to a centre for k = 1, else the majority of the k nearest. Classes come in the order given,
-    those without cells are skipped; within a class patterns come in the order of the clusters.
+    those without cells are skipped; within a class patterns come in the order of the clusters. Centres found before may be given.
     """
     order = list(classes) if classes is not None else [r[0] for r in cells.select(by).filter(F.col(by) != 0).distinct().orderBy(by).collect()]
     own = cells.filter(F.col(by).isin(order))
     placed = own if space is None else own.select("cell_id", by).join(space.select("cell_id", "x"), "cell_id")
     placed = placed.select("cell_id", by, "x")
-    centres = lloyd(placed, first_centres(placed, clusters, by), steps, by)
+    centres = centres or lloyd(placed, first_centres(placed, clusters, by), steps, by)
     chosen = nearest_in_class(placed, centres, k, by)
     votes = chosen.join(cells.select("cell_id", "x"), "cell_id").select(by, "cluster", F.posexplode("x").alias("pos", "v")).groupBy(by, "cluster", "pos").agg(F.when(F.avg("v") > 0.5, 1.0).otherwise(0.0).alias("v"))
     p = votes.groupBy(by, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("p"))

@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import nearest_pattern
+from .neighbours import Patterns, nearest_pattern
 
 
-def judged(recalled: DataFrame, patterns: DataFrame) -> DataFrame:
+def judged(recalled: DataFrame, patterns: DataFrame | Patterns) -> DataFrame:
     """cell_id, label, predicted class, nearest pattern, mismatches with it and width, from recalled cells with labels."""
     found = nearest_pattern(recalled.select("cell_id", "label", "x"), patterns)
     return found.select("cell_id", "label", F.col("cls").alias("predicted"), "pattern_id", "mismatches", F.col("active").alias("active_pattern"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).cast("bigint").alias("active_recall"), F.size("x").alias("width"))

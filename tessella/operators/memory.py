@@ -6,11 +6,12 @@ import json
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .matrix import map_blocks
-from .neighbours import pattern_block
+from .matrix import map_blocks, vectors
+from .neighbours import Patterns, gathered
 
 #: Weighted sums are rounded so before the threshold: on tied scores their residue would depend on the order of summation.
 DIGITS = 9
@@ -28,9 +29,9 @@ class Settings:
 
 @dataclass(frozen=True)
 class Memory:
-    """Stored patterns (pattern_id, cls, p) and settings. Bits are kept as bits; recall maps them to -1 and 1."""
+    """Stored patterns (pattern_id, cls, p; a table or gathered) and settings. Bits are kept as bits; recall maps them to -1 and 1."""
 
-    patterns: DataFrame
+    patterns: DataFrame | Patterns
     settings: Settings = Settings()
 
     def recall(self, cells: DataFrame) -> DataFrame:
@@ -39,17 +40,20 @@ class Memory:
         One step is softmax(beta * x P') P, as two matrix products for each batch of cells, with the patterns broadcast after
         a check of their size; cells are never shuffled.
         """
-        _, _, p = pattern_block(self.patterns)
+        p = gathered(self.patterns).matrix
         if not len(p):
             raise ValueError("the memory is empty")
         settings = self.settings
         shared = cells.sparkSession.sparkContext.broadcast(2 * p - 1 if settings.binary else p)
         return map_blocks(cells, lambda x: recall_block(x, shared.value, settings), p.shape[1])
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
         """Write the patterns as Parquet and the settings beside them."""
-        self.patterns.write.mode("overwrite").parquet(f"{path}/patterns")
-        spark = self.patterns.sparkSession
+        table = self.patterns
+        if isinstance(table, Patterns):
+            columns = [pa.array(table.ids.astype(np.int32)), pa.array(table.classes.astype(np.int32)), vectors(table.matrix)]
+            table = spark.createDataFrame(pa.table(columns, names=["pattern_id", "cls", "p"]))
+        table.write.mode("overwrite").parquet(f"{path}/patterns")
         spark.createDataFrame([(json.dumps(asdict(self.settings)),)], "settings string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
 
 

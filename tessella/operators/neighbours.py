@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import minkowski
 from .matrix import block
 
-#: Values of patterns that fit into a task: 512 MB. Patterns are a model's, bounded by classes times clusters.
-MOST_PATTERN_VALUES = 1 << 26
+#: Patterns, and their values, that fit into a task: 512 MB. Patterns are a model's, bounded by classes times clusters.
+MOST_PATTERNS, MOST_PATTERN_VALUES = 1 << 16, 1 << 26
 
 
 def query_vector(cells: DataFrame, query: Sequence, width: int) -> list[float]:
@@ -34,37 +36,44 @@ def nearest(cells: DataFrame, query: Sequence[float], k: int = 1, distance: floa
     """The k cells nearest to a vector, with distance and rank from 1; ties by cell. Each task keeps k rows."""
     vector = F.array(*(F.lit(float(v)) for v in query))
     best = cells.select("cell_id", F.round(minkowski(F.col("x"), vector, distance), 9).alias("distance")).orderBy("distance", "cell_id").limit(k)
-    return best.select("cell_id", "distance", F.row_number().over(_by_distance()).alias("rank"))
+    return best.select("cell_id", "distance", F.row_number().over(W.orderBy("distance", "cell_id")).alias("rank"))
 
 
-def _by_distance():
-    from pyspark.sql import Window as W
+@dataclass(frozen=True)
+class Patterns:
+    """The patterns of a memory on the driver: ids in ascending order, classes, and one vector for each."""
 
-    return W.orderBy("distance", "cell_id")
+    ids: np.ndarray
+    classes: np.ndarray
+    matrix: np.ndarray
 
+    def __len__(self) -> int:
+        return len(self.ids)
 
-def pattern_block(patterns: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, classes and vectors of the patterns on the driver, after a check of their size."""
-    n = patterns.count()
-    rows = patterns.select("pattern_id", "cls", "p").orderBy("pattern_id").limit(n)
-    width = (rows.select(F.max(F.size("p"))).first()[0] or 0) if n else 0
-    if n * width > MOST_PATTERN_VALUES:
-        raise ValueError(f"{n} patterns of {width} values are more than a memory holds")
-    table = rows.toArrow()
-    matrix = block(table["p"].combine_chunks(), width) if n else np.zeros((0, 0))
-    return table["pattern_id"].to_numpy(), table["cls"].to_numpy(), matrix
 
+def gathered(patterns: DataFrame | Patterns) -> Patterns:
+    """Patterns (pattern_id, cls, p) brought to the driver by one job, within a bound on their number and values."""
+    if isinstance(patterns, Patterns):
+        return patterns
+    table = patterns.select("pattern_id", "cls", "p").limit(MOST_PATTERNS + 1).toArrow()
+    width = len(table["p"][0]) if len(table) else 0
+    if len(table) > MOST_PATTERNS or len(table) * width > MOST_PATTERN_VALUES:
+        raise ValueError(f"{len(table)} patterns or more, of {width} values, are more than a memory holds")
+    order = np.argsort(table["pattern_id"].to_numpy(), kind="stable")
+    matrix = block(table["p"].combine_chunks(), width) if width else np.zeros((0, 0))
+    return Patterns(table["pattern_id"].to_numpy()[order], table["cls"].to_numpy()[order], matrix[order] if width else matrix)
 
-def nearest_pattern(cells: DataFrame, patterns: DataFrame) -> DataFrame:
+
+def nearest_pattern(cells: DataFrame, patterns: DataFrame | Patterns) -> DataFrame:
     """The columns of cells with pattern_id, cls, mismatches and active (ones in the pattern) of the nearest pattern; ties go to the least id.
 
     Squared distances come from one matrix product for each batch of cells.
     """
-    ids, classes, matrix = pattern_block(patterns)
-    if not len(ids):
+    held = gathered(patterns)
+    if not len(held):
         raise ValueError("the memory is empty")
-    shared = cells.sparkSession.sparkContext.broadcast((ids, classes, matrix))
-    width = matrix.shape[1]
+    shared = cells.sparkSession.sparkContext.broadcast((held.ids, held.classes, held.matrix))
+    width = held.matrix.shape[1]
 
     def run(batches):
         ids, classes, p = shared.value

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from . import cluster, evaluate
 from .matrix import block
 from .memory import Settings, recall_block
-from .neighbours import pattern_block
+from .neighbours import Patterns, gathered
 
 
-def judge_all(cells: DataFrame, patterns: DataFrame, settings: Sequence[Settings]) -> DataFrame:
+def judge_all(cells: DataFrame, patterns: DataFrame | Patterns, settings: Sequence[Settings]) -> DataFrame:
     """(config, label, predicted, mismatches, width) of every cell under every setting, in one pass over the cells."""
-    _, classes, p = pattern_block(patterns)
-    shared = cells.sparkSession.sparkContext.broadcast((classes, p))
-    width, settings = p.shape[1], list(settings)
+    held = gathered(patterns)
+    shared = cells.sparkSession.sparkContext.broadcast((held.classes, held.matrix))
+    width, settings = held.matrix.shape[1], list(settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, p = shared.value
@@ -35,7 +35,7 @@ def judge_all(cells: DataFrame, patterns: DataFrame, settings: Sequence[Settings
     return cells.select(F.col("label").cast("int").alias("label"), "x").mapInArrow(run, "config int, label int, predicted int, mismatches bigint, width int")
 
 
-def sweep_settings(cells: DataFrame, patterns: DataFrame, betas: Iterable[float], steps: Iterable[int], threshold: float = 0.0) -> DataFrame:
+def sweep_settings(cells: DataFrame, patterns: DataFrame | Patterns, betas: Iterable[float], steps: Iterable[int], threshold: float = 0.0) -> DataFrame:
     """Metrics for each pair of beta and steps; cells are read once for all pairs."""
     spark = cells.sparkSession
     grid = [(b, s) for b in betas for s in steps]
@@ -45,14 +45,16 @@ def sweep_settings(cells: DataFrame, patterns: DataFrame, betas: Iterable[float]
 
 
 def sweep_prototypes(train: DataFrame, cells: DataFrame, configs: Sequence[tuple[Mapping[int, int] | int, int]], settings: Settings, steps: int = 3) -> DataFrame:
-    """Metrics for each (clusters of a class, k): prototypes are formed anew, the recall is the same."""
-    parts = []
+    """Metrics for each (clusters of a class, k). Configurations with the same clusters share their k-means; patterns are gathered once."""
+    parts, known = [], {}
     for number, (clusters, k) in enumerate(configs):
-        patterns = cluster.prototypes(train, clusters, k, steps)
-        n = patterns.count()
-        judged = judge_all(cells, patterns, [settings])
-        parts.append(evaluate.metrics(judged).select(F.lit(number).alias("config"), F.lit(n).alias("patterns"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+        key = repr(clusters)
+        if key not in known:
+            known[key] = cluster.lloyd(train, cluster.first_centres(train, clusters), steps)
+        patterns = gathered(cluster.prototypes(train, clusters, k, steps, centres=known[key]))
+        judged = judge_all(cells, patterns, [settings]).withColumn("config", F.lit(number))
+        parts.append(judged.withColumn("patterns", F.lit(len(patterns))))
+    return evaluate.metrics(reduce(DataFrame.unionByName, parts), by=("config", "patterns"))
 
 
 def best(results: DataFrame) -> DataFrame:

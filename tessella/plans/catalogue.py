@@ -427,7 +427,7 @@ _BITS = "SELECT cell_id, string_agg((x > {t}::DOUBLE)::INT::VARCHAR, '' ORDER BY
 
 
 def _memory(spark: SparkSession, d: str, **settings) -> memory.Memory:
-    return memory.Memory(T.patterns(spark, d), memory.Settings(**settings))
+    return memory.Memory(neighbours.gathered(T.patterns(spark, d)), memory.Settings(**settings))
 
 
 @query(f"{_BASE}, {T.sql_recall()} {_BITS.format(t=0.5)}")
@@ -439,7 +439,7 @@ def recall_bits(spark: SparkSession, d: str) -> DataFrame:
 def recall_loaded(spark: SparkSession, d: str) -> DataFrame:
     """The same with a memory that was saved and loaded."""
     path = f"{store.shared_dir(spark)}/memory-{uuid.uuid4().hex}"
-    _memory(spark, d, threshold=0.5).save(path)
+    _memory(spark, d, threshold=0.5).save(spark, path)
     return memory.load(spark, path).recall(T.bits(spark, d)).select("cell_id", as_text().alias("bits"))
 
 
@@ -489,8 +489,8 @@ _JUDGED = f"{_BASE}, {T.sql_recall()}, {T.sql_judged()}"
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    found = _memory(spark, d).recall(T.bits(spark, d))
-    return evaluate.judged(found, T.patterns(spark, d))
+    held = _memory(spark, d)
+    return evaluate.judged(held.recall(T.bits(spark, d)), held.patterns)
 
 
 @query(f"{_JUDGED} SELECT cell_id, pattern_id::INT AS pattern_id, predicted, mismatches FROM judged")
