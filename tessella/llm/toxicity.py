@@ -13,6 +13,7 @@ without labels); an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ _FOLD[65:91] += 32
 _FOLD[[i for i in range(128) if not chr(i).isalnum()]] = 32
 
 
+@cache
 def term_hashes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the identity terms: hashes in ascending order, row in IDENTITY, place in that row."""
     terms = [(t, i, j) for i, row in enumerate(IDENTITY) for j, t in enumerate(row)]
@@ -64,13 +66,15 @@ def swap_table(shift: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and rows of the features, words first; how many of them are words."""
+    """Hashes and rows of the features, words first; how many of them are words. Identity terms count as whole words only."""
     data = _FOLD[data]
     starts, ends, rows = word_spans(data, at)
     prefix = prefix_hash(data)
     hashes, of = [span_hash(prefix, starts, ends)], [rows]
+    plain = np.ones(len(rows), bool)
+    plain[found(hashes[0], term_hashes()[0])[0]] = False
     for n in BEGINNINGS:
-        longer = ends - starts > n
+        longer = plain & (ends - starts > n)
         # A beginning is told from a word of the same letters.
         hashes.append(~span_hash(prefix, starts[longer], starts[longer] + n))
         of.append(rows[longer])
