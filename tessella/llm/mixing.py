@@ -88,4 +88,27 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 7, weights: tuple = WE
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark, documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark, documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+#: op9_mix_sources in DuckDB: the same keys, targets by the same prefix sums, and one prefix sum over each source.
+ORACLE = r"""
+WITH measured AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS symbols,
+        (('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+    FROM documents),
+keyed AS (SELECT doc_id, source, size, -ln(u) / ((size + 1)::DOUBLE / (size + symbols + 1)::DOUBLE) AS key FROM measured),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY 1),
+weighed AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM sizes),
+filling AS (
+    SELECT *, (least(1.5::DOUBLE * sum(source_size) OVER (), sum(cap) OVER ()) - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM weighed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levelled AS (SELECT arg_min(level, cap / weight) AS level FROM filling WHERE cap > level * weight),
+targets AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM levelled) * weight), cap) AS target FROM filling),
+planned AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
+running AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM keyed)
+SELECT r.doc_id, r.size, p.source_size, round(p.target, 6) AS target,
+    (r.size * (p.whole + (r.run - r.size / 2.0::DOUBLE < p.target - p.whole * p.source_size)::INT))::BIGINT AS taken
+FROM running r JOIN planned p ON r.source IS NOT DISTINCT FROM p.source
+"""
