@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, documents, texts
 
-#: Words and fragments that a worker remembers; when a store is full it is emptied.
-REMEMBERED = 200_000
+#: Words, and fragments within words, that a worker remembers; when the store is full it is emptied.
+REMEMBERED = 100_000
 
 # The pattern that finds words, from the tokenizer file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -52,7 +52,7 @@ class Remembered(dict):
 
 
 class ForcedBoundaryBpe:
-    """Encoder and decoder of a byte-level BPE vocabulary with word ends."""
+    """Encoder of a byte-level BPE vocabulary with word ends."""
 
     def __init__(self, source: bytes):
         from tokenizers.models import BPE
@@ -62,14 +62,13 @@ class ForcedBoundaryBpe:
         self.end = model["end_of_word_suffix"] or ""
         vocab, merges = model["vocab"], [tuple(m) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
         #: Adjacent letters inside some token; between any other two a cut is certain.
         self.inside = {a + b for t in vocab for a, b in pairwise(t.removesuffix(self.end))}
         self.middle, self.last = BPE(vocab, merges), BPE(vocab, merges, end_of_word_suffix=self.end)
         self.words = regex.compile(WORDS)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.middles, self.lasts = Remembered(lambda x: self.ids(self.middle, x)), Remembered(lambda x: self.ids(self.last, x))
+        self.middles = Remembered(lambda x: self.ids(self.middle, x))
         self.encoded = Remembered(self.encode_word)
 
     @staticmethod
@@ -83,7 +82,7 @@ class ForcedBoundaryBpe:
 
     def encode_word(self, word: str) -> bytes:
         *middle, last = self.fragments(word if word.isascii() and word.isalnum() else "".join(self.letters[b] for b in word.encode()))
-        return b"".join([*map(self.middles.__getitem__, middle), self.lasts[last]])
+        return b"".join([*map(self.middles.__getitem__, middle), self.ids(self.last, last)])
 
     def plain(self, text: str) -> bytes:
         import unicodedata
@@ -100,21 +99,27 @@ class ForcedBoundaryBpe:
         parts = self.specials.split(text)
         return b"".join(np.int32(self.special[p]).tobytes() if p in self.special else self.plain(p) for p in parts)
 
+
+class TokenDecoder:
+    """Decoder of a vocabulary: the tokens joined by spaces, as the vocabulary's file names no decoder."""
+
+    def __init__(self, source: bytes):
+        told = json.loads(source)
+        self.tokens = {i: t for t, i in told["model"]["vocab"].items()} | {t["id"]: t["content"] for t in told["added_tokens"]}
+
     def decode(self, ids: list[int]) -> str:
-        """The tokens joined by spaces, as the vocabulary's file names no decoder."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_models: dict[int, ForcedBoundaryBpe] = {}
+_models: dict[type, tuple[int, ForcedBoundaryBpe | TokenDecoder]] = {}
 
 
-def model_of(shared) -> ForcedBoundaryBpe:
-    """The worker's model of a broadcast vocabulary file."""
+def model_of(kind: type, shared) -> ForcedBoundaryBpe | TokenDecoder:
+    """The worker's encoder or decoder of a broadcast vocabulary file; one of each kind is kept."""
     key = hash(shared.value)
-    if key not in _models:
-        _models.clear()
-        _models[key] = ForcedBoundaryBpe(shared.value)
-    return _models[key]
+    if kind not in _models or _models[kind][0] != key:
+        _models[kind] = key, kind(shared.value)
+    return _models[kind][1]
 
 
 def encode(docs: DataFrame, vocabulary: bytes) -> DataFrame:
@@ -122,7 +127,7 @@ def encode(docs: DataFrame, vocabulary: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(shared)
+        model = model_of(ForcedBoundaryBpe, shared)
         for batch in batches:
             ids = [model.encode(t) for t in texts(batch["text"])]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
@@ -137,7 +142,7 @@ def decode(encoded: DataFrame, vocabulary: bytes) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(shared)
+        model = model_of(TokenDecoder, shared)
         for batch in batches:
             column = batch["ids"]
             text = pa.array([model.decode(column[i].values.to_numpy(zero_copy_only=False).tolist()) for i in range(len(column))], pa.string())
@@ -146,6 +151,22 @@ def decode(encoded: DataFrame, vocabulary: bytes) -> DataFrame:
     return arrow_map(encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")), run, "doc_id bigint, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, vocabulary: bytes) -> DataFrame:
+    """decode(encode(docs)) in one pass, so that a task needs one Python worker and ids cross to it once."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = model_of(ForcedBoundaryBpe, shared), model_of(TokenDecoder, shared)
+        for batch in batches:
+            ids = [np.frombuffer(encoder.encode(t), np.int32) for t in texts(batch["text"])]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            decoded = pa.array([decoder.decode(i.tolist()) for i in ids], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists, decoded], ["doc_id", "ids", "decoded"])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, ids array<int>, decoded string")
+
+
 def vocabulary_file(name: str = "word_bpe_49k.json") -> bytes:
     import public_tokenizers
 
@@ -159,5 +180,4 @@ def digests(decoded: DataFrame) -> DataFrame:
 
 
 def op1_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = vocabulary_file()
-    return digests(decode(encode(documents(spark, sf_dir), vocabulary), vocabulary))
+    return digests(round_trip(documents(spark, sf_dir), vocabulary_file()))

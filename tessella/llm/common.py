@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that goes to a Python worker. Long texts stay whole: a batch holds one row at least.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +47,11 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
+    def sweep(self) -> None:
+        """Collect the garbage of finished plans, upon which Spark deletes their shuffle files; it would wait for up to half an hour."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def limit_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Bound the Arrow batches of this session, so that a worker holds a few megabytes of text at a time."""
@@ -53,9 +60,25 @@ def limit_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow under this subpackage's batch limits."""
+    """mapInArrow under this subpackage's batch limits. A worker gives back what it has freed when its task ends."""
     limit_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers, which are kept for later tasks, don't hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +110,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 FACTOR, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+#: Powers kept between calls; longer tables are made anew.
+KEPT_POWERS = 1 << 22
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -102,10 +127,21 @@ def powers(factor: np.uint64, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         row = np.full(max(n, 1 << 16), factor, np.uint64)
         row[0] = 1
-        have = _powers[str(factor)] = np.cumprod(row)
+        have = np.cumprod(row)
+        if len(have) <= KEPT_POWERS:
+            _powers[str(factor)] = have
     return have[:n]
 
 
+def row_pieces(at: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """First and last + 1 of consecutive rows that hold about ``most`` bytes together, one row at least."""
+    first = 0
+    while first < len(at) - 1:
+        end = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
+        yield first, end
+        first = end
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """For span_hash: sums of (byte + 1) * factor ** position up to each position, modulo 2 ** 64."""
     out = np.zeros(len(data) + 1, np.uint64)

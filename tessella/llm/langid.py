@@ -85,11 +85,12 @@ def bundle(batch: list[str], groups: np.ndarray, n: int) -> np.ndarray:
         if not len(group):
             continue
         low, high = int(group.min()), int(group.max()) + 1
-        for a in range(low, high, 256):  # so many rows of counts at a time
-            b = min(a + 256, high)
+        for a in range(low, high, 128):  # so many rows of counts at a time
+            b = min(a + 128, high)
             own = (group >= a) & (group < b)
             counts = np.bincount((group[own] - a) * np.int64(len(bound)) + gram[own], minlength=(b - a) * len(bound)).reshape(b - a, -1)
-            out[a:b] += counts.astype(np.float32) @ bound.astype(np.float32)
+            for g in range(0, len(bound), 2048):
+                out[a:b] += counts[:, g : g + 2048].astype(np.float32) @ bound[g : g + 2048].astype(np.float32)
     return out
 
 
