@@ -1,0 +1,446 @@
+"""Each operator against brute force, a round trip, or held-out accuracy."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from tessella.llm import bpe, common, langid, media, mixing, quality, secrets, setjoin, sharding, substrings, toxicity
+
+SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [(r["doc_id"], r["text"]) for r in common.documents(spark, SMALL).select("doc_id", "text").orderBy("doc_id").collect()]
+
+
+def result(spark, name, folder=SMALL):
+    return {r["doc_id"]: r for r in contract.queries()[name](spark, folder).collect()}
+
+
+def sha(data):
+    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
+
+
+def test_bpe_is_the_librarys(spark, docs, odd, frame):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = result(spark, "op1_forced_boundary_bpe")
+    for d, t in docs:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[d]["n_tokens"] == len(ids) and got[d]["ids_sha256"] == sha(" ".join(map(str, ids))) and got[d]["decoded_sha256"] == sha(library.decode(ids, skip_special_tokens=False))
+    special = [*odd, "<|endoftext|>Straße ΑΣ İstanbul it's <|startoftext|>½ Ⅷ ﬁ á́", "<|ENDOFTEXT|>"]
+    vocabulary = bpe.vocabulary_file()
+    rows = bpe.decode(bpe.encode(frame(list(enumerate(special))), vocabulary), vocabulary).collect()
+    for r in rows:
+        ids = library.encode(special[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
+
+
+def test_forced_boundaries_are_inside_no_token():
+    model = bpe.ForcedBoundaryBpe(bpe.vocabulary_file())
+    parts = model.fragments("aqzxqjkb")
+    assert "".join(parts) == "aqzxqjkb" and len(parts) > 1
+
+
+def test_ogg_round_trip_and_faults():
+    rng = random.Random(1)
+    for n in (576, 1152, 576 * 9, 576 * 400):
+        payload = rng.randbytes(n)
+        data = media.write_ogg(payload)
+        streams, faulty = media.read_ogg(data)
+        assert faulty == 0 and len(streams) == media.TRACKS and media.samples_of(streams) == payload
+        assert sum(s["granule"] for s in streams.values()) == n
+        broken = bytearray(data)
+        broken[-10] ^= 1
+        streams, faulty = media.read_ogg(bytes(broken))
+        assert faulty == 1 and media.samples_of(streams) is None
+        assert media.samples_of(media.read_ogg(b"junk" + data)[0]) == payload
+    assert media.read_ogg(b"OggS") == ({}, 1) and media.read_ogg(b"") == ({}, 0)
+
+
+def test_ogg_packets_over_pages():
+    packets = [b"head", bytes(70_000), b"", bytes(255), bytes(510)]
+    pages = media.pages_of(9, packets, [0, 70_000, 70_000, 70_255, 70_765])
+    assert len(pages) > 2
+    streams, faulty = media.read_ogg(b"".join(pages))
+    assert not faulty and streams[9]["packets"] == packets and streams[9]["granule"] == 70_765
+    assert media.page_crc(b"123456789") == 0x89A1897F
+
+
+def test_ogg_query(spark, docs):
+    got = result(spark, "op2_ogg_media")
+    for d, t in docs:
+        raw = t.encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        r = got[d]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-32:]))
+        assert r["media_sha256"] == sha(media.write_ogg(payload)) and r["media_bytes"] == len(media.write_ogg(payload))
+
+
+PLAIN_ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain_spans(t):
+    out = [(m.start(), 0, "assign", m.end()) for m in PLAIN_ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [(k, a, b) for a, _, k, b in sorted(out)]
+
+
+def test_secrets_query(spark):
+    got = result(spark, "op3_secret_scan", SF)
+    rows = common.documents(spark, SF).select("doc_id", "text").collect()
+    total = 0
+    for d, t in rows:
+        spans = plain_spans(t)
+        total += len(spans)
+        kinds = collections.Counter(k for k, _, _ in spans)
+        assert got[d]["base_sha256"] == sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
+        assert (got[d]["n_assign"], got[d]["n_access"], got[d]["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
+    assert total
+
+
+def test_secrets_on_hard_texts():
+    body = "aZ09" * 7 + "bb"
+    good = "ghp_" + body + secrets.base62(zlib.crc32(body.encode()), 6)
+    rng = random.Random(2)
+    pieces = ["token", "TOKEN", "secret", "=", ": ", " ", "'", '"', "abc", "apikey", "api_key", "AKIA", "ABCDEFGHIJKLMNOP1234", "0123456789abcdef", "İ", "\n", "password", "passwd", ".-_"]
+    keywords = secrets.automaton()
+    for _ in range(2000):
+        t = "".join(rng.choice(pieces) for _ in range(12))
+        assert [(k, a, b) for a, k, b in secrets.scan_text(t, keywords)] == plain_spans(t), t
+    found = secrets.scan_text(f"x {good} ghp_{body}000000", keywords)
+    assert [k for _, k, _ in found] == ["checked"]
+    assert secrets.redacted(f"x {good} y", found, "[secret]") == "x [secret] y"
+
+
+def test_toxicity_held_out(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = contract.queries()["op4_counterfactual_toxicity"](spark, "/root/testdata/sf0.1").filter("held_out").join(labels, "doc_id").collect()
+    toxic = [r for r in rows if r["toxic"]]
+    clean = [r for r in rows if not r["toxic"]]
+    assert sum(r["predicted"] for r in toxic) > 0.9 * len(toxic)
+    assert sum(r["predicted"] for r in clean) < 0.02 * len(clean)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_swaps_lower_the_score_of_neutral_mentions(spark, frame):
+    rng = random.Random(4)
+    words = ["table", "green", "river", "paper", "cloud", "stone", "music", "garden"]
+    rows, marks = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        text = [rng.choice(words) for _ in range(12)]
+        if bad:
+            text.insert(3, "vile" if rng.random() < 0.6 else rng.choice(words))
+        if rng.random() < (0.7 if bad else 0.1):
+            text.insert(1, "muslim")  # named far more often in toxic texts
+        elif rng.random() < 0.3:
+            text.insert(1, rng.choice(["christian", "hindu", "buddhist"]))
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(bad)))
+    docs, labels = frame(rows), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    probe = frame([(0, "river paper muslim garden"), (1, "river paper christian garden"), (2, "river vile paper garden")])
+
+    def gap(swap):
+        s = {r["doc_id"]: r["score"] for r in toxicity.score(probe, *toxicity.train(docs, labels, swap)).collect()}
+        return s[0] - s[1], s
+
+    (free, _), (held, scores) = gap(0.0), gap(toxicity.SWAP)
+    assert held < 0.5 * free and scores[2] > 0.8
+
+
+def plain_quality(t):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    seen = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    again = {i + k for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again))
+
+
+def test_quality_counts(spark, docs, odd, frame):
+    got = result(spark, "op5_log_ratio_quality")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    for d, t in docs:
+        assert tuple(got[d][n] for n in names) == plain_quality(t)
+        failed = got[d]["n_words"] < 20 or 100 * got[d]["n_repeat_words"] > 30 * got[d]["n_words"]
+        assert got[d]["base_failed"] == failed and not (failed and got[d]["kept"])
+    rows = quality.judge(frame(list(enumerate(odd))), np.zeros(1 << quality.BITS)).collect()
+    for r in rows:
+        assert tuple(r[n] for n in names) == plain_quality(odd[r["doc_id"]] or "")
+
+
+def test_quality_ratio_by_hand(spark, docs, frame):
+    some = docs[:40]
+    trusted = spark.createDataFrame([(d,) for d, _ in some[:10]], "doc_id bigint")
+    counts = quality.count_grams(frame(some).select("doc_id", "text"), trusted)
+    data, at = common.byte_view(pa.array([t for _, t in some]))
+    starts, ends, rows = common.word_spans(data, at)
+    bins, of = quality.grams(common.span_hash(common.prefix_hash(data), starts, ends), rows)
+    assert counts[0].sum() == len(bins) and counts[1].sum() == (of < 10).sum()
+    ratios = quality.log_ratios(counts)
+    got = {r["doc_id"]: r["ratio"] for r in quality.judge(frame(some), ratios).collect()}
+    for i, (d, _) in enumerate(some):
+        assert got[d] == pytest.approx(ratios[bins[of == i]].mean())
+
+
+def test_quality_keeps_good_and_drops_bad(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = contract.queries()["op5_log_ratio_quality"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").filter("not base_failed").collect()
+    good, bad = [r["kept"] for r in rows if r["quality"]], [r["kept"] for r in rows if not r["quality"]]
+    assert sum(good) > 0.98 * len(good) and sum(bad) < 0.6 * len(bad)
+
+
+def test_languages_held_out(spark):
+    truth = {r["doc_id"]: r["lang"] for r in common.documents(spark, SF).select("doc_id", "lang").collect()}
+    rows = [r for r in contract.queries()["op6_language_profiles"](spark, SF).collect() if r["held_out"]]
+    assert len(rows) > 250 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in rows) > 0.98 * len(rows)
+
+
+def test_language_bundles_by_hand():
+    got = langid.bundle(["Ab, c", "", "1"], np.arange(3), 3)
+    expected = np.zeros(langid.DIMENSIONS)
+    for gram in (" ab", "ab ", " c "):
+        a, b, c = (langid.letter_vector(ord(x)).astype(int) for x in gram)
+        expected += np.roll(a, 2) * np.roll(b, 1) * c
+    assert (got[0] == expected).all() and not got[1:].any()
+    together = langid.bundle(["ab", "cd"], np.array([0, 0]), 1)
+    assert (together[0] == langid.bundle(["ab", "cd"], np.arange(2), 2).sum(axis=0)).all()
+
+
+def test_shards(spark, docs):
+    got = result(spark, "op7_virtual_slots", SF)
+    rows = common.documents(spark, SF).select("doc_id", "text").collect()
+    for d, t in rows:
+        assert got[d]["size"] == len(t.encode()) + 1 and got[d]["text_crc32"] == zlib.crc32(t.encode())
+    sizes = collections.Counter()
+    places = collections.defaultdict(list)
+    for r in got.values():
+        sizes[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert sorted(sizes) == list(range(8)) and max(sizes.values()) < 1.01 * min(sizes.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_growing_moves_slots_into_the_new_shard_only(spark):
+    rows = sharding.with_slots(common.documents(spark, SF))
+    old = sharding.rebalance(sharding.first_map(sharding.slot_totals(rows), 8), 8)
+    new = {r["vslot"]: r for r in sharding.grow(old, 8).collect()}
+    load = collections.Counter()
+    for r in old.collect():
+        assert new[r["vslot"]]["shard"] in (r["shard"], 8) and new[r["vslot"]]["version"] == 2
+        load[new[r["vslot"]]["shard"]] += r["bytes"]
+    assert max(load.values()) < 1.2 * min(load.values())
+
+
+def plain_removal(docs):
+    seen, out = set(), {}
+    for d, t in sorted(docs):
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 99):
+            s = raw[p : p + 100]
+            if s in seen:
+                gone[p : p + 100] = True
+            seen.add(s)
+        runs = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        out[d] = (len(raw), int(gone.sum()), runs, sha(np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+    return out
+
+
+def test_substrings_query(spark, docs):
+    got = result(spark, "op8_interval_expansion")
+    expected = plain_removal(docs)
+    assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in got.items()} == expected
+    assert any(e[1] for e in expected.values())
+
+
+@pytest.mark.parametrize("many", [20_000, 2])
+def test_substrings_on_repetitive_texts(spark, frame, monkeypatch, many):
+    monkeypatch.setattr(substrings, "MANY", many)
+    rng = random.Random(7)
+    base = ["".join(rng.choice("ab é") for _ in range(300)) for _ in range(3)]
+    docs = [(i, "".join(rng.choice([rng.choice(base)[rng.randrange(150) :], "x" * rng.randrange(130), "ab" * rng.randrange(90)]) for _ in range(4))) for i in range(60)]
+    done = substrings.deduplicate(spark, frame(docs)).collect()
+    expected = plain_removal(docs)
+    for r in done:
+        assert (len(r["raw"]), len(r["raw"]) - len(r["kept"]), len(r["runs"] or []), sha(bytes(r["kept"]))) == expected[r["doc_id"]]
+
+
+def test_interval_expansion_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(40):
+        letters = rng.choice([b"ab", b"abcdefgh"])
+        base = [bytes(rng.choice(letters) for _ in range(rng.randint(100, 300))) for _ in range(2)]
+        parts = []
+        for _ in range(rng.randint(1, 8)):
+            part = bytearray(rng.choice(base))
+            part[rng.randrange(len(part))] = rng.choice(letters)
+            parts.append(bytes(part))
+        text = b"\xff".join([*parts, b"\xfe"])
+        order, joined = substrings.undivided(np.frombuffer(text, np.uint8))
+        at = [text[o : o + 100] for o in order]
+        assert joined.tolist() == [False] + [len(b) == 100 and a == b for a, b in zip(at, at[1:], strict=False)]
+
+
+def plain_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, rest, free = dict.fromkeys(names, 0.0), 1.5 * sum(sizes.values()), set(names)
+    while rest > 1e-9 and free:
+        share = rest / sum(weight[s] for s in free)
+        full = {s for s in free if target[s] + share * weight[s] >= 2 * sizes[s]}
+        rest = 0.0
+        for s in free:
+            target[s] += share * weight[s]
+        for s in full:
+            rest += target[s] - 2 * sizes[s]
+            target[s] = 2.0 * sizes[s]
+        free -= full
+    return target
+
+
+def test_mix(spark):
+    rows = {r["doc_id"]: r for r in mixing.mix(spark, common.documents(spark, SF)).collect()}
+    again = {r["doc_id"]: r for r in mixing.mix(spark, common.documents(spark, SF).repartition(5)).collect()}
+    assert rows == again
+    text = {r["doc_id"]: r for r in common.documents(spark, SF).collect()}
+    sizes, taken, largest = collections.Counter(), collections.Counter(), collections.Counter()
+    for d, r in rows.items():
+        assert r["size"] == len([w for w in re.split(r"[\x20\x09-\x0D]+", text[d]["text"]) if w]) and r["source"] == text[d]["source"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    target = plain_targets(sizes)
+    for r in rows.values():
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in sizes)
+
+
+def test_mix_with_null_source_and_one_source(spark, frame):
+    docs = frame([(i, "w " * (i + 1), "en", s, 0) for i, s in enumerate(["a", "a", None, "b", None])])
+    got = mixing.mix(spark, docs).collect()
+    target = plain_targets({"a": 3, "b": 4, None: 8})
+    assert all(r["target"] == pytest.approx(target[r["source"]]) for r in got)
+    assert {r["target"] for r in mixing.mix(spark, frame([(1, "a b"), (2, "c d")])).collect()} == {6.0}
+
+
+def plain_links(docs):
+    sets = {d: frozenset(tuple(w[i : i + 5]) for w in [t.encode().split()] for i in range(max(1, len(w) - 4))) for d, t in docs if t and t.split()}
+    holders = collections.defaultdict(list)
+    for d, s in sets.items():
+        for g in s:
+            holders[g].append(d)
+    both = collections.Counter((a, b) for h in holders.values() for a in h for b in h if a < b)
+    links, parent = collections.Counter(), {d: d for d, _ in docs}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), n in both.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+            low, high = sorted((top(a), top(b)))
+            parent[high] = low
+    return {d: (top(d), links[d]) for d, _ in docs}
+
+
+def test_setjoin_query(spark, docs):
+    got = result(spark, "op10_chosen_path_join")
+    assert {d: (r["class_id"], r["n_links"]) for d, r in got.items()} == plain_links(docs)
+
+
+@pytest.mark.parametrize(("bucket", "block"), [(200, 512), (8, 7)])
+def test_setjoin_on_a_large_group(spark, frame, monkeypatch, bucket, block):
+    """With small buckets and blocks a group is split, led and compared in parts; nothing is lost."""
+    monkeypatch.setattr(setjoin, "BUCKET", bucket)
+    monkeypatch.setattr(setjoin, "BLOCK_SETS", block)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    docs = []
+    for i in range(90):
+        t = list(base)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(120)] = rng.choice(words)
+        docs.append((i, " ".join(t)))
+    docs += [(100 + i, " ".join(rng.choice(words) for _ in range(80))) for i in range(40)] + [(200, "a b"), (201, "a b"), (202, "a"), (203, ""), (204, "")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in setjoin.join(spark, frame(docs)).collect()}
+    assert got == plain_links(docs)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
+    parent = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((top(a), top(b)))
+        parent[high] = low
+    found = setjoin.components(common.Workspace(spark, "t"), spark.createDataFrame(pairs, "u bigint, v bigint"), "c")
+    expected = {(x, top(x)) for x in parent if top(x) != x}
+    assert {(r["node"], r["root"]) for r in found.collect()} == expected
+
+
+def test_recall_model():
+    assert setjoin.lost(0.8, 1) == pytest.approx(0.16)
+    assert setjoin.lost(0.8, setjoin.DEPTH) ** setjoin.runs_for() <= 1 - setjoin.RECALL
+    assert len(setjoin.roots(8)) == 10
+
+
+def test_pipeline_by_brute_force(spark):
+    """The stages one after another on the small table, each against a plain version on its own input."""
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = common.documents(spark, SMALL)
+    before = {r["doc_id"]: r for r in docs.collect()}
+    one = p.identify_language(spark, docs, SMALL).cache()
+    assert {r["doc_id"] for r in one.collect()} == set(before)  # all of them have letters
+    two = p.drop_near_duplicates(spark, one, SMALL).cache()
+    classes = plain_links([(r["doc_id"], r["text"]) for r in one.collect()])
+    assert {r["doc_id"] for r in two.collect()} == {d for d, (c, _) in classes.items() if d == c}
+    three = p.redact_secrets(spark, two, SMALL).cache()
+    for r in three.collect():
+        text, expected = before[r["doc_id"]]["text"], []
+        at = 0
+        for _, a, b in plain_spans(text):
+            if a >= at:
+                expected += [text[at:a], "[secret]"]
+            at = max(at, b)
+        assert r["text"] == "".join([*expected, text[at:]]) and r["n_chars"] == len(r["text"])
+    four = p.mix_to_targets(spark, three, SMALL).cache()
+    taken = {r["doc_id"]: r["taken"] // max(r["size"], 1) for r in mixing.mix(spark, three).collect()}
+    assert collections.Counter(r["doc_id"] for r in four.collect()) == collections.Counter({d: n for d, n in taken.items() if n})
+    for r, source in zip(p.encode_texts(spark, four, SMALL).orderBy("doc_id").collect(), four.orderBy("doc_id").collect(), strict=True):
+        ids = library.encode(source["text"], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == sha(" ".join(map(str, ids)))
+    assert p.run(spark, SMALL).count() == four.count()
+
+
+def test_scan_reads_only_what_it_needs(spark):
+    plan = sharding.with_slots(common.documents(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Python" not in plan and "Arrow" not in plan
+    assert F is not None
