@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .matrix import block
+from .select import sample_of
 
 #: Centres are rounded so, between steps: sums in another order of rows then give the same clusters.
 DIGITS = 9
@@ -79,6 +80,37 @@ def lloyd(cells: DataFrame, centres: DataFrame, steps: int = 3, by: str = "label
     return now
 
 
+def with_restarts(cells: DataFrame, clusters: int = 10, restarts: int = 10, steps: int = 10) -> tuple[np.ndarray, float]:
+    """Centres of the whole data set, the best of several starts by the sum of squared distances, and that sum.
+
+    A start takes the cells that come first in an order drawn from its number, so it doesn't depend on partitions.
+    """
+    whole = cells.select("cell_id", F.lit(0).alias("label"), "x")
+    best: tuple[np.ndarray, float] | None = None
+    for start in range(restarts):
+        drawn = sample_of(whole, clusters, start).withColumn("cluster", F.row_number().over(W.orderBy("cell_id")) - 1)
+        centres = lloyd(whole, drawn.select("label", "cluster", "x"), steps)
+        cost = round(spread(whole, centres[0]), 6)
+        if best is None or cost < best[1]:
+            best = centres[0], cost
+    return best
+
+
+def spread(cells: DataFrame, centres: np.ndarray) -> float:
+    """Sum of squared distances to the nearest centre; each task sends one number."""
+    shared = cells.sparkSession.sparkContext.broadcast(centres)
+    width = centres.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            x = block(batch["x"], width)
+            total += float(((x - shared.value[assigned(x, shared.value)]) ** 2).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["v"])
+
+    return cells.select("x").mapInArrow(run, "v double").agg(F.sum("v")).first()[0] or 0.0
+
+
 def assigned(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The nearest centre of each row, distances rounded, the first of equals."""
     if not len(x):

@@ -80,3 +80,17 @@ def split_at(rows: DataFrame, border: int, key: str = "cell_id") -> DataFrame:
 def composed(cells: DataFrame, recalled: DataFrame) -> DataFrame:
     """Each cell plus half of its recall."""
     return cells.join(recalled.select("cell_id", F.col("x").alias("recall")), "cell_id").withColumn("x", half_added("x", "recall")).drop("recall")
+
+
+def keyed_together(cells: DataFrame, *others: DataFrame) -> DataFrame:
+    """cells joined to other tables by cell_id; an error if any of them lacks or adds a cell.
+
+    It takes the place of files that belong together line by line. The check is one aggregation over full joins of keys.
+    """
+    for other in others:
+        keys = cells.select("cell_id", F.lit(1).alias("a")).join(other.select("cell_id", F.lit(1).alias("b")), "cell_id", "full")
+        odd = keys.agg(F.count_if(F.col("b").isNull()).alias("lacks"), F.count_if(F.col("a").isNull()).alias("adds")).first()
+        if odd["lacks"] or odd["adds"]:
+            raise ValueError(f"{odd['lacks']} cells are missing, {odd['adds']} are unknown")
+        cells = cells.join(other, "cell_id")
+    return cells

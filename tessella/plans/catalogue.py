@@ -401,6 +401,23 @@ voted AS (SELECT n.label, n.cluster, o.pos, CASE WHEN avg(o.v) > 0.5::DOUBLE THE
 protos AS (SELECT dense_rank() OVER (ORDER BY v.label, v.cluster) - 1 AS pattern_id, v.label AS cls, n.cell_id AS source_cell_id, v.pos, v.b, 2 * v.b - 1 AS p FROM voted v JOIN (SELECT label, cluster, cell_id FROM chosen WHERE rank = 1) n USING (label, cluster))"""
 
 
+@query()
+def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Ten clusters of all cells, numbered from 1: the best of three starts."""
+    cells = T.cells(spark, d)
+    centres, _ = cluster.with_restarts(cells, 10, 3, 5)
+    found = cluster.cluster_of(cells.withColumn("label", F.lit(0)), {0: centres})
+    return found.select("cell_id", (F.col("cluster") + 1).alias("cluster"))
+
+
+@query("SELECT e.vec_id AS cell_id, e.label, d.lang, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
+def keyed_join(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that belong together row by row are joined by key, after a check that neither lacks a row."""
+    docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("cell_id"), "lang", "source")
+    cells = T.cells(spark, d).select("cell_id", "label").join(docs, "cell_id", "left_semi")
+    return prepare.keyed_together(cells, docs.join(cells.select("cell_id"), "cell_id", "left_semi"))
+
+
 @query(f"{W}{T.SQL_CELLS}, {_lloyd_sql()}, {_assign_sql(3)} SELECT label, cell_id, cluster::INT AS cluster FROM a3")
 def lloyd_clusters(spark: SparkSession, d: str) -> DataFrame:
     own = prepare.labelled(T.bits(spark, d))
