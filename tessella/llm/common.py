@@ -29,23 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Named Parquet tables in the shared folder. They cut lineage and survive lost executors."""
+    """Named Parquet tables in the shared folder. They cut lineage and survive lost executors.
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    They are deleted when the application ends in good order, unless they are to be kept.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
+        self.spark, self.keep, self.root = spark, keep, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write df as a table and read it back."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        if not self.keep:
+            system, there = self._path(name)
+            system.deleteOnExit(there)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            system, path = self._path(name)
+            system.delete(path, True)
 
     def sweep(self) -> None:
         """Collect the garbage of finished plans, upon which Spark deletes their shuffle files; it would wait for up to half an hour."""

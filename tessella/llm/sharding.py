@@ -90,10 +90,10 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
     """Place every row; the maps of both versions stay in the shared folder."""
-    store = Workspace(spark, "shards")
-    rows = store.put("rows", with_slots(docs, slots))
-    first = store.put("map/version=0", first_map(slot_totals(rows, slots), shards))
-    return place(rows, store.put("map/version=1", rebalance(first, shards)))
+    rows = Workspace(spark, "shards").put("rows", with_slots(docs, slots))
+    store = Workspace(spark, "slot-map", keep=True)
+    first = store.put("version=0", first_map(slot_totals(rows, slots), shards))
+    return place(rows, store.put("version=1", rebalance(first, shards)))
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
