@@ -22,8 +22,8 @@ from .common import SPACE, arrow_map, byte_view, documents, per_row, prefix_hash
 
 #: Bins of the n-grams (as a power of two), n-grams counted, the least ratio of a kept document.
 BITS, GRAMS, LEAST_RATIO = 14, (1, 2), -0.2
-#: Of the trusted documents, so many teach the target; the sample follows a hash of the id, and bounds what is broadcast.
-TRUSTED = 20_000
+#: Up to so many ids of trusted documents are broadcast; more are joined by a shuffle. All of them teach the target.
+BROADCAST_IDS = 500_000
 #: Base rules: least words, words of a repeated window, most of the words in such windows in percent.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 
@@ -83,7 +83,7 @@ def grams(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def count_grams(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Counts of the bins: row 0 over all documents, row 1 over those in trusted (column doc_id, at most TRUSTED rows)."""
+    """Counts of the bins: row 0 over all documents, row 1 over all those in trusted (column doc_id, distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int64)
@@ -97,7 +97,8 @@ def count_grams(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
         full = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[0][full]), pa.array(sums[1][full])], ["bin", "raw", "target"])
 
-    marked = docs.join(F.broadcast(trusted.select(F.col("doc_id"), F.lit(True).alias("good"))), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    good = trusted.select("doc_id", F.lit(True).alias("good"))
+    marked = docs.join(F.broadcast(good) if trusted.count() <= BROADCAST_IDS else good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     # A task sends at most one row for each bin.
     rows = arrow_map(marked, run, "bin bigint, raw bigint, target bigint").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     out = np.zeros((2, 1 << BITS))
@@ -129,10 +130,9 @@ def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, " + "".join(f"{x} bigint, " for x in names) + "ratio double")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """doc_id of the documents labelled good, at most ``most``, chosen by a hash of the id."""
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all documents labelled good."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def op5_log_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
