@@ -152,7 +152,8 @@ def overlap_ids(spark: SparkSession, d: str) -> DataFrame:
 def align_sum_duplicates(spark: SparkSession, d: str) -> DataFrame:
     names = harmonise.first_names(T.dictionary(spark, d, "F"))
     order = harmonise.canonical_order(T.features(spark, d), names)
-    return rounded(harmonise.align(T.counts(spark, d), T.features(spark, d), names, order), "value")
+    # Alignment sums what meets at a place, so the lines need no sum before it.
+    return rounded(harmonise.align(T.lines(spark, d), T.features(spark, d), names, order), "value")
 
 
 @query(f"{W}{T.SQL_DICTIONARIES} SELECT feature_id, pos::INT AS pos FROM canonical WHERE feature_id NOT IN (SELECT coalesce(d.feature_id, p.p_name) FROM part p LEFT JOIN dict_m d ON d.feature_name = p.p_name WHERE p.p_size > 10)")

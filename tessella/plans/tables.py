@@ -32,10 +32,14 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.majority_profiles(bits(spark, sf_dir).filter("label <> 0"))
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as cells, parts as features, quantities as values; a place may come several times."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell_id"), F.col("l_partkey").alias("pos"), F.col("l_quantity").alias("value"))
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as cells, parts as features, quantities as values."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell_id"), F.col("l_partkey").alias("pos"))
-    return lines.agg(F.sum("l_quantity").alias("value"))
+    """The same with one value for each place."""
+    return lines(spark, sf_dir).groupBy("cell_id", "pos").agg(F.sum("value").alias("value"))
 
 
 def dictionary(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
