@@ -39,7 +39,7 @@ def test_bpe_is_the_librarys(spark, docs, odd, frame):
     for d, t in docs:
         ids = library.encode(t, add_special_tokens=False).ids
         assert got[d]["n_tokens"] == len(ids) and got[d]["ids_sha256"] == sha(" ".join(map(str, ids))) and got[d]["decoded_sha256"] == sha(library.decode(ids, skip_special_tokens=False))
-    special = [*odd, "<|endoftext|>Straße ΑΣ İstanbul it's <|startoftext|>½ Ⅷ ﬁ á́", "<|ENDOFTEXT|>"]
+    special = [*odd, "<|endoftext|>Straße ΑΣ İstanbul it's <|startoftext|>½ Ⅷ ﬁ á́", "<|ENDOFTEXT|>", "".join(map(chr, range(128))) * 2, "it's WE'LL a_b 12'd\x1c\x1d x\x1e\x1fy"]
     vocabulary = bpe.vocabulary_file()
     rows = bpe.decode(bpe.encode(frame(list(enumerate(special))), vocabulary), vocabulary).collect()
     for r in rows:
