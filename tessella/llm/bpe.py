@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 from itertools import pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, documents, texts
 
-#: Words, and fragments within words, that a worker remembers; when the store is full it is emptied.
-REMEMBERED = 100_000
+#: Words, and fragments within words, that a worker remembers in each of two generations.
+REMEMBERED = 125_000
 
-# The pattern that finds words, from the tokenizer file.
+# The pattern that finds words, from the tokenizer file; what it comes to on ASCII text in lower case.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\v\f\r\x20a-z0-9]+"
 
 
 def byte_letters() -> list[str]:
@@ -38,16 +40,20 @@ def byte_letters() -> list[str]:
 
 
 class Remembered(dict):
-    """Values by key, made when first asked for; bounded."""
+    """Values by key, made when first asked for. A full store becomes the old one; what is asked for again moves to the new one."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -66,7 +72,7 @@ class ForcedBoundaryBpe:
         #: Adjacent letters inside some token; between any other two a cut is certain.
         self.inside = {a + b for t in vocab for a, b in pairwise(t.removesuffix(self.end))}
         self.middle, self.last = BPE(vocab, merges), BPE(vocab, merges, end_of_word_suffix=self.end)
-        self.words = regex.compile(WORDS)
+        self.words, self.ascii_words = regex.compile(WORDS), re.compile(ASCII_WORDS)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.middles = Remembered(lambda x: self.ids(self.middle, x))
         self.encoded = Remembered(self.encode_word)
@@ -77,6 +83,8 @@ class ForcedBoundaryBpe:
 
     def fragments(self, letters: str) -> list[str]:
         """Letters of a word, cut at all forced boundaries."""
+        if self.inside.issuperset(map(add, letters, letters[1:])):
+            return [letters]
         cuts = [i for i, pair in enumerate(map("".join, pairwise(letters)), 1) if pair not in self.inside]
         return [letters[a:b] for a, b in pairwise([0, *cuts, len(letters)])]
 
@@ -87,10 +95,11 @@ class ForcedBoundaryBpe:
     def plain(self, text: str) -> bytes:
         import unicodedata
 
+        words = self.ascii_words
         if not text.isascii():
             # Lower case letter by letter: a sigma that ends a word isn't special.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return b"".join(map(self.encoded.__getitem__, self.words.findall(text.lower())))
+            words, text = self.words, unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return b"".join(map(self.encoded.__getitem__, words.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers. Special tokens' strings in the text become their ids."""
