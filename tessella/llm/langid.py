@@ -55,6 +55,18 @@ def trigrams(batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         start = end
 
 
+def numbered(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values below ``most`` in ascending order, and the number of each value among them; by tables, unless they were too large."""
+    if most > 1 << 24:
+        return np.unique(values, return_inverse=True)
+    there = np.zeros(most, bool)
+    there[values] = True
+    distinct = np.flatnonzero(there)
+    number = np.empty(most, np.int32)
+    number[distinct] = np.arange(len(distinct), dtype=np.int32)
+    return distinct, number[values]
+
+
 def piece_trigrams(rows: list[str], first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     low = [" " + t.lower() + " " for t in rows]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -65,11 +77,11 @@ def piece_trigrams(rows: list[str], first: int) -> Iterator[tuple[np.ndarray, np
     codes, row = codes[keep], row[keep]
     for at in range(0, max(len(codes) - 2, 0), PIECE):
         c, r = codes[at : at + PIECE + 2], row[at : at + PIECE + 2]
-        seen, number = np.unique(c, return_inverse=True)
+        seen, number = numbered(c, 0x110000)
         ok = (r[2:] == r[:-2]) & (c[1:-1] != 32)
         n = len(seen)
-        gram = ((number[:-2] * n + number[1:-1]) * n + number[2:])[ok]
-        which, gram = np.unique(gram, return_inverse=True)
+        number = number.astype(np.int64)
+        which, gram = numbered(((number[:-2] * n + number[1:-1]) * n + number[2:])[ok], n**3)
         letters = np.stack([letter_vector(int(x)) for x in seen])
         bound = np.roll(letters, 2, axis=1)[which // (n * n)] * np.roll(letters, 1, axis=1)[which // n % n] * letters[which % n]
         yield r[2:][ok], gram, bound
