@@ -11,6 +11,26 @@ from ..functions.vectors import binarise, half_added, is_active
 
 # Codes of cell types, short and long list.
 SHORT_CODES = {"Ast": 1, "End": 2, "Ex": 3, "In": 4, "Mic": 5, "Oli": 6, "Opc": 7, "Per": 8}
+LONG_CODES = {
+    "Astrocyte": 1,
+    "Endothelial": 2,
+    "Excitatory Neurons": 3,
+    "Inhibitory Neurons": 4,
+    "Microglia": 5,
+    "Oligodendrocytes": 6,
+    "OPCs": 7,
+    "Pericytes": 8,
+    "Fibroblast": 9,
+    "NFOL/MOL": 10,
+    "Macrophages": 11,
+    "Monocytes": 12,
+    "SMC": 13,
+    "COP": 14,
+    "NK Cells": 15,
+    "Neutrophils": 16,
+    "CD8+ T Cells": 17,
+    "Erythrocytes": 18,
+}
 
 
 def binarise_cells(cells: DataFrame) -> DataFrame:
@@ -56,6 +76,12 @@ def encode_labels(rows: DataFrame, column: str, codes: Mapping[str, int], out: s
     return rows.withColumn(out, F.element_at(table, F.col(column)).cast("int"))
 
 
+def name_labels(rows: DataFrame, codes: Mapping[str, int], column: str = "label", out: str = "name") -> DataFrame:
+    """The inverse of encode_labels; a code without a name is null."""
+    table = F.create_map(*(F.lit(x) for name, code in codes.items() for x in (code, name)))
+    return rows.withColumn(out, F.element_at(table, F.col(column).cast("int")))
+
+
 def coded_only(rows: DataFrame, column: str = "label") -> DataFrame:
     return rows.dropna(subset=[column]).withColumn(column, F.col(column).cast("int"))
 

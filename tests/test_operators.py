@@ -173,5 +173,7 @@ def test_labels_and_keys(spark):
     coded = prepare.encode_labels(df, "celltype", prepare.SHORT_CODES)
     assert [r["label"] for r in coded.collect()] == [1, None]
     assert [r["key"] for r in df.select(prepare.normal_key("key").alias("key")).collect()] == ["a-1", "b-2"]
+    assert [r["name"] for r in prepare.name_labels(coded, prepare.SHORT_CODES).collect()] == ["Ast", None]
+    assert sorted(prepare.LONG_CODES.values()) == list(range(1, 19))
     assert prepare.coded_only(coded).count() == 1
     assert prepare.repeated_keys(df.union(df), "key").count() == 2
