@@ -8,8 +8,10 @@ Documents are sets of word shingles; two are linked if the Jaccard similarity of
    their token there, so a set follows each path on which it shares all tokens chosen. Nodes of bounded size are
    compared by brute force on the tokens; larger ones are split again. Runs repeat until a pair at the threshold is met
    with the target probability.
-3. Nodes that don't shrink to that size hold much alike sets: they are compared in parts of bounded size, each together
-   with a few leaders of the whole node.
+3. Nodes that don't shrink to that size hold much alike sets, or sets with a long passage in common. They are compared in
+   parts of bounded size, each together with a few leaders of the whole node; then all sets of a node that aren't joined
+   by then are compared with each other, in blocks of bounded size, so a large node loses no pair. For sets that stay
+   unlike this takes of the order of n * n comparisons of tokens in a node of n sets.
 4. Pairs that look alike join their sets to candidate groups (connected components). Within each group all sets are
    compared exactly, in blocks of bounded size, from the texts. Blocks yield counts of links and a spanning forest,
    never the pairs.
@@ -40,6 +42,8 @@ TOKENS, DEPTH, BUCKET, LEADERS = 128, 3, 200, 4
 SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 #: Sets and shingles of a block of exact comparison.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
+#: Sets of a block in which the sets of a large node are compared by their tokens.
+NODE_SETS = 2048
 #: Up to so many ids are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -186,6 +190,40 @@ def likely(members: DataFrame) -> DataFrame:
     return arrow_map(members.select("node", "rep", "size", "tokens").repartition("node").sortWithinPartitions("node"), run, "u bigint, v bigint").filter("u <> v").distinct()
 
 
+def likely_apart(members: DataFrame) -> DataFrame:
+    """Candidate links (u, v) from rows of block, side, rep, root, size and tokens: likely pairs of unlike roots, as a spanning forest of each block.
+
+    Rows of side 0 and 1 are compared with each other only; those of side 2, all with all.
+    """
+
+    def compare(side: np.ndarray, reps: np.ndarray, roots: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # By size, what is large enough for a set comes right before it.
+        order = np.argsort(sizes, kind="stable")
+        side, reps, roots, sizes, tokens = side[order], reps[order], roots[order], sizes[order], tokens[order]
+        begin = np.searchsorted(sizes, THRESHOLD * sizes - 1e-6)
+        left, right = [], []
+        for i in range(1, len(reps)):
+            other = slice(int(begin[i]), i)
+            at = np.flatnonzero((roots[other] != roots[i]) & ((side[other] != side[i]) | (side[i] == 2))) + other.start
+            near = at[(tokens[at] == tokens[i]).sum(axis=1) >= (THRESHOLD - SLACK) * TOKENS]
+            left.append(np.full(len(near), i))
+            right.append(near)
+        if not any(map(len, left)):
+            return reps[:0], reps[:0]
+        label = forest(len(reps), np.concatenate(left), np.concatenate(right), reps)
+        return reps[label != reps], label[label != reps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, "block"):
+            side, reps, roots, sizes = (table[c].to_numpy() for c in ("side", "rep", "root", "size"))
+            tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32).reshape(-1, TOKENS)
+            at = bounds(table["block"].to_numpy())
+            found = [compare(side[a:b], reps[a:b], roots[a:b], sizes[a:b], tokens[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(2)], ["u", "v"])
+
+    return arrow_map(members.select("block", "side", "rep", "root", "size", "tokens").repartition("block").sortWithinPartitions("block"), run, "u bigint, v bigint").distinct()
+
+
 def components(store: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """node and the least node (root) of its connected component, from edges (u, v); large-star and small-star steps.
 
@@ -262,7 +300,7 @@ def candidates(store: Workspace, rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate links (u, v) between sets, by chosen paths."""
     tokens = rows.select(F.col("doc_id").alias("rep"), "size", "tokens").filter("size > 0")
     nodes = sets.select("rep", F.explode("nodes").alias("node"))
-    parts = []
+    parts, large = [], None
     for depth in range(1, DEPTH + 1):
         count = nodes.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("n > 1")
         count = store.put(f"count-{depth}", count)
@@ -274,6 +312,7 @@ def candidates(store: Workspace, rows: DataFrame, sets: DataFrame) -> DataFrame:
             break
         held = nodes.join(many.select("node", "n"), "node")
         if depth == DEPTH:
+            large = store.put("large", held.select("node", "rep"))
             parts.append(store.put("many", in_parts(held)))
             break
         # A child is named by its parent, the coordinate sampled there and the token.
@@ -290,7 +329,9 @@ def candidates(store: Workspace, rows: DataFrame, sets: DataFrame) -> DataFrame:
     if meeting.count() <= BROADCAST_IDS:
         tokens = tokens.join(F.broadcast(meeting), "rep", "left_semi")
     edges = store.put("edges", likely(members.join(tokens, "rep")))
-    store.drop("members", "meeting", "many", *(f"{name}-{k}" for name in ("count", "few", "nodes") for k in range(1, DEPTH + 1)))
+    if large is not None:
+        edges = store.put("all-edges", edges.union(still_apart(store, large, edges, tokens)).distinct())
+    store.drop("large", "blocks", "members", "meeting", "many", *(f"{name}-{k}" for name in ("count", "few", "nodes") for k in range(1, DEPTH + 1)))
     return edges
 
 
@@ -303,6 +344,20 @@ def in_parts(held: DataFrame) -> DataFrame:
     return own.union(led.select(F.xxhash64("node", "part").alias("node"), F.explode("leaders").alias("rep"))).distinct()
 
 
+def still_apart(store: Workspace, large: DataFrame, edges: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Candidate links (u, v) between those sets of large nodes (node, rep) that edges don't join."""
+    near = components(store, edges, "near")
+    rooted = large.join(near.select(F.col("node").alias("rep"), "root"), "rep", "left").select("node", "rep", F.coalesce("root", "rep").alias("root"))
+    count = rooted.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("root").alias("low"), F.max("root").alias("high"))
+    count = count.filter("low <> high").groupBy("n", "who").agg(F.min("node").alias("node"))
+    parts = count.select("node", F.ceil(F.col("n") / NODE_SETS).alias("blocks"))
+    mine, other = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    spread = rooted.join(parts, "node").withColumn("mine", mine).withColumn("other", other)
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    blocks = store.put("blocks", spread.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), side.alias("side"), "rep", "root"))
+    return likely_apart(blocks.join(tokens, "rep"))
+
+
 def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of the class) and n_links (other documents linked) of each row."""
     store = Workspace(spark, "setjoin")
@@ -333,7 +388,7 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = links.join(whole, "rep", "left")
     known = sets.join(found, "rep", "left").select("a", "b", "copies", F.coalesce("class", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     known = store.put("known", known)
-    store.drop("sets", "edges", "grouped", "held", "judged", "classes")
+    store.drop("sets", "edges", "all-edges", "grouped", "held", "judged", "classes")
     store.sweep()
     return rows.select("doc_id", "a", "b").join(known, ["a", "b"], "left").select("doc_id", F.coalesce("class_id", F.when(F.col("a").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("bigint").alias("n_links"))
 

@@ -384,6 +384,25 @@ def test_setjoin_on_a_large_group(spark, frame, monkeypatch, bucket, block):
     assert got == plain_links(docs)
 
 
+@pytest.mark.parametrize("block", [2048, 30])
+def test_setjoin_of_unlike_documents_with_one_passage(spark, frame, monkeypatch, block):
+    """Documents at 0.45 by a common passage fill nodes that splits don't empty; the pairs among them are found all the same."""
+    monkeypatch.setattr(setjoin, "DEPTH", 1)
+    monkeypatch.setattr(setjoin, "BUCKET", 5)
+    monkeypatch.setattr(setjoin, "NODE_SETS", block)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(66)]
+    docs = []
+    for i in range(200):
+        own = [f"d{rng.randrange(10**6)}" for _ in range(38)]
+        docs.append((i, " ".join(passage + own)))
+        docs.append((1000 + i, " ".join(passage + own[:-9] + [f"e{rng.randrange(10**6)}" for _ in range(9)])))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in setjoin.join(spark, frame(docs)).collect()}
+    expected = plain_links(docs)
+    assert all(expected[i] == (i, 1) for i in range(200))
+    assert got == expected
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
