@@ -165,7 +165,16 @@ def missing_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{W}{T.SQL_CELLS} SELECT pos::INT AS pos, round(sum(CASE WHEN pos % 5 = 2 THEN 0.5::DOUBLE ELSE b END), 6) AS frequency, sum((pos % 5 = 2 OR b <> 0)::INT)::BIGINT AS entries FROM bits WHERE cell_id % 2 = 1 GROUP BY 1")
 def align_with_fill(spark: SparkSession, d: str) -> DataFrame:
-    own = T.bits(spark, d).filter("cell_id % 2 = 1")
+    """Cells of odd ids only, as its SQL has it; align_with_fill_all takes every cell."""
+    return _aligned(spark, T.bits(spark, d).filter("cell_id % 2 = 1"))
+
+
+@query(f"{W}{T.SQL_CELLS} SELECT pos::INT AS pos, round(sum(CASE WHEN pos % 5 = 2 THEN 0.5::DOUBLE ELSE b END), 6) AS frequency, sum((pos % 5 = 2 OR b <> 0)::INT)::BIGINT AS entries FROM bits GROUP BY 1")
+def align_with_fill_all(spark: SparkSession, d: str) -> DataFrame:
+    return _aligned(spark, T.bits(spark, d))
+
+
+def _aligned(spark: SparkSession, own: DataFrame) -> DataFrame:
     entries = matrix.to_coordinates(own).join(F.broadcast(T.lacking(spark)), "pos", "left_anti").select("cell_id", "pos", "value")
     full = harmonise.filled(entries, own, T.lacking(spark))
     return full.groupBy("pos").agg(F.round(F.sum("value"), 6).alias("frequency"), F.count("*").alias("entries"))
@@ -485,15 +494,33 @@ def recall_continuous(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_BASE}, {T.sql_recall('SELECT cell_id, pos, CASE WHEN pos % 5 = 2 THEN 0.0::DOUBLE ELSE 2 * b - 1 END AS x FROM bits WHERE cell_id % 2 = 1')} {_BITS.format(t=0.5)}")
 def recall_with_fill(spark: SparkSession, d: str) -> DataFrame:
-    own = T.bits(spark, d).filter("cell_id % 2 = 1")
+    """Cells of odd ids only, as its SQL has it; recall_with_fill_all takes every cell."""
+    return _recalled_with_fill(spark, d, T.bits(spark, d).filter("cell_id % 2 = 1"))
+
+
+@query(f"{_BASE}, {T.sql_recall('SELECT cell_id, pos, CASE WHEN pos % 5 = 2 THEN 0.0::DOUBLE ELSE 2 * b - 1 END AS x FROM bits')} {_BITS.format(t=0.5)}")
+def recall_with_fill_all(spark: SparkSession, d: str) -> DataFrame:
+    return _recalled_with_fill(spark, d, T.bits(spark, d))
+
+
+def _recalled_with_fill(spark: SparkSession, d: str, own: DataFrame) -> DataFrame:
     half = own.withColumn("x", F.transform("x", lambda v, i: F.when(i % T.LACKING[0] == T.LACKING[1], harmonise.ABSENT).otherwise(v)))
     return _memory(spark, d, threshold=0.5).recall(half).select("cell_id", as_text().alias("bits"))
 
 
 @query(f"{_BASE} SELECT c.cell_id, q.pattern_id::INT AS pattern_id, round(sum((2 * c.b - 1) * q.p), 6) AS score FROM bits c JOIN patterns q USING (pos) WHERE c.cell_id % 2 = 1 AND c.pos % 5 <> 2 GROUP BY 1, 2")
 def scores_with_absent(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of odd ids only, as its SQL has it; scores_with_absent_all takes every cell."""
+    return _scored_with_absent(spark, d, T.bits(spark, d).filter("cell_id % 2 = 1"))
+
+
+@query(f"{_BASE} SELECT c.cell_id, q.pattern_id::INT AS pattern_id, round(sum((2 * c.b - 1) * q.p), 6) AS score FROM bits c JOIN patterns q USING (pos) WHERE c.pos % 5 <> 2 GROUP BY 1, 2")
+def scores_with_absent_all(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_with_absent(spark, d, T.bits(spark, d))
+
+
+def _scored_with_absent(spark: SparkSession, d: str, own: DataFrame) -> DataFrame:
     """Scores from nonzero entries alone; absent features are never formed."""
-    own = T.bits(spark, d).filter("cell_id % 2 = 1")
     return rounded(memory.bit_scores(matrix.to_coordinates(own), own, T.patterns(spark, d), T.lacking(spark)), "score")
 
 

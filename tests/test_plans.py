@@ -33,3 +33,11 @@ def test_sampling_takes_rows_in_each_task(spark):
 def test_relational_queries_stay_in_the_jvm(spark):
     for name in ("binarize_counts", "align_with_fill", "tracking", "coverage", "scores_with_absent", "projection_entries", "knn_l2"):
         assert not any(x in plan(catalogue.QUERIES[name](spark, SF)) for x in ("Python", "Arrow"))
+
+
+def test_fill_takes_every_cell(spark):
+    cells = {r["cell_id"] for r in T.cells(spark, SF).select("cell_id").collect()}
+    for name in ("recall_with_fill_all", "scores_with_absent_all"):
+        assert {r["cell_id"] for r in catalogue.QUERIES[name](spark, SF).select("cell_id").collect()} == cells
+    absent = [r for r in catalogue.QUERIES["align_with_fill_all"](spark, SF).collect() if r["pos"] % 5 == 2]
+    assert absent and all(r["entries"] == len(cells) for r in absent)
