@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from tessella.llm import bpe, langid, mixing, secrets, setjoin
 from tessella.llm.common import Workspace
 
-#: Texts whose cosine with the nearest language is lower are no language that was taught. Even a few words are well above it.
-LEAST_COSINE = 0.01
 #: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -27,10 +25,13 @@ def lookup(ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no letters or resemble no language; lang becomes the language found."""
+    """Without the documents that have no letters; lang becomes the nearest language taught.
+
+    No score rejects a document: what is in a language or script that wasn't taught stays too, and its lang is a taught one.
+    """
     columns = docs.columns
     found = langid.predict(docs, langid.learn(docs))
-    kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE))
+    kept = found.filter(F.col("lang_pred") != langid.UNKNOWN)
     return kept.withColumn("lang", F.col("lang_pred")).select(*columns)
 
 

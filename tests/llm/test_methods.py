@@ -459,6 +459,18 @@ def test_pipeline_by_brute_force(spark):
     assert p.run(spark, SMALL).count() == four.count()
 
 
+def test_pipeline_keeps_texts_of_an_untaught_script(spark, frame):
+    """Only texts without letters are rejected by the language stage, however short or foreign the others are."""
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    taught = [(0, "the house of the old man", "en", "s", 24), (1, "la maison de la vieille femme", "fr", "s", 29), (2, "the", "en", "s", 3)]
+    foreign = [(10 + i, "".join(chr(rng.randrange(0x10A0, 0x10C5)) for _ in range(12)), None, "s", 12) for i in range(30)]
+    got = p.identify_language(spark, frame([*taught, *foreign, (90, "12 34", "en", "s", 5), (91, None, "en", "s", 0)]), SMALL).collect()
+    assert {r["doc_id"] for r in got} == {0, 1, 2} | {10 + i for i in range(30)}
+    assert {r["lang"] for r in got} <= {"en", "fr"}
+
+
 def test_scan_reads_only_what_it_needs(spark):
     plan = sharding.with_slots(common.documents(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Python" not in plan and "Arrow" not in plan
