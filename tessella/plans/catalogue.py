@@ -422,7 +422,7 @@ def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT e.vec_id AS cell_id, e.label, d.lang, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
 def keyed_join(spark: SparkSession, d: str) -> DataFrame:
-    """Tables that belong together row by row are joined by key, after a check that neither lacks a row."""
+    """Rows of ids that both tables have, joined by key; rows of other ids are left out, as by the join in its SQL, before the check of keys."""
     docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("cell_id"), "lang", "source")
     cells = T.cells(spark, d).select("cell_id", "label").join(docs, "cell_id", "left_semi")
     return prepare.keyed_together(cells, docs.join(cells.select("cell_id"), "cell_id", "left_semi"))
