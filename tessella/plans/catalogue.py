@@ -64,7 +64,17 @@ def feature_frequency_topn(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{W}{T.SQL_CELLS} SELECT 'f' || pos AS feature_id, round(sum(b), 6) AS frequency FROM bits WHERE pos < 8 GROUP BY pos")
 def unpivot_sums(spark: SparkSession, d: str) -> DataFrame:
-    wide = T.bits(spark, d).agg(*(F.round(F.sum(F.get("x", F.lit(i))), 6).alias(f"f{i}") for i in range(8)))
+    """The first eight features only, as its SQL has it; unpivot_sums_all takes every feature."""
+    return _unpivoted(spark, d, 8)
+
+
+@query(f"{W}{T.SQL_CELLS} SELECT 'f' || pos AS feature_id, round(sum(b), 6) AS frequency FROM bits GROUP BY pos")
+def unpivot_sums_all(spark: SparkSession, d: str) -> DataFrame:
+    return _unpivoted(spark, d, T.WIDTH)
+
+
+def _unpivoted(spark: SparkSession, d: str, width: int) -> DataFrame:
+    wide = T.bits(spark, d).agg(*(F.round(F.sum(F.get("x", F.lit(i))), 6).alias(f"f{i}") for i in range(width)))
     return matrix.unpivot_sums(wide)
 
 

@@ -41,3 +41,7 @@ def test_fill_takes_every_cell(spark):
         assert {r["cell_id"] for r in catalogue.QUERIES[name](spark, SF).select("cell_id").collect()} == cells
     absent = [r for r in catalogue.QUERIES["align_with_fill_all"](spark, SF).collect() if r["pos"] % 5 == 2]
     assert absent and all(r["entries"] == len(cells) for r in absent)
+
+
+def test_sums_of_every_feature(spark):
+    assert {r["feature_id"] for r in catalogue.QUERIES["unpivot_sums_all"](spark, SF).collect()} == {f"f{i}" for i in range(T.WIDTH)}
