@@ -423,9 +423,9 @@ protos AS (SELECT dense_rank() OVER (ORDER BY v.label, v.cluster) - 1 AS pattern
 
 @query()
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Ten clusters of all cells, numbered from 1: the best of three starts."""
+    """Ten clusters of all cells, numbered from 1: the best of ten starts of ten steps."""
     cells = T.cells(spark, d)
-    centres, _ = cluster.with_restarts(cells, 10, 3, 5)
+    centres, _ = cluster.with_restarts(cells, 10, 10, 10)
     found = cluster.cluster_of(cells.withColumn("label", F.lit(0)), {0: centres})
     return found.select("cell_id", (F.col("cluster") + 1).alias("cluster"))
 

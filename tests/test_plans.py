@@ -45,3 +45,10 @@ def test_fill_takes_every_cell(spark):
 
 def test_sums_of_every_feature(spark):
     assert {r["feature_id"] for r in catalogue.QUERIES["unpivot_sums_all"](spark, SF).collect()} == {f"f{i}" for i in range(T.WIDTH)}
+
+
+def test_kmeans_takes_ten_starts(spark, monkeypatch):
+    costs, spread = [], cluster.spread
+    monkeypatch.setattr(cluster, "spread", lambda *a: costs.append(spread(*a)) or costs[-1])
+    catalogue.kmeans_clusters(spark, SF)
+    assert len(costs) == 10
