@@ -2,36 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir
+
 #: Rows and bytes of an Arrow batch that goes to a Python worker. Long texts stay whole: a batch holds one row at least.
 BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+#: Bits of a filter of ids, as a power of two, and those of one of its rows. It is 8 MB whatever the data, so it is always broadcast.
+FILTER_BITS, ROW_BITS = 26, 15
+#: Keys that are looked up by a broadcast because very many rows ask for them, at most.
+HEAVY_KEYS = 10_000
 
 
 class Workspace:
     """Named Parquet tables in the shared folder. They cut lineage and survive lost executors.
 
-    They are deleted when the application ends in good order, unless they are to be kept.
+    Spark deletes the shuffle files of a table's query once the table is written. The tables are deleted when the application
+    ends in good order, unless they are to be kept.
     """
 
     def __init__(self, spark: SparkSession, name: str, keep: bool = False):
@@ -44,7 +40,8 @@ class Workspace:
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write df as a table and read it back."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            df.write.mode("overwrite").parquet(path)
         if not self.keep:
             system, there = self._path(name)
             system.deleteOnExit(there)
@@ -56,10 +53,88 @@ class Workspace:
             system, path = self._path(name)
             system.delete(path, True)
 
-    def sweep(self) -> None:
-        """Collect the garbage of finished plans, upon which Spark deletes their shuffle files; it would wait for up to half an hour."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session's settings, changed within the block only."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column is called so (upper and lower case are one)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def id_filter(ids: F.Column, table: DataFrame) -> DataFrame:
+    """The filter of a column of ids: rows of ROW_BITS bits, 2 ** (FILTER_BITS - ROW_BITS) at most, JVM-side."""
+    h = F.pmod(F.xxhash64(ids.cast("bigint")), F.lit(1 << FILTER_BITS))
+    return table.select(F.shiftright(h, ROW_BITS).alias("row"), h.bitwiseAND((1 << ROW_BITS) - 1).alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def marked(docs: DataFrame, key: str, bits: DataFrame, mark: str) -> DataFrame:
+    """docs with a boolean column: whether the key may be among the filter's ids. Null keys aren't, and no id of the filter is missed.
+
+    The filter has a fixed size. Ids beyond some ten millions fill it, and then it lets ever more other keys pass: what is
+    asked of it afterwards gets dearer, but its answers don't change.
+    """
+    row, own = fresh([*docs.columns, mark], "row", "bits")
+    h = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(1 << FILTER_BITS))
+    at = h.bitwiseAND((1 << ROW_BITS) - 1)
+    byte = F.conv(F.hex(F.substring(F.col(own), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    joined = docs.join(F.broadcast(bits.toDF(row, own)), F.shiftright(h, ROW_BITS) == F.col(row), "left")
+    return joined.select(*(column(c) for c in docs.columns), (F.col(key).isNotNull() & hit).alias(mark))
+
+
+def column(name: str) -> F.Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def look_up(rows: DataFrame, key: str, table: DataFrame, total: int) -> DataFrame:
+    """rows left-joined with a table of one row for each key, whose column ``n`` says how many rows ask for it (``total`` in all).
+
+    Keys that ask for more than a HEAVY_KEYS-th of the rows, of which there are fewer than HEAVY_KEYS, are broadcast. Rows with
+    such a key, or with none, are spread in the join of the others, so no key makes a task of its own.
+    """
+    values = [c for c in table.columns if c not in (key, "n")]
+    k, *names = fresh(rows.columns, key, *(f"{c}_" for c in values))
+    heavy = table.filter(F.col("n") > total / HEAVY_KEYS).select(F.col(key).alias(f"{k}h"), *(F.col(c).alias(f"{x}h") for c, x in zip(values, names, strict=True)))
+    common = table.select(F.col(key).alias(f"{k}c"), *(F.col(c).alias(f"{x}c") for c, x in zip(values, names, strict=True)))
+    found = rows.join(F.broadcast(heavy), F.col(key) == F.col(f"{k}h"), "left")
+    done = F.col(f"{k}h").isNotNull() | F.col(key).isNull()
+    spread = F.when(done, F.xxhash64(*(column(c) for c in rows.columns)).cast(table.schema[key].dataType)).otherwise(F.col(key))
+    found = found.withColumn(f"{k}s", spread).join(common, F.col(f"{k}s") == F.col(f"{k}c"), "left")
+    return found.select(*(column(c) for c in rows.columns), *(F.when(done, F.col(f"{x}h")).otherwise(F.col(f"{x}c")).alias(c) for c, x in zip(values, names, strict=True)))
+
+
+def running(store: Workspace, name: str, df: DataFrame, order: list[F.Column], sums: dict[str, F.Column]) -> DataFrame:
+    """df with exclusive prefix sums in a global order, under the names of ``sums``; no task orders more than a range.
+
+    Ranges of the order are sorted apart; their totals, a row for each partition, are summed up before them.
+    """
+    part, at = fresh([*df.columns, *sums], "part", "at")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = store.put(name, ranged.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()))
+    first = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy(part).agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    before = store.put(f"{name}-before", totals.select(F.col(part).alias(f"{part}_"), *(F.coalesce(F.sum(k).over(first(W.orderBy(part))), F.lit(0)).alias(f"{k}_") for k in sums)))
+    own = ranged.select("*", *(F.coalesce(F.sum(v).over(first(W.partitionBy(part).orderBy(at))), F.lit(0)).alias(k) for k, v in sums.items()))
+    joined = own.join(F.broadcast(before), F.col(part) == F.col(f"{part}_"))
+    return joined.select(*(column(c) for c in df.columns), *((F.col(k) + F.col(f"{k}_")).alias(k) for k in sums))
 
 
 def limit_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
@@ -116,8 +191,8 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # The white space that parts words, and the odd factor and mixers of the hashes.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-FACTOR, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
+FACTOR, MIXER, FACTOR_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+INVERSE = {f: np.uint64(pow(int(f), -1, 1 << 64)) for f in (FACTOR, FACTOR_2)}
 _powers: dict[str, np.ndarray] = {}
 #: Powers kept between calls; longer tables are made anew.
 KEPT_POWERS = 1 << 22
@@ -151,16 +226,16 @@ def row_pieces(at: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, i
         first = end
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, factor: np.uint64 = FACTOR) -> np.ndarray:
     """For span_hash: sums of (byte + 1) * factor ** position up to each position, modulo 2 ** 64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(FACTOR, len(data)), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(factor, len(data)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor: np.uint64 = FACTOR) -> np.ndarray:
     """Hashes of spans; equal bytes have equal hashes wherever they stand."""
-    return mixed((prefix[ends] - prefix[starts]) * powers(INVERSE, len(prefix))[starts] ^ (ends - starts).astype(np.uint64) * FACTOR)
+    return mixed((prefix[ends] - prefix[starts]) * powers(INVERSE[factor], len(prefix))[starts] ^ (ends - starts).astype(np.uint64) * factor)
 
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

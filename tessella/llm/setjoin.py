@@ -369,7 +369,6 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     edges = candidates(store, rows, named)
     grouped = components(store, edges, "groups")
     grouped = store.put("grouped", grouped.union(grouped.select("root", "root").distinct()).toDF("rep", "root"))
-    store.sweep()
     held = grouped.join(named.groupBy("rep").agg(F.sum("copies").alias("copies"), F.max("size").alias("size")), "rep")
     load = held.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
     held = store.put("held", held.join(load, "root").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
@@ -389,7 +388,6 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     known = sets.join(found, "rep", "left").select("a", "b", "copies", F.coalesce("class", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     known = store.put("known", known)
     store.drop("sets", "edges", "all-edges", "grouped", "held", "judged", "classes")
-    store.sweep()
     return rows.select("doc_id", "a", "b").join(known, ["a", "b"], "left").select("doc_id", F.coalesce("class_id", F.when(F.col("a").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("bigint").alias("n_links"))
 
 

@@ -5,40 +5,53 @@ in the same one). Strings never cross documents and are judged on the input.
 
 No task sees the corpus, so the starts are dealt out first. Each string of LENGTH bytes has an anchor, its ANCHOR-byte
 piece of least hash: equal strings have equal anchors at equal places, so all starts of a string meet under its anchor's
-hash. Consecutive starts with one anchor form a fragment. Of equal fragments all but the first are repeats, as each of their
-strings starts earlier in the first. The first fragments of an anchor that has several are concatenated, with their texts,
-and their Burrows-Wheeler transform is formed: breadth-first backward extension of intervals derives the lengths of the
-common prefixes of neighbouring suffixes, by increasing length, and stops at LENGTH. What is then still undivided are the
-groups of equal strings; all but the first start of each are repeats.
-
-Equal fragments of one batch are merged before the shuffle, so what all documents share comes to a row for each batch.
+hash. Consecutive starts with one anchor form a fragment. Equal fragments, told by a 128-bit digest of their bytes, are
+copies: all but the first are repeats, as each of their strings starts earlier in the first. The first fragments of an
+anchor that has several are concatenated, with their texts, and their Burrows-Wheeler transform is formed (of suffixes
+sorted to 128 bytes, as no prefix beyond LENGTH matters): breadth-first backward extension of intervals derives the lengths
+of the common prefixes of neighbouring suffixes, by increasing length, and stops at LENGTH. What is then still undivided
+are the groups of equal strings; all but the first start of each are repeats.
+
+A transform takes up to CHUNK bytes. An anchor with more fragments than fit is lengthened: a string whose anchor stands in
+its first half has more common bytes after the anchor, one whose anchor stands in its second half has more before it. So
+each fragment is cut into two, by the anchor's place, and the longer pieces that all strings of such a half have in common
+are the new anchors; copies are merged again, and halves that are still crowded are cut again, until a half is one place.
+
+Skew: copies in a batch are merged before the shuffle. A first pass counts anchors and fragments in a sketch of fixed size;
+what is far above the mean there is heavy. Copies of heavy fragments are merged over a whole task, and fragments of
+heavy anchors are dealt out by their own hash and lengthened at once, so a passage that all documents share is a row of each
+task, and its edges are nobody's hot key. The sketch decides where rows go, never what is found.
 
 Edge cases: null and empty texts, and texts below LENGTH bytes, lose nothing; texts of any length are read whole; rows
-without an id lose nothing and are nobody's earlier document; equal rows with one id are one document, and different texts
-under one id are not provided for (each is cut by the spans of both); an empty table gives an empty result.
+without an id lose nothing and are nobody's earlier document; equal rows with one id are one document; different texts
+under one id are documents of their own, in the order of their tags (TAG_BITS bits of the text's CRC-32); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FACTOR, INVERSE, Workspace, arrow_map, byte_view, documents, mixed, powers, prefix_hash, span_hash
-from .setjoin import groups_of
+from .common import FACTOR, FACTOR_2, INVERSE, Workspace, arrow_map, byte_view, documents, mixed, powers, prefix_hash, row_pieces, span_hash
+from .setjoin import bounds
 
 #: Bytes of a repeat; bytes of an anchor.
 LENGTH, ANCHOR = 100, 32
-#: Bytes of fragments that are transformed together; more only if one anchor has more.
-CHUNK = 2 << 20
-#: An anchor with more different fragments is divided by the strings themselves, into parts of about so many.
-MANY = 20_000
-#: Up to so many spans are broadcast to their documents; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of text hashed at once; bytes that are transformed at once; most fragments of an anchor that isn't crowded, so that they fit.
+PIECE, CHUNK, MANY = 1 << 19, 1 << 19, 3000
+#: Bins of the sketch, as a power of two. A bin is heavy above so many times the mean, and above this share of a partition's rows.
+SKETCH_BITS, ABOVE_MEAN, OF_PARTITION = 18, 2, 0.1
+#: Keys that are broadcast as heavy, at most; parts in which copies are merged before they meet.
+MOST_HEAVY, SALTS = 10_000, 64
+#: Bits of a text's tag; it shares a number with a start (31 bits), an anchor's place and a count of starts (7 bits each).
+TAG_BITS = 18
 #: Bytes that UTF-8 never has: after each fragment, and at the very end.
 PART, STOP = 0xFF, 0xFE
 
@@ -55,15 +68,15 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def fragments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, fragment hash, row, first and last start of all fragments of the rows; starts count from the batch's first byte."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    """Anchor hash, two fragment hashes, row, first and last start and place of the anchor after the first start, of all fragments of the rows."""
+    none = (*(np.zeros(0, np.uint64) for _ in range(3)), *(np.zeros(0, np.int64) for _ in range(4)))
     if len(data) < LENGTH:
         return none
     prefix = prefix_hash(data)
     n = len(data) - ANCHOR + 1
-    pieces = mixed((prefix[ANCHOR:] - prefix[:-ANCHOR]) * powers(INVERSE, len(prefix))[:n])
-    bits = np.uint64(max(20, int(n).bit_length()))
+    pieces = mixed((prefix[ANCHOR:] - prefix[:-ANCHOR]) * powers(INVERSE[FACTOR], len(prefix))[:n])
     # The place in the low bits: of equal hashes the leftmost is least.
+    bits = np.uint64((2 * PIECE).bit_length())
     least = sliding_least(pieces >> bits << bits | np.arange(n, dtype=np.uint64), LENGTH - ANCHOR + 1)
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     sizes = np.diff(at)
@@ -76,83 +89,207 @@ def fragments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)
     begin = np.flatnonzero(new)
     first, last, a = start[begin], start[np.append(begin[1:], len(start)) - 1], a[begin]
-    return pieces[a], mixed(span_hash(prefix, first, last + LENGTH) ^ (a - first).astype(np.uint64) * FACTOR), row[first], first, last
+    second = span_hash(prefix_hash(data, FACTOR_2), first, last + LENGTH, FACTOR_2)
+    return pieces[a], span_hash(prefix, first, last + LENGTH), second, row[first], first - at[row[first]], last - at[row[first]], a - first
+
+
+def all_fragments(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """fragments() of a batch by pieces. A row longer than a piece is cut between two starts, which may part a fragment but loses no string."""
+    found = []
+    for a, b in row_pieces(at, PIECE):
+        begin, end = int(at[a]), int(at[b])
+        if end - begin <= PIECE + LENGTH:
+            got = fragments(data[begin:end], at[a : b + 1] - begin)
+            found.append((*got[:3], got[3] + a, *got[4:]))
+            continue
+        for o in range(0, end - begin - LENGTH + 1, PIECE):
+            piece = data[begin + o : min(begin + o + PIECE + LENGTH - 1, end)]
+            got = fragments(piece, np.array([0, len(piece)]))
+            found.append((*got[:3], got[3] + a, got[4] + o, got[5] + o, got[6]))
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [*fragments(data[:0], at[:1])]
+
+
+def first_fragments(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of a batch: anchor, fragment (two hashes), doc_id and packed place of its first fragments; doc_id, tag, first and last of runs of repeats.
+
+    Of copies in the batch the first stays; all starts of the others are repeats.
+    """
+    data, at = byte_view(batch["text"])
+    anchor, f, g, row, first, last, place = all_fragments(data, at)
+    doc, tag = batch["doc_id"].to_numpy()[row], batch["tag"].to_numpy()[row].astype(np.int64)
+    order = np.lexsort((first, tag, doc, g, f))
+    anchor, f, g, doc, tag, first, last, place = (x[order] for x in (anchor, f, g, doc, tag, first, last, place))
+    new = np.ones(len(f), bool)
+    new[1:] = (f[1:] != f[:-1]) | (g[1:] != g[:-1])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = ~new & ~((doc == doc[head]) & (tag == tag[head]) & (first == first[head]))  # the rest are equal rows
+    packed = tag << 45 | first << 14 | place << 7 | (last - first)
+    return [x[new] for x in (anchor, f, g, doc, packed)], joined_runs(doc[again], tag[again], first[again], last[again])
+
+
+def joined_runs(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Starts that follow each other in a document joined to runs."""
+    order = np.lexsort((last, first, tag, doc))
+    doc, tag, first, last = doc[order], tag[order], first[order], last[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (first[1:] > last[:-1] + 1)
+    begin = np.flatnonzero(new)
+    return [doc[begin], tag[begin], first[begin], np.maximum.reduceat(last, begin) if len(begin) else last]
+
 
+def bins(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
-def find(docs: DataFrame) -> DataFrame:
-    """Fragments (anchor, fragment, doc_id, first, last, sure). sure: an equal fragment stands earlier in the same batch."""
+
+def heavy_bins(docs: DataFrame) -> np.ndarray:
+    """Which bins of anchors (row 0) and of fragments (row 1) hold far more first fragments of batches than the mean.
+
+    A task sends only the bins that stand above its own mean, so what it sends doesn't grow with its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << SKETCH_BITS), np.int64)
         for batch in batches:
-            data, at = byte_view(batch["text"])
-            anchor, fragment, row, first, last = fragments(data, at)
-            ids = batch["doc_id"].to_numpy()
-            doc, first, last = ids[row], first - at[row], last - at[row]
-            order = np.lexsort((first, doc, fragment, anchor))
-            anchor, fragment, doc, first, last = (x[order] for x in (anchor, fragment, doc, first, last))
-            sure = np.zeros(len(doc), bool)
-            same = (anchor[1:] == anchor[:-1]) & (fragment[1:] == fragment[:-1])
-            again = same & (doc[1:] == doc[:-1]) & (first[1:] == first[:-1])  # an equal row
-            sure[1:] = same
-            keep = np.ones(len(doc), bool)
-            keep[1:] = ~again
-            # A sure repeat needs no other fragment; its key only spreads it.
-            anchor = np.where(sure, mixed(doc.astype(np.uint64) * FACTOR + first.astype(np.uint64)), anchor)
-            columns = [anchor.view(np.int64), fragment.view(np.int64), doc, first.astype(np.int32), last.astype(np.int32), sure]
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["anchor", "fragment", "doc_id", "first", "last", "sure"])
-
-    return arrow_map(docs, run, "anchor bigint, fragment bigint, doc_id bigint, first int, last int, sure boolean")
+            (anchor, f, *_), _ = first_fragments(batch)
+            counts[0] += np.bincount(bins(anchor), minlength=1 << SKETCH_BITS)
+            counts[1] += np.bincount(bins(f), minlength=1 << SKETCH_BITS)
+        total = counts[0].sum()
+        flat = counts.ravel()
+        above = np.flatnonzero(flat > max(1, ABOVE_MEAN * total / (1 << SKETCH_BITS)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(above, -1)), pa.array(np.append(flat[above], total))], ["bin", "n"])
+
+    found = arrow_map(docs, run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # a row for each bin at most
+    bin_, n = found["bin"].to_numpy(), found["n"].to_numpy()
+    total = n[bin_ < 0].sum()
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(ABOVE_MEAN * total / (1 << SKETCH_BITS), OF_PARTITION * total / partitions, 1)
+    out = np.zeros(2 << SKETCH_BITS, bool)
+    out[bin_[(bin_ >= 0) & (n > least)]] = True
+    return out.reshape(2, -1)
+
+
+#: Kinds of rows that find() sends: fragments of common anchors, fragments of heavy ones, runs of repeats.
+COMMON, HEAVY, REPEAT = 0, 1, 2
+
+
+def find(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """Fragments and runs of repeats: kind, place (where rows meet), anchor, fragment (f, g), doc_id, at (packed). A run's last start is in anchor."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(heavy))
+    schema = "kind tinyint, place bigint, anchor bigint, f bigint, g bigint, doc_id bigint, at bigint"
+
+    def rows(kind: np.ndarray, anchor: np.ndarray, f: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        place = np.where(kind == COMMON, anchor, mixed(anchor ^ f))
+        columns = [pa.array(kind, pa.int8()), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (place, anchor, f, g, doc, at))]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "place", "anchor", "f", "g", "doc_id", "at"])
+
+    def repeat_rows(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+        return rows(np.full(len(doc), REPEAT), last.astype(np.uint64), mixed(doc.astype(np.uint64)), np.zeros(len(doc), np.uint64), doc, tag << 45 | first << 14)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).astype(bool).reshape(2, -1)
+        waiting: dict[tuple[int, int], tuple[int, int, int]] = {}  # of each heavy fragment, the first of the task so far
+        for batch in batches:
+            (anchor, f, g, doc, at), repeats = first_fragments(batch)
+            common = known[1][bins(f)]
+            more = []
+            for a, x, y, d, p in zip(*(v[common].tolist() for v in (anchor, f, g, doc, at)), strict=True):
+                other = waiting.get((x, y))
+                if other is None or (d, p >> 14) < (other[0], other[1] >> 14):
+                    waiting[x, y] = d, p, a
+                    if other is None:
+                        continue
+                    d, p = other[:2]
+                elif (d, p >> 14) == (other[0], other[1] >> 14):  # an equal row
+                    continue
+                more.append((d, p >> 45, p >> 14 & 0x7FFFFFFF, (p >> 14 & 0x7FFFFFFF) + (p & 127)))
+            if more:
+                extra = np.array(more, np.int64).T
+                repeats = joined_runs(*(np.concatenate([a, b]) for a, b in zip(repeats, extra, strict=True)))
+            anchor, f, g, doc, at = (v[~common] for v in (anchor, f, g, doc, at))
+            yield rows(np.where(known[0][bins(anchor)], HEAVY, COMMON), anchor, f, g, doc, at)
+            yield repeat_rows(*repeats)
+        if waiting:
+            anchor = np.array([v[2] for v in waiting.values()], np.uint64)
+            f, g = np.array([*waiting], np.uint64).T
+            doc, at = (np.array([v[k] for v in waiting.values()], np.int64) for k in range(2))
+            yield rows(np.where(known[0][bins(anchor)], HEAVY, COMMON), anchor, f, g, doc, at)
+
+    return arrow_map(docs, run, schema)
 
 
 def meet(found: DataFrame) -> DataFrame:
-    """Of the fragments: repeats (part null), and first fragments of anchors that have several (part: in how many to divide the anchor)."""
+    """Of the fragments: repeats (anchor null), and first fragments of anchors that have several or are heavy (crowded).
+
+    Rows come in the order of anchor and fragment and are passed one batch at a time; of the last fragment its first row is kept in mind.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, "anchor"):
-            anchor, fragment, doc, first, last, sure = (table[c].to_numpy() for c in ("anchor", "fragment", "doc_id", "first", "last", "sure"))
-            order = np.lexsort((first, doc, fragment, sure, anchor))
-            anchor, fragment, doc, first, last, sure = (x[order] for x in (anchor, fragment, doc, first, last, sure))
-            equal = lambda x: x[1:] == x[:-1]
-            one = np.ones(len(anchor), bool)
-            new_anchor, new, other = one.copy(), one.copy(), one.copy()
-            new_anchor[1:] = ~(equal(anchor) & equal(sure))
-            new[1:] = new_anchor[1:] | ~equal(fragment)
-            other[1:] = new[1:] | ~(equal(doc) & equal(first))  # False: an equal row
-            group = np.cumsum(new_anchor) - 1
-            several = np.bincount(group, weights=new)[group]
-            repeat = sure | (~new & other)
-            ask = ~sure & new & (several > 1)
-            keep = np.flatnonzero(repeat | ask)
-            part = pa.array(np.ceil(several[keep] / MANY).astype(np.int32), mask=repeat[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(doc[keep]), pa.array(first[keep]), pa.array(last[keep]), part], ["anchor", "doc_id", "first", "last", "part"])
-
-    return arrow_map(found.repartition("anchor").sortWithinPartitions("anchor"), run, "anchor bigint, doc_id bigint, first int, last int, part int")
+        head, told, several = None, True, False  # the last fragment's first row; whether it was sent on; whether its anchor has another
+        for batch in batches:
+            kind, place, anchor, f, g, doc, at = (batch[c].to_numpy() for c in ("kind", "place", "anchor", "f", "g", "doc_id", "at"))
+            done = kind == REPEAT
+            runs_ = [doc[done], at[done], anchor[done]]
+            kind, place, anchor, f, g, doc, at = (x[~done] for x in (kind, place, anchor, f, g, doc, at))
+            out = [runs_]
+            asked: list = []
+            if len(kind):
+                if head is not None:
+                    kind, place, anchor, f, g, doc, at = (np.concatenate([[h], x]) for h, x in zip(head, (kind, place, anchor, f, g, doc, at), strict=True))
+                new_anchor, new = np.ones(len(kind), bool), np.ones(len(kind), bool)
+                new_anchor[1:] = (place[1:] != place[:-1]) | (anchor[1:] != anchor[:-1])
+                new[1:] = new_anchor[1:] | (f[1:] != f[:-1]) | (g[1:] != g[:-1])
+                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                start = at >> 14
+                again = ~new & ~((doc == doc[lead]) & (start == start[lead]))
+                group = np.cumsum(new_anchor) - 1
+                many = np.bincount(group, weights=new) > 1
+                if head is not None:
+                    many[0] |= several
+                many |= kind[new_anchor] == HEAVY
+                send = new & many[group]
+                if head is not None and told:
+                    send[0] = False
+                out.append([doc[again], start[again] << 14, (start[again] & 0x7FFFFFFF) + (at[again] & 127)])
+                asked = [x[send] for x in (doc, at, anchor, kind)]
+                before = head is not None and told
+                last = int(lead[-1])
+                several = bool(many[-1])
+                told = several or (last == 0 and before)
+                head = tuple(x[last] for x in (kind, place, anchor, f, g, doc, at))
+            doc_, at_, last_ = (np.concatenate([o[k] for o in out]) for k in range(3))
+            none = pa.nulls(len(doc_), pa.int64())
+            if len(doc_):
+                yield pa.RecordBatch.from_arrays([pa.array(doc_), pa.array((at_ >> 45).astype(np.int32)), pa.array((at_ >> 14 & 0x7FFFFFFF).astype(np.int32)), pa.array(last_.astype(np.int32)), none, pa.nulls(len(doc_), pa.int32()), pa.nulls(len(doc_), pa.bool_())], names)
+            if len(asked) and len(asked[0]):
+                doc_, at_, anchor_, kind_ = asked
+                first = at_ >> 14 & 0x7FFFFFFF
+                yield pa.RecordBatch.from_arrays([pa.array(doc_), pa.array((at_ >> 45).astype(np.int32)), pa.array(first.astype(np.int32)), pa.array((first + (at_ & 127)).astype(np.int32)), pa.array(anchor_), pa.array((at_ >> 7 & 127).astype(np.int32)), pa.array(kind_ == HEAVY)], names)
+
+    names = ["doc_id", "tag", "first", "last", "anchor", "place", "crowded"]
+    return arrow_map(found.repartition("place").sortWithinPartitions("place", "anchor", "f", "g", "doc_id", "at"), run, "doc_id bigint, tag int, first int, last int, anchor bigint, place int, crowded boolean")
 
 
 def fetch(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """anchor, doc_id, first, last and bytes of the fragments asked for. A crowded anchor's are cut to single strings."""
+    """key (the anchor), place, crowded, doc_id, tag, first, last and bytes of the fragments asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text, asks in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["asks"].to_pylist(), strict=True):
-                for ask in asks:
-                    anchor, first, last, part = ask["anchor"], ask["first"], ask["last"], ask["part"]
-                    if part == 1:
-                        got = [(anchor, first, last, text[first : last + LENGTH])]
-                    else:
-                        got = []
-                        for p in range(first, last + 1):
-                            string = text[p : p + LENGTH]
-                            which = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big") % part
-                            got.append((int.from_bytes(hashlib.blake2b(b"%d %d" % (anchor, which), digest_size=8).digest(), "big", signed=True), p, p, string))
-                    for a, f, e, s in got:
-                        for column, value in zip(out, (a, doc, f, e, s), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["anchor", "doc_id", "first", "last", "bytes"])
-
-    lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last", "part")).alias("asks"))
-    return arrow_map(docs.join(lists, "doc_id").select("doc_id", "text", "asks"), run, "anchor bigint, doc_id bigint, first int, last int, bytes binary")
+            asks = batch["asks"]
+            sizes = np.diff(asks.offsets.to_numpy())
+            flat = asks.flatten()
+            first, last = flat.field("first").to_numpy(), flat.field("last").to_numpy()
+            row = np.repeat(np.arange(len(batch)), sizes)
+            data, at = byte_view(batch["text"])
+            raw = data.tobytes()
+            begin = at[row] + first
+            strings = [raw[a:b] for a, b in zip(begin.tolist(), (begin + last - first + LENGTH).tolist(), strict=True)]
+            of = pa.array(row)
+            columns = [flat.field("anchor"), flat.field("place"), flat.field("crowded"), batch["doc_id"].take(of), batch["tag"].take(of), flat.field("first"), flat.field("last"), pa.array(strings, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "crowded", "doc_id", "tag", "first", "last", "bytes"])
+
+    lists = asked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "place", "crowded", "first", "last")).alias("asks"))
+    joined = docs.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "asks")
+    return arrow_map(joined, run, "key bigint, place int, crowded boolean, doc_id bigint, tag int, first int, last int, bytes binary")
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -219,102 +356,203 @@ def undivided(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, ~divided[:n]
 
 
-def repeats_in(strings: list[bytes], doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fragment and start of each string of LENGTH bytes that starts earlier in another place of these fragments."""
+def repeats_in(strings: list[bytes], doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Runs (doc_id, tag, first, last) of the strings of LENGTH bytes that start earlier in another place of these fragments."""
     sizes = np.array([*map(len, strings)]) + 1
     begin = np.cumsum(sizes) - sizes
     text = np.frombuffer(bytes([PART]).join([*strings, bytes([STOP])]), np.uint8)
     order, joined = undivided(text)
-    group = np.cumsum(~joined) - 1
-    fragment = np.repeat(np.arange(len(strings)), sizes)
-    fragment = np.append(fragment, 0)
+    number = np.cumsum(~joined) - 1
+    fragment = np.append(np.repeat(np.arange(len(strings)), sizes), 0)
     start = np.arange(len(text)) - begin[fragment] + first[fragment]
     valid = start <= last[fragment]
     valid[-1] = False
-    places = order[valid[order] & np.isin(group, group[joined])]
-    group = np.empty(len(text), np.int64)
-    group[order] = np.cumsum(~joined) - 1
-    g, d, s = group[places], doc[fragment[places]], start[places]
-    by = np.lexsort((s, d, g))
-    g, d, s, places = g[by], d[by], s[by], places[by]
-    again = np.zeros(len(g), bool)
-    again[1:] = (g[1:] == g[:-1]) & ~((d[1:] == d[:-1]) & (s[1:] == s[:-1]))
-    return fragment[places[again]], s[again]
+    shared = joined.copy()
+    shared[:-1] |= joined[1:]
+    use = shared & valid[order]
+    places, g = order[use], number[use]
+    of = fragment[places]
+    d, t, s = doc[of], tag[of], start[places]
+    by = np.lexsort((s, t, d, g))
+    g, d, t, s = g[by], d[by], t[by], s[by]
+    new = np.ones(len(g), bool)
+    new[1:] = g[1:] != g[:-1]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = ~((d == d[head]) & (t == t[head]) & (s == s[head]))
+    return joined_runs(d[again], t[again], s[again], s[again])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of whole groups, from batches ordered by key, and (True) tables of rows of groups with more than ``most`` rows."""
+    held: list[pa.RecordBatch] = []
+    last, over = None, False
+    for batch in batches:
+        if not len(batch):
+            continue
+        at = bounds(batch["key"].to_numpy())
+        begin = 0
+        if last == batch["key"][0].as_py():
+            begin = int(at[1])
+            held.append(batch.slice(0, begin))
+            if over or sum(map(len, held)) > most:
+                yield pa.Table.from_batches(held), True
+                held, over = [], True
+        if begin == len(batch):
+            continue
+        if held:
+            yield pa.Table.from_batches(held), False
+        end = int(at[-2])
+        if end > begin:
+            middle = batch.slice(begin, end - begin)
+            sizes = np.diff(at[(at >= begin) & (at <= end)])
+            crowded = pa.array(np.repeat(sizes > most, sizes))
+            for mask, large in ((pc.invert(crowded), False), (crowded, True)):
+                part = middle.filter(mask)
+                if len(part):
+                    yield pa.Table.from_batches([part]), large
+        held, last, over = [batch.slice(end)], batch["key"][-1].as_py(), False
+        if len(held[0]) > most:
+            yield pa.Table.from_batches(held), True
+            held, over = [], True
+    if held:
+        yield pa.Table.from_batches(held), False
 
 
 def compare(fetched: DataFrame) -> DataFrame:
-    """doc_id, first and last of runs of repeated starts among the fragments of each anchor."""
+    """Runs of repeated starts (bytes null) among the fragments of each key, and the fragments of crowded keys as they came."""
+    names = ["place", "doc_id", "tag", "first", "last", "bytes"]
+
+    def transformed(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(tables)
+        found = repeats_in(table["bytes"].to_pylist(), *(table[c].to_numpy() for c in ("doc_id", "tag", "first", "last")))
+        n = len(found[0])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(found[0]), *(pa.array(x.astype(np.int32)) for x in found[1:]), pa.nulls(n, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, "anchor"):
-            anchor, doc, first, last = (table[c].to_numpy() for c in ("anchor", "doc_id", "first", "last"))
-            strings = table["bytes"].to_pylist()
-            total = np.cumsum([len(s) + 1 for s in strings])
-            heads = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-            at = 0
-            while at < len(anchor):
-                # Whole anchors, up to CHUNK bytes or one anchor.
-                room = np.searchsorted(total, CHUNK + (total[at - 1] if at else 0))
-                later = heads[heads > at]
-                end = int(later[later <= room][-1]) if (later <= room).any() else int(later[0]) if len(later) and room < len(anchor) else len(anchor)
-                if room >= len(anchor):
-                    end = len(anchor)
-                fragment, start = repeats_in(strings[at:end], doc[at:end], first[at:end], last[at:end])
-                by = np.lexsort((start, fragment))
-                fragment, start = fragment[by], start[by]
-                new = np.ones(len(start), bool)
-                new[1:] = (fragment[1:] != fragment[:-1]) | (start[1:] != start[:-1] + 1)
-                begin = np.flatnonzero(new)
-                stop = np.append(begin[1:], len(start)) - 1
-                if len(begin):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[at:end][fragment[begin]]), pa.array(start[begin].astype(np.int32)), pa.array(start[stop].astype(np.int32))], ["doc_id", "first", "last"])
-                at = end
-
-    return arrow_map(fetched.repartition("anchor").sortWithinPartitions("anchor"), run, "doc_id bigint, first int, last int")
+        ready, size = [], 0
+        for table, crowded in whole_groups(batches, MANY):
+            if crowded:
+                yield from table.select(names).combine_chunks().to_batches()
+                continue
+            at = bounds(table["key"].to_numpy())
+            sizes = np.diff(at)
+            table = table.filter(pa.array(np.repeat(sizes > 1, sizes)))  # one fragment has nobody to be compared with
+            if not len(table):
+                continue
+            ready.append(table)
+            size += table["bytes"].nbytes
+            if size >= CHUNK:
+                yield from transformed(ready)
+                ready, size = [], 0
+        if ready:
+            yield from transformed(ready)
+
+    return arrow_map(fetched.select("key", *names).repartition("key").sortWithinPartitions("key"), run, "place int, doc_id bigint, tag int, first int, last int, bytes binary")
+
+
+def lengthened(rows: DataFrame) -> DataFrame:
+    """Fragments of crowded anchors, each cut into two by the anchor's place in its strings (low to high), with the new anchors' hashes as keys.
+
+    All strings whose anchor stands between places a and b have the bytes from a before the anchor to LENGTH - b after its start in common.
+    """
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b"))))
+    least, most = F.greatest("half.a", F.col("place") - (F.col("last") - F.col("first"))), F.least("half.b", "place")
+    cut = rows.filter("low < high").withColumn("half", half).withColumn("least", least).withColumn("most", most).filter("least <= most")
+    cut = cut.select(
+        F.col("half.a").alias("low"),
+        F.col("half.b").alias("high"),
+        F.col("most").alias("place"),
+        "doc_id",
+        "tag",
+        (F.col("first") + F.col("place") - F.col("most")).alias("first"),
+        (F.col("first") + F.col("place") - F.col("least")).alias("last"),
+        F.substring(F.col("bytes"), F.col("place") - F.col("most") + 1, F.col("most") - F.col("least") + LENGTH).alias("bytes"),
+    )
+    core = F.substring(F.col("bytes"), F.col("place") - F.col("low") + 1, LENGTH - F.col("high") + F.col("low"))
+    return cut.select(F.xxhash64("low", core).alias("key"), "*")
+
+
+def first_of_copies(rows: DataFrame) -> DataFrame:
+    """rows with ``again``: whether equal bytes start earlier. Copies are merged in parts first, so no task takes all copies of a fragment."""
+    order = ["doc_id", "tag", "first"]
+    rows = rows.withColumn("digest", F.md5("bytes")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    rows = rows.withColumn("of_part", F.rank().over(W.partitionBy("digest", "part").orderBy(*order)))
+    alone = F.when(F.col("of_part") > 1, F.xxhash64(*order))
+    rows = rows.withColumn("alone", alone).withColumn("of_all", F.rank().over(W.partitionBy("digest", "alone").orderBy(*order)))
+    return rows.withColumn("again", (F.col("of_part") > 1) | (F.col("of_all") > 1)).drop("digest", "part", "of_part", "alone", "of_all")
+
+
+def all_repeats(store: Workspace, fetched: DataFrame) -> DataFrame:
+    """Runs of repeats among the fetched fragments; crowded anchors are lengthened step by step."""
+    run = ("doc_id", "tag", "first", "last")
+    ends = lambda df, low, high: df.withColumn("low", F.lit(low)).withColumn("high", F.lit(high))
+    done = store.put("compared-0", compare(fetched.filter("not crowded")))
+    found = done.filter("bytes is null").select(*run)
+    crowd = ends(done.filter("bytes is not null").unionByName(fetched.filter("crowded").drop("key", "crowded")), 0, LENGTH - ANCHOR)
+    for step in range(1, 9):
+        if crowd.isEmpty():
+            return found
+        halves = store.put(f"halves-{step}", first_of_copies(lengthened(crowd)))
+        found = found.unionByName(halves.filter("again").select(*run))
+        rest = halves.filter("not again and low < high")
+        if rest.isEmpty():
+            return found
+        keys = rest.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MANY)
+        keys = store.put(f"keys-{step}", keys.orderBy(F.desc("n"), "key").limit(MOST_HEAVY).select("key"))
+        heavy = rest.join(F.broadcast(keys), "key", "left_semi")
+        # All rows of a step have halves of one width, and a key is of one half.
+        common = rest.join(F.broadcast(keys), "key", "left_anti").withColumn("place", F.col("place") * 256 + F.col("low")).withColumn("place", F.col("place") * 256 + F.col("high"))
+        done = store.put(f"compared-{step}", compare(common))
+        found = found.unionByName(done.filter("bytes is null").select(*run))
+        passed = done.filter("bytes is not null").select(F.floor(F.col("place") / 65536).cast("int").alias("place"), *run, "bytes", (F.floor(F.col("place") / 256) % 256).cast("int").alias("low"), (F.col("place") % 256).cast("int").alias("high"))
+        crowd = passed.unionByName(heavy.select("place", *run, "bytes", "low", "high"))
+    return found
 
 
 def runs_of(repeats: DataFrame) -> DataFrame:
-    """doc_id and its runs of removed bytes (start, end), from starts of repeated strings."""
-    w = "partition by doc_id order by first, last"
-    reach = repeats.selectExpr("doc_id", "first", f"last + {LENGTH} as end", f"max(last + {LENGTH}) over ({w} rows between unbounded preceding and 1 preceding) as reached")
-    marked = reach.selectExpr("doc_id", "first", "end", "sum(if(reached >= first, 0, 1)) over (partition by doc_id order by first, end rows between unbounded preceding and current row) as run")
-    merged = marked.groupBy("doc_id", "run").agg(F.min("first").alias("start"), F.max("end").alias("end"))
-    return merged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    """doc_id, tag and runs of removed bytes (start, end), from starts of repeated strings."""
+    w = "partition by doc_id, tag order by first, last"
+    reach = repeats.selectExpr("doc_id", "tag", "first", f"last + {LENGTH} as end", f"max(last + {LENGTH}) over ({w} rows between unbounded preceding and 1 preceding) as reached")
+    marked = reach.selectExpr("doc_id", "tag", "first", "end", "sum(if(reached >= first, 0, 1)) over (partition by doc_id, tag order by first, end rows between unbounded preceding and current row) as run")
+    merged = marked.groupBy("doc_id", "tag", "run").agg(F.min("first").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def cut(docs: DataFrame, runs: DataFrame, small: bool) -> DataFrame:
-    """doc_id, text and runs of all rows, and the bytes that remain."""
+def remove(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, raw bytes and runs of all rows, and the bytes that remain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for raw, spans in zip(batch["raw"].to_pylist(), batch["runs"].to_pylist(), strict=True):
-                raw, at, parts = raw or b"", 0, []
+                at, parts = 0, []
                 for s in spans or ():
                     parts.append(raw[at : s["start"]])
                     at = s["end"]
                 kept.append(b"".join([*parts, raw[at:]]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["raw"], batch["runs"], pa.array(kept, pa.binary())], ["doc_id", "raw", "runs", "kept"])
 
-    joined = docs.join(F.broadcast(runs) if small else runs, "doc_id", "left").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), "runs")
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    # Rows without an id find no runs, and are spread by their text.
+    rows = docs.select("doc_id", raw.alias("raw"), F.coalesce("doc_id", F.xxhash64("text")).alias("id"), F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("tag")).alias("its_tag"))
+    joined = rows.join(runs.toDF("of", "tag", "runs"), (F.col("id") == F.col("of")) & (F.col("its_tag") == F.col("tag")), "left").select("doc_id", "raw", "runs")
     return arrow_map(joined, run, "doc_id bigint, raw binary, runs array<struct<start: int, end: int>>, kept binary")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, raw bytes, removed runs and kept bytes of each row."""
     store = Workspace(spark, "substrings")
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    known = docs.filter("doc_id is not null and text is not null")
-    met = store.put("met", meet(find(known)))
-    asked = met.filter("part is not null")
-    near = known
-    ids = asked.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        near = known.join(F.broadcast(ids), "doc_id", "left_semi")
-    further = store.put("further", compare(fetch(near, asked)))
-    runs = store.put("runs", runs_of(met.filter("part is null").select("doc_id", "first", "last").unionByName(further)))
-    small = (runs.agg(F.sum(F.size("runs"))).first()[0] or 0) <= BROADCAST_ROWS
-    return cut(docs, runs, small)
+    tag = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).bitwiseAND((1 << TAG_BITS) - 1).cast("int")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text", tag.alias("tag"))
+    known = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    met = store.put("met", meet(find(known, heavy_bins(known))))
+    fetched = store.put("fetched", fetch(known, met.filter("anchor is not null")))
+    further = all_repeats(store, fetched)
+    runs = store.put("runs", runs_of(met.filter("anchor is null").select("doc_id", "tag", "first", "last").unionByName(further)))
+    store.drop("met", "fetched", *(f"{name}-{k}" for name in ("compared", "halves", "keys") for k in range(9)))
+    return remove(docs, runs)
 
 
 def op8_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
