@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FACTOR, Workspace, arrow_map, byte_view, documents, mixed, prefix_hash, row_pieces, span_hash, windows, word_spans
+from .common import FACTOR, Workspace, arrow_map, byte_view, documents, id_filter, look_up, marked, mixed, prefix_hash, row_pieces, span_hash, windows, word_spans
 
 #: Words of a shingle; least similarity; probability to meet a pair at that similarity.
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -44,8 +44,8 @@ SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 #: Sets of a block in which the sets of a large node are compared by their tokens.
 NODE_SETS = 2048
-#: Up to so many ids are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Sets whose sizes differ by a larger factor are never linked; a little over 1 / THRESHOLD, so neighbours among its powers suffice.
+SIZE_STEP = 1.0001 / THRESHOLD
 
 _RANDOM = np.random.default_rng(5)
 _MULTIPLY = (_RANDOM.integers(0, 1 << 31, TOKENS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -238,14 +238,15 @@ def components(store: Workspace, edges: DataFrame, name: str) -> DataFrame:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         step += 1
         both = current.union(current.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+        least = store.put(f"{name}-least-{step}", both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
         # Large star: to the least neighbour go all greater ones.
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = look_up(both.filter("v > u"), "u", least, 2 * current.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = store.put(f"{name}-large-{step}", large)
+        low = store.put(f"{name}-low-{step}", large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         # Small star: to the least go the node and its lesser neighbours.
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = look_up(large, "u", low, large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         current = store.put(f"{name}-{step}", small)
-        store.drop(f"{name}-{step - 1}")
+        store.drop(f"{name}-{step - 1}", *(f"{name}-{x}-{step}" for x in ("least", "large", "low")))
 
 
 def exact(members: DataFrame) -> DataFrame:
@@ -325,9 +326,8 @@ def candidates(store: Workspace, rows: DataFrame, sets: DataFrame) -> DataFrame:
     for p in parts[1:]:
         members = members.unionByName(p)
     members = store.put("members", members)
-    meeting = store.put("meeting", members.select("rep").distinct())
-    if meeting.count() <= BROADCAST_IDS:
-        tokens = tokens.join(F.broadcast(meeting), "rep", "left_semi")
+    # Most sets meet nobody: a filter of fixed size keeps their tokens from being moved.
+    tokens = marked(tokens, "rep", store.put("meeting", id_filter(F.col("rep"), members)), "meets").filter("meets").drop("meets")
     edges = store.put("edges", likely(members.join(tokens, "rep")))
     if large is not None:
         edges = store.put("all-edges", edges.union(still_apart(store, large, edges, tokens)).distinct())
@@ -369,17 +369,28 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     edges = candidates(store, rows, named)
     grouped = components(store, edges, "groups")
     grouped = store.put("grouped", grouped.union(grouped.select("root", "root").distinct()).toDF("rep", "root"))
-    held = grouped.join(named.groupBy("rep").agg(F.sum("copies").alias("copies"), F.max("size").alias("size")), "rep")
-    load = held.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
-    held = store.put("held", held.join(load, "root").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
-    texts = docs.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, F.col("doc_id") == F.col("rep"))
+    held = store.put("sized", grouped.join(named.groupBy("rep").agg(F.sum("copies").alias("copies"), F.max("size").alias("size")), "rep"))
+    # Groups above a block are cut by size, as only sets of neighbouring sizes can be linked, and then by hash.
+    full = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    step = F.floor(F.log("size") / math.log(SIZE_STEP)).cast("int")
+    load = held.groupBy("root", step.alias("step")).agg(full.alias("parts"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    several = (F.sum("n") > BLOCK_SETS) | (F.sum("size") > BLOCK_SHINGLES)
+    load = store.put("load", load.groupBy("root").agg(F.when(several, F.map_from_entries(F.collect_list(F.struct("step", "parts")))).alias("parts"), F.sum("n").alias("n")))
+    held = look_up(held, "root", load, held.count()).withColumn("step", step)
+    at = lambda step, part: f"{step} * {1 << 40}L + {part}"
+    held = held.withColumn("mine", F.expr(f"if(parts is null, 0L, {at('step', 'pmod(xxhash64(rep), parts[step])')})"))
+    steps = "filter(array(step - 1, step, step + 1), s -> map_contains_key(parts, s))"
+    held = held.withColumn("others", F.expr(f"if(parts is null, array(0L), flatten(transform({steps}, s -> transform(sequence(0L, parts[s] - 1), p -> {at('s', 'p')}))))"))
+    held = store.put("held", held.select("rep", "root", "copies", "mine", "others", F.col("parts").isNotNull().alias("split")))
+    near = marked(docs, "doc_id", store.put("held-bits", id_filter(F.col("rep"), held)), "near").filter("near").select("doc_id", "text")
+    texts = near.join(held, F.col("doc_id") == F.col("rep"))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    spread = texts.withColumn("other", F.explode("others"))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     judged = store.put("judged", exact(spread.select(F.xxhash64("root", low, high).alias("block"), side.alias("side"), "rep", "copies", "text")))
     links = judged.groupBy("rep").agg(F.sum("links").alias("links"))
     # Labels of groups in one block are final; the others' are edges of one more search.
-    several = held.filter("blocks > 1").select("rep")
+    several = held.filter("split").select("rep")
     whole = judged.join(several, "rep", "left_anti").select("rep", F.col("label").alias("class"))
     across = judged.join(several.distinct(), "rep", "left_semi").filter("rep <> label").select(F.col("rep").alias("u"), F.col("label").alias("v"))
     if not across.isEmpty():
@@ -387,7 +398,7 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = links.join(whole, "rep", "left")
     known = sets.join(found, "rep", "left").select("a", "b", "copies", F.coalesce("class", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     known = store.put("known", known)
-    store.drop("sets", "edges", "all-edges", "grouped", "held", "judged", "classes")
+    store.drop("sets", "edges", "all-edges", "grouped", "sized", "load", "held", "judged", "classes")
     return rows.select("doc_id", "a", "b").join(known, ["a", "b"], "left").select("doc_id", F.coalesce("class_id", F.when(F.col("a").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("bigint").alias("n_links"))
 
 
