@@ -21,13 +21,22 @@ def to_coordinates(cells: DataFrame, keep_zeros: bool = False) -> DataFrame:
 
 
 def to_vectors(entries: DataFrame, width: int, cells: DataFrame | None = None) -> DataFrame:
-    """Vectors of ``width`` components; what has no entry is 0. Cells without any entry appear only if ``cells`` lists them."""
-    held = entries.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("held"))
-    if cells is not None:
-        held = cells.select("cell_id").join(held, "cell_id", "left")
-    value = lambda p: F.coalesce(F.element_at("held", p.cast("int")), F.lit(0.0))
-    x = F.when(F.col("held").isNull(), F.array_repeat(F.lit(0.0), width)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), value))
-    return held.select("cell_id", x.alias("x"))
+    """Vectors of ``width`` components; what has no entry is 0. Cells without any entry appear only if ``cells`` lists them.
+
+    A cell's entries are put in order and the gaps between them filled, so work grows with entries and width, not with their
+    product. Two entries at one place are an error; entries beyond the width are left out.
+    """
+    inside = entries.filter((F.col("pos") >= 0) & (F.col("pos") < width)).select("cell_id", F.struct(F.col("pos").cast("int").alias("pos"), F.col("value").cast("double").alias("value")).alias("e"))
+    held = inside.groupBy("cell_id").agg(F.array_sort(F.collect_list("e")).alias("held"))
+    # After each entry come the zeros up to the next one.
+    upto = f"if(i + 1 < size(held), get(held, i + 1).pos, {width})"
+    filled = F.expr(f"flatten(transform(held, (e, i) -> concat(array(e.value), array_repeat(0.0D, {upto} - e.pos - 1))))")
+    x = F.concat(F.array_repeat(F.lit(0.0), F.expr("held[0].pos")), filled)
+    whole = F.when(F.size("x") == width, F.col("x")).otherwise(F.raise_error(F.concat(F.lit("two entries at one place of cell "), F.col("cell_id").cast("string"))))
+    made = held.select("cell_id", x.alias("x")).select("cell_id", whole.alias("x"))
+    if cells is None:
+        return made
+    return cells.select("cell_id").join(made, "cell_id", "left").select("cell_id", F.coalesce("x", F.array_repeat(F.lit(0.0), width)).alias("x"))
 
 
 def unpivot_sums(sums: DataFrame, names: str = "feature_id", values: str = "frequency") -> DataFrame:
@@ -62,3 +71,30 @@ def map_blocks(cells: DataFrame, fn: Callable[[np.ndarray], np.ndarray], width:
 
 def cell_count(cells: DataFrame) -> Column:
     return F.count("*").cast("bigint").alias("cells")
+
+
+def sum_vectors(parts: DataFrame) -> DataFrame:
+    """(key, x): the sum of all vectors of each key, from (key BIGINT, x ARRAY<DOUBLE>).
+
+    Whole vectors move, not a row for each component, and a task holds one sum at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), vectors(total[None, :])], ["key", "x"])
+
+        for batch in batches:
+            for k, x in zip(batch["key"].to_pylist(), batch["x"], strict=True):
+                x = x.values.to_numpy(zero_copy_only=False)
+                if k == key:
+                    total = total + x
+                    continue
+                if total is not None:
+                    yield row()
+                key, total = k, x
+        if total is not None:
+            yield row()
+
+    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, x array<double>")

@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .matrix import block, map_blocks
+from .matrix import block, map_blocks, sum_vectors, vectors
+
+#: Most features of a matrix of products, which the driver decomposes: 512 MB. Its rows are summed so many at a time.
+MOST_FEATURES, ROWS = 8192, 64
 
 
 def orthonormal_basis(features: int, components: int, seed: int = 42) -> np.ndarray:
@@ -51,20 +54,23 @@ def project_entries(entries: DataFrame, basis: DataFrame) -> DataFrame:
 
 
 def gram(cells: DataFrame, width: int) -> np.ndarray:
-    """X'X. Every task sends one matrix of features x features; the sums are formed in the cluster."""
+    """X'X. Every task sends the upper half of one matrix, as vectors of ROWS rows; they are summed in the cluster."""
+    if width > MOST_FEATURES:
+        raise ValueError(f"products of {width} features are more than the driver holds; project them first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
             x = block(batch["x"], width)
             total += x.T @ x
-        i, j = np.triu_indices(width)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "v"])
+        for k in range(0, width, ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), vectors(total[k : k + ROWS, k:].reshape(1, -1))], ["key", "x"])
 
-    rows = cells.select("x").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    rows = sum_vectors(cells.select("x").mapInArrow(run, "key bigint, x array<double>")).toArrow()
     out = np.zeros((width, width))
-    out[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["v"].to_numpy()
-    return np.maximum(np.triu(out), np.triu(out).T) if width == 1 else np.triu(out) + np.triu(out, 1).T
+    for k, x in zip(rows["key"].to_pylist(), rows["x"], strict=True):
+        out[k : k + ROWS, k:] = x.values.to_numpy().reshape(-1, width - k)
+    return np.triu(out) + np.triu(out, 1).T
 
 
 def uncentred_components(cells: DataFrame, width: int, components: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """Hand-made matrices with answers worked out by hand, and invariants."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -31,6 +32,27 @@ def test_layouts_round_trip(spark):
     assert vectors(matrix.to_vectors(matrix.to_coordinates(df), 3, df)) == vectors(df)
 
 
+def test_vectors_from_entries(spark):
+    """Linear in entries and width; entries beyond the width go, two at a place are an error."""
+    entries = spark.createDataFrame([(1, 2, 5.0), (1, 0, 4.0), (2, 3, 1.0), (2, 9, 7.0), (3, -1, 2.0)], "cell_id bigint, pos int, value double")
+    assert vectors(matrix.to_vectors(entries, 4)) == {1: [4, 0, 5, 0], 2: [0, 0, 0, 1]}
+    assert vectors(matrix.to_vectors(entries, 4, spark.range(1, 4).toDF("cell_id")))[3] == [0, 0, 0, 0]
+    with pytest.raises(Exception, match="two entries at one place of cell 1"):
+        matrix.to_vectors(entries.union(entries.limit(1)), 4).collect()
+    many = spark.range(400).select(F.col("id").alias("cell_id"), F.posexplode(F.expr("transform(sequence(0, 1999), p -> double((p + id) % 2))")).alias("pos", "value")).filter("value <> 0")
+    took = time.time()
+    assert matrix.to_vectors(many, 2000).agg(F.sum(F.size("x"))).first()[0] == 800_000
+    assert matrix.to_vectors(many, 2000).agg(F.sum(V.total("x"))).first()[0] == 400_000
+    assert time.time() - took < 20  # a search for each place took minutes
+
+
+def test_products_of_many_features(spark):
+    x = np.random.default_rng(2).standard_normal((50, 150))
+    assert np.abs(project.gram(cells(spark, x.tolist()), 150) - x.T @ x).max() < 1e-9
+    with pytest.raises(ValueError, match="more than the driver holds"):
+        project.gram(cells(spark, [[1]]), project.MOST_FEATURES + 1)
+
+
 def test_first_and_last_names(spark):
     d = spark.createDataFrame([(0, "e1", "a"), (1, "e2", "b"), (2, "e3", "a"), (3, "e2", "c")], "line_no int, feature_id string, feature_name string")
     assert {(r["feature_name"], r["feature_id"]) for r in harmonise.first_names(d).collect()} == {("a", "e1"), ("b", "e2"), ("c", "e2")}
