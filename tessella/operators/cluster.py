@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .matrix import block
-from .select import sample_of
+from .matrix import block, sum_vectors, vectors
 
 #: Centres are rounded so, between steps: sums in another order of rows then give the same clusters.
 DIGITS = 9
@@ -47,68 +46,106 @@ def first_centres(cells: DataFrame, counts: Mapping[int, int] | int, by: str = "
     return cells.join(chosen, "cell_id").select(by, "cluster", "x")
 
 
+def wanted(counts: Mapping[int, int] | int, cls: int) -> int:
+    """The number of clusters of a class."""
+    return int(counts.get(cls, counts.get("default", 10))) if isinstance(counts, Mapping) else int(counts)
+
+
+def centres_of(table: DataFrame, by: str = "label") -> dict[int, np.ndarray]:
+    """(by, cluster, x) on the driver; centres (classes x clusters) are the model, and small."""
+    out: dict[int, list] = {}
+    for r in table.orderBy(by, "cluster").collect():
+        out.setdefault(r[by], []).append(r["x"])
+    return {k: np.array(v, float) for k, v in out.items()}
+
+
+def starts_of(cells: DataFrame, counts: Sequence[Mapping[int, int] | int], by: str = "label") -> list[dict[int, np.ndarray]]:
+    """The first centres for each of several numbers of clusters, from one pass: a smaller number's are the first of a larger one's."""
+    keys = {k for c in counts if isinstance(c, Mapping) for k in c if k != "default"}
+    most = {k: max(wanted(c, k) for c in counts) for k in keys} | {"default": max(wanted(c, None) for c in counts)}
+    table = centres_of(first_centres(cells, most if keys else most["default"], by), by)
+    return [{k: v[: wanted(c, k)] for k, v in table.items()} for c in counts]
+
+
 def lloyd(cells: DataFrame, centres: DataFrame, steps: int = 3, by: str = "label") -> dict[int, np.ndarray]:
-    """Centres of each class after a fixed number of Lloyd steps.
+    """Centres of each class after a fixed number of Lloyd steps from (by, cluster, x)."""
+    return lloyd_all(cells, [centres_of(centres, by)], steps, by)[0]
 
-    A step is one pass over the cells; each task sends a sum and a count for each cluster. A cell goes to the nearest centre,
-    the first of equals; a cluster without cells keeps its centre. The centres (classes x clusters) are the model, and small.
+
+def lloyd_all(cells: DataFrame, starts: Sequence[dict[int, np.ndarray]], steps: int = 3, by: str = "label") -> list[dict[int, np.ndarray]]:
+    """Centres of each class after a fixed number of Lloyd steps from each start.
+
+    A step is one pass over the cells for all starts; each task sends a vector of sums and a count for each cluster. A cell goes
+    to the nearest centre, the first of equals; a cluster without cells keeps its centre.
     """
-    now: dict[int, np.ndarray] = {}
-    for r in centres.orderBy(by, "cluster").collect():
-        now.setdefault(r[by], []).append(r["x"])
-    now = {k: np.array(v, float) for k, v in now.items()}
-    width = next(iter(now.values())).shape[1] if now else 0
+    now = [dict(s) for s in starts]
+    names = [(n, k, c) for n, s in enumerate(now) for k, v in s.items() for c in range(len(v))]
+    if not names:
+        return now
+    width = next(v.shape[1] for s in now for v in s.values())
     for _ in range(steps):
         shared = cells.sparkSession.sparkContext.broadcast(now)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sums = {k: np.zeros((len(c), width + 1)) for k, c in shared.value.items()}
+            sums = [{k: np.zeros((len(c), width + 1)) for k, c in s.items()} for s in shared.value]
             for batch in batches:
                 x, group = block(batch["x"], width), batch["g"].to_numpy(zero_copy_only=False)
-                for k, c in shared.value.items():
-                    own = x[group == k]
-                    np.add.at(sums[k], assigned(own, c), np.column_stack([own, np.ones(len(own))]))
-            for k, s in sums.items():
-                i, j = np.indices(s.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, k, np.int32)), pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(s.ravel())], ["g", "cluster", "pos", "v"])
-
-        got = cells.select(F.col(by).cast("int").alias("g"), "x").mapInArrow(run, "g int, cluster int, pos int, v double").groupBy("g", "cluster", "pos").agg(F.sum("v").alias("v")).toArrow()
-        after = {k: np.zeros((len(c), width + 1)) for k, c in now.items()}
-        for k, i, j, v in zip(*(got[c].to_pylist() for c in ("g", "cluster", "pos", "v")), strict=True):
-            after[k][i, j] = v
-        now = {k: np.where(s[:, -1:] > 0, np.round(s[:, :-1] / np.maximum(s[:, -1:], 1), DIGITS), now[k]) for k, s in after.items()}
+                for g in np.unique(group[group == group]).tolist():
+                    own = x[group == g]
+                    ones = np.column_stack([own, np.ones(len(own))])
+                    for total, s in zip(sums, shared.value, strict=True):
+                        if g in s:
+                            np.add.at(total[g], assigned(own, s[g]), ones)
+            flat = np.concatenate([v for s in sums for v in s.values()])
+            used = np.flatnonzero(flat[:, -1])
+            if len(used):
+                yield pa.RecordBatch.from_arrays([pa.array(used), vectors(flat[used])], ["key", "x"])
+
+        got = sum_vectors(cells.select(F.col(by).cast("int").alias("g"), "x").mapInArrow(run, "key bigint, x array<double>")).toArrow()
+        after = [{k: v.copy() for k, v in s.items()} for s in now]
+        for key, x in zip(got["key"].to_pylist(), got["x"], strict=True):
+            n, k, c = names[key]
+            total = x.values.to_numpy()
+            after[n][k][c] = np.round(total[:-1] / total[-1], DIGITS)
+        now = after
     return now
 
 
+def drawn(cells: DataFrame, n: int, starts: int) -> list[np.ndarray]:
+    """For each start the n cells that come first in an order drawn from its number, by id; one pass over the ids."""
+    every = cells.select("cell_id", F.explode(F.array(*map(F.lit, range(starts)))).alias("start"))
+    order = W.partitionBy("start").orderBy(F.md5(F.concat_ws("|", "start", "cell_id").cast("binary")), "cell_id")
+    chosen = every.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).select("cell_id", "start")
+    found = cells.select("cell_id", "x").join(F.broadcast(chosen), "cell_id").orderBy("start", "cell_id").collect()  # n rows for each start
+    return [np.array([r["x"] for r in found if r["start"] == k], float) for k in range(starts)]
+
+
 def with_restarts(cells: DataFrame, clusters: int = 10, restarts: int = 10, steps: int = 10) -> tuple[np.ndarray, float]:
-    """Centres of the whole data set, the best of several starts by the sum of squared distances, and that sum.
+    """Centres of the whole data set, the best of several starts by the sum of squared distances, and that sum; the first of equals.
 
-    A start takes the cells that come first in an order drawn from its number, so it doesn't depend on partitions.
+    All starts go together: a pass over the cells for each step, whatever the number of starts.
     """
     whole = cells.select("cell_id", F.lit(0).alias("label"), "x")
-    best: tuple[np.ndarray, float] | None = None
-    for start in range(restarts):
-        drawn = sample_of(whole, clusters, start).withColumn("cluster", F.row_number().over(W.orderBy("cell_id")) - 1)
-        centres = lloyd(whole, drawn.select("label", "cluster", "x"), steps)
-        cost = round(spread(whole, centres[0]), 6)
-        if best is None or cost < best[1]:
-            best = centres[0], cost
-    return best
+    found = lloyd_all(whole, [{0: x} for x in drawn(whole, clusters, restarts)], steps)
+    costs = spread(whole, [c[0] for c in found])
+    best = int(np.argmin(np.round(costs, 6)))
+    return found[best][0], float(np.round(costs[best], 6))
 
 
-def spread(cells: DataFrame, centres: np.ndarray) -> float:
-    """Sum of squared distances to the nearest centre; each task sends one number."""
-    shared = cells.sparkSession.sparkContext.broadcast(centres)
-    width = centres.shape[1]
+def spread(cells: DataFrame, centres: Sequence[np.ndarray]) -> np.ndarray:
+    """For each set of centres the sum of squared distances to the nearest one; each task sends a number for each."""
+    shared = cells.sparkSession.sparkContext.broadcast(list(centres))
+    width = centres[0].shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
+        total = np.zeros(len(shared.value))
         for batch in batches:
             x = block(batch["x"], width)
-            total += float(((x - shared.value[assigned(x, shared.value)]) ** 2).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total])], ["v"])
+            total += [((x - c[assigned(x, c)]) ** 2).sum() for c in shared.value]
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), vectors(total[None, :])], ["key", "x"])
 
-    return cells.select("x").mapInArrow(run, "v double").agg(F.sum("v")).first()[0] or 0.0
+    rows = sum_vectors(cells.select("x").mapInArrow(run, "key bigint, x array<double>")).toArrow()
+    return rows["x"][0].values.to_numpy() if len(rows) else np.zeros(len(centres))
 
 
 def assigned(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -136,47 +173,67 @@ def cluster_of(cells: DataFrame, centres: Mapping[int, np.ndarray], by: str = "l
 
 
 def nearest_in_class(cells: DataFrame, centres: Mapping[int, np.ndarray], k: int, by: str = "label") -> DataFrame:
-    """(by, cluster, cell_id, rank): the k cells of the whole class nearest to each centre; two centres may choose one cell.
+    """(by, cluster, cell_id, rank): the k cells of the whole class nearest to each centre; two centres may choose one cell."""
+    return nearest_in_classes(cells, [centres], k, by).drop("start")
+
+
+def nearest_in_classes(cells: DataFrame, centres: Sequence[Mapping[int, np.ndarray]], k: int, by: str = "label") -> DataFrame:
+    """(start, by, cluster, cell_id, rank): the same for each of several sets of centres, in one pass.
 
     Each batch sends its k best for each centre; the window sees only those.
     """
-    shared = cells.sparkSession.sparkContext.broadcast(dict(centres))
-    width = next(iter(centres.values())).shape[1]
+    shared = cells.sparkSession.sparkContext.broadcast([dict(c) for c in centres])
+    width = next(v.shape[1] for c in centres for v in c.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, group, ids = block(batch["x"], width), batch["g"].to_numpy(zero_copy_only=False), batch["cell_id"].to_numpy()
             out: list[tuple] = []
-            for g, cs in shared.value.items():
-                own, who = x[group == g], ids[group == g]
-                for c, centre in enumerate(cs):
-                    d = np.round(((own - centre) ** 2).sum(axis=1), DIGITS)
-                    best = np.lexsort((who, d))[:k]
-                    out += [(g, c, i, v) for i, v in zip(who[best].tolist(), d[best].tolist(), strict=True)]
-            columns = [*zip(*out, strict=True)] or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["g", "cluster", "cell_id", "d"])
-
-    near = cells.select(F.col(by).cast("int").alias("g"), "cell_id", "x").mapInArrow(run, "g int, cluster int, cell_id bigint, d double")
-    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("g", "cluster").orderBy("d", "cell_id"))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("g").alias(by), "cluster", "cell_id", "rank")
-
-
-def prototypes(cells: DataFrame, clusters: Mapping[int, int] | int = 10, k: int = 1, steps: int = 3, classes: Sequence[int] | None = None, space: DataFrame | None = None, by: str = "label", centres: dict[int, np.ndarray] | None = None) -> DataFrame:
+            for start, each in enumerate(shared.value):
+                for g, cs in each.items():
+                    own, who = x[group == g], ids[group == g]
+                    for c, centre in enumerate(cs):
+                        d = np.round(((own - centre) ** 2).sum(axis=1), DIGITS)
+                        best = np.lexsort((who, d))[:k]
+                        out += [(start, g, c, i, v) for i, v in zip(who[best].tolist(), d[best].tolist(), strict=True)]
+            columns = [*zip(*out, strict=True)] or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["start", "g", "cluster", "cell_id", "d"])
+
+    near = cells.select(F.col(by).cast("int").alias("g"), "cell_id", "x").mapInArrow(run, "start int, g int, cluster int, cell_id bigint, d double")
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("start", "g", "cluster").orderBy("d", "cell_id"))).filter(F.col("rank") <= k)
+    return ranked.select("start", F.col("g").alias(by), "cluster", "cell_id", "rank")
+
+
+def prototypes(cells: DataFrame, clusters: Mapping[int, int] | int = 10, k: int = 1, steps: int = 3, classes: Sequence[int] | None = None, space: DataFrame | None = None, by: str = "label") -> DataFrame:
     """pattern_id, cls, source_cell_id and p: prototypes of each class.
 
     Cells are clustered in ``space`` (cell_id, x; the cells' own vectors if none), the pattern is taken from the cells
     themselves: the cell nearest to a centre for k = 1, else the majority of the k nearest. Classes come in the order given,
-    those without cells are skipped; within a class patterns come in the order of the clusters. Centres found before may be given.
+    those without cells are skipped; within a class patterns come in the order of the clusters.
+    """
+    return prototypes_all(cells, [(clusters, k)], steps, classes, space, by).drop("config")
+
+
+def prototypes_all(cells: DataFrame, configs: Sequence[tuple[Mapping[int, int] | int, int]], steps: int = 3, classes: Sequence[int] | None = None, space: DataFrame | None = None, by: str = "label") -> DataFrame:
+    """config, pattern_id, cls, source_cell_id and p: prototypes for each (clusters of a class, k), numbered from 0.
+
+    All configurations go together: one pass for the first centres, one for each Lloyd step, one for the nearest cells and one
+    for the votes. Configurations with the same clusters share their k-means.
     """
     order = list(classes) if classes is not None else [r[0] for r in cells.select(by).filter(F.col(by) != 0).distinct().orderBy(by).collect()]
     own = cells.filter(F.col(by).isin(order))
     placed = own if space is None else own.select("cell_id", by).join(space.select("cell_id", "x"), "cell_id")
     placed = placed.select("cell_id", by, "x")
-    centres = centres or lloyd(placed, first_centres(placed, clusters, by), steps, by)
-    chosen = nearest_in_class(placed, centres, k, by)
-    votes = chosen.join(cells.select("cell_id", "x"), "cell_id").select(by, "cluster", F.posexplode("x").alias("pos", "v")).groupBy(by, "cluster", "pos").agg(F.when(F.avg("v") > 0.5, 1.0).otherwise(0.0).alias("v"))
-    p = votes.groupBy(by, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("p"))
-    nearest = chosen.filter("rank = 1").select(by, "cluster", F.col("cell_id").alias("source_cell_id"))
+    different = list({repr(c): c for c, _ in configs}.values())
+    centres = lloyd_all(placed, starts_of(placed, different, by), steps, by)
+    near = nearest_in_classes(placed, centres, max(k for _, k in configs), by)
+    told = [(n, different.index(c), int(k)) for n, (c, k) in enumerate(configs)]
+    asked = cells.sparkSession.createDataFrame(told, "config int, start int, k int")
+    chosen = near.join(F.broadcast(asked), "start").filter(F.col("rank") <= F.col("k")).select("config", by, "cluster", "cell_id", "rank")
+    votes = chosen.join(cells.select("cell_id", "x"), "cell_id").select("config", by, "cluster", F.posexplode("x").alias("pos", "v")).groupBy("config", by, "cluster", "pos").agg(F.when(F.avg("v") > 0.5, 1.0).otherwise(0.0).alias("v"))
+    p = votes.groupBy("config", by, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("p"))
+    nearest = chosen.filter("rank = 1").select("config", by, "cluster", F.col("cell_id").alias("source_cell_id"))
     turn = F.array_position(F.array(*map(F.lit, order)), F.col(by))
-    numbered = p.join(nearest, [by, "cluster"]).withColumn("pattern_id", F.row_number().over(W.orderBy(turn, "cluster")) - 1)
-    return numbered.select("pattern_id", F.col(by).alias("cls"), "source_cell_id", "p")
+    numbered = p.join(nearest, ["config", by, "cluster"]).withColumn("pattern_id", F.row_number().over(W.partitionBy("config").orderBy(turn, "cluster")) - 1)
+    return numbered.select("config", "pattern_id", F.col(by).alias("cls"), "source_cell_id", "p")
+

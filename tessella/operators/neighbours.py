@@ -55,13 +55,23 @@ def gathered(patterns: DataFrame | Patterns) -> Patterns:
     """Patterns (pattern_id, cls, p) brought to the driver by one job, within a bound on their number and values."""
     if isinstance(patterns, Patterns):
         return patterns
-    table = patterns.select("pattern_id", "cls", "p").limit(MOST_PATTERNS + 1).toArrow()
+    return gathered_by(patterns.withColumn("config", F.lit(0))).get(0, Patterns(np.zeros(0, int), np.zeros(0, int), np.zeros((0, 0))))
+
+
+def gathered_by(patterns: DataFrame) -> dict[int, Patterns]:
+    """Patterns (config, pattern_id, cls, p) of each configuration, by one job and within the bound for all together."""
+    table = patterns.select("config", "pattern_id", "cls", "p").limit(MOST_PATTERNS + 1).toArrow()
     width = len(table["p"][0]) if len(table) else 0
     if len(table) > MOST_PATTERNS or len(table) * width > MOST_PATTERN_VALUES:
         raise ValueError(f"{len(table)} patterns or more, of {width} values, are more than a memory holds")
-    order = np.argsort(table["pattern_id"].to_numpy(), kind="stable")
-    matrix = block(table["p"].combine_chunks(), width) if width else np.zeros((0, 0))
-    return Patterns(table["pattern_id"].to_numpy()[order], table["cls"].to_numpy()[order], matrix[order] if width else matrix)
+    config, ids, classes = (table[c].to_numpy() for c in ("config", "pattern_id", "cls"))
+    matrix = block(table["p"].combine_chunks(), width)
+    out = {}
+    for k in np.unique(config).tolist():
+        own = np.flatnonzero(config == k)
+        own = own[np.argsort(ids[own], kind="stable")]
+        out[k] = Patterns(ids[own], classes[own], matrix[own])
+    return out
 
 
 def nearest_pattern(cells: DataFrame, patterns: DataFrame | Patterns) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +12,22 @@ from pyspark.sql import functions as F
 from . import cluster, evaluate
 from .matrix import block
 from .memory import Settings, recall_block
-from .neighbours import Patterns, gathered
+from .neighbours import Patterns, gathered, gathered_by
 
 
-def judge_all(cells: DataFrame, patterns: DataFrame | Patterns, settings: Sequence[Settings]) -> DataFrame:
-    """(config, label, predicted, mismatches, width) of every cell under every setting, in one pass over the cells."""
-    held = gathered(patterns)
-    shared = cells.sparkSession.sparkContext.broadcast((held.classes, held.matrix))
-    width, settings = held.matrix.shape[1], list(settings)
+def judge_all(cells: DataFrame, configs: Sequence[tuple[Patterns, Settings]]) -> DataFrame:
+    """(config, label, predicted, mismatches, width) of every cell under every configuration, in one pass over the cells."""
+    held = {id(p): p for p, _ in configs}
+    place = {k: n for n, k in enumerate(held)}
+    shared = cells.sparkSession.sparkContext.broadcast([(p.classes, p.matrix) for p in held.values()])
+    asked = [(place[id(p)], s) for p, s in configs]
+    width = configs[0][0].matrix.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, p = shared.value
         for batch in batches:
             x = block(batch["x"], width)
-            for k, s in enumerate(settings):
+            for k, (n, s) in enumerate(asked):
+                classes, p = shared.value[n]
                 y = recall_block(x, 2 * p - 1 if s.binary else p, s)
                 d = (y**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None, :] - 2 * y @ p.T
                 best = np.round(d, 9).argmin(axis=1)
@@ -40,21 +41,17 @@ def sweep_settings(cells: DataFrame, patterns: DataFrame | Patterns, betas: Iter
     spark = cells.sparkSession
     grid = [(b, s) for b in betas for s in steps]
     table = spark.createDataFrame([(k, float(b), int(s)) for k, (b, s) in enumerate(grid)], "config int, beta double, steps int")
-    judged = judge_all(cells, patterns, [Settings(float(b), int(s), True, threshold) for b, s in grid])
+    held = gathered(patterns)
+    judged = judge_all(cells, [(held, Settings(float(b), int(s), True, threshold)) for b, s in grid])
     return evaluate.metrics(judged, by=("config",)).join(table, "config")
 
 
 def sweep_prototypes(train: DataFrame, cells: DataFrame, configs: Sequence[tuple[Mapping[int, int] | int, int]], settings: Settings, steps: int = 3) -> DataFrame:
-    """Metrics for each (clusters of a class, k). Configurations with the same clusters share their k-means; patterns are gathered once."""
-    parts, known = [], {}
-    for number, (clusters, k) in enumerate(configs):
-        key = repr(clusters)
-        if key not in known:
-            known[key] = cluster.lloyd(train, cluster.first_centres(train, clusters), steps)
-        patterns = gathered(cluster.prototypes(train, clusters, k, steps, centres=known[key]))
-        judged = judge_all(cells, patterns, [settings]).withColumn("config", F.lit(number))
-        parts.append(judged.withColumn("patterns", F.lit(len(patterns))))
-    return evaluate.metrics(reduce(DataFrame.unionByName, parts), by=("config", "patterns"))
+    """Metrics for each (clusters of a class, k): prototypes of all configurations are made together, cells are judged in one pass."""
+    held = gathered_by(cluster.prototypes_all(train, configs, steps))
+    judged = judge_all(cells, [(held[k], settings) for k in range(len(configs))])
+    sizes = cells.sparkSession.createDataFrame([(k, len(p)) for k, p in held.items()], "config int, patterns int")
+    return evaluate.metrics(judged, by=("config",)).join(F.broadcast(sizes), "config")
 
 
 def best(results: DataFrame) -> DataFrame:

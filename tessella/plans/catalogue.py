@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,19 +61,9 @@ def feature_frequency_topn(spark: SparkSession, d: str) -> DataFrame:
     return select.top_features(select.feature_frequency(prepare.binarise_entries(T.counts(spark, d)), parts), 100)
 
 
-@query(f"{W}{T.SQL_CELLS} SELECT 'f' || pos AS feature_id, round(sum(b), 6) AS frequency FROM bits WHERE pos < 8 GROUP BY pos")
-def unpivot_sums(spark: SparkSession, d: str) -> DataFrame:
-    """The first eight features only, as its SQL has it; unpivot_sums_all takes every feature."""
-    return _unpivoted(spark, d, 8)
-
-
 @query(f"{W}{T.SQL_CELLS} SELECT 'f' || pos AS feature_id, round(sum(b), 6) AS frequency FROM bits GROUP BY pos")
-def unpivot_sums_all(spark: SparkSession, d: str) -> DataFrame:
-    return _unpivoted(spark, d, T.WIDTH)
-
-
-def _unpivoted(spark: SparkSession, d: str, width: int) -> DataFrame:
-    wide = T.bits(spark, d).agg(*(F.round(F.sum(F.get("x", F.lit(i))), 6).alias(f"f{i}") for i in range(width)))
+def unpivot_sums(spark: SparkSession, d: str) -> DataFrame:
+    wide = T.bits(spark, d).agg(*(F.round(F.sum(F.get("x", F.lit(i))), 6).alias(f"f{i}") for i in range(T.WIDTH)))
     return matrix.unpivot_sums(wide)
 
 
@@ -173,18 +162,9 @@ def missing_positions(spark: SparkSession, d: str) -> DataFrame:
     return harmonise.absent(own, harmonise.first_names(T.dictionary(spark, d, "M")), order).select("feature_id", "pos")
 
 
-@query(f"{W}{T.SQL_CELLS} SELECT pos::INT AS pos, round(sum(CASE WHEN pos % 5 = 2 THEN 0.5::DOUBLE ELSE b END), 6) AS frequency, sum((pos % 5 = 2 OR b <> 0)::INT)::BIGINT AS entries FROM bits WHERE cell_id % 2 = 1 GROUP BY 1")
-def align_with_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of odd ids only, as its SQL has it; align_with_fill_all takes every cell."""
-    return _aligned(spark, T.bits(spark, d).filter("cell_id % 2 = 1"))
-
-
 @query(f"{W}{T.SQL_CELLS} SELECT pos::INT AS pos, round(sum(CASE WHEN pos % 5 = 2 THEN 0.5::DOUBLE ELSE b END), 6) AS frequency, sum((pos % 5 = 2 OR b <> 0)::INT)::BIGINT AS entries FROM bits GROUP BY 1")
-def align_with_fill_all(spark: SparkSession, d: str) -> DataFrame:
-    return _aligned(spark, T.bits(spark, d))
-
-
-def _aligned(spark: SparkSession, own: DataFrame) -> DataFrame:
+def align_with_fill(spark: SparkSession, d: str) -> DataFrame:
+    own = T.bits(spark, d)
     entries = matrix.to_coordinates(own).join(F.broadcast(T.lacking(spark)), "pos", "left_anti").select("cell_id", "pos", "value")
     full = harmonise.filled(entries, own, T.lacking(spark))
     return full.groupBy("pos").agg(F.round(F.sum("value"), 6).alias("frequency"), F.count("*").alias("entries"))
@@ -363,16 +343,39 @@ def basis_orthogonality(spark: SparkSession, d: str) -> DataFrame:
     return rounded(project.orthogonality_error(project.basis_table(spark, project.hadamard_basis(T.WIDTH, 16))), "error")
 
 
-@query()
+def _qr_sql() -> str:
+    """The seeded basis as a literal: it is a model, and the same for any data."""
+    basis = project.orthonormal_basis(T.WIDTH, 16)
+    rows = ", ".join(f"({i}, [{', '.join(f'{v!r}::DOUBLE' for v in row)}])" for i, row in enumerate(basis.tolist()))
+    return f"basis AS (SELECT pos, generate_subscripts(w, 1) - 1 AS component, unnest(w) AS weight FROM (VALUES {rows}) t(pos, w))"
+
+
+@query(f"{W}{T.SQL_CELLS}, {_qr_sql()} SELECT cell_id, component::INT AS component, round(sum(b * weight), 6) AS value FROM bits JOIN basis USING (pos) GROUP BY 1, 2")
 def projection_qr(spark: SparkSession, d: str) -> DataFrame:
-    return project.project(T.bits(spark, d), project.orthonormal_basis(T.WIDTH, 16)).select("cell_id", F.posexplode("x").alias("component", "value"))
+    z = project.project(T.bits(spark, d), project.orthonormal_basis(T.WIDTH, 16))
+    return rounded(z.select("cell_id", F.posexplode("x").alias("component", "value")), "value")
+
+
+@query("SELECT 0.0::DOUBLE AS error")
+def basis_orthogonality_qr(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(project.orthogonality_error(project.basis_table(spark, project.orthonormal_basis(T.WIDTH, 16))), "error")
+
 
+_GRAM = "SELECT a.pos::INT AS i, b.pos::INT AS j, round(sum(a.v * b.v), 3) AS value FROM {rows} a JOIN {rows} b ON a.cell_id = b.cell_id GROUP BY 1, 2"
 
-@query(f"{W}{T.SQL_CELLS} SELECT round(sum(v * v), 3) AS squares FROM cells")
+
+@query(f"{W}{T.SQL_CELLS} {_GRAM.format(rows='cells')}")
 def uncentered_pca(spark: SparkSession, d: str) -> DataFrame:
-    """The squares of all singular values add up to those of all entries; loadings have no counterpart in SQL."""
-    _, values = project.uncentred_components(T.cells(spark, d), T.WIDTH)
-    return spark.createDataFrame([(round(float((values**2).sum()), 3),)], "squares double")
+    """The products of all pairs of features, made again from loadings V and singular values s as V s^2 V'. Only true components give them."""
+    loadings, values = project.uncentred_components(T.cells(spark, d), T.WIDTH)
+    return T.square_table(spark, np.round((loadings * values**2) @ loadings.T, 3))
+
+
+@query("SELECT i.range::INT AS i, j.range::INT AS j, (i.range = j.range)::INT::DOUBLE AS value FROM range(64) i, range(64) j")
+def pca_orthogonality(spark: SparkSession, d: str) -> DataFrame:
+    """V'V of the loadings: one on the diagonal, else zero."""
+    loadings, _ = project.uncentred_components(T.cells(spark, d), T.WIDTH)
+    return T.square_table(spark, np.round(loadings.T @ loadings, 6) + 0.0)
 
 
 @query()
@@ -382,14 +385,38 @@ def pca_scores(spark: SparkSession, d: str) -> DataFrame:
     return project.component_scores(cells, loadings).select("cell_id", F.posexplode("x").alias("component", "value"))
 
 
-@query()
-def patterns_in_components(spark: SparkSession, d: str) -> DataFrame:
+_NEIGHBOUR = "SELECT a.cell_id, round(sum(a.v * b.v), 4) AS product, round(sum(a.v * a.v), 4) AS square FROM cells a JOIN cells b ON b.cell_id = a.cell_id + 1 AND a.pos = b.pos GROUP BY 1"
+
+
+@query(f"{W}{T.SQL_CELLS} {_NEIGHBOUR}")
+def pca_score_products(spark: SparkSession, d: str) -> DataFrame:
+    """Products of each cell's scores with the next cell's and with themselves: those of the vectors, as no component is left out."""
+    cells = T.cells(spark, d)
+    z = project.component_scores(cells, project.uncentred_components(cells, T.WIDTH)[0]).select("cell_id", "x")
+    after = z.select((F.col("cell_id") - 1).alias("cell_id"), F.col("x").alias("y"))
+    return z.join(after, "cell_id").select("cell_id", F.round(V.dot("x", "y"), 4).alias("product"), F.round(V.dot("x", "x"), 4).alias("square"))
+
+
+def _in_components(spark: SparkSession, d: str, components: int) -> DataFrame:
     """Patterns projected on the basis, then on the principal components of the projected cells."""
     basis = project.hadamard_basis(T.WIDTH, 16)
     z = project.project(T.bits(spark, d), basis)
-    loadings, _ = project.uncentred_components(z, 16, 8)
+    loadings, _ = project.uncentred_components(z, 16, components)
     rows = T.patterns(spark, d).select(F.col("pattern_id").alias("cell_id"), F.col("p").alias("x"))
-    return project.project(project.project(rows, basis), loadings).select(F.col("cell_id").alias("pattern_id"), F.posexplode("x").alias("component", "value"))
+    return project.project(project.project(rows, basis), loadings).select(F.col("cell_id").alias("pattern_id"), "x")
+
+
+@query()
+def patterns_in_components(spark: SparkSession, d: str) -> DataFrame:
+    return _in_components(spark, d, 8).select("pattern_id", F.posexplode("x").alias("component", "value"))
+
+
+@query(f"{W}{T.SQL_CELLS}, {T.SQL_PATTERNS}, {_BASIS}, z AS (SELECT pattern_id, component, sum(b * weight) AS v FROM patterns JOIN basis USING (pos) GROUP BY 1, 2) SELECT a.pattern_id::INT AS i, b.pattern_id::INT AS j, round(sum(a.v * b.v), 5) AS value FROM z a JOIN z b USING (component) GROUP BY 1, 2")
+def pattern_products(spark: SparkSession, d: str) -> DataFrame:
+    """Products of the patterns in all 16 components: those of the projected patterns."""
+    z = _in_components(spark, d, 16)
+    a, b = z.select(F.col("pattern_id").alias("i"), "x"), z.select(F.col("pattern_id").alias("j"), F.col("x").alias("y"))
+    return a.crossJoin(F.broadcast(b)).select("i", "j", F.round(V.dot("x", "y"), 5).alias("value"))  # a row for each pair of patterns
 
 
 # Clusters and prototypes: three steps of Lloyd in each class, unrolled in SQL.
@@ -421,7 +448,21 @@ voted AS (SELECT n.label, n.cluster, o.pos, CASE WHEN avg(o.v) > 0.5::DOUBLE THE
 protos AS (SELECT dense_rank() OVER (ORDER BY v.label, v.cluster) - 1 AS pattern_id, v.label AS cls, n.cell_id AS source_cell_id, v.pos, v.b, 2 * v.b - 1 AS p FROM voted v JOIN (SELECT label, cluster, cell_id FROM chosen WHERE rank = 1) n USING (label, cluster))"""
 
 
-@query()
+def _restarts_sql(clusters: int, starts: int, steps: int) -> str:
+    """Lloyd steps from several starts at once, and the clusters of the cheapest."""
+    out = [f"first AS (SELECT s.range AS start, e.vec_id AS cell_id, row_number() OVER (PARTITION BY s.range ORDER BY md5(s.range || '|' || e.vec_id), e.vec_id) AS place FROM embeddings e, range({starts}) s QUALIFY place <= {clusters})"]
+    out.append("c0 AS (SELECT f.start, f.cluster, x.pos, x.v AS c FROM (SELECT start, cell_id, row_number() OVER (PARTITION BY start ORDER BY cell_id) - 1 AS cluster FROM first) f JOIN cells x USING (cell_id))")
+    for k in range(steps + 1):
+        out.append(f"d{k} AS (SELECT c.start, x.cell_id, c.cluster, round(sum((x.v - c.c) * (x.v - c.c)), 9) AS d FROM cells x JOIN c{k} c USING (pos) GROUP BY 1, 2, 3)")
+        out.append(f"a{k} AS (SELECT start, cell_id, cluster, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY start, cell_id ORDER BY d, cluster) = 1)")
+        if k < steps:
+            out.append(f"m{k} AS (SELECT a.start, a.cluster, x.pos, round(avg(x.v), 9) AS c FROM cells x JOIN a{k} a USING (cell_id) GROUP BY 1, 2, 3)")
+            out.append(f"c{k + 1} AS (SELECT start, cluster, pos, coalesce(m.c, c.c) AS c FROM c{k} c LEFT JOIN m{k} m USING (start, cluster, pos))")
+    out.append(f"best AS (SELECT start FROM a{steps} GROUP BY 1 ORDER BY round(sum(d), 6), start LIMIT 1)")
+    return f"{W}{T.SQL_CELLS}, {', '.join(out)} SELECT cell_id, (cluster + 1)::INT AS cluster FROM a{steps} JOIN best USING (start)"
+
+
+@query(_restarts_sql(10, 10, 10))
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Ten clusters of all cells, numbered from 1: the best of ten starts of ten steps."""
     cells = T.cells(spark, d)
@@ -475,7 +516,7 @@ def recall_bits(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_BASE}, {T.sql_recall()} {_BITS.format(t=0.5)}")
 def recall_loaded(spark: SparkSession, d: str) -> DataFrame:
     """The same with a memory that was saved and loaded."""
-    path = f"{store.shared_dir(spark)}/memory-{uuid.uuid4().hex}"
+    path = store.temporary(spark, "memory")
     _memory(spark, d, threshold=0.5).save(spark, path)
     return memory.load(spark, path).recall(T.bits(spark, d)).select("cell_id", as_text().alias("bits"))
 
@@ -483,7 +524,7 @@ def recall_loaded(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_BASE}, {T.sql_recall()} {_BITS.format(t=0.5)}")
 def recall_streamed(spark: SparkSession, d: str) -> DataFrame:
     """The same on a stream of files that is run to its end."""
-    path = f"{store.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = store.temporary(spark, "stream")
     cells = T.bits(spark, d)
     cells.write.parquet(f"{path}/in")
     stream = streams.cells_stream(spark, f"{path}/in", cells.schema)
@@ -502,35 +543,16 @@ def recall_continuous(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cell_id", F.posexplode("x").alias("pos", "x")).withColumn("x", F.round("x", 4))
 
 
-@query(f"{_BASE}, {T.sql_recall('SELECT cell_id, pos, CASE WHEN pos % 5 = 2 THEN 0.0::DOUBLE ELSE 2 * b - 1 END AS x FROM bits WHERE cell_id % 2 = 1')} {_BITS.format(t=0.5)}")
-def recall_with_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of odd ids only, as its SQL has it; recall_with_fill_all takes every cell."""
-    return _recalled_with_fill(spark, d, T.bits(spark, d).filter("cell_id % 2 = 1"))
-
-
 @query(f"{_BASE}, {T.sql_recall('SELECT cell_id, pos, CASE WHEN pos % 5 = 2 THEN 0.0::DOUBLE ELSE 2 * b - 1 END AS x FROM bits')} {_BITS.format(t=0.5)}")
-def recall_with_fill_all(spark: SparkSession, d: str) -> DataFrame:
-    return _recalled_with_fill(spark, d, T.bits(spark, d))
-
-
-def _recalled_with_fill(spark: SparkSession, d: str, own: DataFrame) -> DataFrame:
-    half = own.withColumn("x", F.transform("x", lambda v, i: F.when(i % T.LACKING[0] == T.LACKING[1], harmonise.ABSENT).otherwise(v)))
+def recall_with_fill(spark: SparkSession, d: str) -> DataFrame:
+    half = T.bits(spark, d).withColumn("x", F.transform("x", lambda v, i: F.when(i % T.LACKING[0] == T.LACKING[1], harmonise.ABSENT).otherwise(v)))
     return _memory(spark, d, threshold=0.5).recall(half).select("cell_id", as_text().alias("bits"))
 
 
-@query(f"{_BASE} SELECT c.cell_id, q.pattern_id::INT AS pattern_id, round(sum((2 * c.b - 1) * q.p), 6) AS score FROM bits c JOIN patterns q USING (pos) WHERE c.cell_id % 2 = 1 AND c.pos % 5 <> 2 GROUP BY 1, 2")
-def scores_with_absent(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of odd ids only, as its SQL has it; scores_with_absent_all takes every cell."""
-    return _scored_with_absent(spark, d, T.bits(spark, d).filter("cell_id % 2 = 1"))
-
-
 @query(f"{_BASE} SELECT c.cell_id, q.pattern_id::INT AS pattern_id, round(sum((2 * c.b - 1) * q.p), 6) AS score FROM bits c JOIN patterns q USING (pos) WHERE c.pos % 5 <> 2 GROUP BY 1, 2")
-def scores_with_absent_all(spark: SparkSession, d: str) -> DataFrame:
-    return _scored_with_absent(spark, d, T.bits(spark, d))
-
-
-def _scored_with_absent(spark: SparkSession, d: str, own: DataFrame) -> DataFrame:
+def scores_with_absent(spark: SparkSession, d: str) -> DataFrame:
     """Scores from nonzero entries alone; absent features are never formed."""
+    own = T.bits(spark, d)
     return rounded(memory.bit_scores(matrix.to_coordinates(own), own, T.patterns(spark, d), T.lacking(spark)), "score")
 
 
@@ -628,8 +650,14 @@ def sweep_beta(spark: SparkSession, d: str) -> DataFrame:
     return _settings_sweep(spark, d, (4, 8, 16, 32, 64, 128), (1,))
 
 
-_NC, _K = [(2, 1), (3, 1), (4, 1)], [(3, 1), (3, 3), (3, 5)]
-_PER_CLASS = [({"default": 2}, 3), ({3: 4, "default": 2}, 3), ({1: 3, 3: 4, "default": 2}, 3), ({1: 3, 3: 4, 4: 3, 6: 3, "default": 2}, 3)]
+# The grids of the original workflow; classes that it doesn't name have ten clusters.
+_NC, _K = [(10, 1), (20, 1), (30, 1)], [(20, 1), (20, 3), (20, 5)]
+_PER_CLASS = [
+    ({1: 20, 3: 40, 4: 20, 5: 10, 6: 20, 7: 10, "default": 10}, 5),
+    ({1: 20, 3: 60, 4: 20, 5: 10, 6: 20, 7: 10, "default": 10}, 5),
+    ({1: 30, 3: 60, 4: 30, 5: 15, 6: 30, 7: 15, "default": 10}, 5),
+    ({1: 20, 3: 80, 4: 20, 5: 10, 6: 20, 7: 10, "default": 10}, 5),
+]
 
 
 def _prototype_sql(configs) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("feature_name"), F.col("p_partkey").alias("pos"))
 
 
+def square_table(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
+    """(i, j, value) of a small matrix."""
+    i, j = np.indices(matrix.shape)
+    return spark.createDataFrame(pa.table({"i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "value": matrix.ravel()}))
+
+
 def lacking(spark: SparkSession) -> DataFrame:
     return spark.range(WIDTH).filter(F.col("id") % LACKING[0] == LACKING[1]).select(F.col("id").cast("int").alias("pos"))
 

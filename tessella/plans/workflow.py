@@ -16,7 +16,10 @@ from ..sources.dataset import DataSet
 
 @dataclass(frozen=True)
 class Aligned:
-    """Both data sets' binary entries at canonical positions, the order, and what the second one lacks."""
+    """Both data sets' binary entries at canonical positions, the order, and what the second one lacks.
+
+    tracking lists the features that the second dictionary lacks, filled those that its matrix lacks, whether tracked or not.
+    """
 
     order: DataFrame
     first: DataFrame
@@ -24,6 +27,17 @@ class Aligned:
     lacking: DataFrame
     tracking: DataFrame
 
+    @property
+    def filled(self) -> DataFrame:
+        """feature_id, pos, filled (the value) and tracked of all features that are filled in the second data set."""
+        told = self.tracking.select("feature_id", F.lit(True).alias("tracked")).distinct()
+        return self.lacking.select("feature_id", "pos", F.lit(harmonise.ABSENT).alias("filled")).join(told, "feature_id", "left").fillna(False, ["tracked"])
+
+    def write(self, path: str, mode: str = "error") -> None:
+        """Every table below path."""
+        for name in ("order", "first", "second", "filled", "tracking"):
+            getattr(self, name).write.mode(mode).parquet(f"{path}/{name}")
+
 
 def align_pair(first: DataSet, second: DataSet, first_dictionary: DataFrame, second_dictionary: DataFrame) -> Aligned:
     """The first data set's features set the order. Nothing is computed yet but plans; the fill of one half is never formed."""

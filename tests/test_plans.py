@@ -1,6 +1,6 @@
 """The physical plans that scale depends on."""
 
-from tessella.operators import cluster, select
+from tessella.operators import cluster, memory, select, sweep
 from tessella.plans import catalogue
 from tessella.plans import tables as T
 
@@ -37,18 +37,28 @@ def test_relational_queries_stay_in_the_jvm(spark):
 
 def test_fill_takes_every_cell(spark):
     cells = {r["cell_id"] for r in T.cells(spark, SF).select("cell_id").collect()}
-    for name in ("recall_with_fill_all", "scores_with_absent_all"):
+    for name in ("recall_with_fill", "scores_with_absent"):
         assert {r["cell_id"] for r in catalogue.QUERIES[name](spark, SF).select("cell_id").collect()} == cells
-    absent = [r for r in catalogue.QUERIES["align_with_fill_all"](spark, SF).collect() if r["pos"] % 5 == 2]
+    absent = [r for r in catalogue.QUERIES["align_with_fill"](spark, SF).collect() if r["pos"] % 5 == 2]
     assert absent and all(r["entries"] == len(cells) for r in absent)
 
 
 def test_sums_of_every_feature(spark):
-    assert {r["feature_id"] for r in catalogue.QUERIES["unpivot_sums_all"](spark, SF).collect()} == {f"f{i}" for i in range(T.WIDTH)}
+    assert {r["feature_id"] for r in catalogue.QUERIES["unpivot_sums"](spark, SF).collect()} == {f"f{i}" for i in range(T.WIDTH)}
 
 
-def test_kmeans_takes_ten_starts(spark, monkeypatch):
-    costs, spread = [], cluster.spread
-    monkeypatch.setattr(cluster, "spread", lambda *a: costs.append(spread(*a)) or costs[-1])
-    catalogue.kmeans_clusters(spark, SF)
-    assert len(costs) == 10
+def passes(spark, monkeypatch, run):
+    """How often the cells are read by Python kernels."""
+    seen = []
+    kind = type(spark.range(0))
+    before = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: seen.append(self.columns) or before(self, *a, **b))
+    run()
+    return sum("x" in c and "key" not in c for c in seen)
+
+
+def test_a_pass_serves_all_starts_and_configurations(spark, monkeypatch):
+    cells = T.bits(spark, SF)
+    assert passes(spark, monkeypatch, lambda: cluster.with_restarts(cells, 4, 10, 5)) == 5 + 1  # steps, and the costs
+    configs = [(2, 1), (3, 1), (3, 3), ({1: 4, "default": 2}, 5)]
+    assert passes(spark, monkeypatch, lambda: sweep.sweep_prototypes(cells, cells, configs, memory.Settings()).collect()) == 3 + 1 + 1  # steps, nearest cells, judging

@@ -30,6 +30,12 @@ def test_two_data_sets(spark, tmp_path):
     settings = Workflow(features=30, components=10, classes=(1, 3), clusters=2)
     aligned = workflow.align_pair(first, second, ids, ids.filter("line_no < 32"))
     assert aligned.lacking.count() == 8 and aligned.tracking.count() == 8
+    aligned.write(str(tmp_path / "aligned"))
+    filled = spark.read.parquet(str(tmp_path / "aligned/filled")).collect()
+    assert {(r["feature_id"], r["filled"], r["tracked"]) for r in filled} == {(f"id{i}", 0.5, True) for i in range(32, 40)}
+    # A feature that the dictionary has and the matrix lacks is filled, too, but not tracked.
+    fewer = workflow.align_pair(first, DataSet(second.cells, second.features.filter("feature_name <> 'g3'"), second.entries), ids, ids.filter("line_no < 32"))
+    assert {r["feature_id"] for r in fewer.filled.filter("not tracked").collect()} == {"id3"} and fewer.tracking.count() == 8
     top = workflow.chosen_features(aligned, settings.features)
     held, width = workflow.train(first.cells, aligned.first, top, settings)
     assert width == 30 and len(held.patterns) == 4
