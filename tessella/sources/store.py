@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends in good order."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    return path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in whatever file system it names."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .matlab import read_mat
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 0, over files in the order of their names) and value of each line, in one pass and without a shuffle of lines.
@@ -51,52 +53,25 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).filter(F.length(F.trim("value")) > 0).select(F.col("line_no").alias("cell_id"), F.trim("value").cast("int").alias("label"))
 
 
-def read_indexed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV whose first column is the row's key; the schema is given, never inferred."""
-    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
+def read_indexed(spark: SparkSession, path: str, schema: str, key: str = "cell_key") -> DataFrame:
+    """CSV whose first column, often without a name, is the row's key; ``schema`` is that of the other columns, never inferred.
+
+    A key that is missing or comes twice is an error, as rows are joined by it.
+    """
+    rows = spark.read.csv(path, header=True, schema=f"`{key}` string, {schema}", mode="FAILFAST")
+    twice = rows.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).first()
+    if twice is not None:
+        raise ValueError(f"the key {twice[0]} stands {twice['n']} times in {path}")
+    return rows
 
 
 def read_basis(path: str) -> np.ndarray:
-    """A basis from .npy, else from comma-separated text; it is a model's file, read by the driver."""
+    """A basis from .npy, .mat, else from comma-separated text; it is a model's file, read by the driver."""
+    if path.endswith(".mat"):
+        return read_mat(path)
     return np.load(path) if path.endswith(".npy") else np.loadtxt(path, delimiter=",", ndmin=2)
 
 
-def read_mat(path: str) -> np.ndarray:
-    """The first variable of a MATLAB file; needs scipy."""
-    from scipy.io import loadmat
-
-    return next(np.asarray(v) for k, v in loadmat(path).items() if not k.startswith("__"))
-
-
-def read_h5ad(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Entries (cell_id, pos, value) and features (feature_name, pos) of an .h5ad file with a sparse or dense X; needs h5py.
-
-    HDF5 can't be split, so this is a one-off ingest on the driver, in slices of rows; keep the result as Parquet.
-    """
-    import h5py
-
-    with h5py.File(path, "r") as file:
-        x, names = file["X"], file["var"][file["var"].attrs.get("_index", "_index")][:]
-        features = spark.createDataFrame([(n.decode() if isinstance(n, bytes) else str(n), i) for i, n in enumerate(names)], "feature_name string, pos int")
-        parts = []
-        if hasattr(x, "shape"):
-            for a in range(0, x.shape[0], 5000):
-                i, j = np.nonzero(x[a : a + 5000])
-                parts.append((i + a, j, x[a : a + 5000][i, j]))
-        else:
-            ends = x["indptr"][:]
-            for a in range(0, len(ends) - 1, 5000):
-                e = ends[a : a + 5001]
-                parts.append((np.repeat(np.arange(a, a + len(e) - 1), np.diff(e)), x["indices"][e[0] : e[-1]], x["data"][e[0] : e[-1]]))
-    import pyarrow as pa
-
-    tables = [spark.createDataFrame(pa.table({"cell_id": i.astype(np.int64), "pos": j.astype(np.int32), "value": v.astype(np.float64)})) for i, j, v in parts]
-    entries = tables[0]
-    for t in tables[1:]:
-        entries = entries.unionByName(t)
-    return entries, features
-
-
 def write_matrix(cells: DataFrame, path: str, names: Sequence[str] | None = None, separator: str = ",") -> None:
     """Rows as text in the order of cell_id, without it; the names, if any, in a file of their own that sorts first."""
     spark = cells.sparkSession
@@ -106,5 +81,9 @@ def write_matrix(cells: DataFrame, path: str, names: Sequence[str] | None = None
         spark.createDataFrame([(separator.join(names),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, header: bool = True, index: str | None = None) -> None:
+    """CSV; with ``index`` that column comes first and without a name, in its order, as read_indexed takes it."""
+    if index is not None:
+        others = [c for c in df.columns if c != index]
+        df = df.orderBy(index).select(F.col(index).alias(" "), *others)
     df.write.mode("overwrite").option("header", header).csv(path)

@@ -1,11 +1,15 @@
 """Readers keep the order of lines; tables are published once for each setting."""
 
 import gzip
+import importlib
+import struct
+import sys
+import zlib
 
 import numpy as np
 import pytest
 
-from tessella.sources import store, text
+from tessella.sources import h5ad, matlab, store, text
 
 
 def test_lines_keep_their_numbers(spark, tmp_path):
@@ -58,3 +62,111 @@ def test_published_once_for_each_setting(spark, tmp_path):
     assert made == [3, 4]
     assert store.first_existing(spark, [str(tmp_path / "no"), str(tmp_path)]) == str(tmp_path)
     assert store.missing(spark, [str(tmp_path / "no"), str(tmp_path)]) == [str(tmp_path / "no")]
+
+
+def test_csv_with_an_index(spark, tmp_path):
+    (tmp_path / "m.csv").write_text(",celltype,n\nc.1,Ast,3\nc.2,,4\n")
+    rows = text.read_indexed(spark, str(tmp_path / "m.csv"), "celltype string, n int")
+    assert [tuple(r) for r in rows.orderBy("cell_key").collect()] == [("c.1", "Ast", 3), ("c.2", None, 4)]
+    text.write_csv(rows.repartition(3), str(tmp_path / "out"), index="cell_key")
+    back = text.read_indexed(spark, str(tmp_path / "out"), "celltype string, n int")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    (tmp_path / "t.csv").write_text(",n\na,1\na,2\n")
+    with pytest.raises(ValueError, match="the key a stands 2 times"):
+        text.read_indexed(spark, str(tmp_path / "t.csv"), "n int")
+    text.write_csv(rows.select("n"), str(tmp_path / "plain"), header=False)
+    assert sorted(r[0] for r in spark.read.csv(str(tmp_path / "plain")).collect()) == ["3", "4"]
+
+
+def mat_element(kind, content, order):
+    return struct.pack(order + "II", kind, len(content)) + content + bytes(-len(content) % 8)
+
+
+def mat_matrix(name, values, order="<", kind=9, flags=6, small=False):
+    shape = np.asarray(values.shape, order + "i4").tobytes()
+    label = struct.pack(order + "I", len(name) << 16 | 1) + name.ljust(4, b"\0") if small else mat_element(1, name, order)
+    body = mat_element(6, struct.pack(order + "II", flags, 0), order) + mat_element(5, shape, order) + label
+    return mat_element(14, body + mat_element(kind, values.astype(order + matlab.TYPES[kind]).tobytes(order="F"), order), order)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_matlab_files(tmp_path, order, packed):
+    a, b = np.arange(6.0).reshape(2, 3) / 4, np.arange(8).reshape(4, 2)
+    parts = [mat_matrix(b"text", np.ones((1, 2)), order, 4, flags=4), mat_matrix(b"R", a, order, small=True), mat_matrix(b"labels", b, order, 2, flags=9)]
+    if packed:
+        parts = [struct.pack(order + "II", 15, len(zlib.compress(p))) + zlib.compress(p) for p in parts]
+    mark = b"IM" if order == "<" else b"MI"
+    (tmp_path / "r.mat").write_bytes(b"MATLAB 5.0".ljust(124) + struct.pack(order + "H", 0x0100) + mark + b"".join(parts))
+    assert (text.read_basis(str(tmp_path / "r.mat")) == a).all()
+    assert (matlab.read_mat(str(tmp_path / "r.mat"), "labels") == b).all()
+    with pytest.raises(KeyError, match="no numeric matrix other"):
+        matlab.read_mat(str(tmp_path / "r.mat"), "other")
+
+
+STAND_IN = '''
+import numpy as np
+
+
+class Group:
+    def __init__(self, data, prefix):
+        self.data, self.prefix = data, prefix
+        self.attrs = {"_index": "index"}
+
+    def __getitem__(self, name):
+        path = f"{self.prefix}{name}"
+        return self.data[path] if path in self.data else Group(self.data, path + "/")
+
+
+class File(Group):
+    def __init__(self, path, mode):
+        super().__init__(dict(np.load(path)), "")
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+'''
+
+
+@pytest.fixture(scope="module")
+def h5py_stand_in(spark, tmp_path_factory):
+    """A module of that name which reads groups and arrays from .npz, for the driver and the workers."""
+    folder = tmp_path_factory.mktemp("stand-in")
+    (folder / "h5py.py").write_text(STAND_IN)
+    spark.sparkContext.addPyFile(str(folder / "h5py.py"))
+    sys.path.insert(0, str(folder))
+    importlib.invalidate_caches()
+    yield
+    sys.path.remove(str(folder))
+    sys.modules.pop("h5py", None)
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_h5ad_by_row_ranges(spark, tmp_path, h5py_stand_in, sparse):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((12_345, 7)) < 0.2, rng.random((12_345, 7)).round(3), 0)
+    tables = {"var/index": np.array([f"g{j}".encode() for j in range(7)]), "obs/index": np.array([f"c{i}" for i in range(12_345)])}
+    if sparse:
+        i, j = np.nonzero(x)
+        tables |= {"X/indptr": np.searchsorted(i, np.arange(12_346)), "X/indices": j, "X/data": x[i, j]}
+    else:
+        tables["X"] = x
+    np.savez(tmp_path / "d.npz", **tables)
+    got = h5ad.read_h5ad(spark, str(tmp_path / "d.npz"))
+    assert got.entries.rdd.getNumPartitions() == 3
+    entries = {(r["cell_id"], r["pos"]): r["value"] for r in got.entries.collect()}
+    assert entries == {(int(a), int(b)): x[a, b] for a, b in zip(*np.nonzero(x), strict=True)}
+    assert [r["feature_name"] for r in got.features.orderBy("pos").collect()] == [f"g{j}" for j in range(7)]
+    assert got.cells.filter("cell_id = 12344").first()["cell_key"] == "c12344" and got.cells.count() == 12_345
+    with pytest.raises(Exception, match="has no labels"):
+        spark.read.format("h5ad").option("what", "labels").load(str(tmp_path / "d.npz"))
+
+
+def test_entries_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(h5ad, "ENTRIES", 5)
+    x = {"indptr": np.array([0, 3, 3, 9, 11]), "indices": np.arange(11), "data": np.r_[0.0, np.ones(10)]}
+    parts = list(h5ad.entries_of(x, 0, 4))
+    assert len(parts) == 3 and np.concatenate([p[0] for p in parts]).tolist() == [0, 0, 2, 2, 2, 2, 2, 2, 3, 3]
+    assert np.concatenate([p[1] for p in h5ad.entries_of(x, 2, 4)]).tolist() == list(range(3, 11))
