@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_map
 from .matrix import block, sum_vectors, vectors
 
 #: Centres are rounded so, between steps: sums in another order of rows then give the same clusters.
@@ -101,7 +102,7 @@ def lloyd_all(cells: DataFrame, starts: Sequence[dict[int, np.ndarray]], steps:
             if len(used):
                 yield pa.RecordBatch.from_arrays([pa.array(used), vectors(flat[used])], ["key", "x"])
 
-        got = sum_vectors(cells.select(F.col(by).cast("int").alias("g"), "x").mapInArrow(run, "key bigint, x array<double>")).toArrow()
+        got = sum_vectors(arrow_map(cells.select(F.col(by).cast("int").alias("g"), "x"), run, "key bigint, x array<double>")).toArrow()
         after = [{k: v.copy() for k, v in s.items()} for s in now]
         for key, x in zip(got["key"].to_pylist(), got["x"], strict=True):
             n, k, c = names[key]
@@ -144,7 +145,7 @@ def spread(cells: DataFrame, centres: Sequence[np.ndarray]) -> np.ndarray:
             total += [((x - c[assigned(x, c)]) ** 2).sum() for c in shared.value]
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), vectors(total[None, :])], ["key", "x"])
 
-    rows = sum_vectors(cells.select("x").mapInArrow(run, "key bigint, x array<double>")).toArrow()
+    rows = sum_vectors(arrow_map(cells.select("x"), run, "key bigint, x array<double>")).toArrow()
     return rows["x"][0].values.to_numpy() if len(rows) else np.zeros(len(centres))
 
 
@@ -169,7 +170,7 @@ def cluster_of(cells: DataFrame, centres: Mapping[int, np.ndarray], by: str = "l
                 out[group == k] = assigned(x[group == k], c)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "cluster"])
 
-    return cells.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", cluster int")
+    return arrow_map(cells, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", cluster int")
 
 
 def nearest_in_class(cells: DataFrame, centres: Mapping[int, np.ndarray], k: int, by: str = "label") -> DataFrame:
@@ -199,7 +200,7 @@ def nearest_in_classes(cells: DataFrame, centres: Sequence[Mapping[int, np.ndarr
             columns = [*zip(*out, strict=True)] or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["start", "g", "cluster", "cell_id", "d"])
 
-    near = cells.select(F.col(by).cast("int").alias("g"), "cell_id", "x").mapInArrow(run, "start int, g int, cluster int, cell_id bigint, d double")
+    near = arrow_map(cells.select(F.col(by).cast("int").alias("g"), "cell_id", "x"), run, "start int, g int, cluster int, cell_id bigint, d double")
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("start", "g", "cluster").orderBy("d", "cell_id"))).filter(F.col("rank") <= k)
     return ranked.select("start", F.col("g").alias(by), "cluster", "cell_id", "rank")
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_map
+
 
 def to_coordinates(cells: DataFrame, keep_zeros: bool = False) -> DataFrame:
     rows = cells.select("cell_id", F.posexplode("x").alias("pos", "value"))
@@ -66,7 +68,7 @@ def map_blocks(cells: DataFrame, fn: Callable[[np.ndarray], np.ndarray], width:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), vectors(fn(block(batch.column(at), width)))], [*names, out])
 
-    return cells.mapInArrow(run, schema)
+    return arrow_map(cells, run, schema)
 
 
 def cell_count(cells: DataFrame) -> Column:
@@ -97,4 +99,4 @@ def sum_vectors(parts: DataFrame) -> DataFrame:
         if total is not None:
             yield row()
 
-    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, x array<double>")
+    return arrow_map(parts.repartition("key").sortWithinPartitions("key"), run, "key bigint, x array<double>")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_map
 from ..functions.vectors import minkowski
 from .matrix import block
 
@@ -95,4 +96,4 @@ def nearest_pattern(cells: DataFrame, patterns: DataFrame | Patterns) -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[best].astype(np.int32)), pa.array(classes[best].astype(np.int32)), pa.array(wrong.astype(np.int64)), pa.array(p[best].sum(axis=1).astype(np.int64))], [*batch.schema.names, "pattern_id", "cls", "mismatches", "active"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
-    return cells.mapInArrow(run, f"{fields}, pattern_id int, cls int, mismatches bigint, active bigint")
+    return arrow_map(cells, run, f"{fields}, pattern_id int, cls int, mismatches bigint, active bigint")

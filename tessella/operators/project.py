@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_map
 from .matrix import block, map_blocks, sum_vectors, vectors
 
 #: Most features of a matrix of products, which the driver decomposes: 512 MB. Its rows are summed so many at a time.
@@ -66,7 +67,7 @@ def gram(cells: DataFrame, width: int) -> np.ndarray:
         for k in range(0, width, ROWS):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), vectors(total[k : k + ROWS, k:].reshape(1, -1))], ["key", "x"])
 
-    rows = sum_vectors(cells.select("x").mapInArrow(run, "key bigint, x array<double>")).toArrow()
+    rows = sum_vectors(arrow_map(cells.select("x"), run, "key bigint, x array<double>")).toArrow()
     out = np.zeros((width, width))
     for k, x in zip(rows["key"].to_pylist(), rows["x"], strict=True):
         out[k : k + ROWS, k:] = x.values.to_numpy().reshape(-1, width - k)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_map
 from . import cluster, evaluate
 from .matrix import block
 from .memory import Settings, recall_block
@@ -33,7 +34,7 @@ def judge_all(cells: DataFrame, configs: Sequence[tuple[Patterns, Settings]]) ->
                 best = np.round(d, 9).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), batch["label"], pa.array(classes[best].astype(np.int32)), pa.array((y != p[best]).sum(axis=1)), pa.array(np.full(len(x), width, np.int32))], ["config", "label", "predicted", "mismatches", "width"])
 
-    return cells.select(F.col("label").cast("int").alias("label"), "x").mapInArrow(run, "config int, label int, predicted int, mismatches bigint, width int")
+    return arrow_map(cells.select(F.col("label").cast("int").alias("label"), "x"), run, "config int, label int, predicted int, mismatches bigint, width int")
 
 
 def sweep_settings(cells: DataFrame, patterns: DataFrame | Patterns, betas: Iterable[float], steps: Iterable[int], threshold: float = 0.0) -> DataFrame:
