@@ -22,7 +22,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, texts
+from ..arrow import arrow_map
+from .common import documents, texts
 
 #: Words, and fragments within words, that a worker remembers in each of two generations.
 REMEMBERED = 125_000

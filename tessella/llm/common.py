@@ -1,11 +1,9 @@
-"""What the operators of this subpackage share: the shared folder, Arrow limits, byte kernels."""
+"""What the operators of this subpackage share: tables in the shared folder, lookups without hot keys, byte kernels."""
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..arrow import BATCH_BYTES, settings
 from ..sources.store import shared_dir
 
-#: Rows and bytes of an Arrow batch that goes to a Python worker. Long texts stay whole: a batch holds one row at least.
-BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 #: Bits of a filter of ids, as a power of two, and those of one of its rows. It is 8 MB whatever the data, so it is always broadcast.
 FILTER_BITS, ROW_BITS = 26, 15
 #: Keys that are looked up by a broadcast because very many rows ask for them, at most.
@@ -27,24 +24,27 @@ class Workspace:
     """Named Parquet tables in the shared folder. They cut lineage and survive lost executors.
 
     Spark deletes the shuffle files of a table's query once the table is written. The tables are deleted when the application
-    ends in good order, unless they are to be kept.
+    ends in good order.
     """
 
-    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
-        self.spark, self.keep, self.root = spark, keep, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
+    def folder(self, name: str) -> str:
+        """A path for files that go with the workspace."""
+        system, path = self._path(name)
+        system.deleteOnExit(path)
+        return f"{self.root}/{name}"
+
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write df as a table and read it back."""
-        path = f"{self.root}/{name}"
+        path = self.folder(name)
         with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
             df.write.mode("overwrite").parquet(path)
-        if not self.keep:
-            system, there = self._path(name)
-            system.deleteOnExit(there)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -54,19 +54,6 @@ class Workspace:
             system.delete(path, True)
 
 
-@contextlib.contextmanager
-def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
-    """The session's settings, changed within the block only."""
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each lengthened until no column is called so (upper and lower case are one)."""
     taken, out = {c.lower() for c in columns}, []
@@ -137,34 +124,6 @@ def running(store: Workspace, name: str, df: DataFrame, order: list[F.Column], s
     return joined.select(*(column(c) for c in df.columns), *((F.col(k) + F.col(f"{k}_")).alias(k) for k in sums))
 
 
-def limit_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound the Arrow batches of this session, so that a worker holds a few megabytes of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow under this subpackage's batch limits. A worker gives back what it has freed when its task ends."""
-    limit_batches(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from fn(batches)
-        finally:
-            give_back()
-
-    return df.mapInArrow(run, schema)
-
-
-def give_back() -> None:
-    """Return freed memory to the system, so that idle workers, which are kept for later tasks, don't hold it."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        return
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

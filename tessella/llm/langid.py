@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_bucket, documents, texts
+from ..arrow import arrow_map
+from .common import crc_bucket, documents, texts
 
 #: Dimensions of all vectors, and the seed of the letters' vectors.
 DIMENSIONS, SEED = 1024, 11
@@ -132,9 +133,9 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=-1, keepdims=True), 1e-12)
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The columns of docs with lang_pred and score; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], into: tuple = ("lang_pred", "score")) -> DataFrame:
+    """The columns of docs with the language said and its score; columns of these two names are replaced."""
+    docs = docs.drop(*into)
     names = list(prototypes)
     profiles = unit(np.stack([*prototypes.values()])) if names else np.zeros((0, DIMENSIONS))
     centred = unit(profiles - profiles.mean(axis=0)) if len(names) > 1 else profiles
@@ -154,7 +155,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
 
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema), "p string", "s double"])
-    return arrow_map(inner, run, schema).toDF(*docs.columns, "lang_pred", "score")
+    return arrow_map(inner, run, schema).toDF(*docs.columns, *into)
 
 
 def op6_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents
+from ..arrow import arrow_map
+from .common import documents
 
 # The payload's unit and padding byte; packet size, streams, sample rate and mark of our sample format.
 UNIT, PAD = 576, b"\xff"

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, documents, texts
+from ..arrow import arrow_map
+from .common import documents, texts
 
 # The kinds in their order, keywords, expressions and least lengths of the base, and the checksummed tokens.
 KINDS = ("assign", "access", "hex", "checked")
@@ -115,14 +116,16 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every secret replaced by the mark, n_chars following if there is such a column; null texts stay null."""
 
+    at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keywords = automaton()
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            clean = [t and redacted(t, scan_text(t, keywords), mark) for t in batch["text"].to_pylist()]
+            clean = [t and redacted(t, scan_text(t, keywords), mark) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at).with_type(pa.string()), pa.array(clean, pa.string()))
 
-    out = arrow_map(docs, run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    out = arrow_map(inner, run, T.StructType([T.StructField(f.name, f.dataType) for f in inner.schema])).toDF(*docs.columns)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
 

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_view, crc_bucket, documents, prefix_hash, span_hash, word_spans
+from ..arrow import arrow_map
+from .common import byte_view, crc_bucket, documents, prefix_hash, span_hash, word_spans
 
 #: Labelled texts that teach, at most; features kept; lengths of beginnings in bytes; fewest texts with a feature.
 TAUGHT, FEATURES, BEGINNINGS, LEAST_TEXTS = 20_000, 512, (4, 5, 6), 5
