@@ -6,11 +6,13 @@ source's documents are taken in the order of the keys, and a prefix sum stops at
 of the id, so reruns agree.
 
 No task sorts a source. Keys fall into a fixed number of bins; the sums of the bins show in which bin the budget ends,
-and only the rows of that one bin of each source are ordered.
+and only the rows of that one bin of each source are ordered. What comes of it is a plan, a row for each source: whole epochs, and
+the last key, id and size that the rest of the budget reaches. Any scan can tell from it what a document gives, so texts
+are never joined with their share.
 
 Edge cases: a null text has no words and is never taken; null sources form one source, the last; a null id draws by its
-text; rows with equal ids and texts draw equal keys and are ordered by size; a source without words has target 0;
-an empty table gives an empty result.
+text; rows that are equal in key, id and size are taken together or not at all; a source without words has target 0; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents
+from .common import Workspace, column, documents, fresh, look_up, running
 
 #: Weights dealt to the sources in turn, the words wanted in all as a share of all words, and the most epochs of a source.
 WEIGHTS, TOTAL, EPOCHS = (5, 2, 1), 1.5, 2.0
@@ -30,61 +32,113 @@ BROADCAST_SOURCES = 10_000
 WORD, SYMBOL = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
 
 
-def measure(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, source, size in words and key of each row. Quality is the share of words among words and symbols."""
+def bin_of(key: F.Column) -> F.Column:
+    return F.least(F.floor((1 - F.exp(-key)) * BINS), F.lit(BINS - 1)).cast("int")
+
+
+def source_name() -> F.Column:
+    """The source after a mark, so that the null source has a name too."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
+
+
+def measure(docs: DataFrame, seed: int = 7, into: tuple = ("size", "key")) -> DataFrame:
+    """docs with size in words and key of each row. Quality is the share of words among words and symbols."""
     text = F.coalesce(F.col("text"), F.lit(""))
     drawn = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(text.cast("binary"))))
-    u = (F.conv(F.substring(F.md5(drawn.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.regexp_count(text, F.lit(SYMBOL)).alias("symbols"), u.alias("u"))
-    quality = (F.col("size") + 1.0) / (F.col("size") + F.col("symbols") + 1.0)
-    return rows.select("doc_id", "source", "size", (-F.log("u") / quality).alias("key"))
+    u, symbols = fresh([*docs.columns, *into], "u", "symbols")
+    size, key = into
+    rows = docs.withColumns({size: F.regexp_count(text, F.lit(WORD)).cast("bigint"), symbols: F.regexp_count(text, F.lit(SYMBOL)), u: (F.conv(F.substring(F.md5(drawn.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)})
+    quality = (F.col(size) + 1.0) / (F.col(size) + F.col(symbols) + 1.0)
+    return rows.select(*(column(c) for c in docs.columns), size, (-F.log(u) / quality).alias(key))
 
 
-def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, epochs: float = EPOCHS) -> DataFrame:
-    """source, source_size and target from source and source_size.
+def targets(store: Workspace, sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, epochs: float = EPOCHS) -> DataFrame:
+    """source, source_size, target and n from source, source_size and n.
 
     A source gets its weight's share until it reaches ``epochs`` times its size; the excess is shared again among the
     others. The end of that is: min(cap, level * weight), with one level for all. Sources fill up in the order of
     cap / weight, so the level follows from prefix sums in that order.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(epochs)))
-    fill = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy(F.lit(1))
-    wanted = F.least(F.sum("source_size").over(every) * F.lit(float(total)), F.sum("cap").over(every))
-    rows = rows.withColumn("level", (wanted - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
+    rows = running(store, "dealt", sizes, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    rows = rows.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(epochs))).withColumn("fill", F.col("cap") / F.col("weight"))
+    rows = running(store, "filled", rows.drop("rank"), [F.col("fill").asc(), F.col("source").asc_nulls_last()], {"caps": F.col("cap"), "weights": F.col("weight")})
+    every = rows.agg(F.sum("source_size").alias("words"), F.sum("cap").alias("caps"), F.sum("weight").alias("weights")).first()
+    wanted = min((every["words"] or 0) * float(total), every["caps"] or 0.0)
+    level = (F.lit(wanted) - F.col("caps")) / (F.lit(every["weights"] or 0.0) - F.col("weights"))
     # The first source, in this order, that the level doesn't fill sets the level of all after it.
-    rows = rows.withColumn("open", F.col("cap") > F.col("level") * F.col("weight"))
-    level = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(every)["level"]
-    return rows.select("source", "source_size", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap")).alias("target"))
+    first = rows.withColumn("level", level).filter(F.col("cap") > F.col("level") * F.col("weight")).agg(F.min(F.struct("fill", "level")).alias("open")).first()["open"]
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(first["level"]) * F.col("weight"))
+    return rows.select("source", "source_size", target.alias("target"), "n")
 
 
-def mix(spark: SparkSession, docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, total: float = TOTAL, epochs: float = EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of each row."""
+def plan(spark: SparkSession, rows: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, epochs: float = EPOCHS) -> tuple[DataFrame, int | None]:
+    """Of each source of measured rows: name, source_size, target, whole epochs, and what the rest of the budget reaches; the number of rows if the table is too large to broadcast.
+
+    name is the source after a mark, so that the null source has one too. until: the bin on which the budget ends, null if it
+    takes all; last: the last (key, doc_id, size) in that bin that is taken, null if none is.
+    """
     store = Workspace(spark, "mix")
-    bin_of = F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")
-    rows = store.put("rows", measure(docs, seed).withColumn("bin", bin_of))
-    bins = store.put("bins", rows.groupBy("source", "bin").agg(F.sum("size").alias("words")))
-    sources = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, epochs)
-    sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
+    rows = store.put("rows", rows.select("doc_id", "source", "size", "key", bin_of(F.col("key")).alias("bin")))
+    bins = store.put("bins", rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n")))
+    sources = targets(store, bins.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n")), weights, total, epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
+    sources = sources.select(source_name().alias("name"), "source_size", "target", "n", whole.alias("whole"))
     sources = store.put("sources", sources.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
-    small = sources.count() <= BROADCAST_SOURCES
+    known = sources.agg(F.count("*").alias("sources"), F.sum("n").alias("n")).first()
+    many = None if known["sources"] <= BROADCAST_SOURCES else known["n"]
     # Bins before the last are taken whole; "rest" is what the last bin may still give.
-    until = F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    ends = bins.withColumn("until", until).alias("b").join(F.broadcast(sources) if small else sources, same(bins, sources)).filter(F.col("until") > F.col("budget"))
-    ends = ends.groupBy(sources["source"]).agg(F.min(F.struct("bin", (F.col("budget") - F.col("until") + F.col("words")).alias("rest"))).alias("end"))
-    plan = store.put("plan", sources.alias("s").join(ends.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left").select("s.*", F.col("end.bin").alias("end_bin"), F.col("end.rest").alias("rest")).withColumnRenamed("source", "its_source"))
-    joined = rows.join(F.broadcast(plan) if small else plan, rows["source"].eqNullSafe(plan["its_source"]))
-    last = joined.filter(F.col("bin") == F.col("end_bin"))
-    run = F.sum("size").over(W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
-    # The document on which the budget ends is taken if more than half of it fits.
-    last = last.withColumn("extra", (run - F.col("size") / 2.0 < F.col("rest")).cast("bigint"))
-    others = joined.filter(F.col("end_bin").isNull() | (F.col("bin") != F.col("end_bin")))
-    others = others.withColumn("extra", ((F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin"))) & (F.col("budget") > 0)).cast("bigint"))
-    return others.unionByName(last).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
+    until = F.sum("words").over(W.partitionBy("name").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    ends = with_plan(bins.select(source_name().alias("name"), "bin", "words").withColumn("until", until), sources, many).filter(F.col("until") > F.col("budget"))
+    ends = ends.groupBy("name").agg(F.min(F.struct("bin", (F.col("budget") - F.col("until") + F.col("words")).alias("rest"))).alias("end"))
+    ends = store.put("ends", ends.join(sources.select("name", "n"), "name"))
+    inside = with_plan(rows.select("doc_id", "size", "key", "bin", source_name().alias("name")), ends, many).filter(F.col("bin") == F.col("end.bin"))
+    # Equal rows are one; the document on which the budget ends is taken if more than half of it fits.
+    peers = inside.groupBy("name", "key", "doc_id", "size", "end").agg(F.sum("size").alias("words"))
+    before = F.coalesce(F.sum("words").over(W.partitionBy("name").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = peers.withColumn("before", before).filter(F.col("before") + F.col("size") / 2.0 < F.col("end.rest")).groupBy("name").agg(F.max(F.struct("key", "doc_id", "size")).alias("last"))
+    out = sources.join(ends.select("name", F.col("end.bin").alias("until")), "name", "left").join(last, "name", "left")
+    return store.put("plan", out), many
+
+
+def with_plan(rows: DataFrame, table: DataFrame, many: int | None, name: str = "name") -> DataFrame:
+    """rows with what the table says of their name."""
+    table = table.withColumnRenamed("name", name)
+    if many is not None:
+        return look_up(rows, name, table, many)
+    return rows.join(F.broadcast(table.drop("n")), name, "left")
+
+
+def epochs_of(key: F.Column, doc_id: F.Column, size: F.Column, told: F.Column) -> F.Column:
+    """How often the mix takes a document, from its source's plan (a struct)."""
+    bin_ = bin_of(key)
+    reached = F.coalesce(F.struct(key.alias("key"), doc_id.alias("doc_id"), size.alias("size")) <= told["last"], F.lit(False))
+    extra = told["until"].isNull() | (bin_ < told["until"]) | ((bin_ == told["until"]) & reached)
+    return told["whole"] + (extra & (told["budget"] > 0)).cast("bigint")
+
+
+def mix(spark: SparkSession, docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, total: float = TOTAL, epochs: float = EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of each row."""
+    rows = Workspace(spark, "measured").put("rows", measure(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", "size", "key"))
+    table, many = plan(spark, rows, weights, total, epochs)
+    told = table.select("name", F.struct("source_size", "target", "whole", "budget", "until", "last").alias("told"), "n")
+    joined = with_plan(rows.withColumn("name", source_name()), told, many)
+    times = epochs_of(F.col("key"), F.col("doc_id"), F.col("size"), F.col("told"))
+    return joined.select("doc_id", "source", "size", F.col("told.source_size").alias("source_size"), F.col("told.target").alias("target"), (F.col("size") * times).alias("taken"))
+
+
+def repeated(spark: SparkSession, docs: DataFrame, seed: int = 7) -> DataFrame:
+    """docs with each row as often as the mix takes it; rows without words go. Columns of any name stay as they are."""
+    columns = docs.columns
+    size, key, name, told, times, time = fresh(columns, "size", "key", "name", "told", "times", "time")
+    table, many = plan(spark, measure(docs.select("doc_id", "source", "text"), seed))
+    told_of = table.select("name", F.struct("whole", "budget", "until", "last").alias(told), "n")
+    rows = with_plan(measure(docs, seed, (size, key)).withColumn(name, source_name()), told_of, many, name)
+    rows = rows.withColumn(times, F.when(F.col(size) > 0, epochs_of(F.col(key), F.col("doc_id"), F.col(size), F.col(told))).otherwise(0).cast("int"))
+    copies = rows.filter(F.col(times) > 0).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return copies.select(*(column(c) for c in columns))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +161,8 @@ filling AS (
 levelled AS (SELECT arg_min(level, cap / weight) AS level FROM filling WHERE cap > level * weight),
 targets AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM levelled) * weight), cap) AS target FROM filling),
 planned AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
-running AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM keyed)
+running AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS before FROM keyed)
 SELECT r.doc_id, r.size, p.source_size, round(p.target, 6) AS target,
-    (r.size * (p.whole + (r.run - r.size / 2.0::DOUBLE < p.target - p.whole * p.source_size)::INT))::BIGINT AS taken
+    (r.size * (p.whole + (r.before + r.size / 2.0::DOUBLE < p.target - p.whole * p.source_size)::INT))::BIGINT AS taken
 FROM running r JOIN planned p ON r.source IS NOT DISTINCT FROM p.source
 """
