@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; run() writes each stage's result
 to the shared folder and reads it back as the next one's docs. All but the last return the columns of documents.
 
-Rows without an id pass every stage as single documents; null texts are rejected by the first stage; an empty table passes
-as an empty table.
+Rows without an id pass the second stage as single documents, and the mix draws them by their text; null texts are rejected by
+the first stage; an empty table passes as an empty table; further columns, whatever their names, pass all stages but the last
+as they are.
 """
 
 from __future__ import annotations
@@ -13,15 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, langid, mixing, secrets, setjoin
-from tessella.llm.common import Workspace
-
-#: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-
-
-def lookup(ids: DataFrame) -> DataFrame:
-    """A written table of ids as the side of a join: broadcast if its size, counted first, allows it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+from tessella.llm.common import Workspace, column, fresh, id_filter, marked
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,23 +23,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     No score rejects a document: what is in a language or script that wasn't taught stays too, and its lang is a taught one.
     """
     columns = docs.columns
-    found = langid.predict(docs, langid.learn(docs))
-    kept = found.filter(F.col("lang_pred") != langid.UNKNOWN)
-    return kept.withColumn("lang", F.col("lang_pred")).select(*columns)
+    said, score = fresh(columns, "lang_pred", "score")
+    kept = langid.predict(docs, langid.learn(docs), (said, score)).filter(F.col(said) != langid.UNKNOWN)
+    return kept.select(*(F.col(said).alias(c) if c == "lang" else column(c) for c in columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least id stays, once."""
+    """Of each class of linked documents the one with the least id stays, once.
+
+    A filter of fixed size tells which texts may have to go; only those are moved to be compared with the ids.
+    """
     columns = docs.columns
+    mark, of = fresh(columns, "mark", "of")
     store = Workspace(spark, "classes")
     ids = store.put("ids", setjoin.join(spark, docs).filter("doc_id is not null"))
-    others = store.put("others", ids.filter("doc_id <> class_id").select("doc_id").distinct())
-    kept = docs.join(lookup(others), "doc_id", "left_anti").select(*columns)
-    repeated = ids.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    others = store.put("others", ids.filter("doc_id <> class_id").select(F.col("doc_id").alias(of)).distinct())
+    rows = marked(docs, "doc_id", store.put("bits", id_filter(F.col(of), others)), mark)
+    asked = rows.filter(F.col(mark)).join(others, F.col("doc_id") == F.col(of), "left_anti")
+    kept = rows.filter(~F.col(mark)).unionByName(asked).select(*(column(c) for c in columns))
+    repeated = ids.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(of))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*columns)
+    repeated = store.put("repeated", repeated)
+    rows = marked(kept, "doc_id", store.put("repeated-bits", id_filter(F.col(of), repeated)), mark)
+    once = rows.filter(F.col(mark)).dropDuplicates(["doc_id"])
+    return rows.filter(~F.col(mark)).unionByName(once).select(*(column(c) for c in columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +57,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    columns = docs.columns
-    taken = mixing.mix(spark, docs).filter("size > 0 and doc_id is not null").groupBy("doc_id").agg((F.max("taken") / F.max("size")).cast("int").alias("times"))
-    rows = docs.join(lookup(Workspace(spark, "taken").put("taken", taken)), "doc_id", "left").withColumn("times", F.coalesce("times", F.when(F.col("doc_id").isNull(), 1).otherwise(0)))
-    return rows.withColumn("time", F.explode(F.when(F.col("times") > 0, F.sequence(F.lit(1), F.col("times"))).otherwise(F.array().cast("array<int>")))).select(*columns)
+    return mixing.repeated(spark, docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
