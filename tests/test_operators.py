@@ -111,6 +111,13 @@ def test_element_and_order(spark):
         V.element("x", "THIRD")
 
 
+def test_bipolar_threshold_and_hamming(spark):
+    x, y = F.array(*map(F.lit, [0.0, 0.5, 1.0])), F.array(*map(F.lit, [0.0, 1.0, 1.0]))
+    none = F.array().cast("array<double>")
+    row = spark.range(1).select(V.bipolar(x).alias("b"), V.over(x, 0.5).alias("o"), V.hamming(x, y).alias("h"), V.hamming(none, none).alias("n"), V.half_added(x, y).alias("a")).first()
+    assert row["b"] == [-1, 0, 1] and row["o"] == [0, 0, 1] and row["h"] == pytest.approx(1 / 3) and row["n"] is None and row["a"] == [0, 1, 1.5]
+
+
 def test_softmax_does_not_overflow(spark):
     got = spark.range(1).select(F.array(F.lit(40000.0), F.lit(39999.0)).alias("s")).select(V.softmax("s", 1.0).alias("w")).first()["w"]
     assert got == pytest.approx([1 / (1 + math.exp(-1)), 1 / (1 + math.e)])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.config import Paths, Workflow
+from tessella.config import Inputs, Paths, Workflow
 from tessella.operators import cluster, memory, prepare
 from tessella.plans import workflow
 from tessella.sources.dataset import DataSet, read_dataset, read_features, read_table
@@ -71,3 +71,11 @@ def test_restarts_find_the_clusters(spark):
     assert sorted(round(c[0]) for c in centres) == [0, 10, 20] and cost == pytest.approx(15.0)
     assert cluster.with_restarts(cells.repartition(5), 3, 4, 5)[1] == cost
     assert F is not None
+
+
+def test_paths_and_missing_inputs(spark, tmp_path):
+    (tmp_path / "there").write_text("")
+    there, gone = str(tmp_path / "there"), str(tmp_path / "gone")
+    assert Inputs(there, there, there, gone, there, there, projection=gone).missing(spark) == [gone, gone]
+    paths = Paths("/r/")
+    assert [paths.binarised, paths.aligned, paths.top_features, paths.training, paths.memory] == [f"/r/{n}" for n in ("binarised", "aligned", "top_features", "training", "memory")]
