@@ -8,7 +8,7 @@ piece of least hash: equal strings have equal anchors at equal places, so all st
 hash. Consecutive starts with one anchor form a fragment. Equal fragments, told by a 128-bit digest of their bytes, are
 copies: all but the first are repeats, as each of their strings starts earlier in the first. The first fragments of an
 anchor that has several are concatenated, with their texts, and their Burrows-Wheeler transform is formed (of suffixes
-sorted to 128 bytes, as no prefix beyond LENGTH matters): breadth-first backward extension of intervals derives the lengths
+sorted by their first LENGTH bytes or more, as no longer prefix matters): breadth-first backward extension of intervals derives the lengths
 of the common prefixes of neighbouring suffixes, by increasing length, and stops at LENGTH. What is then still undivided
 are the groups of equal strings; all but the first start of each are repeats.
 
@@ -39,13 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FACTOR, FACTOR_2, INVERSE, Workspace, arrow_map, byte_view, documents, mixed, powers, prefix_hash, row_pieces, span_hash
+from ..arrow import arrow_map
+from .common import FACTOR, FACTOR_2, INVERSE, Workspace, byte_view, documents, mixed, powers, prefix_hash, row_pieces, span_hash
 from .setjoin import bounds
 
 #: Bytes of a repeat; bytes of an anchor.
 LENGTH, ANCHOR = 100, 32
 #: Bytes of text hashed at once; bytes that are transformed at once; most fragments of an anchor that isn't crowded, so that they fit.
-PIECE, CHUNK, MANY = 1 << 19, 1 << 19, 3000
+PIECE, CHUNK, MANY = 1 << 16, 1 << 19, 1000
 #: Bins of the sketch, as a power of two. A bin is heavy above so many times the mean, and above this share of a partition's rows.
 SKETCH_BITS, ABOVE_MEAN, OF_PARTITION = 18, 2, 0.1
 #: Keys that are broadcast as heavy, at most; parts in which copies are merged before they meet.
@@ -293,26 +294,39 @@ def fetch(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes in the order of their first 128 bytes, at least LENGTH; what is equal so far stays in any order."""
+    """Suffixes in the order of their first LENGTH bytes or more; what is equal so far stays in any order.
+
+    Ranks by a few bytes are doubled in reach; a rank, that of what follows and the place are sorted as one number.
+    """
     n = len(text)
-    key = text.astype(np.uint64)
-    for shift in (1, 2, 4):
-        key <<= np.uint64(8 * shift)
-        key[: n - shift] |= key[shift:] >> np.uint64(8 * shift)
-    reach = 8
+    width = n.bit_length()
+    if 3 * width > 63:
+        raise ValueError(f"{n} bytes are too many to transform at once")
+    place, mask = np.arange(n, dtype=np.uint64), np.uint64((1 << width) - 1)
+    there = np.zeros(256, bool)
+    there[text] = True
+    number = np.cumsum(there).astype(np.uint64)  # from 1, as 0 stands for the end
+    letter, bits = number[text], int(number[-1]).bit_length()
+    reach = (64 - width) // bits
+    key = letter.copy()
+    for k in range(1, reach):
+        key <<= np.uint64(bits)
+        key[: n - k] |= letter[k:]
+    key = key << np.uint64(width) | place
     while True:
-        order = np.argsort(key)
+        key.sort()
+        order = (key & mask).astype(np.int64)
         if reach >= LENGTH:
             return order
-        ordered = key[order]
-        step = np.zeros(n, np.uint32)
-        np.cumsum(ordered[1:] != ordered[:-1], out=step[1:])
+        key >>= np.uint64(width)
+        step = np.zeros(n, np.uint64)
+        np.cumsum(key[1:] != key[:-1], out=step[1:])
         if step[-1] == n - 1:
             return order
-        rank = np.empty(n, np.uint32)
+        rank = np.empty(n, np.uint64)
         rank[order] = step
-        key = rank.astype(np.uint64) << np.uint64(32)
-        key[: n - reach] |= rank[reach:].astype(np.uint64) + np.uint64(1)
+        key = rank << np.uint64(2 * width) | place
+        key[: n - reach] |= (rank[reach:] + np.uint64(1)) << np.uint64(width)
         reach *= 2
 
 
@@ -336,20 +350,22 @@ def undivided(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     earlier[stable[1:][same]] = stable[:-1][same]
     divided = np.zeros(n + 1, bool)
     divided[[0, n]] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n - 1)
+    low, high = np.zeros(1, np.int32), np.full(1, n - 1, np.int32)
     for _ in range(LENGTH):
+        one = low == high
+        alone = step[low[one]]
+        low, high = low[~one], high[~one]
         size = high - low + 1
         ends = np.cumsum(size)
-        place = np.arange(ends[-1]) - np.repeat(ends - size - low, size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - size), size)
         last = after[place] > np.repeat(high, size)
         first = earlier[place] < np.repeat(low, size)
-        # First and last places of a byte in an interval, paired by interval and byte.
-        of = np.repeat(np.arange(len(low)), size)
-        ends_at, begins_at = place[last], place[first]
-        by = lambda x, which: np.argsort(of[which] * 256 + before[x], kind="stable")
-        new_low, new_high = step[begins_at[by(begins_at, first)]], step[ends_at[by(ends_at, last)]]
-        fresh = ~divided[new_high + 1]
-        low, high = new_low[fresh].astype(np.int64), new_high[fresh].astype(np.int64)
+        # An extended interval goes from the step of its byte's first place to that of its last. Those of one length are
+        # disjoint, so in order the first places belong to the last ones.
+        low = np.sort(np.concatenate([alone, step[place[first]]]))
+        high = np.sort(np.concatenate([alone, step[place[last]]]))
+        fresh = ~divided[high + 1]
+        low, high = low[fresh], high[fresh]
         if not len(low):
             break
         divided[high + 1] = True
@@ -559,3 +575,19 @@ def op8_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = deduplicate(spark, documents(spark, sf_dir))
     size = F.octet_length("raw").cast("bigint")
     return done.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.coalesce(F.size("runs"), F.lit(0)).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: op8_interval_expansion in DuckDB: all strings of 100 bytes, as hex, ordered by document and start.
+ORACLE = r"""
+WITH told AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+strings AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM told WHERE n >= 100)),
+again AS (SELECT doc_id, p FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+begun AS (SELECT doc_id, p, p > coalesce(max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100, -1) AS new FROM again),
+numbered AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM begun),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY 1),
+kept AS (SELECT g.doc_id, string_agg(substr(h, 2 * g.a + 1, 2 * (coalesce(g.b, n) - g.a)), '' ORDER BY g.a) AS h FROM gaps g JOIN told USING (doc_id) GROUP BY 1),
+gone AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM told t LEFT JOIN gone USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
