@@ -226,3 +226,15 @@ def per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])
     return sums[at[1:]] - sums[at[:-1]]
+
+
+def crc32_sql(hexed: str, size: str) -> str:
+    """DuckDB SQL for the CRC-32 of ``size`` bytes given as hex digits."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    byte = f"list_transform(range({size}), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::UBIGINT)"
+    step = f"lambda crc, b: xor(({table}::UBIGINT[])[((xor(crc, b) & 255) + 1)::INT], crc >> 8)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {byte}), {step}), 4294967295::UBIGINT)::BIGINT"

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..arrow import arrow_map
-from .common import documents, texts
+from .common import crc32_sql, documents, texts
 
 # The kinds in their order, keywords, expressions and least lengths of the base, and the checksummed tokens.
 KINDS = ("assign", "access", "hex", "checked")
@@ -138,3 +138,32 @@ def digests(scanned: DataFrame) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(scan(documents(spark, sf_dir)))
+
+
+def _matches_sql(kind: str, pattern: str, group: int = 0) -> str:
+    """Table expressions: a span for each match of a kind. Before the k-th match stand k parts between matches and k - 1 matches."""
+    return f"""{kind}_found AS (SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS parts, regexp_extract_all(t, '{pattern}') AS found, regexp_extract_all(t, '{pattern}', {group}) AS value FROM told),
+{kind}_spans AS (SELECT doc_id, '{kind}' AS kind, {KINDS.index(kind) + 1} AS turn, value[k] AS value, len(found[k]) AS size, (len(array_to_string(parts[1:k], '')) + len(array_to_string(found[1:k - 1], '')))::BIGINT AS a FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM {kind}_found))"""
+
+
+def _oracle() -> str:
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    assign = f"""(?:{"|".join(map(either, ("password", "passwd", "secret", "token")))}|{either("api")}_?{either("key")})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    digits = " || ".join(f"substr('{DIGITS}', (crc // {62**k} % 62 + 1)::INT, 1)" for k in range(5, -1, -1))
+    return f"""
+WITH told AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_matches_sql("assign", assign, 1)},
+{_matches_sql("access", "AKIA[A-Z0-9]+")},
+{_matches_sql("hex", "[0-9a-f]{24,}")},
+{_matches_sql("checked", "(?:gh[pousr]|npm)_([A-Za-z0-9]{36,})", 1)},
+issued AS (SELECT *, {crc32_sql("hex(encode(substr(value, 1, 30)))", "30")} AS crc FROM checked_spans WHERE len(value) = 36),
+spans AS (SELECT doc_id, kind, turn, a, a + size AS b FROM assign_spans WHERE len(value) >= {LEAST_VALUE} UNION ALL SELECT doc_id, kind, turn, a, a + size FROM access_spans WHERE size >= {LEAST_ACCESS}
+    UNION ALL SELECT doc_id, kind, turn, a, a + size FROM hex_spans UNION ALL SELECT doc_id, kind, turn, a, a + size FROM issued WHERE {digits} = substr(value, 31)),
+joined AS (SELECT doc_id, count(*) FILTER (turn = 1) AS n_assign, count(*) FILTER (turn = 2) AS n_access, count(*) FILTER (turn = 3) AS n_hex,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, turn) FILTER (turn <= 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, turn) AS spans FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM told LEFT JOIN joined USING (doc_id)
+"""
+
+
+#: op3_secret_scan in DuckDB: the expressions over whole texts, without the automaton.
+ORACLE = _oracle()

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FACTOR, Workspace, arrow_map, byte_view, documents, id_filter, look_up, marked, mixed, prefix_hash, row_pieces, span_hash, windows, word_spans
+from ..arrow import arrow_map
+from .common import FACTOR, Workspace, byte_view, documents, id_filter, look_up, marked, mixed, prefix_hash, row_pieces, span_hash, windows, word_spans
 
 #: Words of a shingle; least similarity; probability to meet a pair at that similarity.
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -404,3 +405,18 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark, documents(spark, sf_dir))
+
+
+#: op10_chosen_path_join in DuckDB: all pairs that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE common.n >= 0.8::DOUBLE * (x.n + y.n - common.n)),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT a AS doc_id, a AS other FROM edges UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other),
+classes AS (SELECT doc_id, min(other) AS class_id FROM reached GROUP BY 1),
+links AS (SELECT a AS doc_id, count(*) AS n_links FROM edges GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links FROM documents LEFT JOIN classes USING (doc_id) LEFT JOIN links USING (doc_id)
+"""

@@ -4,6 +4,9 @@ Records are hashed into a fixed number of slots, bytes are summed per slot, and
 holds each slot. Rebalancing edits that table: it moves as few slots as it can and never rehashes a record.
 The law kept is ``bytes``: the shards' sizes are near equal.
 
+A data set's map lives in a folder of its own, a version each time it is edited; versions are never overwritten. Who shards
+again loads the last version, and a new one is stored only if a slot has to move.
+
 Edge cases: a null text has size 1 (its one end byte) and the CRC of no bytes; a null id is hashed by its text's CRC
 instead; repeated rows get a place each; an empty table gives an empty result; other columns are ignored.
 """
@@ -14,17 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents
+from ..sources.store import exists
+from .common import Workspace, crc32_sql, documents
 
 #: Number of virtual slots. It never changes while a data set lives, and bounds the slot map, which is broadcast.
 SLOTS = 8192
+#: By how much a shard may exceed an equal share before a stored map is edited.
+TOLERANCE = 0.01
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual slot of each row."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return rows.withColumn("vslot", F.pmod(F.xxhash64(F.coalesce("doc_id", "text_crc32")), F.lit(slots)).cast("int"))
+    hashed = F.md5(F.coalesce("doc_id", "text_crc32").cast("string").cast("binary"))
+    return rows.withColumn("vslot", (F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint") % slots).cast("int"))
 
 
 def slot_totals(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -39,15 +46,43 @@ def first_map(totals: DataFrame, shards: int) -> DataFrame:
     return totals.select(F.lit(0).alias("version"), "vslot", (F.col("vslot") % shards).alias("shard"), "bytes", "rows")
 
 
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version of the map stored below path; None if there is none. Unfinished versions don't count."""
+    if not exists(spark, path):
+        return None
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(where)]
+    versions = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and exists(spark, f"{path}/{n}/_SUCCESS"))
+    return spark.read.parquet(f"{path}/version={versions[-1]}").withColumn("version", F.lit(versions[-1])) if versions else None
+
+
+def publish(spark: SparkSession, path: str, slot_map: DataFrame, version: int) -> DataFrame:
+    """Store a map as this version, which must be new, and read it back."""
+    slot_map.select("vslot", "shard", "bytes", "rows").coalesce(1).write.parquet(f"{path}/version={version}")
+    return latest(spark, path)
+
+
+def refreshed(slot_map: DataFrame, totals: DataFrame) -> DataFrame:
+    """The map with the slots' present bytes and rows; no slot moves."""
+    return slot_map.select("version", "vslot", "shard").join(F.broadcast(totals), "vslot").select("version", "vslot", "shard", "bytes", "rows")
+
+
+def uneven(slot_map: DataFrame, shards: int, tolerance: float = TOLERANCE) -> bool:
+    """Whether a shard exceeds an equal share by more than the tolerance, or the number of shards has changed."""
+    loads = [r["bytes"] for r in slot_map.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()]  # a row for each shard
+    return len(loads) != shards or max(loads) > sum(loads) / shards * (1 + tolerance)
+
+
 def rebalance(slot_map: DataFrame, shards: int) -> DataFrame:
     """The next version, edited towards equal bytes.
 
     Each shard keeps its largest slots as far as they fit into an equal share; the excess goes, largest slot first,
-    to the shard that is lightest at that moment. Slots that no shard has to give stay where they are.
+    to the shard that is lightest at that moment. Slots that no shard has to give stay where they are; those of a shard that
+    is no more all go.
     """
     share = F.sum("bytes").over(W.partitionBy(F.lit(1))) / shards
     held = F.sum("bytes").over(W.partitionBy("shard").orderBy(F.desc("bytes"), "vslot").rowsBetween(W.unboundedPreceding, 0))
-    judged = slot_map.withColumn("stays", (held <= share) | (F.col("bytes") == 0))
+    judged = slot_map.withColumn("stays", (F.col("shard") < shards) & ((held <= share) | (F.col("bytes") == 0)))
     lightest = "array_position(s.loads, array_min(s.loads))"
     moves = (
         judged.agg(
@@ -88,14 +123,45 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     return rows.withColumn("inside", inside).join(F.broadcast(lookup), "vslot").withColumn("slot", F.col("before") + F.col("inside") - 1)
 
 
-def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
-    """Place every row; the maps of both versions stay in the shared folder."""
-    rows = Workspace(spark, "shards").put("rows", with_slots(docs, slots))
-    store = Workspace(spark, "slot-map", keep=True)
-    first = store.put("version=0", first_map(slot_totals(rows, slots), shards))
-    return place(rows, store.put("version=1", rebalance(first, shards)))
+def shard(spark: SparkSession, docs: DataFrame, path: str | None = None, shards: int = 8, slots: int = SLOTS) -> DataFrame:
+    """Place every row by the map stored below path, which is made at first and edited when shards have grown apart.
+
+    Without a path the map lives as long as the application.
+    """
+    store = Workspace(spark, "shards")
+    path = path or store.folder("slot-map")
+    rows = store.put("rows", with_slots(docs, slots))
+    totals = store.put("totals", slot_totals(rows, slots))
+    last = latest(spark, path)
+    if last is None:
+        last = publish(spark, path, first_map(totals, shards), 0)
+    current = refreshed(last, totals)
+    if uneven(current, shards):
+        current = refreshed(publish(spark, path, rebalance(current, shards), last.first()["version"] + 1), totals)
+    return place(rows, current)
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(spark, documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+#: op7_virtual_slots in DuckDB: slots dealt round, then edited slot by slot in a recursion whose state is the shards' loads.
+ORACLE = f"""
+WITH RECURSIVE told AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+measured AS (SELECT doc_id, len(h) // 2 + 1 AS size, {crc32_sql("h", "len(h) // 2")} AS text_crc32 FROM told),
+slotted AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id, text_crc32)::VARCHAR), 1, 8))::BIGINT % {SLOTS})::INT AS vslot FROM measured),
+totals AS (SELECT s.range::INT AS vslot, coalesce(sum(size), 0)::BIGINT AS bytes, count(size) AS rows FROM range({SLOTS}) s LEFT JOIN slotted ON vslot = s.range GROUP BY 1),
+dealt AS (SELECT *, vslot % 8 AS shard, sum(bytes) OVER () / 8 AS share, sum(bytes) OVER (PARTITION BY vslot % 8 ORDER BY bytes DESC, vslot ROWS UNBOUNDED PRECEDING) AS held, sum(bytes) OVER (PARTITION BY vslot % 8) AS load FROM totals),
+judged AS (SELECT *, (SELECT max(load) <= {1 + TOLERANCE}::DOUBLE * max(share) FROM dealt) OR held <= share OR bytes = 0 AS stays FROM dealt),
+pool AS (SELECT vslot, bytes, row_number() OVER (ORDER BY bytes DESC, vslot) AS turn FROM judged WHERE NOT stays),
+moves AS (
+    SELECT 0::BIGINT AS turn, (SELECT list(load ORDER BY shard) FROM (SELECT shard, sum(CASE WHEN stays THEN bytes ELSE 0 END)::BIGINT AS load FROM judged GROUP BY 1)) AS loads, NULL::INT AS vslot, NULL::INT AS shard
+    UNION ALL
+    SELECT p.turn, list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + p.bytes ELSE v END), p.vslot, (list_position(loads, list_min(loads)) - 1)::INT
+    FROM moves m JOIN pool p ON p.turn = m.turn + 1),
+placed AS (SELECT j.vslot, coalesce(m.shard, j.shard)::INT AS shard, rows FROM judged j LEFT JOIN moves m USING (vslot)),
+counted AS (SELECT vslot, shard, coalesce(sum(rows) OVER (PARTITION BY shard ORDER BY vslot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (before + row_number() OVER (PARTITION BY s.vslot ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, NULL::INT AS grown_shard, s.vslot
+FROM slotted s JOIN counted USING (vslot)
+"""
