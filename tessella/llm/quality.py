@@ -1,16 +1,20 @@
 """Quality rules: a hashed n-gram log-likelihood ratio, after counts that any reader can check.
 
-Words and pairs of words are hashed into a fixed number of bins. Two multinomials over the bins are counted, one over the
-trusted target (documents labelled good), one over the whole raw corpus; a document's ratio is the mean, over its n-grams,
-of the difference of the bins' log probabilities. Every document is judged by the same fixed threshold: no sampling.
+Words and pairs of words are hashed into bins, whose number grows as the square root of the corpus's bytes. Two multinomials
+over the bins are counted, one over the trusted target (documents labelled good), one over the whole raw corpus; a document's
+ratio is the mean, over its n-grams, of the difference of the bins' log probabilities. Every document is judged by one
+threshold: no sampling. A quarter of the labelled documents, by the CRC-32 of the id, doesn't teach the target but sets the
+threshold, where the weighted shares of good documents below and of bad ones above it are least.
 
 Words are runs of bytes other than ASCII white space. Edge cases: a null or empty text has no words, ratio 0, and fails
-the base rules; long texts are counted whole; repeated rows repeat; without a trusted document both multinomials are flat
-over the same bins and the ratio is that of the raw corpus to a flat target; an empty table gives an empty result.
+the base rules; long texts are counted whole; repeated rows repeat, and teach as often as they stand there; labels without an
+id or a quality say nothing, and of different labels of one id the worse counts; without a trusted document the target is
+flat; without good and bad documents that set it, the threshold is FALLBACK; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow_map, byte_view, documents, per_row, prefix_hash, span_hash, windows, word_spans
+from ..arrow import arrow_map
+from .common import SPACE, Workspace, byte_view, crc_bucket, documents, id_filter, marked, per_row, prefix_hash, span_hash, windows, word_spans
 
-#: Bins of the n-grams (as a power of two), n-grams counted, the least ratio of a kept document.
-BITS, GRAMS, LEAST_RATIO = 14, (1, 2), -0.2
-#: Up to so many ids of trusted documents are broadcast; more are joined by a shuffle. All of them teach the target.
-BROADCAST_IDS = 500_000
+#: Fewest bins of the n-grams (as a power of two), n-grams counted.
+LEAST_BITS, GRAMS = 12, (1, 2)
+#: The threshold: parts of an id's CRC-32, that part which sets it, how much a good document dropped counts against a bad one
+#: kept (as shares of either kind), steps of a ratio of 1, and the threshold where labels say nothing.
+PARTS, SETS, GOOD_WEIGHT, STEPS, FALLBACK = 4, 3, 4.0, 1000, -0.2
 #: Base rules: least words, words of a repeated window, most of the words in such windows in percent.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 
@@ -72,49 +78,59 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray]
     return counts, hashes, rows
 
 
-def grams(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gram_bits(size: int) -> int:
+    """The bits of a bin's number for a corpus of so many bytes: about sqrt(size) bins, 16 million for 100 TB."""
+    return max(LEAST_BITS, math.ceil(math.log2(max(size, 1)) / 2))
+
+
+def grams(hashes: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bins and rows of all n-grams."""
     bins, of = [], []
     for n in GRAMS:
         h, first = windows(hashes, rows, n)
-        bins.append((h >> np.uint64(64 - BITS)).astype(np.int64))
+        bins.append((h >> np.uint64(64 - bits)).astype(np.int64))
         of.append(rows[first])
     return np.concatenate(bins), np.concatenate(of)
 
 
-def count_grams(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Counts of the bins: row 0 over all documents, row 1 over all those in trusted (column doc_id, distinct)."""
+def count_grams(docs: DataFrame, bits: int) -> np.ndarray:
+    """Counts of the bins over all texts of docs. A task sends a row for each bin at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BITS), np.int64)
+        sums = np.zeros(1 << bits, np.int64)
         for batch in batches:
             data, at = byte_view(batch["text"])
             starts, ends, rows = word_spans(data, at)
-            bins, of = grams(span_hash(prefix_hash(data), starts, ends), rows)
-            good = batch["good"].to_numpy(zero_copy_only=False).astype(bool)
-            sums[0] += np.bincount(bins, minlength=1 << BITS)
-            sums[1] += np.bincount(bins[good[of]], minlength=1 << BITS)
-        full = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[0][full]), pa.array(sums[1][full])], ["bin", "raw", "target"])
-
-    good = trusted.select("doc_id", F.lit(True).alias("good"))
-    marked = docs.join(F.broadcast(good) if trusted.count() <= BROADCAST_IDS else good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    # A task sends at most one row for each bin.
-    rows = arrow_map(marked, run, "bin bigint, raw bigint, target bigint").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    out = np.zeros((2, 1 << BITS))
-    out[0, rows["bin"].to_numpy()], out[1, rows["bin"].to_numpy()] = rows["raw"].to_numpy(), rows["target"].to_numpy()
+            bins, _ = grams(span_hash(prefix_hash(data), starts, ends), rows, bits)
+            np.add.at(sums, bins, 1)
+        full = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[full])], ["bin", "n"])
+
+    rows = arrow_map(docs.select("text"), run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.int64)
+    out[rows["bin"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
-def log_ratios(counts: np.ndarray) -> np.ndarray:
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Of each bin, the log of its probability in the target over that in the raw corpus, with one added to each count."""
-    raw, target = counts + 1.0
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw, target = raw + 1.0, target + 1.0
+    return (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
+
+
+def learn(store: Workspace, docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """The bins' log ratios: the texts of trusted ids (column good_id, distinct) against all texts.
+
+    The raw side is counted without a join. Of the other side only texts that pass a filter of fixed size are moved.
+    """
+    bits = gram_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    near = marked(docs, "doc_id", store.put("bits", id_filter(F.col("good_id"), trusted)), "near").filter("near")
+    return log_ratios(count_grams(docs, bits), count_grams(near.join(trusted, F.col("doc_id") == F.col("good_id"), "left_semi"), bits))
 
 
 def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     """doc_id, base counts and ratio of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    shared, bits = docs.sparkSession.sparkContext.broadcast(ratios), len(ratios).bit_length() - 1
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +138,7 @@ def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
         for batch in batches:
             data, at = byte_view(batch["text"])
             counts, hashes, rows = base_counts(data, at)
-            bins, of = grams(hashes, rows)
+            bins, of = grams(hashes, rows, bits)
             n = len(at) - 1
             ratio = np.bincount(of, weights=weights[bins], minlength=n) / np.maximum(np.bincount(of, minlength=n), 1)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(counts[x].astype(np.int64)) for x in names), pa.array(ratio)], ["doc_id", *names, "ratio"])
@@ -130,13 +146,41 @@ def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, " + "".join(f"{x} bigint, " for x in names) + "ratio double")
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_id of all documents labelled good."""
-    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+def qualities(labels: DataFrame) -> DataFrame:
+    """labelled_id, its quality, and whether it sets the threshold instead of teaching the target."""
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("labelled_id")).agg(F.min("quality").alias("quality"))
+    return known.withColumn("sets", crc_bucket("labelled_id", PARTS) == SETS)
+
+
+def threshold(judged: DataFrame, labelled: DataFrame) -> float:
+    """The ratio at which the weighted shares of good documents below and bad ones not below it are least; the middle of such ratios."""
+    known = judged.filter("not base_failed").join(labelled.filter("sets"), F.col("doc_id") == F.col("labelled_id"))
+    # Ratios lie within a few times ten, so their steps are a bounded table.
+    steps = known.groupBy(F.floor(F.col("ratio") * STEPS).alias("step")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")).orderBy("step").toArrow()
+    step, good, bad = (steps[c].to_numpy() for c in ("step", "good", "bad"))
+    if not good.sum() or not bad.sum():
+        return FALLBACK
+    below = np.append(0, np.cumsum(good)) / good.sum()
+    above = 1 - np.append(0, np.cumsum(bad)) / bad.sum()
+    loss = GOOD_WEIGHT * below + above
+    best = np.flatnonzero(loss <= loss.min() + 1e-12)
+    # A cut before the k-th step lies anywhere above the step before it.
+    k = int(best[0])
+    high = step[k] if k < len(step) else step[-1] + 1
+    low = step[k - 1] + 1 if k else step[0]
+    return float(low + high) / 2 / STEPS
+
+
+def verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, base counts, ratio, base_failed and kept of each row."""
+    store = Workspace(spark, "quality")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    labelled = store.put("labelled", qualities(labels))
+    ratios = learn(store, docs, labelled.filter("quality = 1 and not sets").select(F.col("labelled_id").alias("good_id")))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    judged = store.put("judged", judge(docs, ratios).withColumn("base_failed", failed))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold(judged, labelled)))
 
 
 def op5_log_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    ratios = log_ratios(count_grams(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return judge(docs, ratios).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= LEAST_RATIO))
+    return verdicts(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
