@@ -23,10 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def temporary(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends in good order."""
+    """A new folder in the shared one, deleted when the application ends in good order."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.mkdirs(where)  # what isn't there can't be registered
+    system.deleteOnExit(where)
     return path
 
 

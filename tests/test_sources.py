@@ -64,6 +64,12 @@ def test_published_once_for_each_setting(spark, tmp_path):
     assert store.missing(spark, [str(tmp_path / "no"), str(tmp_path)]) == [str(tmp_path / "no")]
 
 
+def test_temporary_folders_go_with_the_application(spark):
+    path = spark._jvm.org.apache.hadoop.fs.Path(store.temporary(spark, "t"))
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    assert system.exists(path) and system.cancelDeleteOnExit(path) and system.delete(path, True)
+
+
 def test_csv_with_an_index(spark, tmp_path):
     (tmp_path / "m.csv").write_text(",celltype,n\nc.1,Ast,3\nc.2,,4\n")
     rows = text.read_indexed(spark, str(tmp_path / "m.csv"), "celltype string, n int")
