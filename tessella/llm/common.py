@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..arrow import BATCH_BYTES, settings
-from ..sources.store import shared_dir
+from ..sources.store import temporary
 
 #: Bits of a filter of ids, as a power of two, and those of one of its rows. It is 8 MB whatever the data, so it is always broadcast.
 FILTER_BITS, ROW_BITS = 26, 15
@@ -28,16 +27,10 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+        self.spark, self.root = spark, temporary(spark, name)
 
     def folder(self, name: str) -> str:
         """A path for files that go with the workspace."""
-        system, path = self._path(name)
-        system.deleteOnExit(path)
         return f"{self.root}/{name}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
@@ -50,8 +43,8 @@ class Workspace:
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
-            system, path = self._path(name)
-            system.delete(path, True)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(name))
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
