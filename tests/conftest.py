@@ -1,22 +1,17 @@
 import os
-import sys
+from pathlib import Path
 
 import pytest
+from pyspark.sql import SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
-
-from pyspark.sql import SparkSession  # noqa: E402
+SETTINGS = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false"}
 
 
 @pytest.fixture(scope="session")
 def spark():
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false"}
-    builder = SparkSession.builder.master("local[4]")
-    for k, v in conf.items():
-        builder = builder.config(k, v)
-    session = builder.getOrCreate()
+    # Python workers import the package, too.
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).parents[1]), os.environ.get("PYTHONPATH")]))
+    session = SparkSession.builder.master("local[4]").config(map=SETTINGS).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
