@@ -588,6 +588,19 @@ def test_mix(spark):
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in sizes)
 
 
+def test_mix_of_many_sources(spark, frame, monkeypatch):
+    """Sources too many to broadcast are looked up, with the same result; the mix and its copies agree."""
+    rng = random.Random(16)
+    docs = frame([(i, "w " * rng.randrange(12), "en", None if i % 11 == 0 else f"s{rng.randrange(40) if i % 2 else 0}", 0) for i in range(600)])
+    first = sorted(map(repr, mixing.mix(spark, docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    monkeypatch.setattr(common, "HEAVY_KEYS", 5)
+    rows = mixing.mix(spark, docs).collect()
+    assert sorted(map(repr, rows)) == first
+    copies = collections.Counter(r["doc_id"] for r in mixing.repeated(spark, docs).collect())
+    assert copies == collections.Counter({r["doc_id"]: r["taken"] // r["size"] for r in rows if r["taken"]})
+
+
 def test_mix_with_null_source_and_one_source(spark, frame):
     docs = frame([(i, "w " * (i + 1), "en", s, 0) for i, s in enumerate(["a", "a", None, "b", None])])
     got = mixing.mix(spark, docs).collect()
