@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -80,14 +80,13 @@ class ForcedBoundaryBpe:
 
     @staticmethod
     def ids(model, fragment: str) -> bytes:
-        return np.array([t.id for t in model.tokenize(fragment)], np.int32).tobytes()
+        return array("i", [t.id for t in model.tokenize(fragment)]).tobytes()
 
     def fragments(self, letters: str) -> list[str]:
         """Letters of a word, cut at all forced boundaries."""
-        if self.inside.issuperset(map(add, letters, letters[1:])):
-            return [letters]
-        cuts = [i for i, pair in enumerate(map("".join, pairwise(letters)), 1) if pair not in self.inside]
-        return [letters[a:b] for a, b in pairwise([0, *cuts, len(letters)])]
+        inside = self.inside
+        cuts = [i for i in range(1, len(letters)) if letters[i - 1 : i + 1] not in inside]
+        return [letters[a:b] for a, b in pairwise([0, *cuts, len(letters)])] if cuts else [letters]
 
     def encode_word(self, word: str) -> bytes:
         *middle, last = self.fragments(word if word.isascii() and word.isalnum() else "".join(self.letters[b] for b in word.encode()))
@@ -102,6 +101,12 @@ class ForcedBoundaryBpe:
             words, text = self.words, unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return b"".join(map(self.encoded.__getitem__, words.findall(text.lower())))
 
+    def forget(self) -> None:
+        """Drop the words remembered, so that an idle worker holds the vocabulary alone."""
+        for store in (self.encoded, self.middles):
+            store.clear()
+            store.old = {}
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers. Special tokens' strings in the text become their ids."""
         if "<|" not in text or not self.specials:
@@ -143,6 +148,7 @@ def encode(docs: DataFrame, vocabulary: bytes) -> DataFrame:
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), np.int32))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
+        model.forget()
 
     return arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, ids array<int>")
 
@@ -173,6 +179,7 @@ def round_trip(docs: DataFrame, vocabulary: bytes) -> DataFrame:
             decoded = pa.array([decoder.decode(i.tolist()) for i in ids], pa.string())
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], lists, decoded], ["doc_id", "ids", "decoded"])
+        encoder.forget()
 
     return arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, ids array<int>, decoded string")
 
