@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = store.put("ids", setjoin.join(spark, docs).filter("doc_id is not null"))
     others = store.put("others", ids.filter("doc_id <> class_id").select(F.col("doc_id").alias(of)).distinct())
     rows = marked(docs, "doc_id", store.put("bits", id_filter(F.col(of), others)), mark)
-    asked = rows.filter(F.col(mark)).join(others, F.col("doc_id") == F.col(of), "left_anti")
+    asked = rows.filter(F.col(mark)).join(others.hint("merge"), F.col("doc_id") == F.col(of), "left_anti")
     kept = rows.filter(~F.col(mark)).unionByName(asked).select(*(column(c) for c in columns))
     repeated = ids.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(of))
     if repeated.isEmpty():
