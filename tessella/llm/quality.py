@@ -125,7 +125,7 @@ def learn(store: Workspace, docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """
     bits = gram_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     near = marked(docs, "doc_id", store.put("bits", id_filter(F.col("good_id"), trusted)), "near").filter("near")
-    return log_ratios(count_grams(docs, bits), count_grams(near.join(trusted, F.col("doc_id") == F.col("good_id"), "left_semi"), bits))
+    return log_ratios(count_grams(docs, bits), count_grams(near.join(trusted.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi"), bits))
 
 
 def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:

@@ -384,7 +384,7 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     held = held.withColumn("others", F.expr(f"if(parts is null, array(0L), flatten(transform({steps}, s -> transform(sequence(0L, parts[s] - 1), p -> {at('s', 'p')}))))"))
     held = store.put("held", held.select("rep", "root", "copies", "mine", "others", F.col("parts").isNotNull().alias("split")))
     near = marked(docs, "doc_id", store.put("held-bits", id_filter(F.col("rep"), held)), "near").filter("near").select("doc_id", "text")
-    texts = near.join(held, F.col("doc_id") == F.col("rep"))
+    texts = near.join(held.hint("merge"), F.col("doc_id") == F.col("rep"))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     spread = texts.withColumn("other", F.explode("others"))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
