@@ -13,8 +13,11 @@ Documents are sets of word shingles; two are linked if the Jaccard similarity of
    by then are compared with each other, in blocks of bounded size, so a large node loses no pair. For sets that stay
    unlike this takes of the order of n * n comparisons of tokens in a node of n sets.
 4. Pairs that look alike join their sets to candidate groups (connected components). Within each group all sets are
-   compared exactly, in blocks of bounded size, from the texts. Blocks yield counts of links and a spanning forest,
-   never the pairs.
+   compared exactly, in blocks of bounded size, from the texts; a group larger than a block is cut by size first, and only
+   sets of neighbouring sizes meet, as others can't be linked. Blocks yield counts of links and a spanning forest, never the
+   pairs.
+
+Ids pass a filter of fixed size before tokens or texts are moved, and no key of a join makes a task of its own (see common).
 
 Edge cases: a document of fewer words than a shingle is one shingle of all its words; null and wordless texts have no
 links and are a class of their own; rows without an id are linked to nothing but are counted as copies, and have class
