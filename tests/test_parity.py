@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from jobs import registry as jobs
 from tessella.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
@@ -25,7 +26,7 @@ def rows(names, values):
     return sorted((tuple(tidy(r[i]) for i in order) for r in values), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES | jobs.ORACLES))
 def test_same_rows(spark, duck, name):
     got = contract.queries()[name](spark, SF)
     expected = duck.sql(contract.oracle_sql()[name])
