@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Workflow
 from ..operators import cluster, matrix, prepare, project
-from ..sources import dataset, store, text
+from ..sources import dataset, h5ad, store, text
 from . import tables as T
 from . import workflow
 from .catalogue import _BASIS, _PROJECTED, W, as_text, query, rounded
@@ -84,6 +84,24 @@ def data_set_as_tables(spark: SparkSession, d: str) -> DataFrame:
     return joined.agg(F.count("value").alias("entries"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 6).alias("total"))
 
 
+@query(f"{W}{T.SQL_COUNTS} SELECT s_name AS cell_key, p_name AS feature_name, round(value, 6) AS value FROM counts JOIN supplier ON cell_id = s_suppkey JOIN part ON pos = p_partkey WHERE value <> 0")
+def matrix_as_h5ad(spark: SparkSession, d: str) -> DataFrame:
+    """A data set as .h5ad files, a range of cells in each, and read back by ranges of rows. The shared folder must be one that tasks can open."""
+    path = store.temporary(spark, "h5ad")
+    h5ad.write_h5ad(_data_set(spark, d), path, "s_name")
+    back = h5ad.read_h5ad(spark, path)
+    named = back.entries.join(back.cells, "cell_id").join(F.broadcast(back.features), "pos")
+    return named.select("cell_key", "feature_name", F.round("value", 6).alias("value"))
+
+
+@query("SELECT p_name AS feature_name, (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS pos FROM part")
+def features_of_h5ad(spark: SparkSession, d: str) -> DataFrame:
+    """The names of features in a file, without a read of its matrix."""
+    path = store.temporary(spark, "h5ad")
+    h5ad.write_h5ad(_data_set(spark, d), path, "s_name")
+    return h5ad.read_h5ad(spark, path).features
+
+
 @query("SELECT p_name AS feature_name, p_partkey AS pos FROM part")
 def features_alone(spark: SparkSession, d: str) -> DataFrame:
     """The names of a stored data set, without a read of its matrix."""

@@ -1,42 +1,70 @@
-"""Annotated matrices in HDF5 (.h5ad) as a Spark data source: row ranges are partitions, so no process holds the matrix.
+"""Annotated matrices in HDF5 (.h5ad) as a Spark data source, in and out; no process holds the matrix.
 
-Needs h5py, and a path that all executors can open. Sparse (rows by indptr) and dense X are read.
+Reading: a path is a file, or a folder of files that are one data set, cell after cell in the order of their names. Partitions are
+ranges of a file's rows (of columns, where X is stored by columns), and a task reads the chunks of its range only. Sparse and
+dense X are read. Writing: each task writes one whole file with a range of the cells, and Spark's commit gives the files their
+names; a task that is lost leaves nothing that a reader sees.
+
+The path must be one that all executors can open.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .dataset import DataSet
+from .hdf5 import Dataset, File
+from .hdf5_parts import Parts
 
-#: Rows of a partition; entries of a batch, at most a row more.
-ROWS, ENTRIES = 5000, 1 << 20
+#: Rows of a partition; entries of a batch, at most a row more; elements of a chunk that is written.
+ROWS, ENTRIES, CHUNK = 5000, 1 << 20, 1 << 16
+#: Names of features that go with each file: a dictionary's worth of text.
+MOST_NAMES_BYTES = 64 << 20
 SCHEMAS = {"entries": "cell_id bigint, pos int, value double", "cells": "cell_id bigint, cell_key string", "features": "feature_name string, pos int"}
 
 
-def opened(path: str):
-    import h5py
+def local(path: str) -> str:
+    """A path that open() takes; other file systems can't be opened by tasks."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path} is in no file system that tasks can open")
+    return path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
+
 
-    return h5py.File(path.removeprefix("file://"), "r")
+def files_at(path: str) -> list[str]:
+    """The file itself, or those of a folder by name."""
+    path = local(path)
+    if not os.path.isdir(path):
+        return [path]
+    return [os.path.join(path, n) for n in sorted(os.listdir(path)) if n.endswith(".h5ad") and not n.startswith((".", "_"))]
 
 
-def index_of(table):
+def index_of(table) -> Dataset:
     """The names of a table's rows: the column that its attribute _index names."""
     return table[table.attrs.get("_index", "_index")]
 
 
-def names_of(table, first: int, end: int) -> list[str]:
-    return [n.decode() if isinstance(n, bytes) else str(n) for n in index_of(table)[first:end]]
+def by_columns(x) -> bool:
+    """Whether a sparse X is stored column after column."""
+    return not isinstance(x, Dataset) and x.attrs.get("encoding-type", x.attrs.get("h5sparse_format", "csr")).startswith("csc")
 
 
 class Rows(InputPartition):
-    def __init__(self, first: int, end: int):
-        super().__init__((first, end))
+    """A range of a file's rows, or columns, and the number of cells before the file."""
+
+    def __init__(self, path: str, first: int, end: int, before: int):
+        super().__init__((path, first, end, before))
 
 
 class H5adReader(DataSourceReader):
@@ -44,24 +72,36 @@ class H5adReader(DataSourceReader):
         self.path, self.what = path, what
 
     def partitions(self) -> list[Rows]:
-        with opened(self.path) as file:
-            n = len(index_of(file["var" if self.what == "features" else "obs"]))
-        return [Rows(a, min(a + ROWS, n)) for a in range(0, n, ROWS)] or [Rows(0, 0)]
+        out, before = [], 0
+        for path in files_at(self.path):
+            with File.opened(path) as file:
+                cells = len(index_of(file["obs"]))
+                across = self.what == "features" or (self.what == "entries" and by_columns(file["X"]))
+                n = len(index_of(file["var"])) if across else cells
+            out += [Rows(path, a, min(a + ROWS, n), before) for a in range(0, n, ROWS)]
+            before += cells
+            if self.what == "features":
+                break  # all files of a data set have the same
+        return out or [Rows("", 0, 0, 0)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        first, end = partition.value
-        with opened(self.path) as file:
+        path, first, end, before = partition.value
+        if first == end:
+            return
+        with File.opened(path) as file:
             if self.what == "features":
-                yield pa.RecordBatch.from_arrays([pa.array(names_of(file["var"], first, end), pa.string()), pa.array(np.arange(first, end, dtype=np.int32))], ["feature_name", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(index_of(file["var"])[first:end], pa.string()), pa.array(np.arange(first, end, dtype=np.int32))], ["feature_name", "pos"])
             elif self.what == "cells":
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, end, dtype=np.int64)), pa.array(names_of(file["obs"], first, end), pa.string())], ["cell_id", "cell_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(before + first, before + end, dtype=np.int64)), pa.array(index_of(file["obs"])[first:end], pa.string())], ["cell_id", "cell_key"])
             else:
-                for cell, pos, value in entries_of(file["X"], first, end):
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(value.astype(np.float64))], ["cell_id", "pos", "value"])
+                x = file["X"]
+                for row, column, value in entries_of(x, first, end):
+                    cell, pos = (column, row) if by_columns(x) else (row, column)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64) + before), pa.array(pos.astype(np.int32)), pa.array(value.astype(np.float64))], ["cell_id", "pos", "value"])
 
 
 def entries_of(x, first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Cells, positions and values of rows that aren't zero, a bounded number at a time."""
+    """Rows, columns and values of the rows' entries that aren't zero, a bounded number at a time (of columns, if X is stored by columns)."""
     if hasattr(x, "shape"):
         step = max(1, ENTRIES // max(x.shape[1], 1))
         for a in range(first, end, step):
@@ -69,17 +109,113 @@ def entries_of(x, first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray
             i, j = np.nonzero(part)
             yield i + a, j, part[i, j]
         return
-    ends = np.asarray(x["indptr"][first : end + 1]).astype(np.int64)
+    indptr, indices, data = x["indptr"], x["indices"], x["data"]
+    ends = np.asarray(indptr[first : end + 1]).astype(np.int64)
     a = first
     while a < end:
         b = max(a + 1, first + int(np.searchsorted(ends, ends[a - first] + ENTRIES, "right")) - 1)
         own = ends[a - first : b - first + 1]
-        value = np.asarray(x["data"][own[0] : own[-1]])
-        cell, pos = np.repeat(np.arange(a, b), np.diff(own)), np.asarray(x["indices"][own[0] : own[-1]])
-        yield cell[value != 0], pos[value != 0], value[value != 0]
+        value = np.asarray(data[own[0] : own[-1]])
+        row, column = np.repeat(np.arange(a, b), np.diff(own)), np.asarray(indices[own[0] : own[-1]])
+        yield row[value != 0], column[value != 0], value[value != 0]
         a = b
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """A task's file under its first name, its place among the files, and its rows."""
+
+    made: str
+    number: int
+    rows: int
+
+
+class Column:
+    """A data set that grows by values, a chunk at a time."""
+
+    def __init__(self, parts: Parts, kind: str):
+        self.parts, self.kind, self.chunks, self.length, self.held = parts, np.dtype(kind), [], 0, []
+
+    def add(self, values: np.ndarray) -> None:
+        self.held.append(values.astype(self.kind))
+        self.length += len(values)
+        if sum(map(len, self.held)) >= CHUNK:
+            self._write(CHUNK)
+
+    def _write(self, least: int) -> None:
+        rest = np.concatenate(self.held)
+        while len(rest) >= least and len(rest):
+            own, rest = rest[:CHUNK], rest[CHUNK:]
+            self.chunks.append(self.parts.chunk(np.concatenate([own, np.zeros(CHUNK - len(own), self.kind)])))
+        self.held = [rest]
+
+    def close(self, **attributes: str) -> int:
+        if self.held:
+            self._write(1)
+        return self.parts.column(self.kind, self.length, self.chunks, CHUNK, attributes)
+
+
+def names_column(parts: Parts, names: list[str]) -> int:
+    encoded = [n.encode() for n in names]
+    column = Column(parts, f"S{max(map(len, encoded), default=1) or 1}")
+    if encoded:
+        column.add(np.array(encoded))
+    return column.close(**{"encoding-type": "string-array", "encoding-version": "0.2.0"})
+
+
+def frame(parts: Parts, names: list[str]) -> int:
+    """A table with an index alone."""
+    told = {"_index": "_index", "encoding-type": "dataframe", "encoding-version": "0.2.0", "column-order": np.zeros(0)}
+    return parts.group({"_index": names_column(parts, names)}, told)
+
+
+class H5adWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, features: list[str], overwrite: bool):
+        self.path, self.features, self.overwrite = local(path), features, overwrite
+        self.run = uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        """One file from (cell_key, positions, values) of a range of cells."""
+        os.makedirs(self.path, exist_ok=True)
+        context = TaskContext.get()
+        made = os.path.join(self.path, f".{self.run}-{context.taskAttemptId()}")
+        keys: list[str] = []
+        with open(made, "wb") as sink:
+            parts = Parts(sink)
+            indptr, indices, data = Column(parts, "<i8"), Column(parts, "<i4"), Column(parts, "<f8")
+            indptr.add(np.zeros(1))
+            for batch in iterator:
+                keys += batch["cell_key"].to_pylist()
+                ends = batch["positions"].value_lengths().to_numpy(zero_copy_only=False)
+                indptr.add(data.length + np.cumsum(ends))
+                indices.add(batch["positions"].flatten().to_numpy(zero_copy_only=False))
+                data.add(batch["values"].flatten().to_numpy(zero_copy_only=False))
+            shape = np.array([len(keys), len(self.features)])
+            sparse = {"encoding-type": "csr_matrix", "encoding-version": "0.1.0", "shape": shape}
+            x = parts.group({"data": data.close(), "indices": indices.close(), "indptr": indptr.close()}, sparse)
+            root = {"X": x, "obs": frame(parts, keys), "var": frame(parts, self.features)}
+            parts.close(parts.group(root, {"encoding-type": "anndata", "encoding-version": "0.1.0"}))
+        return Written(made, context.partitionId(), len(keys))
+
+    def commit(self, messages: list[Written | None]) -> None:
+        """Give the files their names, but to those without cells, of which one stays if there is no other; files of an earlier write go before."""
+        told = sorted((m for m in messages if m is not None), key=lambda m: (-m.rows, m.number))
+        kept = [m for m in told if m.rows] or told[:1]
+        if self.overwrite:
+            for path in files_at(self.path):
+                os.remove(path)
+        for m in told:
+            if m in kept:
+                os.rename(m.made, os.path.join(self.path, f"part-{m.number:05d}-{self.run}.h5ad"))
+            else:
+                os.remove(m.made)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.made):
+                os.remove(m.made)
+
+
 class H5ad(DataSource):
     """spark.read.format("h5ad").option("what", "entries" | "cells" | "features").load(path)"""
 
@@ -99,9 +235,34 @@ class H5ad(DataSource):
     def reader(self, schema) -> H5adReader:
         return H5adReader(self.options["path"], self._what())
 
+    def writer(self, schema, overwrite: bool) -> H5adWriter:
+        return H5adWriter(self.options["path"], json.loads(self.options["features"]), overwrite)
+
 
 def read_h5ad(spark: SparkSession, path: str) -> DataSet:
-    """The data set of an .h5ad file; write it as Parquet to read it more than once."""
+    """The data set of a file or folder; write it as Parquet to read it more than once."""
     spark.dataSource.register(H5ad)
     part = lambda what: spark.read.format("h5ad").option("what", what).load(path)
     return DataSet(part("cells"), part("features"), part("entries"))
+
+
+def write_h5ad(data: DataSet, path: str, key: str = "cell_key", files: int | None = None) -> None:
+    """Write a data set as a folder of .h5ad files, cells in the order of cell_id; entries at one place must be one..
+
+    Features take places in the order of their positions. Their names, a dictionary's worth, go to every file; entries go
+    straight from the shuffle that brings a cell's together to the files.
+    """
+    spark = data.cells.sparkSession
+    spark.dataSource.register(H5ad)
+    names = [r[0] for r in data.features.orderBy("pos").select("feature_name").collect()]
+    told = json.dumps(names)
+    if len(told) > MOST_NAMES_BYTES:
+        raise ValueError(f"{len(names)} names of features are more than go with each file")
+    places = data.features.select("pos", (F.row_number().over(W.orderBy("pos")) - 1).alias("place"))
+    held = data.entries.join(places, "pos").groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("value").cast("double").alias("value")))).alias("e"))
+    cells = data.cells.select("cell_id", F.col(key).cast("string").alias("cell_key")).join(held, "cell_id", "left")
+    none = F.array().cast("array<struct<place: int, value: double>>")
+    rows = cells.select("cell_id", F.coalesce("cell_key", F.lit("")).alias("cell_key"), F.coalesce("e", none).alias("e"))
+    ranged = rows.repartitionByRange(files, "cell_id") if files else rows.repartitionByRange("cell_id")
+    shown = ranged.sortWithinPartitions("cell_id").select("cell_key", F.col("e.place").alias("positions"), F.col("e.value").alias("values"))
+    shown.write.format("h5ad").option("features", told).mode("overwrite").save(path)
