@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +68,97 @@ def starts_of(cells: DataFrame, counts: Sequence[Mapping[int, int] | int], by: s
     return [{k: v[: wanted(c, k)] for k, v in table.items()} for c in counts]
 
 
+def spread_starts(cells: DataFrame, counts: Sequence[Mapping[int, int] | int], by: str = "label", rounds: int = 4) -> list[dict[int, np.ndarray]]:
+    """First centres that lie apart, for each of several numbers of clusters, by oversampling in a few passes (k-means||).
+
+    The first candidate of a class is drawn by hashed exponential keys; each further round divides the keys by the squared
+    distance to the nearest candidate and takes the 2 k least, which draws cells by that distance without replacement. A
+    last pass counts the cells nearest to each candidate. Of the candidates the heaviest comes first, then always the one
+    whose weight times squared distance to those chosen is largest, ties by id, so the seeds of fewer clusters are the first
+    of those of more. Ids decide, not partitions; a class with fewer different cells than clusters has fewer centres.
+
+    A task keeps 2 k cells of each class, whatever its rows; the driver holds (1 + 2 k rounds) candidates of a class.
+    """
+    spark = cells.sparkSession
+    most = lambda g: max(wanted(c, g) for c in counts)
+    own = cells.select(F.col(by).cast("int").alias("g"), "cell_id", "x").filter("g is not null")
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def drawn_cells(r: int) -> dict[int, list[tuple[float, int, np.ndarray]]]:
+        """The cells of least keys of each class, given the candidates so far."""
+        shared = spark.sparkContext.broadcast({g: x for g, (_, x) in held.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, list[tuple]] = {}
+            for batch in batches:
+                if not len(batch):
+                    continue
+                group, ids, u = (batch[c].to_numpy(zero_copy_only=False) for c in ("g", "cell_id", "u"))
+                x = block(batch["x"], len(batch["x"][0]))
+                for g in np.unique(group).tolist():
+                    own = np.flatnonzero(group == g)
+                    d = squared(x[own], shared.value[g]).min(axis=1) if g in shared.value else np.ones(len(own))
+                    own, d = own[d > 0], d[d > 0]
+                    keys = -np.log(u[own]) / d
+                    least = np.lexsort((ids[own], keys))[: 2 * most(g) if r else 1]
+                    told = [*best.get(g, ()), *((keys[i], int(ids[own[i]]), x[own[i]]) for i in least)]
+                    best[g] = sorted(told, key=lambda t: t[:2])[: 2 * most(g) if r else 1]
+            rows = [(g, i, k, v) for g, told in best.items() for k, i, v in told]
+            if rows:
+                g, i, k, v = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(i, pa.int64()), pa.array(k, pa.float64()), vectors(np.array(v))], ["g", "cell_id", "key", "x"])
+
+        digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(r), "cell_id").cast("binary")), 1, 8), 16, 10).cast("double")
+        keyed = own.withColumn("u", (digest + 0.5) / F.lit(float(1 << 32)))
+        rows = arrow_map(keyed, run, "g int, cell_id bigint, key double, x array<double>")
+        size = max(2 * most(g) if r else 1 for g in [None, *(k for c in counts if isinstance(c, Mapping) for k in c if k != "default")])
+        ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy("key", "cell_id"))).filter(F.col("rank") <= size)
+        out: dict[int, list] = {}
+        for row in ranked.orderBy("g", "rank").collect():
+            if row["rank"] <= (2 * most(row["g"]) if r else 1):
+                out.setdefault(row["g"], []).append((row["cell_id"], row["x"]))
+        return out
+
+    for r in range(rounds + 1):
+        for g, told in drawn_cells(r).items():
+            ids, x = np.array([i for i, _ in told]), np.array([x for _, x in told], float)
+            held[g] = (np.concatenate([held[g][0], ids]), np.concatenate([held[g][1], x])) if g in held else (ids, x)
+    for g, (ids, x) in held.items():
+        order = np.argsort(ids, kind="stable")  # ties go to the least id
+        held[g] = ids[order], x[order]
+    weights = cells_of(own, {g: x for g, (_, x) in held.items()})
+    chosen = {g: x[apart(x, weights[g], most(g))] for g, (_, x) in held.items()}
+    return [{g: x[: wanted(c, g)] for g, x in chosen.items()} for c in counts]
+
+
+def cells_of(own: DataFrame, centres: Mapping[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """How many cells (g, x) are nearest to each centre of their class; a task sends a number for each."""
+    found = cluster_of(own, centres, "g").groupBy("g", "cluster").agg(F.count("*").alias("n")) if centres else None
+    out = {g: np.zeros(len(c), np.int64) for g, c in centres.items()}
+    for r in found.collect() if found is not None else ():  # a row for each centre
+        out[r["g"]][r["cluster"]] = r["n"]
+    return out
+
+
+def apart(x: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
+    """Rows of x: the heaviest, then always that of largest weight times squared distance to those before; the first of equals."""
+    out: list[int] = []
+    nearest = np.full(len(x), np.inf)
+    while len(out) < min(k, len(x)):
+        far = weights * np.where(np.isinf(nearest), 1.0, nearest)
+        best = int(np.round(far, 6).argmax())
+        if out and not nearest[best]:
+            break
+        out.append(best)
+        nearest = np.minimum(nearest, squared(x, x[best : best + 1])[:, 0])
+    return out
+
+
+def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres, rounded."""
+    return np.round(np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1), DIGITS)
+
+
 def lloyd(cells: DataFrame, centres: DataFrame, steps: int = 3, by: str = "label") -> dict[int, np.ndarray]:
     """Centres of each class after a fixed number of Lloyd steps from (by, cluster, x)."""
     return lloyd_all(cells, [centres_of(centres, by)], steps, by)[0]
@@ -205,17 +296,18 @@ def nearest_in_classes(cells: DataFrame, centres: Sequence[Mapping[int, np.ndarr
     return ranked.select("start", F.col("g").alias(by), "cluster", "cell_id", "rank")
 
 
-def prototypes(cells: DataFrame, clusters: Mapping[int, int] | int = 10, k: int = 1, steps: int = 3, classes: Sequence[int] | None = None, space: DataFrame | None = None, by: str = "label") -> DataFrame:
+def prototypes(cells: DataFrame, clusters: Mapping[int, int] | int = 10, k: int = 1, steps: int = 3, classes: Sequence[int] | None = None, space: DataFrame | None = None, by: str = "label", starts: Callable = starts_of) -> DataFrame:
     """pattern_id, cls, source_cell_id and p: prototypes of each class.
 
     Cells are clustered in ``space`` (cell_id, x; the cells' own vectors if none), the pattern is taken from the cells
     themselves: the cell nearest to a centre for k = 1, else the majority of the k nearest. Classes come in the order given,
-    those without cells are skipped; within a class patterns come in the order of the clusters.
+    those without cells are skipped; within a class patterns come in the order of the clusters. ``starts`` makes the first
+    centres: starts_of takes the cells of least id, spread_starts cells that lie apart.
     """
-    return prototypes_all(cells, [(clusters, k)], steps, classes, space, by).drop("config")
+    return prototypes_all(cells, [(clusters, k)], steps, classes, space, by, starts).drop("config")
 
 
-def prototypes_all(cells: DataFrame, configs: Sequence[tuple[Mapping[int, int] | int, int]], steps: int = 3, classes: Sequence[int] | None = None, space: DataFrame | None = None, by: str = "label") -> DataFrame:
+def prototypes_all(cells: DataFrame, configs: Sequence[tuple[Mapping[int, int] | int, int]], steps: int = 3, classes: Sequence[int] | None = None, space: DataFrame | None = None, by: str = "label", starts: Callable = starts_of) -> DataFrame:
     """config, pattern_id, cls, source_cell_id and p: prototypes for each (clusters of a class, k), numbered from 0.
 
     All configurations go together: one pass for the first centres, one for each Lloyd step, one for the nearest cells and one
@@ -226,7 +318,7 @@ def prototypes_all(cells: DataFrame, configs: Sequence[tuple[Mapping[int, int] |
     placed = own if space is None else own.select("cell_id", by).join(space.select("cell_id", "x"), "cell_id")
     placed = placed.select("cell_id", by, "x")
     different = list({repr(c): c for c, _ in configs}.values())
-    centres = lloyd_all(placed, starts_of(placed, different, by), steps, by)
+    centres = lloyd_all(placed, starts(placed, different, by), steps, by)
     near = nearest_in_classes(placed, centres, max(k for _, k in configs), by)
     told = [(n, different.index(c), int(k)) for n, (c, k) in enumerate(configs)]
     asked = cells.sparkSession.createDataFrame(told, "config int, start int, k int")

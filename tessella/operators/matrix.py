@@ -41,6 +41,16 @@ def to_vectors(entries: DataFrame, width: int, cells: DataFrame | None = None) -
     return cells.select("cell_id").join(made, "cell_id", "left").select("cell_id", F.coalesce("x", F.array_repeat(F.lit(0.0), width)).alias("x"))
 
 
+def to_rows(entries: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(cell_id, positions, values): a cell's entries in order of position, one row for each cell; ``cells`` lists those without any, too."""
+    held = entries.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("value").cast("double").alias("value")))).alias("e"))
+    rows = held.select("cell_id", F.col("e.pos").alias("positions"), F.col("e.value").alias("values"))
+    if cells is None:
+        return rows
+    none = F.array().cast("array<int>"), F.array().cast("array<double>")
+    return cells.select("cell_id").join(rows, "cell_id", "left").select("cell_id", F.coalesce("positions", none[0]).alias("positions"), F.coalesce("values", none[1]).alias("values"))
+
+
 def unpivot_sums(sums: DataFrame, names: str = "feature_id", values: str = "frequency") -> DataFrame:
     """A one-row table of sums, a column for each feature, as (feature, sum) rows."""
     return sums.unpivot([], sums.columns, names, values)

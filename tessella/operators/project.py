@@ -14,6 +14,9 @@ from .matrix import block, map_blocks, sum_vectors, vectors
 
 #: Most features of a matrix of products, which the driver decomposes: 512 MB. Its rows are summed so many at a time.
 MOST_FEATURES, ROWS = 8192, 64
+#: Wider matrices: most values of a subspace, which the driver holds (128 MB); directions beyond those asked for; rounds at most, and
+#: the relative change of all values asked for below which they end; values of a dense block; tasks' triangles that go together.
+MOST_BASIS_VALUES, FURTHER, MOST_ROUNDS, SETTLED, BLOCK_VALUES, TOGETHER = 1 << 24, 16, 60, 1e-12, 1 << 21, 64
 
 
 def orthonormal_basis(features: int, components: int, seed: int = 42) -> np.ndarray:
@@ -74,15 +77,113 @@ def gram(cells: DataFrame, width: int) -> np.ndarray:
     return np.triu(out) + np.triu(out, 1).T
 
 
+def signed(columns: np.ndarray) -> np.ndarray:
+    """The columns, each with its entry of largest size positive."""
+    return columns * np.sign(columns[np.abs(columns).argmax(axis=0), np.arange(columns.shape[1])])
+
+
+def dense_blocks(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """The rows of a batch as dense blocks of bounded size, from vectors ``x`` or from ``positions`` and ``values`` of what isn't zero."""
+    step = max(1, BLOCK_VALUES // width)
+    for a in range(0, len(batch), step):
+        part = batch.slice(a, step)
+        if "x" in batch.schema.names:
+            yield block(part["x"], width)
+            continue
+        out = np.zeros((len(part), width))
+        rows = np.repeat(np.arange(len(part)), part["positions"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        out[rows, part["positions"].flatten().to_numpy(zero_copy_only=False)] = part["values"].flatten().to_numpy(zero_copy_only=False)
+        yield out
+
+
+def products_with(cells: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """X'(XV) of a basis V in one pass: a task sends a matrix of the basis' shape, whatever its rows, and never one of features x features."""
+    width, n = basis.shape
+    rows = max(1, BLOCK_VALUES // 8 // n)
+    shared = cells.sparkSession.sparkContext.broadcast(basis)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, n))
+        for batch in batches:
+            for x in dense_blocks(batch, width):
+                total += x.T @ (x @ shared.value)
+        for k in range(0, width, rows):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), vectors(total[k : k + rows].reshape(1, -1))], ["key", "x"])
+
+    out = np.zeros((width, n))
+    got = sum_vectors(arrow_map(cells, run, "key bigint, x array<double>")).toArrow()
+    for k, x in zip(got["key"].to_pylist(), got["x"], strict=True):
+        out[k : k + rows] = x.values.to_numpy().reshape(-1, n)
+    return out
+
+
+def triangle(cells: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """R of the QR decomposition of XV, by a tree: a task keeps the triangle of its rows, TOGETHER tasks' are decomposed together, then those."""
+    width, n = basis.shape
+    shared = cells.sparkSession.sparkContext.broadcast(basis)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, n))
+        for batch in batches:
+            for x in dense_blocks(batch, width):
+                r = np.linalg.qr(np.vstack([r, x @ shared.value]), mode="r")
+        yield pa.RecordBatch.from_arrays([vectors(r)], ["x"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, n))
+        for batch in batches:
+            r = np.linalg.qr(np.vstack([r, block(batch["x"], n)]), mode="r")
+        yield pa.RecordBatch.from_arrays([vectors(r)], ["x"])
+
+    schema = "x array<double>"
+    # Rows of a triangle may part: the products R'R of the stacked rows are the same in any order.
+    found = arrow_map(arrow_map(cells, own, schema).repartition(TOGETHER), joined, schema).toArrow()
+    return np.linalg.qr(block(found["x"].combine_chunks(), n), mode="r") if len(found) else np.zeros((0, n))
+
+
+def leading_components(cells: DataFrame, width: int, components: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """As uncentred_components, for any number of features: randomised subspace iteration, in which features x features is never formed.
+
+    cells: vectors (x), or rows of entries (positions, values). A round is a pass over the cells that multiplies a basis of
+    ``components`` + FURTHER directions by X'X; rounds end when the values have settled. The last pass decomposes XV by a tree
+    of QR decompositions, so that small values don't lose half of their digits by squaring. Components of equal value are
+    any basis of their space.
+    """
+    n = min(components + FURTHER, width)
+    if n * width > MOST_BASIS_VALUES:
+        raise ValueError(f"{n} directions of {width} features are more than the driver holds")
+    cells = cells.select(*(c for c in ("x", "positions", "values") if c in cells.columns))
+    basis, before = orthonormal_basis(width, n, seed), np.zeros(components)
+    for _ in range(MOST_ROUNDS):
+        product = products_with(cells, basis)
+        values = np.sort(np.linalg.eigvalsh((basis.T @ product + product.T @ basis) / 2))[::-1][:components]
+        basis = np.linalg.qr(product)[0]
+        if (np.abs(values - before) <= SETTLED * max(values[0], 0)).all():
+            break
+        before = values
+    _, values, turned = np.linalg.svd(triangle(cells, basis), full_matrices=False)
+    found = min(components, len(values))
+    return signed(basis @ turned[:found].T), values[:found]
+
+
+def residuals(cells: DataFrame, loadings: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each component the length of X'Xv - s^2 v, relative to the largest s^2; one pass."""
+    cells = cells.select(*(c for c in ("x", "positions", "values") if c in cells.columns))
+    return np.linalg.norm(products_with(cells, loadings) - loadings * values**2, axis=0) / max(float(values[0]) ** 2, 1e-300)
+
+
 def uncentred_components(cells: DataFrame, width: int, components: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (columns, by falling singular value) and singular values of the matrix as it is, not centred.
 
-    The sign of a column is fixed by making its entry of largest size positive. At most min(cells, features) columns.
+    The sign of a column is fixed by making its entry of largest size positive. At most min(cells, features) columns. Up to
+    MOST_FEATURES the products of all features are decomposed; of a wider matrix a number of components must be asked for.
     """
+    if width > MOST_FEATURES and components is not None:
+        return leading_components(cells, width, components)
     values, columns = np.linalg.eigh(gram(cells, width))
     order = np.argsort(-values, kind="stable")[: min(components or width, width)]
     values, columns = np.sqrt(np.maximum(values[order], 0)), columns[:, order]
-    return columns * np.sign(columns[np.abs(columns).argmax(axis=0), np.arange(columns.shape[1])]), values
+    return signed(columns), values
 
 
 def component_scores(cells: DataFrame, loadings: np.ndarray) -> DataFrame:

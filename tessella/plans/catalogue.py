@@ -361,6 +361,32 @@ def basis_orthogonality_qr(spark: SparkSession, d: str) -> DataFrame:
     return rounded(project.orthogonality_error(project.basis_table(spark, project.orthonormal_basis(T.WIDTH, 16))), "error")
 
 
+def _components_sql(rows: str, k: int, squarings: int = 14) -> str:
+    """Table expressions c0 to c<k - 1> (pos, weight) of the first components of rows (cell_id, pos, v), and s0 to s<k - 1> (their squared values).
+
+    A matrix of products is squared again and again until one component is left; then that is taken off.
+    """
+    out = [f"g0 AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS v FROM {rows} a JOIN {rows} b ON a.cell_id = b.cell_id GROUP BY 1, 2)"]
+    scaled = "SELECT i, j, v / sum(v) FILTER (i = j) OVER () AS v FROM "
+    for c in range(k):
+        out.append(f"p{c}_0 AS MATERIALIZED ({scaled} g{c})")
+        for n in range(squarings):
+            out.append(f"p{c}_{n + 1} AS MATERIALIZED ({scaled} (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{c}_{n} a JOIN p{c}_{n} b ON a.j = b.i GROUP BY 1, 2))")
+        last = f"p{c}_{squarings}"
+        one = f"SELECT i AS pos, v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j)"
+        out += [
+            f"c{c} AS MATERIALIZED (SELECT pos, v * (SELECT sign(arg_max(v, abs(v))) / sqrt(sum(v * v)) FROM ({one})) AS weight FROM ({one}))",
+            f"s{c} AS MATERIALIZED (SELECT sum(a.weight * g.v * b.weight) AS s FROM g{c} g JOIN c{c} a ON a.pos = g.i JOIN c{c} b ON b.pos = g.j)",
+        ]
+        if c + 1 < k:
+            out.append(f"g{c + 1} AS MATERIALIZED (SELECT g.i, g.j, g.v - s * a.weight * b.weight AS v FROM g{c} g JOIN c{c} a ON a.pos = g.i JOIN c{c} b ON b.pos = g.j, s{c})")
+    return ", ".join(out)
+
+
+def _all_components(k: int) -> str:
+    return " UNION ALL ".join(f"SELECT {c} AS component, pos, weight FROM c{c}" for c in range(k))
+
+
 _GRAM = "SELECT a.pos::INT AS i, b.pos::INT AS j, round(sum(a.v * b.v), 3) AS value FROM {rows} a JOIN {rows} b ON a.cell_id = b.cell_id GROUP BY 1, 2"
 
 
@@ -378,11 +404,24 @@ def pca_orthogonality(spark: SparkSession, d: str) -> DataFrame:
     return T.square_table(spark, np.round(loadings.T @ loadings, 6) + 0.0)
 
 
-@query()
+@query(f"{W}{T.SQL_CELLS}, {_components_sql('cells', 35)}, loadings AS ({_all_components(35)}) SELECT cell_id, component::INT AS component, round(sum(v * weight), 5) AS value FROM cells JOIN loadings USING (pos) GROUP BY 1, 2")
 def pca_scores(spark: SparkSession, d: str) -> DataFrame:
     cells = T.cells(spark, d)
     loadings, _ = project.uncentred_components(cells, T.WIDTH, 35)
-    return project.component_scores(cells, loadings).select("cell_id", F.posexplode("x").alias("component", "value"))
+    return project.component_scores(cells, loadings).select("cell_id", F.posexplode("x").alias("component", "value")).withColumn("value", F.round("value", 5))
+
+
+@query(f"{W}{T.SQL_CELLS}, {_components_sql('cells', 8)}, loadings AS ({_all_components(8)}), squares AS ({' UNION ALL '.join(f'SELECT {c} AS component, s FROM s{c}' for c in range(8))}) SELECT component::INT AS component, pos::INT AS pos, round(weight, 5) AS weight, round(sqrt(s), 5) AS size, 0.0::DOUBLE AS residual FROM loadings JOIN squares USING (component)")
+def leading_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components by subspace iteration on rows of entries, with their values and residuals."""
+    path = store.temporary(spark, "rows")
+    matrix.to_rows(matrix.to_coordinates(T.cells(spark, d))).write.parquet(path)
+    rows = spark.read.parquet(path)
+    loadings, values = project.leading_components(rows, T.WIDTH, 8)
+    left = project.residuals(rows, loadings, values)
+    table = [(c, p, float(loadings[p, c]), float(values[c]), float(left[c])) for c in range(8) for p in range(T.WIDTH)]
+    shown = spark.createDataFrame(table, "component int, pos int, weight double, size double, residual double")
+    return shown.withColumns({n: F.round(n, 5) + 0.0 for n in ("weight", "size", "residual")})
 
 
 _NEIGHBOUR = "SELECT a.cell_id, round(sum(a.v * b.v), 4) AS product, round(sum(a.v * a.v), 4) AS square FROM cells a JOIN cells b ON b.cell_id = a.cell_id + 1 AND a.pos = b.pos GROUP BY 1"
@@ -406,9 +445,11 @@ def _in_components(spark: SparkSession, d: str, components: int) -> DataFrame:
     return project.project(project.project(rows, basis), loadings).select(F.col("cell_id").alias("pattern_id"), "x")
 
 
-@query()
+@query(f"""{W}{T.SQL_CELLS}, {T.SQL_PATTERNS}, {_BASIS}, z AS MATERIALIZED (SELECT cell_id, component AS pos, sum(b * weight) AS v FROM bits JOIN basis USING (pos) GROUP BY 1, 2), {_components_sql("z", 8)}, loadings AS ({_all_components(8)}),
+placed AS (SELECT pattern_id, component AS pos, sum(b * weight) AS v FROM patterns JOIN basis USING (pos) GROUP BY 1, 2)
+SELECT pattern_id::INT AS pattern_id, component::INT AS component, round(sum(v * weight), 5) AS value FROM placed JOIN loadings USING (pos) GROUP BY 1, 2""")
 def patterns_in_components(spark: SparkSession, d: str) -> DataFrame:
-    return _in_components(spark, d, 8).select("pattern_id", F.posexplode("x").alias("component", "value"))
+    return _in_components(spark, d, 8).select("pattern_id", F.posexplode("x").alias("component", "value")).withColumn("value", F.round("value", 5))
 
 
 @query(f"{W}{T.SQL_CELLS}, {T.SQL_PATTERNS}, {_BASIS}, z AS (SELECT pattern_id, component, sum(b * weight) AS v FROM patterns JOIN basis USING (pos) GROUP BY 1, 2) SELECT a.pattern_id::INT AS i, b.pattern_id::INT AS j, round(sum(a.v * b.v), 5) AS value FROM z a JOIN z b USING (component) GROUP BY 1, 2")
@@ -422,11 +463,12 @@ def pattern_products(spark: SparkSession, d: str) -> DataFrame:
 # Clusters and prototypes: three steps of Lloyd in each class, unrolled in SQL.
 
 
-def _lloyd_sql(clusters: int | dict = 3, steps: int = 3, where: str = "label <> 0") -> str:
+def _lloyd_sql(clusters: int | dict = 3, steps: int = 3, where: str = "label <> 0", spread: int = 0) -> str:
     if isinstance(clusters, dict) and len(clusters) == 1:
         clusters = clusters["default"]
     wanted = str(clusters) if isinstance(clusters, int) else "CASE label " + " ".join(f"WHEN {k} THEN {n}" for k, n in clusters.items() if k != "default") + f" ELSE {clusters['default']} END"
-    out = [f"own AS (SELECT cell_id, label, pos, b AS v FROM bits WHERE {where})", f"first AS (SELECT label, cell_id, row_number() OVER (PARTITION BY label ORDER BY cell_id) - 1 AS cluster FROM (SELECT DISTINCT label, cell_id FROM own) QUALIFY cluster < {wanted})", "c0 AS (SELECT o.label, f.cluster, o.pos, o.v AS c FROM own o JOIN first f USING (label, cell_id))"]
+    first = f"first AS (SELECT label, cell_id, row_number() OVER (PARTITION BY label ORDER BY cell_id) - 1 AS cluster FROM (SELECT DISTINCT label, cell_id FROM own) QUALIFY cluster < {wanted})"
+    out = [f"own AS MATERIALIZED (SELECT cell_id, label, pos, b AS v FROM bits WHERE {where})", _spread_sql(clusters, spread) if spread else first, "c0 AS (SELECT o.label, f.cluster, o.pos, o.v AS c FROM own o JOIN first f USING (label, cell_id))"]
     for k in range(steps):
         out.append(_assign_sql(k))
         out.append(f"""m{k} AS (SELECT o.label, a.cluster, o.pos, round(avg(o.v), 9) AS c FROM own o JOIN a{k} a USING (label, cell_id) GROUP BY 1, 2, 3),
@@ -434,6 +476,22 @@ c{k + 1} AS (SELECT label, cluster, pos, coalesce(m.c, c.c) AS c FROM c{k} c LEF
     return ",\n".join(out)
 
 
+def _spread_sql(clusters: int, rounds: int) -> str:
+    """Seeds by oversampling: candidates of least keys, their weights, and of those one after another the heaviest and farthest."""
+    key = lambda r, d: f"-ln((('0x' || substr(md5('{r}|' || cell_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE) / {d}"
+    near = lambda names: f"SELECT o.label, o.cell_id, q.cell_id AS candidate, round(sum((o.v - q.v) * (o.v - q.v)), 9) AS d FROM own o JOIN own q USING (label, pos) WHERE q.cell_id IN (SELECT cell_id FROM {names}) GROUP BY 1, 2, 3"
+    out = [f"t0 AS MATERIALIZED (SELECT label, cell_id FROM (SELECT DISTINCT label, cell_id FROM own) QUALIFY row_number() OVER (PARTITION BY label ORDER BY {key(0, '1.0::DOUBLE')}, cell_id) = 1)"]
+    for r in range(1, rounds + 1):
+        apart = f"SELECT label, cell_id, min(d) AS d FROM ({near(f't{r - 1}')}) GROUP BY 1, 2 HAVING min(d) > 0"
+        out.append(f"t{r} AS MATERIALIZED (SELECT * FROM t{r - 1} UNION ALL (SELECT label, cell_id FROM ({apart}) QUALIFY row_number() OVER (PARTITION BY label ORDER BY {key(r, 'd')}, cell_id) <= {2 * clusters}))")
+    out.append(f"heavy AS MATERIALIZED (SELECT label, candidate AS cell_id, count(*) AS w FROM (SELECT * FROM ({near(f't{rounds}')}) QUALIFY row_number() OVER (PARTITION BY label, cell_id ORDER BY d, candidate) = 1) GROUP BY 1, 2)")
+    out.append("first0 AS MATERIALIZED (SELECT label, cell_id, 0 AS cluster FROM heavy QUALIFY row_number() OVER (PARTITION BY label ORDER BY w DESC, cell_id) = 1)")
+    for k in range(1, clusters):
+        apart = f"SELECT h.label, h.cell_id, h.w * min(n.d) AS far FROM heavy h JOIN ({near(f'first{k - 1}')}) n USING (label, cell_id) GROUP BY h.label, h.cell_id, h.w HAVING min(n.d) > 0"
+        out.append(f"first{k} AS MATERIALIZED (SELECT * FROM first{k - 1} UNION ALL (SELECT label, cell_id, {k} FROM ({apart}) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(far, 6) DESC, cell_id) = 1))")
+    return ", ".join([*out, f"first AS (SELECT * FROM first{clusters - 1})"])
+
+
 def _assign_sql(k: int) -> str:
     return f"""d{k} AS (SELECT o.label, o.cell_id, c.cluster, round(sum((o.v - c.c) * (o.v - c.c)), 9) AS d FROM own o JOIN c{k} c USING (label, pos) GROUP BY 1, 2, 3),
 a{k} AS (SELECT label, cell_id, cluster FROM d{k} QUALIFY row_number() OVER (PARTITION BY label, cell_id ORDER BY d, cluster) = 1)"""
@@ -485,6 +543,13 @@ def lloyd_clusters(spark: SparkSession, d: str) -> DataFrame:
     return cluster.cluster_of(own, cluster.lloyd(own, cluster.first_centres(own, 3))).select("label", "cell_id", "cluster")
 
 
+@query(f"{W}{T.SQL_CELLS}, {_lloyd_sql(spread=2)}, {_assign_sql(3)} SELECT label, cell_id, cluster::INT AS cluster FROM a3")
+def lloyd_clusters_spread(spark: SparkSession, d: str) -> DataFrame:
+    """The same from spread seeds."""
+    own = prepare.labelled(T.bits(spark, d))
+    return cluster.cluster_of(own, cluster.lloyd_all(own, cluster.spread_starts(own, [3], rounds=2))[0]).select("label", "cell_id", "cluster")
+
+
 _SHOW = "SELECT pattern_id::INT AS pattern_id, cls, source_cell_id, string_agg(b::INT::VARCHAR, '' ORDER BY pos) AS bits FROM protos GROUP BY 1, 2, 3"
 
 
