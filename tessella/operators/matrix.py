@@ -51,6 +51,28 @@ def to_rows(entries: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     return cells.select("cell_id").join(rows, "cell_id", "left").select("cell_id", F.coalesce("positions", none[0]).alias("positions"), F.coalesce("values", none[1]).alias("values"))
 
 
+def rows_of(cells: DataFrame) -> DataFrame:
+    """Vectors as rows of entries (positions, values) of what isn't zero, with the other columns; nothing moves."""
+    held = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("pos"), v.alias("value"))), lambda e: e["value"] != 0)
+    kept = [c for c in cells.columns if c != "x"]
+    return cells.select(*kept, held.alias("e")).select(*kept, F.col("e.pos").alias("positions"), F.col("e.value").alias("values"))
+
+
+def row_products(positions: pa.Array, values: pa.Array, table: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+    """Rows of entries times a table (features x columns), from the entries alone, about ``step`` values at a time."""
+    ends = np.concatenate([[0], np.cumsum(positions.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    where, what = positions.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
+    out, a = np.zeros((len(positions), table.shape[1])), 0
+    while a < len(out):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + step // max(table.shape[1], 1), "right")) - 1)
+        full = a + np.flatnonzero(np.diff(ends[a : b + 1]))
+        if len(full):
+            own = slice(ends[a], ends[b])
+            out[full] = np.add.reduceat(table[where[own]] * what[own, None], ends[full] - ends[a], axis=0)
+        a = b
+    return out
+
+
 def unpivot_sums(sums: DataFrame, names: str = "feature_id", values: str = "frequency") -> DataFrame:
     """A one-row table of sums, a column for each feature, as (feature, sum) rows."""
     return sums.unpivot([], sums.columns, names, values)

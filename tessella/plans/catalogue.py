@@ -321,6 +321,28 @@ def knn_to_mean(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d, [1, 2, 3], 5, 3.0)
 
 
+def _join_sql(distance: str, k: int) -> str:
+    return f"""{W}{T.SQL_CELLS}, apart AS (SELECT q.cell_id AS query_id, c.cell_id, round({distance}, 9) AS distance FROM cells q JOIN cells c USING (pos) WHERE q.label = 3 GROUP BY 1, 2)
+SELECT query_id, cell_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, cell_id)::INT AS rank FROM apart QUALIFY rank <= {k}"""
+
+
+def _nearest_of_class(spark: SparkSession, d: str, k: int, distance: float) -> DataFrame:
+    """The cells nearest to each cell of a class."""
+    cells = T.cells(spark, d)
+    queries = cells.filter("label = 3").select(F.col("cell_id").alias("query_id"), "x")
+    return rounded(neighbours.nearest_to_each(cells, queries, k, distance), "distance")
+
+
+@query(_join_sql("sqrt(sum((c.v - q.v) * (c.v - q.v)))", 10))
+def knn_join_l2(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest_of_class(spark, d, 10, 2.0)
+
+
+@query(_join_sql("sum(abs(c.v - q.v))", 3))
+def knn_join_l1(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest_of_class(spark, d, 3, 1.0)
+
+
 _BASIS = "basis AS (SELECT i.range AS pos, j.range AS component, (1 - 2 * (bit_count(i.range & j.range) % 2)) / 8.0::DOUBLE AS weight FROM range(64) i, range(16) j)"
 _PROJECTED = f"{W}{T.SQL_CELLS}, {_BASIS} SELECT cell_id, component::INT AS component, round(sum(b * weight), 6) AS value FROM bits JOIN basis USING (pos) GROUP BY 1, 2"
 
@@ -338,9 +360,18 @@ def projection_entries(spark: SparkSession, d: str) -> DataFrame:
     return rounded(project.project_entries(matrix.to_coordinates(T.bits(spark, d), keep_zeros=True), basis), "value")
 
 
-@query(f"{W}{_BASIS}, g AS (SELECT a.component AS i, b.component AS j, sum(a.weight * b.weight) AS v FROM basis a JOIN basis b USING (pos) GROUP BY 1, 2) SELECT round(max(abs(v - (i = j)::INT)), 6) AS error FROM g")
+_LENGTHS = f"{W}{T.SQL_CELLS} SELECT cell_id, round(sum(v * v), 6) AS square, round(sum(v * v), 6) AS projected FROM cells GROUP BY 1"
+
+
+def _lengths(spark: SparkSession, d: str, basis: np.ndarray) -> DataFrame:
+    """Squared lengths of cells before and after projection on a whole basis, which are equal if it is orthonormal."""
+    cells = T.cells(spark, d).select("cell_id", F.round(V.dot("x", "x"), 6).alias("square"), "x")
+    return project.project(cells, basis).select("cell_id", "square", F.round(V.dot("x", "x"), 6).alias("projected"))
+
+
+@query(_LENGTHS)
 def basis_orthogonality(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(project.orthogonality_error(project.basis_table(spark, project.hadamard_basis(T.WIDTH, 16))), "error")
+    return _lengths(spark, d, project.hadamard_basis(T.WIDTH, T.WIDTH))
 
 
 def _qr_sql() -> str:
@@ -356,9 +387,9 @@ def projection_qr(spark: SparkSession, d: str) -> DataFrame:
     return rounded(z.select("cell_id", F.posexplode("x").alias("component", "value")), "value")
 
 
-@query("SELECT 0.0::DOUBLE AS error")
+@query(_LENGTHS)
 def basis_orthogonality_qr(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(project.orthogonality_error(project.basis_table(spark, project.orthonormal_basis(T.WIDTH, 16))), "error")
+    return _lengths(spark, d, project.orthonormal_basis(T.WIDTH, T.WIDTH))
 
 
 def _components_sql(rows: str, k: int, squarings: int = 14) -> str:
@@ -586,6 +617,13 @@ def recall_loaded(spark: SparkSession, d: str) -> DataFrame:
     return memory.load(spark, path).recall(T.bits(spark, d)).select("cell_id", as_text().alias("bits"))
 
 
+@query(f"{_BASE}, {T.sql_recall(beta=0.05, steps=2)} {_BITS.format(t=0.5)}")
+def recall_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Two steps over patterns in blocks of about three, as more patterns than a task holds are taken."""
+    found = memory.recall_in_blocks(T.bits(spark, d), neighbours.blocks_of(T.patterns(spark, d), 3 * T.WIDTH), memory.Settings(beta=0.05, steps=2, threshold=0.5))
+    return found.select("cell_id", as_text().alias("bits"))
+
+
 @query(f"{_BASE}, {T.sql_recall()} {_BITS.format(t=0.5)}")
 def recall_streamed(spark: SparkSession, d: str) -> DataFrame:
     """The same on a stream of files that is run to its end."""
@@ -621,6 +659,23 @@ def scores_with_absent(spark: SparkSession, d: str) -> DataFrame:
     return rounded(memory.bit_scores(matrix.to_coordinates(own), own, T.patterns(spark, d), T.lacking(spark)), "score")
 
 
+@query(f"{_BASE} SELECT c.cell_id, q.pattern_id::INT AS pattern_id, round(sum((2 * c.b - 1) * q.p), 6) AS score FROM bits c JOIN patterns q USING (pos) WHERE c.pos % 5 <> 2 GROUP BY 1, 2")
+def scores_from_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same from rows of entries, a batch of cells and all patterns at a time."""
+    scored = memory.row_scores(matrix.rows_of(T.bits(spark, d)), neighbours.gathered(T.patterns(spark, d)), _absent())
+    return rounded(scored.select("cell_id", F.explode(F.map_entries("scores")).alias("s")).select("cell_id", F.col("s.key").alias("pattern_id"), F.col("s.value").alias("score")), "score")
+
+
+def _absent() -> list[int]:
+    return [p for p in range(T.WIDTH) if p % T.LACKING[0] == T.LACKING[1]]
+
+
+@query(f"{_BASE}, {T.sql_recall('SELECT cell_id, pos, CASE WHEN pos % 5 = 2 THEN 0.0::DOUBLE ELSE 2 * b - 1 END AS x FROM bits')} {_BITS.format(t=0.5)}")
+def recall_from_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Recall with absent features from rows of entries; what is absent is never formed."""
+    return memory.recall_rows(_memory(spark, d, threshold=0.5), matrix.rows_of(T.bits(spark, d)), _absent()).select("cell_id", as_text().alias("bits"))
+
+
 @query(f"{_BASE}, {T.sql_recall('SELECT cell_id, pos, 2 * b - 1 AS x FROM bits')} SELECT cell_id, pos::INT AS pos, round(b + (x > 0)::INT / 2.0::DOUBLE, 6) AS x FROM recalled JOIN bits USING (cell_id, pos)")
 def compose_half(spark: SparkSession, d: str) -> DataFrame:
     bits = T.bits(spark, d)
@@ -640,6 +695,14 @@ def nearest_prototype(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).select("cell_id", "pattern_id", "predicted", "mismatches")
 
 
+@query(f"{_JUDGED} SELECT cell_id, pattern_id::INT AS pattern_id, predicted, mismatches FROM judged")
+def nearest_prototype_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the patterns in blocks of about three."""
+    recalled = _memory(spark, d).recall(T.bits(spark, d))
+    found = neighbours.nearest_in_blocks(recalled.select("cell_id", "x"), neighbours.blocks_of(T.patterns(spark, d), 3 * T.WIDTH))
+    return found.select("cell_id", "pattern_id", F.col("cls").alias("predicted"), "mismatches")
+
+
 @query(f"{_JUDGED} SELECT cell_id, label, predicted, active_pattern, active_recall FROM judged WHERE label <> 0")
 def recall_detail(spark: SparkSession, d: str) -> DataFrame:
     return prepare.labelled(_judged(spark, d)).select("cell_id", "label", "predicted", "active_pattern", "active_recall")

@@ -27,12 +27,14 @@ def matrix_as_text(spark: SparkSession, d: str) -> DataFrame:
     return text.read_matrix(spark, f"{path}/rows").select("cell_id", as_text().alias("bits"))
 
 
-@query("SELECT range::INT AS pos, 'f' || range AS feature_name FROM range(64)")
+@query(f"{W}{T.SQL_CELLS} SELECT pos::INT AS pos, 'f' || pos AS feature_name, sum(b)::BIGINT AS active FROM bits GROUP BY 1, 2")
 def header_names(spark: SparkSession, d: str) -> DataFrame:
-    """The names of a matrix from its header, without a read of its rows."""
+    """The names of a matrix from its header alone, and the ones in the column below each."""
     path = store.temporary(spark, "header")
-    text.write_matrix(T.bits(spark, d).limit(0), path, [f"f{i}" for i in range(T.WIDTH)])
-    return spark.createDataFrame(list(enumerate(text.read_header(spark, f"{path}/header"))), "pos int, feature_name string")
+    text.write_matrix(T.bits(spark, d), path, [f"f{i}" for i in range(T.WIDTH)])
+    names = spark.createDataFrame(list(enumerate(text.read_header(spark, f"{path}/header"))), "pos int, feature_name string")
+    sums = text.read_matrix(spark, f"{path}/rows").select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.sum("v").cast("bigint").alias("active"))
+    return names.join(sums, "pos")
 
 
 @query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS line_no, p_partkey::VARCHAR AS feature_id, p_name AS feature_name FROM part WHERE p_size <= 40")
@@ -124,17 +126,19 @@ def published_once(spark: SparkSession, d: str) -> DataFrame:
     return table.withColumn("made", F.lit(len(made)).cast("bigint"))
 
 
-@query("SELECT 'first' AS name, false AS there UNION ALL SELECT 'second', true UNION ALL SELECT 'third', true")
+@query("SELECT r_regionkey, r_name, 'second' AS place FROM region")
 def first_of_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Which of several places are there, and that the first of those is chosen."""
+    """Of several places the first that is there: the rows in it, and which it is."""
     root = store.temporary(spark, "places")
-    paths = {name: f"{root}/{name}" for name in ("first", "second", "third")}
-    for name in ("second", "third"):
-        T.table(spark, d, "region").write.parquet(paths[name])
-    gone = store.missing(spark, paths.values())
-    if store.first_existing(spark, paths.values()) != paths["second"]:
-        raise AssertionError("the first place that is there wasn't chosen")
-    return spark.createDataFrame([(n, p not in gone) for n, p in paths.items()], "name string, there boolean")
+    paths = {f"{root}/{name}": name for name in ("first", "second", "third")}
+    regions = T.table(spark, d, "region")
+    for path, name in paths.items():
+        if name != "first":
+            regions.filter(F.lit(name == "second")).write.parquet(path)  # the third is empty
+    if store.missing(spark, paths) != [f"{root}/first"]:
+        raise AssertionError("only the first place should be missing")
+    found = store.first_existing(spark, paths)
+    return spark.read.parquet(found).select("r_regionkey", "r_name", F.lit(paths[found]).alias("place"))
 
 
 @query(_PROJECTED)

@@ -47,14 +47,26 @@ def missing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     return [p for p in paths if not exists(spark, p)]
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The finished versions of a published table, in the order of their names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(where):
+        return []
+    found = sorted(f"{path}/{s.getPath().getName()}" for s in system.listStatus(where))
+    return [p for p in found if exists(spark, f"{p}/_SUCCESS")]
+
+
 def published(spark: SparkSession, folder: str, name: str, settings: Mapping, make: Callable[[], DataFrame]) -> DataFrame:
     """The table made under these settings: read if it was published before, else made and published.
 
-    The settings are part of the path, so other settings never read a stale table; the mark of a finished write is checked,
-    so a broken write is made again.
+    The settings are part of the path, so other settings never read a stale table. Each write has a folder of its own, and one
+    that Spark hasn't marked as finished isn't read: what a writer that died left behind, or one that is still at work, is never
+    seen, and nothing that a reader may have open is overwritten. Two writers at once publish the same table twice; any
+    finished version will do.
     """
     key = hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:16]
     path = f"{folder.rstrip('/')}/{name}-{key}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not versions(spark, path):
+        make().write.parquet(f"{path}/{uuid.uuid4().hex}")
+    return spark.read.parquet(versions(spark, path)[0])
