@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bits as B
 from ..functions import vectors as V
-from ..operators import cluster, evaluate, harmonise, matrix, memory, neighbours, prepare, project, select, sweep
+from ..operators import cluster, evaluate, harmonise, matrix, memory, neighbours, packed, prepare, project, select, sweep
 from ..sources import store
 from ..streaming import recall as streams
 from . import tables as T
@@ -32,7 +33,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def as_text(x: str = "x"):
+def as_text(x: Column | str = "x") -> Column:
     """A vector of bits as a string of digits."""
     return F.array_join(F.transform(x, lambda v: v.cast("int").cast("string")), "")
 
@@ -288,6 +289,22 @@ def majority_profile(spark: SparkSession, d: str) -> DataFrame:
     return T.patterns(spark, d).select("pattern_id", "cls", as_text("p").alias("bits"))
 
 
+@query(f"{W}{T.SQL_CELLS}, {T.SQL_PATTERNS} SELECT pattern_id::INT AS pattern_id, cls, sum(b)::BIGINT AS active, string_agg(b::INT::VARCHAR, '' ORDER BY pos) AS bits FROM patterns GROUP BY 1, 2")
+def majority_profile_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The same from bits packed into words."""
+    cells = packed.packed(prepare.labelled(T.bits(spark, d)), T.WIDTH)
+    return packed.majority_profiles(cells).select("pattern_id", "cls", "active", as_text(B.unpack("words", T.WIDTH)).alias("bits"))
+
+
+@query(f"{W}{T.SQL_CELLS} SELECT a.cell_id, sum(a.b)::BIGINT AS active, sum((a.b <> c.b)::INT)::BIGINT AS apart, round(1 - avg((a.b <> c.b)::INT), 6) AS similarity FROM bits a JOIN bits c ON c.cell_id = a.cell_id + 1 AND c.pos = a.pos GROUP BY 1")
+def similarity_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Each cell and the next one, compared as words."""
+    cells = packed.packed(T.bits(spark, d).select("cell_id", "x"), T.WIDTH)
+    after = cells.select((F.col("cell_id") - 1).alias("cell_id"), F.col("words").alias("other"))
+    found = cells.join(after, "cell_id").select("cell_id", B.ones("words").alias("active"), B.apart("words", "other").alias("apart"))
+    return found.withColumn("similarity", F.round(1 - F.col("apart") / T.WIDTH, 6))
+
+
 def _nearest_sql(distance: str, query: str, k: int) -> str:
     return f"""{W}{T.SQL_CELLS}, q AS ({query}), apart AS (SELECT c.cell_id, round({distance}, 9) AS distance FROM cells c JOIN q USING (pos) GROUP BY 1)
 SELECT cell_id, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, cell_id)::INT AS rank FROM apart ORDER BY distance, cell_id LIMIT {k}"""
@@ -709,6 +726,7 @@ def recall_detail(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ASKED = "label <> 0"
+_SCORES = ("accuracy", "error", "f1_macro", "f1_weighted", "exact_rate", "similarity")
 
 
 @query(f"{_JUDGED}, {T.SQL_METRICS.format(where=_ASKED)} {T.SQL_SUMMARY.format(where=_ASKED)}")
@@ -716,6 +734,21 @@ def recall_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.metrics(prepare.labelled(_judged(spark, d))), "accuracy", "error", "f1_macro", "f1_weighted", "exact_rate", "similarity")
 
 
+@query(f"{_JUDGED}, {T.SQL_METRICS.format(where=_ASKED)} {T.SQL_SUMMARY.format(where=_ASKED)}")
+def recall_metrics_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The same from recalled cells and patterns that are packed into words."""
+    patterns = packed.majority_profiles(packed.packed(prepare.labelled(T.bits(spark, d)), T.WIDTH))
+    recalled = packed.packed(prepare.labelled(_memory(spark, d).recall(T.bits(spark, d))), T.WIDTH)
+    return rounded(evaluate.metrics(packed.judged(recalled, patterns, T.WIDTH)), *_SCORES)
+
+
+@query(f"{_JUDGED} SELECT cell_id, pattern_id::INT AS pattern_id, predicted, mismatches FROM judged")
+def nearest_prototype_packed(spark: SparkSession, d: str) -> DataFrame:
+    patterns = packed.majority_profiles(packed.packed(prepare.labelled(T.bits(spark, d)), T.WIDTH))
+    found = packed.nearest_pattern(packed.packed(_memory(spark, d).recall(T.bits(spark, d)), T.WIDTH), patterns)
+    return found.select("cell_id", "pattern_id", F.col("cls").alias("predicted"), "mismatches")
+
+
 _IN = f"label IN {T.CLASSES}"
 
 
@@ -745,8 +778,6 @@ def label_union(spark: SparkSession, d: str) -> DataFrame:
 
 # Sweeps.
 
-_SCORES = ("accuracy", "error", "f1_macro", "f1_weighted", "exact_rate", "similarity")
-
 
 def _one_config(tag: str, head: str, recall: str, protos: str, threshold: float, front: str) -> str:
     """One configuration's metrics as a query in brackets; its table expressions are its own."""

@@ -5,8 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import bits
 from tessella.functions import vectors as V
-from tessella.operators import cluster, matrix, memory, neighbours, project
+from tessella.operators import cluster, matrix, memory, neighbours, packed, project
 from tessella.operators.matrix import vectors
 from tessella.sources import store
 
@@ -193,3 +194,19 @@ def test_minkowski_agrees_with_the_join(spark):
     one = [(r["cell_id"], r["distance"]) for r in neighbours.nearest_to_each(cells, q, 20, 3.0).orderBy("rank").collect()]
     vector = F.array(*map(F.lit, cells.filter("cell_id = 3").first()["x"]))
     assert one == [(r["cell_id"], r["d"]) for r in cells.select("cell_id", F.round(V.minkowski(F.col("x"), vector, 3.0), 9).alias("d")).orderBy("d", "cell_id").collect()]
+
+
+@pytest.mark.parametrize("width", [1, 64, 70, 130])
+def test_packed_bits(spark, width):
+    x = np.random.default_rng(width).integers(0, 2, (30, width)).astype(float)
+    x[3], x[4] = 1, 0
+    cells = packed.packed(table(spark, x, label=(np.arange(30) % 3).astype(np.int32)), width)
+    rows = {r["cell_id"]: r for r in cells.withColumns({"x": bits.unpack("words", width), "n": bits.ones("words")}).collect()}
+    assert all(len(r["words"]) == bits.words_in(width) and r["x"] == x[k].tolist() and r["n"] == x[k].sum() for k, r in rows.items())
+    assert rows[3]["words"][0] == (-1 if width >= 64 else 1)
+    profiles = packed.majority_profiles(cells)
+    p = {r["cls"]: np.array(r["x"]) for r in profiles.withColumn("x", bits.unpack("words", width)).collect()}
+    assert all((p[k] == (x[k::3].mean(axis=0) > 0.5)).all() for k in range(3))
+    for r in packed.nearest_pattern(cells, profiles).collect():
+        d = [(int((x[r["cell_id"]] != p[k]).sum()), k) for k in range(3)]
+        assert (r["mismatches"], r["pattern_id"]) == min(d) and r["active"] == p[r["pattern_id"]].sum()
