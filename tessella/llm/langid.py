@@ -7,8 +7,8 @@ prototypes is taken off them, as what all languages share tells none from anothe
 
 Words are runs of letters in lower case; a trigram may start or end with one space. Edge cases: a null text, or one
 without a letter, is ``und`` with score 0; rows without a language teach nothing; ties go to the language that comes first
-by code point; very long texts are bundled whole, piece by piece; with no labelled row, or an empty table, every text with
-letters is ``und`` too.
+by code point; a repeated row repeats; very long texts are bundled whole, piece by piece; with no labelled row, or an empty
+table, every text with letters is ``und`` too; all other columns stay, but those named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..arrow import arrow_map
-from .common import crc_bucket, documents, texts
+from .common import Workspace, crc_bucket, documents, texts
 
 #: Dimensions of all vectors, and the seed of the letters' vectors.
 DIMENSIONS, SEED = 1024, 11
 #: Code points of text bundled at once.
 PIECE = 1 << 20
-#: More languages than this can't be a language column; their prototypes are held by the driver and every task.
+#: Prototypes that the driver and a task hold at a time; more go in blocks, each a pass over the texts.
 MOST_LANGUAGES = 2000
 UNKNOWN = "und"
 
@@ -107,55 +107,101 @@ def bundle(batch: list[str], groups: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """The prototypes of the languages in docs, from text and lang. Every task sends a vector for each language it has."""
+def learn(docs: DataFrame) -> dict[str, np.ndarray] | DataFrame:
+    """The prototypes of the languages in docs, from text and lang: by name, or a table (lang, v) of more than MOST_LANGUAGES.
+
+    Every task sends a vector for each language it has, and holds MOST_LANGUAGES at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, vector in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(vector)], ["lang", "at", "value"])
+            sums.clear()
+
         for batch in batches:
             langs = batch["lang"].to_pylist()
             known = {x: i for i, x in enumerate(dict.fromkeys(langs))}
             vectors = bundle(texts(batch["text"]), np.array([known[x] for x in langs], np.int64), len(known))
             for lang, i in known.items():
                 sums[lang] = sums.get(lang, 0) + vectors[i].astype(np.float64)
-        for lang, vector in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(vector)], ["lang", "at", "value"])
+            if len(sums) > MOST_LANGUAGES:
+                yield from sent()
+        yield from sent()
 
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     sums = arrow_map(labelled, run, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v")).limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return {r["lang"]: np.array([x["value"] for x in r["v"]]) for r in sorted(rows, key=lambda r: r["lang"])}
+    vectors = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("v"))
+    table = Workspace(docs.sparkSession, "languages").put("prototypes", vectors)
+    rows = table.limit(MOST_LANGUAGES + 1).collect()
+    return table if len(rows) > MOST_LANGUAGES else named(rows)
+
+
+def named(rows: list) -> dict[str, np.ndarray]:
+    """Prototypes by name, in the order of the names."""
+    return {r["lang"]: np.array(r["v"]) for r in sorted(rows, key=lambda r: r["lang"])}
+
+
+def blocks_of(prototypes: dict[str, np.ndarray] | DataFrame) -> tuple[list, np.ndarray, int]:
+    """What gives each block of prototypes, the mean of all unit prototypes, and their number. The driver holds one block at a time."""
+    if isinstance(prototypes, dict):
+        blocks, n = [lambda: prototypes] if prototypes else [], len(prototypes)
+    else:
+        n = prototypes.count()
+        parts = -(-n // MOST_LANGUAGES)
+        part = F.pmod(F.xxhash64("lang"), F.lit(parts))
+        blocks = [lambda k=k: named(prototypes.filter(part == k).collect()) for k in range(parts)]
+    total = np.zeros(DIMENSIONS)
+    for block in blocks:
+        if held := block():
+            total += unit(np.stack([*held.values()])).sum(axis=0)
+    return blocks, total / max(n, 1), n
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=-1, keepdims=True), 1e-12)
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], into: tuple = ("lang_pred", "score")) -> DataFrame:
-    """The columns of docs with the language said and its score; columns of these two names are replaced."""
-    docs = docs.drop(*into)
-    names = list(prototypes)
-    profiles = unit(np.stack([*prototypes.values()])) if names else np.zeros((0, DIMENSIONS))
-    centred = unit(profiles - profiles.mean(axis=0)) if len(names) > 1 else profiles
-    shared = docs.sparkSession.sparkContext.broadcast((names, profiles, centred))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, profiles, centred = shared.value
-        for batch in batches:
-            rows = texts(batch.column(at))
-            vectors = unit(bundle(rows, np.arange(len(rows)), len(rows)).astype(np.float64))
-            known = vectors.any(axis=1) & bool(names)
-            best = (vectors @ centred.T).argmax(axis=1) if names else np.zeros(len(rows), int)
-            cosine = np.einsum("ij,ij->i", vectors, profiles[best]) if names else np.zeros(len(rows))
-            said = pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, said, pa.array(np.where(known, np.clip(cosine, 0, 1), 0.0))], [*batch.schema.names, "p", "s"])
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray] | DataFrame, into: tuple = ("lang_pred", "score")) -> DataFrame:
+    """The columns of docs with the language said and its score; columns of these two names are replaced.
 
+    Of more than one block of prototypes the best so far goes from pass to pass, with the rows in a table of the shared folder.
+    """
+    docs = docs.drop(*into)
+    spark, at = docs.sparkSession, docs.columns.index("text")
+    blocks, mean, n = blocks_of(prototypes)
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema), "p string", "s double"])
-    return arrow_map(inner, run, schema).toDF(*docs.columns, *into)
+    found = inner.select("*", F.lit(UNKNOWN).alias("p"), F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("b"))
+    store = Workspace(spark, "languages")
+    for k, block in enumerate(blocks):
+        held = block()
+        profiles = unit(np.stack([*held.values()])) if held else np.zeros((0, DIMENSIONS))
+        shared = spark.sparkContext.broadcast(([*held], profiles, unit(profiles - mean) if n > 1 else profiles))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, profiles, centred = shared.value
+            for batch in batches:
+                if not names:
+                    yield batch
+                    continue
+                rows = texts(batch.column(at))
+                vectors = unit(bundle(rows, np.arange(len(rows)), len(rows)).astype(np.float64))
+                cosines = vectors @ centred.T
+                best = cosines.argmax(axis=1)
+                value, before = cosines[np.arange(len(rows)), best], batch["b"].to_numpy()
+                own, score = np.array(names, object)[best], np.clip(np.einsum("ij,ij->i", vectors, profiles[best]), 0, 1)
+                said = np.array(batch["p"].to_pylist(), object)
+                better = vectors.any(axis=1) & ((value > before) | ((value == before) & (own < said)))
+                after = [np.where(better, own, said), np.where(better, score, batch["s"].to_numpy()), np.where(better, value, before)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(after[0], pa.string()), pa.array(after[1]), pa.array(after[2])], batch.schema.names)
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+        found = arrow_map(found, run, schema)
+        if k + 1 < len(blocks):
+            found = store.put(f"pass-{k}", found)
+    return found.drop("b").toDF(*docs.columns, *into)
 
 
 def op6_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

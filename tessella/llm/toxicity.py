@@ -6,7 +6,7 @@ for others of their kind; the square of the change in the score that a swap make
 mentions of a group don't raise the score.
 
 Edge cases: null and empty texts have the score of a text without features; texts are read whole; equal texts have equal
-scores; rows whose label is null teach nothing; with no label of either kind every score is the share of toxic labels (0
+scores; a repeated row repeats; rows whose label is null teach nothing; other columns, whatever their names, aren't kept; with no label of either kind every score is the share of toxic labels (0
 without labels); an empty table gives an empty result.
 """
 
@@ -93,10 +93,14 @@ def found(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def taught(docs: DataFrame, labels: DataFrame, most: int = TAUGHT) -> DataFrame:
-    """text and toxic of at most ``most`` labelled documents, chosen by a hash of the id; a doc_id's first label counts."""
+    """text and toxic of at most ``most`` labelled documents, chosen by a hash of the id: one row for each id, however often it stands in either table.
+
+    Of several labels of an id the least counts, of several texts the first by code point.
+    """
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def telling(rows: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, int, int]:
@@ -183,7 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, swap: float = SWAP) -> tuple[np.nd
         return np.zeros(0, np.uint64), np.array([np.log(share / (1 - share))])
     wanted = np.unique(np.concatenate([chosen.view(np.uint64), term_hashes()[0]]))
     got = examples(rows, wanted).toArrow()  # at most TAUGHT rows
-    return wanted, fit(got["toxic"].to_numpy() == 1, got["own"].to_pylist(), got["other"].to_pylist(), len(wanted), swap)
+    # In an order of their own, so that sums don't depend on partitions.
+    told = sorted(zip(got["toxic"].to_pylist(), got["own"].to_pylist(), got["other"].to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[2] or []))
+    toxic, own, other = map(list, zip(*told, strict=True))
+    return wanted, fit(np.array(toxic) == 1, own, other, len(wanted), swap)
 
 
 def score(docs: DataFrame, wanted: np.ndarray, weights: np.ndarray) -> DataFrame:

@@ -741,6 +741,26 @@ def test_pipeline_by_brute_force(spark):
     assert p.run(spark, SMALL).count() == four.count()
 
 
+def test_more_languages_than_a_task_holds(spark, frame, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = [(k, " ".join(word() for _ in range(5)), f"l{k:04d}", "s", 1) for k in range(70)]
+    docs = frame([*rows, (900, None, "l0001", "s", 1), (901, "12", None, "s", 1)])
+    expected = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.predict(docs, langid.learn(docs)).collect()}
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 30)
+    table = langid.learn(docs)
+    assert not isinstance(table, dict) and table.count() == 70
+    assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.predict(docs, table).collect()} == expected
+    assert expected[900] == expected[901] == ("und", 0.0) and sum(expected[k][0] == f"l{k:04d}" for k in range(70)) == 70
+
+
+def test_one_text_teaches_for_an_id(spark, frame):
+    docs = frame([(1, f"text {k}", "en", "s", 1) for k in range(3000)] + [(2, "b"), (3, "c"), (None, "d")])
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 0, 1), (2, 0, 1), (None, 0, 1), (3, 0, None)], "doc_id bigint, quality int, toxic int")
+    assert sorted(map(tuple, toxicity.taught(docs, labels).collect())) == [("b", 1), ("text 0", 0)]
+    assert toxicity.taught(docs, labels, 1).count() == 1
+
+
 def test_pipeline_keeps_texts_of_an_untaught_script(spark, frame):
     """Only texts without letters are rejected by the language stage, however short or foreign the others are."""
     import corpus_pipeline as p
