@@ -5,7 +5,7 @@ streams and derives timestamps from granule positions. The writer stores bytes l
 packets dealt to two interleaved logical streams, each led by a packet with its format.
 
 Edge cases: null and empty texts are stored as padding only; texts of any length are stored whole, over as many pages as
-they need; equal texts give equal files; bytes that are no valid Ogg give null payload and a count of faulty pages; an
+they need; equal texts give equal files and a repeated row repeats; other columns, whatever their names, aren't kept; bytes that are no valid Ogg give null payload and a count of faulty pages; an
 empty table gives an empty result.
 """
 

@@ -12,7 +12,8 @@ are never joined with their share.
 
 Edge cases: a null text has no words and is never taken; null sources form one source, the last; a null id draws by its
 text; rows that are equal in key, id and size are taken together or not at all; a source without words has target 0; an
-empty table gives an empty result.
+empty table gives an empty result. ``mix`` keeps no other columns than id and source; ``repeated`` keeps all of them, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ threshold, where the weighted shares of good documents below and of bad ones abo
 Words are runs of bytes other than ASCII white space. Edge cases: a null or empty text has no words, ratio 0, and fails
 the base rules; long texts are counted whole; repeated rows repeat, and teach as often as they stand there; labels without an
 id or a quality say nothing, and of different labels of one id the worse counts; without a trusted document the target is
-flat; without good and bad documents that set it, the threshold is FALLBACK; an empty table gives an empty result.
+flat; without good and bad documents that set it, the threshold is FALLBACK; an empty table gives an empty result; other
+columns, whatever their names, aren't kept.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ stands. Tokens that carry a checksum (a CRC-32 in base 62, as code hosts and pac
 only if it holds. Runs of hex digits have no keyword; a regular expression finds them directly.
 
 Spans are in code points, the end exclusive, in the order of start, then of KINDS. Edge cases: null and empty texts have
-no spans; long texts are scanned whole; repeated rows repeat; an empty table gives an empty result.
+no spans; long texts are scanned whole; repeated rows repeat; an empty table gives an empty result. ``scan`` keeps no other
+columns; ``redact`` keeps all of them, whatever their names.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ Ids pass a filter of fixed size before tokens or texts are moved, and no key of
 Edge cases: a document of fewer words than a shingle is one shingle of all its words; null and wordless texts have no
 links and are a class of their own; rows without an id are linked to nothing but are counted as copies, and have class
 null unless a copy has an id; rows with equal ids are one document; ties in size or hash are broken by id; texts of any
-length are used whole; an empty table gives an empty result.
+length are used whole; an empty table gives an empty result; other columns, whatever their names, aren't kept.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ task, and its edges are nobody's hot key. The sketch decides where rows go, neve
 Edge cases: null and empty texts, and texts below LENGTH bytes, lose nothing; texts of any length are read whole; rows
 without an id lose nothing and are nobody's earlier document; equal rows with one id are one document; different texts
 under one id are documents of their own, in the order of their tags (TAG_BITS bits of the text's CRC-32); an empty table
-gives an empty result.
+gives an empty result; other columns, whatever their names, aren't kept.
 """
 
 from __future__ import annotations
