@@ -462,7 +462,7 @@ def pca_scores(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{W}{T.SQL_CELLS}, {_components_sql('cells', 8)}, loadings AS ({_all_components(8)}), squares AS ({' UNION ALL '.join(f'SELECT {c} AS component, s FROM s{c}' for c in range(8))}) SELECT component::INT AS component, pos::INT AS pos, round(weight, 5) AS weight, round(sqrt(s), 5) AS size, 0.0::DOUBLE AS residual FROM loadings JOIN squares USING (component)")
 def leading_components(spark: SparkSession, d: str) -> DataFrame:
     """Components by subspace iteration on rows of entries, with their values and residuals."""
-    path = store.temporary(spark, "rows")
+    path = f"{store.temporary(spark, 'components')}/rows"
     matrix.to_rows(matrix.to_coordinates(T.cells(spark, d))).write.parquet(path)
     rows = spark.read.parquet(path)
     loadings, values = project.leading_components(rows, T.WIDTH, 8)
