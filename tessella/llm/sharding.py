@@ -9,6 +9,9 @@ again loads the last version, and a new one is stored only if a slot has to move
 
 Edge cases: a null text has size 1 (its one end byte) and the CRC of no bytes; a null id is hashed by its text's CRC
 instead; repeated rows get a place each; an empty table gives an empty result; other columns are ignored.
+
+Skew: rows that are equal in id, size and CRC (all rows without an id and text, for instance) are counted before they are
+shuffled and travel as one row; their places are dealt out again at the end, in runs that are spread.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .common import Workspace, crc32_sql, documents
 SLOTS = 8192
 #: By how much a shard may exceed an equal share before a stored map is edited.
 TOLERANCE = 0.01
+#: Places that one row deals out at once. More equal rows than that make several runs, which are spread over the tasks.
+RUN = 10_000
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -34,9 +39,15 @@ def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return rows.withColumn("vslot", (F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint") % slots).cast("int"))
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """One row for all equal ones, with their number ``n``; partial counts are formed before the shuffle."""
+    return rows.groupBy("vslot", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n"))
+
+
 def slot_totals(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Bytes and rows of every slot, empty slots included; partial sums are formed before the shuffle."""
-    sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    """Bytes and rows of every slot, empty slots included; partial sums are formed before the shuffle. Rows may be counted ones."""
+    n = F.col("n") if "n" in rows.columns else F.lit(1).cast("bigint")
+    sums = rows.groupBy("vslot").agg(F.sum(F.col("size") * n).alias("bytes"), F.sum(n).alias("rows"))
     every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
     return every.join(F.broadcast(sums), "vslot", "left").fillna(0, ["bytes", "rows"])  # sums has a row for each slot at most
 
@@ -111,16 +122,22 @@ def grow(slot_map: DataFrame, shards: int) -> DataFrame:
     return slot_map.select((F.col("version") + 1).alias("version"), "vslot", F.when((after > share) & (F.col("bytes") > 0), shards).otherwise(F.col("shard")).cast("int").alias("shard"), "bytes", "rows")
 
 
-def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """Shard of each row and its place in the shard, gapless from 0.
+def place(equal: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """Shard of each of the counted rows and its place in the shard, gapless from 0.
 
     A row's place is the number of rows in earlier slots of its shard, from the map, plus its place in its own slot, so
-    no task ever sorts a shard: the largest sort is that of a slot.
+    no task ever sorts a shard: the largest sort is that of the different rows of a slot. Equal rows take consecutive places.
     """
     before = F.coalesce(F.sum("rows").over(W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     lookup = slot_map.select("vslot", "shard", before.alias("before"))
-    inside = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("inside", inside).join(F.broadcast(lookup), "vslot").withColumn("slot", F.col("before") + F.col("inside") - 1)
+    earlier = F.sum("n").over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1))
+    found = equal.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(F.broadcast(lookup), "vslot").withColumn("slot", F.col("before") + F.col("earlier"))
+    kept = ("doc_id", "size", "text_crc32", "vslot", "shard")
+    single = found.filter("n = 1").select(*kept, "slot")
+    # A run is short, whatever the number of equal rows; runs go to tasks by their first place.
+    runs = found.filter("n > 1").select(*kept, (F.col("slot") + F.col("n") - 1).alias("end"), F.explode(F.expr(f"sequence(slot, slot + n - 1, {RUN}L)")).alias("begin")).repartition("shard", "begin")
+    dealt = runs.select(*kept, F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + (RUN - 1), F.col("end")))).alias("slot"))
+    return single.unionByName(dealt)
 
 
 def shard(spark: SparkSession, docs: DataFrame, path: str | None = None, shards: int = 8, slots: int = SLOTS) -> DataFrame:
@@ -130,7 +147,7 @@ def shard(spark: SparkSession, docs: DataFrame, path: str | None = None, shards:
     """
     store = Workspace(spark, "shards")
     path = path or store.folder("slot-map")
-    rows = store.put("rows", with_slots(docs, slots))
+    rows = store.put("rows", counted(with_slots(docs, slots)))
     totals = store.put("totals", slot_totals(rows, slots))
     last = latest(spark, path)
     if last is None:
