@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -437,6 +438,19 @@ def test_a_stored_map_is_edited(spark, frame, tmp_path):
     assert {r["shard"] for r in fewer} == set(range(5))
 
 
+def test_many_equal_rows_take_consecutive_places(spark, frame):
+    """Rows without id and text, and rows of one id, are far more than a run; they are shuffled as one row each."""
+    copies = spark.range(100_000).selectExpr("cast(null as bigint) as doc_id", "cast(null as string) as text", "cast(null as string) as lang", "'s' as source", "0L as n_chars")
+    again = spark.range(25_000).selectExpr("7L as doc_id", "'same' as text", "'en' as lang", "'s' as source", "4L as n_chars")
+    docs = copies.unionByName(again).unionByName(frame([(i, "x" * (i % 9)) for i in range(300)]))
+    assert sharding.counted(sharding.with_slots(docs)).count() == 302
+    got = sharding.shard(spark, docs)
+    told = got.groupBy("shard").agg(F.count("*"), F.countDistinct("slot"), F.min("slot"), F.max("slot")).collect()
+    assert all((n, 0, n - 1) == (distinct, low, high) for _, n, distinct, low, high in told) and sum(r[1] for r in told) == 125_300
+    assert sorted(r[0] for r in got.groupBy("doc_id", "size").count().select("count").collect())[-2:] == [25_000, 100_000]
+    assert got.filter("doc_id is null").select("shard", "vslot").distinct().count() == 1
+
+
 def test_growing_moves_slots_into_the_new_shard_only(spark):
     rows = sharding.with_slots(common.documents(spark, SF))
     old = sharding.rebalance(sharding.first_map(sharding.slot_totals(rows), 8), 8)
@@ -588,6 +602,58 @@ def test_mix(spark):
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in sizes)
 
 
+def plain_quality_weight(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+    variety = math.log(len(set(words)) + 1) / math.log(len(words) + 1) if words else 1
+    return (len(words) + 1) / (len(words) + symbols + 1) * variety
+
+
+def plain_draw(doc_id):
+    return -math.log((int(hashlib.md5(f"7|{doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48)
+
+
+def plain_mix(rows):
+    """doc_id to words taken, of (doc_id, text, source) rows with different ids."""
+    size = {d: len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]) for d, t, _ in rows}
+    sizes, keyed, taken = collections.Counter(), collections.defaultdict(list), {}
+    for d, t, s in rows:
+        keyed[s].append((plain_draw(d) / plain_quality_weight(t), d))
+        sizes[s] += size[d]
+    for s, target in plain_targets(sizes).items():
+        whole = int(target // sizes[s]) if sizes[s] else 0
+        before, budget = 0, target - whole * sizes[s]
+        for _, d in sorted(keyed[s]):
+            taken[d] = size[d] * (whole + (before + size[d] / 2 < budget))
+            before += size[d]
+    return taken
+
+
+@pytest.mark.parametrize("bins", [1, 2, 64, 4096])
+def test_mix_by_brute_force(spark, monkeypatch, bins):
+    """The same documents are taken however many bins there are, that is, wherever a budget ends."""
+    monkeypatch.setattr(mixing, "BINS", bins)
+    docs = common.documents(spark, SMALL)
+    expected = plain_mix([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(spark, docs).collect()} == expected
+
+
+def test_mix_of_one_source(spark, frame):
+    docs = frame([(i, " ".join(f"w{k % (i % 7 + 2)}" for k in range(i % 40)), "en", "only", 0) for i in range(1500)])
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(spark, docs).collect()} == plain_mix(rows)
+
+
+def test_weights_of_a_mix_differ(spark, frame):
+    """Few documents share a weight, and texts that repeat themselves or are full of symbols weigh less."""
+    weights = {r["doc_id"]: (r["text"], plain_draw(r["doc_id"]) / r["key"]) for r in mixing.measure(common.documents(spark, SF)).select("doc_id", "text", "key").collect()}
+    assert all(w == pytest.approx(plain_quality_weight(t)) for t, w in weights.values())
+    assert collections.Counter(round(w, 9) for _, w in weights.values()).most_common(1)[0][1] < 0.1 * len(weights)
+    texts = ["one two three four five six", "one two one two one two", "one # two $ three %% four five six"]
+    plain, again, noisy = (plain_draw(r["doc_id"]) / r["key"] for r in mixing.measure(frame([*enumerate(texts)])).orderBy("doc_id").collect())
+    assert plain == pytest.approx(1) and again < 1 and noisy < 1
+
+
 def test_mix_of_many_sources(spark, frame, monkeypatch):
     """Sources too many to broadcast are looked up, with the same result; the mix and its copies agree."""
     rng = random.Random(16)
