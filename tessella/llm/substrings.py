@@ -6,18 +6,20 @@ in the same one). Strings never cross documents and are judged on the input.
 No task sees the corpus, so the starts are dealt out first. Each string of LENGTH bytes has an anchor, its ANCHOR-byte
 piece of least hash: equal strings have equal anchors at equal places, so all starts of a string meet under its anchor's
 hash. Consecutive starts with one anchor form a fragment. Equal fragments, told by a 128-bit digest of their bytes, are
-copies: all but the first are repeats, as each of their strings starts earlier in the first. The first fragments of an
-anchor that has several are concatenated, with their texts, and their Burrows-Wheeler transform is formed (of suffixes
-sorted by their first LENGTH bytes or more, as no longer prefix matters): breadth-first backward extension of intervals derives the lengths
-of the common prefixes of neighbouring suffixes, by increasing length, and stops at LENGTH. What is then still undivided
-are the groups of equal strings; all but the first start of each are repeats.
+copies, and the first of them stands for all: its text goes into the transform once, with the number of its copies as weight.
+The different fragments of an anchor that has several, or copies, are concatenated and their Burrows-Wheeler transform is
+formed (of suffixes sorted by their first LENGTH bytes or more, as no longer prefix matters): breadth-first backward extension
+of intervals derives the lengths of the common prefixes of neighbouring suffixes, by increasing length, and stops at LENGTH.
+What is then still undivided are the groups of equal strings. A group whose weight is above one is repeated: all but its first
+start are repeats, those in copies too, which lie where they lie in the fragment that stands for them.
 
 A transform takes up to CHUNK bytes. An anchor with more fragments than fit is lengthened: a string whose anchor stands in
 its first half has more common bytes after the anchor, one whose anchor stands in its second half has more before it. So
 each fragment is cut into two, by the anchor's place, and the longer pieces that all strings of such a half have in common
 are the new anchors; copies are merged again, and halves that are still crowded are cut again, until a half is one place.
 
-Skew: copies in a batch are merged before the shuffle. A first pass counts anchors and fragments in a sketch of fixed size;
+Skew: up to IN_BATCH copies of a fragment in a batch, and COPIES in all, go by the transform; further ones, copies of heavy
+fragments, and those of crowded anchors are repeats by their digest alone. A first pass counts anchors and fragments in a sketch of fixed size;
 what is far above the mean there is heavy. Copies of heavy fragments are merged over a whole task, and fragments of
 heavy anchors are dealt out by their own hash and lengthened at once, so a passage that all documents share is a row of each
 task, and its edges are nobody's hot key. The sketch decides where rows go, never what is found.
@@ -47,6 +49,8 @@ from .setjoin import bounds
 LENGTH, ANCHOR = 100, 32
 #: Bytes of text hashed at once; bytes that are transformed at once; most fragments of an anchor that isn't crowded, so that they fit.
 PIECE, CHUNK, MANY = 1 << 16, 1 << 19, 1000
+#: Copies of a fragment, in a batch and in all, of which the transform's intervals decide; the digest decides of further ones.
+IN_BATCH, COPIES = 8, 64
 #: Bins of the sketch, as a power of two. A bin is heavy above so many times the mean, and above this share of a partition's rows.
 SKETCH_BITS, ABOVE_MEAN, OF_PARTITION = 18, 2, 0.1
 #: Keys that are broadcast as heavy, at most; parts in which copies are merged before they meet.
@@ -111,9 +115,9 @@ def all_fragments(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def first_fragments(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of a batch: anchor, fragment (two hashes), doc_id and packed place of its first fragments; doc_id, tag, first and last of runs of repeats.
+    """Of a batch: anchor, fragment (two hashes), doc_id and packed place of its fragments; doc_id, tag, first and last of runs of repeats.
 
-    Of copies in the batch the first stays; all starts of the others are repeats.
+    Of copies in the batch the first IN_BATCH stay; all starts of the others are repeats.
     """
     data, at = byte_view(batch["text"])
     anchor, f, g, row, first, last, place = all_fragments(data, at)
@@ -123,9 +127,10 @@ def first_fragments(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.nd
     new = np.ones(len(f), bool)
     new[1:] = (f[1:] != f[:-1]) | (g[1:] != g[:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = ~new & ~((doc == doc[head]) & (tag == tag[head]) & (first == first[head]))  # the rest are equal rows
+    other = ~new & ~((doc == doc[head]) & (tag == tag[head]) & (first == first[head]))  # the rest are equal rows
+    again = other & (np.arange(len(f)) - head >= IN_BATCH)
     packed = tag << 45 | first << 14 | place << 7 | (last - first)
-    return [x[new] for x in (anchor, f, g, doc, packed)], joined_runs(doc[again], tag[again], first[again], last[again])
+    return [x[new | other & ~again] for x in (anchor, f, g, doc, packed)], joined_runs(doc[again], tag[again], first[again], last[again])
 
 
 def joined_runs(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
@@ -219,13 +224,15 @@ def find(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
 
 
 def meet(found: DataFrame) -> DataFrame:
-    """Of the fragments: repeats (anchor null), and first fragments of anchors that have several or are heavy (crowded).
+    """Of the fragments: repeats (anchor null), and the fragments of anchors that have several or are heavy (crowded).
 
-    Rows come in the order of anchor and fragment and are passed one batch at a time; of the last fragment its first row is kept in mind.
+    Equal fragments of an anchor have one number; the first has ``copy`` false. Rows come in the order of anchor and fragment and
+    are passed one batch at a time; of the last fragment its first row is kept in mind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, told, several = None, True, False  # the last fragment's first row; whether it was sent on; whether its anchor has another
+        # The last fragment's first row, its number, and how many rows followed it; whether it was sent on; whether its anchor has another.
+        head, number_, followed, told, several = None, 0, 0, True, False
         for batch in batches:
             kind, place, anchor, f, g, doc, at = (batch[c].to_numpy() for c in ("kind", "place", "anchor", "f", "g", "doc_id", "at"))
             done = kind == REPEAT
@@ -241,37 +248,44 @@ def meet(found: DataFrame) -> DataFrame:
                 new[1:] = new_anchor[1:] | (f[1:] != f[:-1]) | (g[1:] != g[:-1])
                 lead = np.flatnonzero(new)[np.cumsum(new) - 1]
                 start = at >> 14
-                again = ~new & ~((doc == doc[lead]) & (start == start[lead]))
+                other = ~new & ~((doc == doc[lead]) & (start == start[lead]))
+                rank = np.arange(len(kind)) - lead + np.where(lead == 0, followed, 0)
+                copy = other & (kind == COMMON) & (rank <= COPIES)
+                again = other & ~copy
                 group = np.cumsum(new_anchor) - 1
-                many = np.bincount(group, weights=new) > 1
+                many = np.bincount(group, weights=new | copy) > 1
                 if head is not None:
                     many[0] |= several
                 many |= kind[new_anchor] == HEAVY
-                send = new & many[group]
+                send = new & many[group] | copy
                 if head is not None and told:
                     send[0] = False
                 out.append([doc[again], start[again] << 14, (start[again] & 0x7FFFFFFF) + (at[again] & 127)])
-                asked = [x[send] for x in (doc, at, anchor, kind)]
+                number = number_ + np.cumsum(new) - 1
+                asked = [x[send] for x in (doc, at, anchor, kind, number, copy)]
                 before = head is not None and told
                 last = int(lead[-1])
+                followed = len(kind) - 1 - last + (followed if last == 0 else 0)
                 several = bool(many[-1])
                 told = several or (last == 0 and before)
-                head = tuple(x[last] for x in (kind, place, anchor, f, g, doc, at))
+                head, number_ = tuple(x[last] for x in (kind, place, anchor, f, g, doc, at)), int(number[-1])
             doc_, at_, last_ = (np.concatenate([o[k] for o in out]) for k in range(3))
-            none = pa.nulls(len(doc_), pa.int64())
-            if len(doc_):
-                yield pa.RecordBatch.from_arrays([pa.array(doc_), pa.array((at_ >> 45).astype(np.int32)), pa.array((at_ >> 14 & 0x7FFFFFFF).astype(np.int32)), pa.array(last_.astype(np.int32)), none, pa.nulls(len(doc_), pa.int32()), pa.nulls(len(doc_), pa.bool_())], names)
+            n = len(doc_)
+            if n:
+                none = [pa.nulls(n, x) for x in (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_), pa.array((at_ >> 45).astype(np.int32)), pa.array((at_ >> 14 & 0x7FFFFFFF).astype(np.int32)), pa.array(last_.astype(np.int32)), *none], names)
             if len(asked) and len(asked[0]):
-                doc_, at_, anchor_, kind_ = asked
+                doc_, at_, anchor_, kind_, of, copy = asked
                 first = at_ >> 14 & 0x7FFFFFFF
-                yield pa.RecordBatch.from_arrays([pa.array(doc_), pa.array((at_ >> 45).astype(np.int32)), pa.array(first.astype(np.int32)), pa.array((first + (at_ & 127)).astype(np.int32)), pa.array(anchor_), pa.array((at_ >> 7 & 127).astype(np.int32)), pa.array(kind_ == HEAVY)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_), pa.array((at_ >> 45).astype(np.int32)), pa.array(first.astype(np.int32)), pa.array((first + (at_ & 127)).astype(np.int32)), pa.array(anchor_), pa.array((at_ >> 7 & 127).astype(np.int32)), pa.array(kind_ == HEAVY), pa.array(of), pa.array(copy)], names)
 
-    names = ["doc_id", "tag", "first", "last", "anchor", "place", "crowded"]
-    return arrow_map(found.repartition("place").sortWithinPartitions("place", "anchor", "f", "g", "doc_id", "at"), run, "doc_id bigint, tag int, first int, last int, anchor bigint, place int, crowded boolean")
+    names = ["doc_id", "tag", "first", "last", "anchor", "place", "crowded", "number", "copy"]
+    schema = "doc_id bigint, tag int, first int, last int, anchor bigint, place int, crowded boolean, number bigint, copy boolean"
+    return arrow_map(found.repartition("place").sortWithinPartitions("place", "anchor", "f", "g", "doc_id", "at"), run, schema)
 
 
 def fetch(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """key (the anchor), place, crowded, doc_id, tag, first, last and bytes of the fragments asked for."""
+    """key (the anchor), place, crowded, number, doc_id, tag, first, last and bytes of the fragments asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,12 +299,12 @@ def fetch(docs: DataFrame, asked: DataFrame) -> DataFrame:
             begin = at[row] + first
             strings = [raw[a:b] for a, b in zip(begin.tolist(), (begin + last - first + LENGTH).tolist(), strict=True)]
             of = pa.array(row)
-            columns = [flat.field("anchor"), flat.field("place"), flat.field("crowded"), batch["doc_id"].take(of), batch["tag"].take(of), flat.field("first"), flat.field("last"), pa.array(strings, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "crowded", "doc_id", "tag", "first", "last", "bytes"])
+            columns = [flat.field("anchor"), flat.field("place"), flat.field("crowded"), flat.field("number"), batch["doc_id"].take(of), batch["tag"].take(of), flat.field("first"), flat.field("last"), pa.array(strings, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "crowded", "number", "doc_id", "tag", "first", "last", "bytes"])
 
-    lists = asked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "place", "crowded", "first", "last")).alias("asks"))
+    lists = asked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "place", "crowded", "number", "first", "last")).alias("asks"))
     joined = docs.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "asks")
-    return arrow_map(joined, run, "key bigint, place int, crowded boolean, doc_id bigint, tag int, first int, last int, bytes binary")
+    return arrow_map(joined, run, "key bigint, place int, crowded boolean, number bigint, doc_id bigint, tag int, first int, last int, bytes binary")
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -372,8 +386,11 @@ def undivided(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, ~divided[:n]
 
 
-def repeats_in(strings: list[bytes], doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """Runs (doc_id, tag, first, last) of the strings of LENGTH bytes that start earlier in another place of these fragments."""
+def repeats_in(strings: list[bytes], doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray, copies: list[np.ndarray]) -> list[np.ndarray]:
+    """Runs (doc_id, tag, first, last) of the strings of LENGTH bytes that start earlier in another place of these fragments.
+
+    ``copies`` are doc_id, tag and first start of further places of fragments, and the fragments' places in ``strings``.
+    """
     sizes = np.array([*map(len, strings)]) + 1
     begin = np.cumsum(sizes) - sizes
     text = np.frombuffer(bytes([PART]).join([*strings, bytes([STOP])]), np.uint8)
@@ -383,19 +400,26 @@ def repeats_in(strings: list[bytes], doc: np.ndarray, tag: np.ndarray, first: np
     start = np.arange(len(text)) - begin[fragment] + first[fragment]
     valid = start <= last[fragment]
     valid[-1] = False
-    shared = joined.copy()
-    shared[:-1] |= joined[1:]
-    use = shared & valid[order]
+    weight = 1 + np.bincount(copies[3], minlength=len(strings))
+    width = np.bincount(number, weights=np.where(valid, weight[fragment], 0)[order])
+    use = (width[number] > 1) & valid[order]
     places, g = order[use], number[use]
     of = fragment[places]
     d, t, s = doc[of], tag[of], start[places]
     by = np.lexsort((s, t, d, g))
-    g, d, t, s = g[by], d[by], t[by], s[by]
+    of, g, d, t, s = of[by], g[by], d[by], t[by], s[by]
     new = np.ones(len(g), bool)
     new[1:] = g[1:] != g[:-1]
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     again = ~((d == d[head]) & (t == t[head]) & (s == s[head]))
-    return joined_runs(d[again], t[again], s[again], s[again])
+    # What is repeated in a fragment that has copies is, in each copy, a repeat of its first start.
+    its, _, a, b = joined_runs(of, np.zeros_like(of), s, s)
+    low, high = np.searchsorted(its, copies[3]), np.searchsorted(its, copies[3], "right")
+    c = np.repeat(np.arange(len(low)), high - low)
+    r = np.arange(len(c)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[c]
+    shift = copies[2][c] - first[copies[3][c]]
+    parts = (d[again], copies[0][c]), (t[again], copies[1][c]), (s[again], a[r] + shift), (s[again], b[r] + shift)
+    return joined_runs(*map(np.concatenate, parts))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool]]:
@@ -435,15 +459,30 @@ def whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple
 
 
 def compare(fetched: DataFrame) -> DataFrame:
-    """Runs of repeated starts (bytes null) among the fragments of each key, and the fragments of crowded keys as they came."""
+    """Runs of repeated starts (bytes null) among the fragments of each key, and the fragments of crowded keys as they came.
+
+    Rows without bytes are copies of the fragment of their key and number; copies of a crowded key are repeats.
+    """
     names = ["place", "doc_id", "tag", "first", "last", "bytes"]
 
+    def runs(columns: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(columns[0]), *(pa.array(x.astype(np.int32)) for x in columns[1:]), pa.nulls(n, pa.binary())], names)
+
     def transformed(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(tables)
-        found = repeats_in(table["bytes"].to_pylist(), *(table[c].to_numpy() for c in ("doc_id", "tag", "first", "last")))
-        n = len(found[0])
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(found[0]), *(pa.array(x.astype(np.int32)) for x in found[1:]), pa.nulls(n, pa.binary())], names)
+        copy = table["bytes"].is_null().to_numpy()
+        key, number = table["key"].to_numpy(), table["number"].to_numpy()
+        order = np.lexsort((copy, number, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(key[order]) != 0) | (np.diff(number[order]) != 0)
+        stands = np.empty(len(order), np.int64)
+        stands[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        columns = [table[c].to_numpy() for c in ("doc_id", "tag", "first", "last")]
+        copies = [x[copy] for x in (*columns[:3], (np.cumsum(~copy) - 1)[stands])]
+        found = repeats_in(table.filter(pa.array(~copy))["bytes"].to_pylist(), *(x[~copy] for x in columns), copies)
+        if len(found[0]):
+            yield runs(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready, size = [], 0
@@ -464,7 +503,7 @@ def compare(fetched: DataFrame) -> DataFrame:
         if ready:
             yield from transformed(ready)
 
-    return arrow_map(fetched.select("key", *names).repartition("key").sortWithinPartitions("key"), run, "place int, doc_id bigint, tag int, first int, last int, bytes binary")
+    return arrow_map(fetched.select("key", "number", *names).repartition("key").sortWithinPartitions("key"), run, "place int, doc_id bigint, tag int, first int, last int, bytes binary")
 
 
 def lengthened(rows: DataFrame) -> DataFrame:
@@ -500,13 +539,13 @@ def first_of_copies(rows: DataFrame) -> DataFrame:
     return rows.withColumn("again", (F.col("of_part") > 1) | (F.col("of_all") > 1)).drop("digest", "part", "of_part", "alone", "of_all")
 
 
-def all_repeats(store: Workspace, fetched: DataFrame) -> DataFrame:
-    """Runs of repeats among the fetched fragments; crowded anchors are lengthened step by step."""
+def all_repeats(store: Workspace, fetched: DataFrame, copies: DataFrame) -> DataFrame:
+    """Runs of repeats among the fetched fragments and their copies; crowded anchors are lengthened step by step."""
     run = ("doc_id", "tag", "first", "last")
     ends = lambda df, low, high: df.withColumn("low", F.lit(low)).withColumn("high", F.lit(high))
-    done = store.put("compared-0", compare(fetched.filter("not crowded")))
+    done = store.put("compared-0", compare(fetched.filter("not crowded").unionByName(copies.withColumnRenamed("anchor", "key"), True)))
     found = done.filter("bytes is null").select(*run)
-    crowd = ends(done.filter("bytes is not null").unionByName(fetched.filter("crowded").drop("key", "crowded")), 0, LENGTH - ANCHOR)
+    crowd = ends(done.filter("bytes is not null").unionByName(fetched.filter("crowded").drop("key", "crowded", "number")), 0, LENGTH - ANCHOR)
     for step in range(1, 9):
         if crowd.isEmpty():
             return found
@@ -520,7 +559,7 @@ def all_repeats(store: Workspace, fetched: DataFrame) -> DataFrame:
         heavy = rest.join(F.broadcast(keys), "key", "left_semi")
         # All rows of a step have halves of one width, and a key is of one half.
         common = rest.join(F.broadcast(keys), "key", "left_anti").withColumn("place", F.col("place") * 256 + F.col("low")).withColumn("place", F.col("place") * 256 + F.col("high"))
-        done = store.put(f"compared-{step}", compare(common))
+        done = store.put(f"compared-{step}", compare(common.withColumn("number", F.monotonically_increasing_id())))
         found = found.unionByName(done.filter("bytes is null").select(*run))
         passed = done.filter("bytes is not null").select(F.floor(F.col("place") / 65536).cast("int").alias("place"), *run, "bytes", (F.floor(F.col("place") / 256) % 256).cast("int").alias("low"), (F.col("place") % 256).cast("int").alias("high"))
         crowd = passed.unionByName(heavy.select("place", *run, "bytes", "low", "high"))
@@ -564,8 +603,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint"), "text", tag.alias("tag"))
     known = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     met = store.put("met", meet(find(known, heavy_bins(known))))
-    fetched = store.put("fetched", fetch(known, met.filter("anchor is not null")))
-    further = all_repeats(store, fetched)
+    fetched = store.put("fetched", fetch(known, met.filter("anchor is not null and not copy")))
+    further = all_repeats(store, fetched, met.filter("copy").drop("copy"))
     runs = store.put("runs", runs_of(met.filter("anchor is null").select("doc_id", "tag", "first", "last").unionByName(further)))
     store.drop("met", "fetched", *(f"{name}-{k}" for name in ("compared", "halves", "keys") for k in range(9)))
     return remove(docs, runs)

@@ -503,6 +503,29 @@ def test_substrings_on_repetitive_texts(spark, frame, monkeypatch, many, heavy):
             assert r["kept"] == r["raw"] and r["runs"] is None
 
 
+@pytest.mark.parametrize(("in_batch", "copies"), [(8, 64), (0, 0), (1, 1), (3, 2)])
+def test_copies_by_the_weight_of_their_fragment(spark, frame, monkeypatch, in_batch, copies):
+    """Whether the transform's intervals or digests decide of copies, the result is that of brute force; within the bounds no digest does."""
+    monkeypatch.setattr(substrings, "IN_BATCH", in_batch)
+    monkeypatch.setattr(substrings, "COPIES", copies)
+    rng = random.Random(31)
+    text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    base = [text(400) for _ in range(6)]
+    docs = [(i, base[i % 6] if i % 4 else text(90) + base[i % 6][50:300] + text(120)) for i in range(40)]
+    rows = [*docs, docs[3], docs[7]]
+    for parts in (1, 5):
+        done = substrings.deduplicate(spark, frame(rows).repartition(parts)).collect()
+        expected = plain_removal(docs)
+        assert len(done) == len(rows)
+        for r in done:
+            assert (len(r["raw"]), len(r["raw"]) - len(r["kept"]), len(r["runs"] or []), sha(bytes(r["kept"]))) == expected[r["doc_id"]]
+    known = frame(rows).withColumn("tag", F.lit(0)).repartition(5)
+    none = np.zeros((2, 1 << substrings.SKETCH_BITS), bool)
+    met = substrings.meet(substrings.find(known, none)).collect()
+    assert any(r["anchor"] is None for r in met) == (copies < 64)
+    assert any(r["copy"] for r in met) == (in_batch > 0)
+
+
 def test_one_passage_in_every_document(spark, frame):
     """A passage that all documents share, over many batches: the first keeps it, the others lose it and no more."""
     rng = random.Random(8)
