@@ -1,6 +1,6 @@
 """Quality rules: a hashed n-gram log-likelihood ratio, after counts that any reader can check.
 
-Words and pairs of words are hashed into bins, whose number grows as the square root of the corpus's bytes. Two multinomials
+Words and pairs of words are hashed into a fixed number of bins, whatever the corpus's size. Two multinomials
 over the bins are counted, one over the trusted target (documents labelled good), one over the whole raw corpus; a document's
 ratio is the mean, over its n-grams, of the difference of the bins' log probabilities. Every document is judged by one
 threshold: no sampling. A quarter of the labelled documents, by the CRC-32 of the id, doesn't teach the target but sets the
@@ -15,7 +15,6 @@ columns, whatever their names, aren't kept.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..arrow import arrow_map
+from ..operators.matrix import sum_vectors, vectors
 from .common import SPACE, Workspace, byte_view, crc_bucket, documents, id_filter, marked, per_row, prefix_hash, span_hash, windows, word_spans
 
-#: Fewest bins of the n-grams (as a power of two), n-grams counted.
-LEAST_BITS, GRAMS = 12, (1, 2)
+#: Bins of the n-grams, and those that a task sends as one vector (as powers of two); n-grams counted.
+BITS, BLOCK_BITS, GRAMS = 18, 12, (1, 2)
 #: The threshold: parts of an id's CRC-32, that part which sets it, how much a good document dropped counts against a bad one
 #: kept (as shares of either kind), steps of a ratio of 1, and the threshold where labels say nothing.
 PARTS, SETS, GOOD_WEIGHT, STEPS, FALLBACK = 4, 3, 4.0, 1000, -0.2
@@ -79,11 +79,6 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray]
     return counts, hashes, rows
 
 
-def gram_bits(size: int) -> int:
-    """The bits of a bin's number for a corpus of so many bytes: about sqrt(size) bins, 16 million for 100 TB."""
-    return max(LEAST_BITS, math.ceil(math.log2(max(size, 1)) / 2))
-
-
 def grams(hashes: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bins and rows of all n-grams."""
     bins, of = [], []
@@ -94,23 +89,26 @@ def grams(hashes: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.ndarray,
     return np.concatenate(bins), np.concatenate(of)
 
 
-def count_grams(docs: DataFrame, bits: int) -> np.ndarray:
-    """Counts of the bins over all texts of docs. A task sends a row for each bin at most."""
+def count_grams(docs: DataFrame) -> np.ndarray:
+    """Counts of the bins over all texts of docs. A task sends whole vectors of neighbouring bins, which are summed in the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << bits, np.int64)
+        sums = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             data, at = byte_view(batch["text"])
             starts, ends, rows = word_spans(data, at)
-            bins, _ = grams(span_hash(prefix_hash(data), starts, ends), rows, bits)
-            np.add.at(sums, bins, 1)
-        full = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[full])], ["bin", "n"])
-
-    rows = arrow_map(docs.select("text"), run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, np.int64)
-    out[rows["bin"].to_numpy()] = rows["n"].to_numpy()
-    return out
+            bins, _ = grams(span_hash(prefix_hash(data), starts, ends), rows, BITS)
+            sums += np.bincount(bins, minlength=1 << BITS)
+        blocks = sums.reshape(-1, 1 << min(BITS, BLOCK_BITS))
+        full = np.flatnonzero(blocks.any(axis=1))
+        for k in full.tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), vectors(blocks[[k]].astype(np.float64))], ["key", "x"])
+
+    rows = sum_vectors(arrow_map(docs.select("text"), run, "key bigint, x array<double>")).toArrow()  # 1 << BITS numbers
+    out = np.zeros((1 << BITS - min(BITS, BLOCK_BITS), 1 << min(BITS, BLOCK_BITS)))
+    for k, x in zip(rows["key"].to_pylist(), rows["x"], strict=True):
+        out[k] = x.values.to_numpy()
+    return out.ravel()
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -124,9 +122,8 @@ def learn(store: Workspace, docs: DataFrame, trusted: DataFrame) -> np.ndarray:
 
     The raw side is counted without a join. Of the other side only texts that pass a filter of fixed size are moved.
     """
-    bits = gram_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     near = marked(docs, "doc_id", store.put("bits", id_filter(F.col("good_id"), trusted)), "near").filter("near")
-    return log_ratios(count_grams(docs, bits), count_grams(near.join(trusted.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi"), bits))
+    return log_ratios(count_grams(docs), count_grams(near.join(trusted.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi")))
 
 
 def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:

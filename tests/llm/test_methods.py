@@ -264,14 +264,14 @@ def test_quality_counts(spark, docs, odd, frame):
         assert tuple(got[d][n] for n in names) == plain_quality(t)
         failed = got[d]["n_words"] < 20 or 100 * got[d]["n_repeat_words"] > 30 * got[d]["n_words"]
         assert got[d]["base_failed"] == failed and not (failed and got[d]["kept"])
-    rows = quality.judge(frame(list(enumerate(odd))), np.zeros(1 << quality.LEAST_BITS)).collect()
+    rows = quality.judge(frame(list(enumerate(odd))), np.zeros(1 << quality.BITS)).collect()
     for r in rows:
         assert tuple(r[n] for n in names) == plain_quality(odd[r["doc_id"]] or "")
 
 
 def test_quality_ratio_by_hand(spark, frame, monkeypatch):
     """Counts by words themselves, in so many bins that n-grams don't share one."""
-    monkeypatch.setattr(quality, "LEAST_BITS", 24)
+    monkeypatch.setattr(quality, "BITS", 24)
     rng = random.Random(12)
     rows = [(i, " ".join(rng.choice("the of a river stone cloud spam win prize".split()[: 6 if i % 3 else 9]) for _ in range(30))) for i in range(12)]
     good = [i for i in range(12) if i % 3]
@@ -303,8 +303,59 @@ def test_quality_threshold_by_brute_force(spark):
     assert quality.threshold(judged, labelled.filter("quality = 1")) == quality.FALLBACK
 
 
-def test_bins_grow_with_the_corpus():
-    assert [quality.gram_bits(n) for n in (0, 1 << 20, 25 << 20, 1 << 30, 100 << 40)] == [12, 12, 13, 15, 24]
+def plain_hash(raw):
+    """Of bytes, by whole numbers; and the stirring of its bits."""
+    factor, mask = int(common.FACTOR), (1 << 64) - 1
+    return plain_mixed(sum((b + 1) * pow(factor, k, 1 << 64) for k, b in enumerate(raw)) & mask ^ len(raw) * factor & mask)
+
+
+def plain_mixed(h):
+    for _ in range(2):
+        h = (h ^ h >> 32) * int(common.MIXER) & (1 << 64) - 1
+    return h ^ h >> 32
+
+
+def test_quality_kept_by_brute_force(spark, docs):
+    """kept of all documents from the tables alone: bins, ratios, threshold and verdicts by dictionaries and loops."""
+    folder = SMALL
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["quality"] is not None]
+    quality_of = {}
+    for d, q in labels:
+        quality_of[d] = min(q, quality_of.get(d, q))
+    sets = {d for d in quality_of if zlib.crc32(str(d).encode()) % 4 == 3}
+    bins = {}
+    for d, t in docs:
+        h = [plain_hash(w) for w in re.split(rb"[\x20\x09-\x0d]+", (t or "").encode()) if w]
+        pairs = [(a * int(common.FACTOR) + b) & (1 << 64) - 1 for a, b in zip(h, h[1:], strict=False)]
+        bins[d] = [plain_mixed(x) >> 64 - 18 for x in h + pairs]
+    raw = collections.Counter(b for x in bins.values() for b in x)
+    target = collections.Counter(b for d, x in bins.items() if quality_of.get(d) == 1 and d not in sets for b in x)
+    n_raw, n_target = (sum(c.values()) + (1 << 18) for c in (raw, target))
+    weight = {b: np.log((target[b] + 1) / n_target) - np.log((raw[b] + 1) / n_raw) for b in raw}
+    ratio = {d: sum(weight[b] for b in x) / max(len(x), 1) for d, x in bins.items()}
+    plain = {d: plain_quality(t or "") for d, t in docs}
+    failed = {d: p[0] < 20 or 100 * p[4] > 30 * p[0] for d, p in plain.items()}
+    step = {d: int(np.floor(ratio[d] * 1000)) for d in ratio}
+    good, bad = ([step[d] for d in sets if d in step and not failed[d] and (quality_of[d] == 1) == g] for g in (True, False))
+    cut = -0.2
+    if good and bad:
+        steps = sorted({*good, *bad})
+        losses = [4 * np.mean([x < c for x in good]) + np.mean([x >= c for x in bad]) for c in [*steps, steps[-1] + 1]]
+        k = min(k for k, loss in enumerate(losses) if loss <= min(losses) + 1e-12)
+        high = steps[k] if k < len(steps) else steps[-1] + 1
+        cut = (high + (steps[k - 1] + 1 if k else steps[0])) / 2000
+    got = result(spark, "op5_log_ratio_quality", folder)
+    for d, r in got.items():
+        assert r["ratio"] == pytest.approx(ratio[d], abs=1e-5)
+        assert r["kept"] == (not failed[d] and r["ratio"] >= cut)
+    assert len(got) == len(docs) and any(r["kept"] for r in got.values())
+
+
+def test_the_bins_are_fixed(spark, frame):
+    """Their number doesn't depend on the corpus, and tasks' vectors add up."""
+    for rows in ([], [(1, "a b a")], [(i, "a b a") for i in range(300)]):
+        counts = quality.count_grams(frame(rows).repartition(3))
+        assert len(counts) == 1 << quality.BITS and counts.sum() == 5 * len(rows) and (counts > 0).sum() == (4 if rows else 0)
 
 
 def test_quality_keeps_good_and_drops_bad(spark):
