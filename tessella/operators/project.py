@@ -14,9 +14,12 @@ from .matrix import block, map_blocks, sum_vectors, vectors
 
 #: Most features of a matrix of products, which the driver decomposes: 512 MB. Its rows are summed so many at a time.
 MOST_FEATURES, ROWS = 8192, 64
-#: Wider matrices: most values of a subspace, which the driver holds (128 MB); directions beyond those asked for; rounds at most, and
-#: the relative change of all values asked for below which they end; values of a dense block; tasks' triangles that go together.
-MOST_BASIS_VALUES, FURTHER, MOST_ROUNDS, SETTLED, BLOCK_VALUES, TOGETHER = 1 << 24, 16, 60, 1e-12, 1 << 21, 64
+#: Wider matrices: most values of the directions that go with a pass, which the driver holds (128 MB; three times as many of a subspace at
+#: least); directions beyond those asked for; passes' worth of directions in a subspace at most; rounds, after which it is an error that
+#: components haven't settled; values of a dense block; tasks' triangles that go together.
+MOST_BASIS_VALUES, FURTHER, MOST_BLOCKS, MOST_ROUNDS, BLOCK_VALUES, TOGETHER = 1 << 24, 16, 8, 1000, 1 << 21, 64
+#: A component has settled if what is left of it is so small a part of the distance to the next value, or a rounding of the largest value.
+SETTLED, ROUNDING = 1e-10, 1e-13
 
 
 def orthonormal_basis(features: int, components: int, seed: int = 42) -> np.ndarray:
@@ -142,30 +145,53 @@ def triangle(cells: DataFrame, basis: np.ndarray) -> np.ndarray:
 
 
 def leading_components(cells: DataFrame, width: int, components: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """As uncentred_components, for any number of features: randomised subspace iteration, in which features x features is never formed.
+    """As uncentred_components, for any number of features: block Lanczos with restarts, in which features x features is never formed.
 
-    cells: vectors (x), or rows of entries (positions, values). A round is a pass over the cells that multiplies a basis of
-    ``components`` + FURTHER directions by X'X; rounds end when the values have settled. The last pass decomposes XV by a tree
-    of QR decompositions, so that small values don't lose half of their digits by squaring. Components of equal value are
-    any basis of their space.
+    cells: vectors (x), or rows of entries (positions, values). A round is a pass over the cells that multiplies
+    ``components`` + FURTHER directions at most by X'X; what is new in the products joins the subspace and is the next round's
+    directions. A subspace that is full goes on with its best directions. Rounds end when each component has settled, not only
+    its value, or when nothing is new. The last pass decomposes XV by a tree of QR decompositions, so that small values don't
+    lose half of their digits by squaring. Components of equal value are any basis of their space.
     """
     n = min(components + FURTHER, width)
     if n * width > MOST_BASIS_VALUES:
         raise ValueError(f"{n} directions of {width} features are more than the driver holds")
+    most = max(3 * n, min(MOST_BLOCKS * n, MOST_BASIS_VALUES // width))
     cells = cells.select(*(c for c in ("x", "positions", "values") if c in cells.columns))
-    basis, before = orthonormal_basis(width, n, seed), np.zeros(components)
+    basis, products, new = np.zeros((width, 0)), np.zeros((0, 0)), orthonormal_basis(width, n, seed)
     for _ in range(MOST_ROUNDS):
-        product = products_with(cells, basis)
-        values = np.sort(np.linalg.eigvalsh((basis.T @ product + product.T @ basis) / 2))[::-1][:components]
-        basis = np.linalg.qr(product)[0]
-        if (np.abs(values - before) <= SETTLED * max(values[0], 0)).all():
+        if basis.shape[1] + new.shape[1] > most:
+            basis, products = basis @ turned[:, :n], np.diag(values[:n])
+        left, basis = products_with(cells, new), np.hstack([basis, new])
+        own = basis.T @ left
+        products = np.block([[products, own[: len(products)]], [own.T]])
+        products = (products + products.T) / 2
+        values, turned = np.linalg.eigh(products)
+        values, turned = values[::-1], turned[:, ::-1]
+        left -= basis @ own
+        left -= basis @ (basis.T @ left)
+        q, r = np.linalg.qr(left)
+        u, sizes, v = np.linalg.svd(r)
+        fresh = sizes > len(values) * np.finfo(float).eps * max(values[0], 0)
+        rest = np.linalg.norm(sizes[:, None] * (v @ turned[-new.shape[1] :, :components]), axis=0)
+        if not fresh.any() or (rest <= np.maximum(SETTLED * gaps(values)[:components], ROUNDING * values[0])).all():
             break
-        before = values
+        new = q @ u[:, fresh]
+        new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+    else:
+        raise RuntimeError(f"{components} components of {width} features haven't settled in {MOST_ROUNDS} passes")
+    basis = np.linalg.qr(basis @ turned[:, :n])[0]
     _, values, turned = np.linalg.svd(triangle(cells, basis), full_matrices=False)
     found = min(components, len(values))
     return signed(basis @ turned[:found].T), values[:found]
 
 
+def gaps(values: np.ndarray) -> np.ndarray:
+    """The distance of each of falling values to its nearest neighbour."""
+    between = np.concatenate([[np.inf], values[:-1] - values[1:], [np.inf]])
+    return np.minimum(between[:-1], between[1:])
+
+
 def residuals(cells: DataFrame, loadings: np.ndarray, values: np.ndarray) -> np.ndarray:
     """For each component the length of X'Xv - s^2 v, relative to the largest s^2; one pass."""
     cells = cells.select(*(c for c in ("x", "positions", "values") if c in cells.columns))

@@ -43,6 +43,21 @@ def test_components_of_rows_of_entries(spark):
     assert np.allclose(few[1][:2], np.linalg.svd(x[:2], compute_uv=False)) and np.allclose(few[1][2:], 0)
 
 
+def test_leading_components_of_close_values(spark):
+    """Values so close that a power of X'X doesn't part them: the components themselves must have settled."""
+    x = np.random.default_rng(6).standard_normal((3000, 64))
+    cells = table(spark, x)
+    loadings, values = project.leading_components(cells, 64, 8)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(values, s[:8], rtol=1e-12)
+    assert np.abs(loadings - project.signed(vt[:8].T)).max() < 1e-9
+    # Wider than a subspace: it must go on from its best directions.
+    wide = np.random.default_rng(7).standard_normal((900, 700)) * np.linspace(2, 1, 700)
+    found, sizes = project.leading_components(table(spark, wide), 700, 4)
+    _, s, vt = np.linalg.svd(wide, full_matrices=False)
+    assert np.allclose(sizes, s[:4], rtol=1e-12) and np.abs(found - project.signed(vt[:4].T)).max() < 1e-9
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     rng = np.random.default_rng(9)
