@@ -242,15 +242,15 @@ def components(store: Workspace, edges: DataFrame, name: str) -> DataFrame:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         step += 1
         both = current.union(current.select("v", "u"))
-        least = store.put(f"{name}-least-{step}", both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         # Large star: to the least neighbour go all greater ones.
         large = look_up(both.filter("v > u"), "u", least, 2 * current.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = store.put(f"{name}-large-{step}", large)
-        low = store.put(f"{name}-low-{step}", large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         # Small star: to the least go the node and its lesser neighbours.
         small = look_up(large, "u", low, large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         current = store.put(f"{name}-{step}", small)
-        store.drop(f"{name}-{step - 1}", *(f"{name}-{x}-{step}" for x in ("least", "large", "low")))
+        store.drop(f"{name}-{step - 1}", f"{name}-large-{step}")
 
 
 def exact(members: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def exact(members: DataFrame) -> DataFrame:
 
 
 def candidates(store: Workspace, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate links (u, v) between sets, by chosen paths."""
+    """node and root of the candidate groups of sets, by chosen paths."""
     tokens = rows.select(F.col("doc_id").alias("rep"), "size", "tokens").filter("size > 0")
     nodes = sets.select("rep", F.explode("nodes").alias("node"))
     parts, large = [], None
@@ -311,14 +311,14 @@ def candidates(store: Workspace, rows: DataFrame, sets: DataFrame) -> DataFrame:
         count = store.put(f"count-{depth}", count)
         # The same few sets meet in many runs; one such node is enough.
         few = count.filter(F.col("n") <= BUCKET).groupBy("n", "who").agg(F.min("node").alias("node"))
-        parts.append(store.put(f"few-{depth}", nodes.join(few.select("node"), "node").select("node", "rep")))
+        parts.append(nodes.join(few.select("node"), "node").select("node", "rep"))
         many = count.filter(F.col("n") > BUCKET)
         if many.isEmpty():
             break
         held = nodes.join(many.select("node", "n"), "node")
         if depth == DEPTH:
             large = store.put("large", held.select("node", "rep"))
-            parts.append(store.put("many", in_parts(held)))
+            parts.append(in_parts(held))
             break
         # A child is named by its parent, the coordinate sampled there and the token.
         coordinate = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS)).cast("int")
@@ -333,10 +333,14 @@ def candidates(store: Workspace, rows: DataFrame, sets: DataFrame) -> DataFrame:
     # Most sets meet nobody: a filter of fixed size keeps their tokens from being moved.
     tokens = marked(tokens, "rep", store.put("meeting", id_filter(F.col("rep"), members)), "meets").filter("meets").drop("meets")
     edges = store.put("edges", likely(members.join(tokens, "rep")))
+    grouped = components(store, edges, "near")
     if large is not None:
-        edges = store.put("all-edges", edges.union(still_apart(store, large, edges, tokens)).distinct())
-    store.drop("large", "blocks", "members", "meeting", "many", *(f"{name}-{k}" for name in ("count", "few", "nodes") for k in range(1, DEPTH + 1)))
-    return edges
+        further = store.put("further", still_apart(store, large, grouped, tokens))
+        if not further.isEmpty():
+            # The groups as stars and what joins them: far fewer steps than from the links.
+            grouped = components(store, grouped.toDF("u", "v").union(further), "groups")
+    store.drop("large", "blocks", "members", "meeting", *(f"{name}-{k}" for name in ("count", "nodes") for k in range(1, DEPTH + 1)))
+    return grouped
 
 
 def in_parts(held: DataFrame) -> DataFrame:
@@ -348,9 +352,8 @@ def in_parts(held: DataFrame) -> DataFrame:
     return own.union(led.select(F.xxhash64("node", "part").alias("node"), F.explode("leaders").alias("rep"))).distinct()
 
 
-def still_apart(store: Workspace, large: DataFrame, edges: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Candidate links (u, v) between those sets of large nodes (node, rep) that edges don't join."""
-    near = components(store, edges, "near")
+def still_apart(store: Workspace, large: DataFrame, near: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Candidate links (u, v) between those sets of large nodes (node, rep) that aren't in one group (node, root) yet."""
     rooted = large.join(near.select(F.col("node").alias("rep"), "root"), "rep", "left").select("node", "rep", F.coalesce("root", "rep").alias("root"))
     count = rooted.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("root").alias("low"), F.max("root").alias("high"))
     count = count.filter("low <> high").groupBy("n", "who").agg(F.min("node").alias("node"))
@@ -370,8 +373,7 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = rows.filter("size > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"), F.first("size").alias("size"))
     sets = store.put("sets", sets)
     named = sets.filter("rep is not null")
-    edges = candidates(store, rows, named)
-    grouped = components(store, edges, "groups")
+    grouped = candidates(store, rows, named)
     grouped = store.put("grouped", grouped.union(grouped.select("root", "root").distinct()).toDF("rep", "root"))
     held = store.put("sized", grouped.join(named.groupBy("rep").agg(F.sum("copies").alias("copies"), F.max("size").alias("size")), "rep"))
     # Groups above a block are cut by size, as only sets of neighbouring sizes can be linked, and then by hash.
@@ -402,7 +404,7 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = links.join(whole, "rep", "left")
     known = sets.join(found, "rep", "left").select("a", "b", "copies", F.coalesce("class", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     known = store.put("known", known)
-    store.drop("sets", "edges", "all-edges", "grouped", "sized", "load", "held", "judged", "classes")
+    store.drop("sets", "edges", "further", "grouped", "sized", "load", "held", "judged", "classes")
     return rows.select("doc_id", "a", "b").join(known, ["a", "b"], "left").select("doc_id", F.coalesce("class_id", F.when(F.col("a").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("bigint").alias("n_links"))
 
 

@@ -777,6 +777,15 @@ def test_setjoin_query(spark, docs):
     assert {d: (r["class_id"], r["n_links"]) for d, r in got.items()} == plain_links(docs)
 
 
+def test_a_step_of_components_writes_two_tables(spark, monkeypatch):
+    written, put = [], common.Workspace.put
+    monkeypatch.setattr(common.Workspace, "put", lambda self, name, df: written.append(name) or put(self, name, df))
+    edges = spark.createDataFrame([(2, 1), (3, 2), (9, 8)], "u bigint, v bigint")
+    got = setjoin.components(common.Workspace(spark, "components"), edges, "c")
+    assert sorted(map(tuple, got.collect())) == [(2, 1), (3, 1), (9, 8)]
+    assert written[0] == "c-0" and len(written) > 1 and all(n.startswith(("c-large-", "c-")) and "least" not in n and "low" not in n for n in written)
+
+
 def test_setjoin_recall_at_a_larger_scale(spark):
     """All pairs at 0.8 or more of the 10,000 documents, those near the threshold among them."""
     folder = "/root/testdata/sf0.1"
