@@ -92,7 +92,7 @@ def matrix_as_h5ad(spark: SparkSession, d: str) -> DataFrame:
     path = store.temporary(spark, "h5ad")
     h5ad.write_h5ad(_data_set(spark, d), path, "s_name")
     back = h5ad.read_h5ad(spark, path)
-    named = back.entries.join(back.cells, "cell_id").join(F.broadcast(back.features), "pos")
+    named = back.entries.join(back.cells, "cell_id").join(back.features, "pos")
     return named.select("cell_key", "feature_name", F.round("value", 6).alias("value"))
 
 

@@ -10,7 +10,6 @@ The path must be one that all executors can open.
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql import Window as W
@@ -27,11 +27,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .dataset import DataSet
 from .hdf5 import Dataset, File
 from .hdf5_parts import Parts
+from .store import temporary
 
 #: Rows of a partition; entries of a batch, at most a row more; elements of a chunk that is written.
 ROWS, ENTRIES, CHUNK = 5000, 1 << 20, 1 << 16
-#: Names of features that go with each file: a dictionary's worth of text.
-MOST_NAMES_BYTES = 64 << 20
+#: Names that a task holds at a time.
+NAMES = 1 << 14
 SCHEMAS = {"entries": "cell_id bigint, pos int, value double", "cells": "cell_id bigint, cell_key string", "features": "feature_name string, pos int"}
 
 
@@ -133,45 +134,52 @@ class Written(WriterCommitMessage):
 class Column:
     """A data set that grows by values, a chunk at a time."""
 
-    def __init__(self, parts: Parts, kind: str):
+    def __init__(self, parts: Parts, kind: str, side: int | None = None):
         self.parts, self.kind, self.chunks, self.length, self.held = parts, np.dtype(kind), [], 0, []
+        self.side = side or CHUNK
 
     def add(self, values: np.ndarray) -> None:
         self.held.append(values.astype(self.kind))
         self.length += len(values)
-        if sum(map(len, self.held)) >= CHUNK:
-            self._write(CHUNK)
+        if sum(map(len, self.held)) >= self.side:
+            self._write(self.side)
 
     def _write(self, least: int) -> None:
         rest = np.concatenate(self.held)
         while len(rest) >= least and len(rest):
-            own, rest = rest[:CHUNK], rest[CHUNK:]
-            self.chunks.append(self.parts.chunk(np.concatenate([own, np.zeros(CHUNK - len(own), self.kind)])))
+            own, rest = rest[: self.side], rest[self.side :]
+            self.chunks.append(self.parts.chunk(np.concatenate([own, np.zeros(self.side - len(own), self.kind)])))
         self.held = [rest]
 
     def close(self, **attributes: str) -> int:
         if self.held:
             self._write(1)
-        return self.parts.column(self.kind, self.length, self.chunks, CHUNK, attributes)
+        return self.parts.column(self.kind, self.length, self.chunks, self.side, attributes)
 
 
-def names_column(parts: Parts, names: list[str]) -> int:
-    encoded = [n.encode() for n in names]
-    column = Column(parts, f"S{max(map(len, encoded), default=1) or 1}")
-    if encoded:
-        column.add(np.array(encoded))
-    return column.close(**{"encoding-type": "string-array", "encoding-version": "0.2.0"})
+def frame(parts: Parts, names: Iterator[list[str]], widest: int) -> int:
+    """A table with an index alone, from lists of names of ``widest`` bytes at most; a list at a time is held."""
+    column = Column(parts, f"S{widest or 1}", max(1, min(CHUNK, NAMES)))
+    for some in names:
+        if some:
+            column.add(np.array([n.encode() for n in some], column.kind))
+    index = column.close(**{"encoding-type": "string-array", "encoding-version": "0.2.0"})
+    told = {"_index": "_index", "encoding-type": "dataframe", "encoding-version": "0.2.0", "column-order": np.zeros(0)}
+    return parts.group({"_index": index}, told)
 
 
-def frame(parts: Parts, names: list[str]) -> int:
-    """A table with an index alone."""
-    told = {"_index": "_index", "encoding-type": "dataframe", "encoding-version": "0.2.0", "column-order": np.zeros(0)}
-    return parts.group({"_index": names_column(parts, names)}, told)
+def names_at(path: str) -> Iterator[list[str]]:
+    """The names of the cells at a path, in order, a bounded number at a time."""
+    for name in files_at(path):
+        with File.opened(name) as file:
+            index = index_of(file["obs"])
+            for a in range(0, len(index), NAMES):
+                yield index[a : min(a + NAMES, len(index))]
 
 
 class H5adWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, features: list[str], overwrite: bool):
-        self.path, self.features, self.overwrite = local(path), features, overwrite
+    def __init__(self, path: str, features: str, number: int, widest: int, overwrite: bool):
+        self.path, self.features, self.number, self.widest, self.overwrite = local(path), features, number, widest, overwrite
         self.run = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -179,23 +187,24 @@ class H5adWriter(DataSourceArrowWriter):
         os.makedirs(self.path, exist_ok=True)
         context = TaskContext.get()
         made = os.path.join(self.path, f".{self.run}-{context.taskAttemptId()}")
-        keys: list[str] = []
+        keys: list[pa.Array] = []
         with open(made, "wb") as sink:
             parts = Parts(sink)
             indptr, indices, data = Column(parts, "<i8"), Column(parts, "<i4"), Column(parts, "<f8")
             indptr.add(np.zeros(1))
             for batch in iterator:
-                keys += batch["cell_key"].to_pylist()
+                keys.append(batch["cell_key"])
                 ends = batch["positions"].value_lengths().to_numpy(zero_copy_only=False)
                 indptr.add(data.length + np.cumsum(ends))
                 indices.add(batch["positions"].flatten().to_numpy(zero_copy_only=False))
                 data.add(batch["values"].flatten().to_numpy(zero_copy_only=False))
-            shape = np.array([len(keys), len(self.features)])
+            widest = max((pc.max(pc.binary_length(k)).as_py() or 0 for k in keys if len(k)), default=1)
+            shape = np.array([rows := sum(map(len, keys)), self.number])
             sparse = {"encoding-type": "csr_matrix", "encoding-version": "0.1.0", "shape": shape}
             x = parts.group({"data": data.close(), "indices": indices.close(), "indptr": indptr.close()}, sparse)
-            root = {"X": x, "obs": frame(parts, keys), "var": frame(parts, self.features)}
+            root = {"X": x, "obs": frame(parts, (k.slice(a, NAMES).to_pylist() for k in keys for a in range(0, len(k), NAMES)), widest), "var": frame(parts, names_at(self.features) if self.features else iter(()), self.widest)}
             parts.close(parts.group(root, {"encoding-type": "anndata", "encoding-version": "0.1.0"}))
-        return Written(made, context.partitionId(), len(keys))
+        return Written(made, context.partitionId(), rows)
 
     def commit(self, messages: list[Written | None]) -> None:
         """Give the files their names, but to those without cells, of which one stays if there is no other; files of an earlier write go before."""
@@ -236,7 +245,7 @@ class H5ad(DataSource):
         return H5adReader(self.options["path"], self._what())
 
     def writer(self, schema, overwrite: bool) -> H5adWriter:
-        return H5adWriter(self.options["path"], json.loads(self.options["features"]), overwrite)
+        return H5adWriter(self.options["path"], self.options.get("features", ""), int(self.options.get("number", 0)), int(self.options.get("widest", 1)), overwrite)
 
 
 def read_h5ad(spark: SparkSession, path: str) -> DataSet:
@@ -249,20 +258,28 @@ def read_h5ad(spark: SparkSession, path: str) -> DataSet:
 def write_h5ad(data: DataSet, path: str, key: str = "cell_key", files: int | None = None) -> None:
     """Write a data set as a folder of .h5ad files, cells in the order of cell_id; entries at one place must be one..
 
-    Features take places in the order of their positions. Their names, a dictionary's worth, go to every file; entries go
-    straight from the shuffle that brings a cell's together to the files.
+    Features take places in the order of their positions. Their names are first written as the cells of a data set of their own in
+    the shared folder, which tasks must be able to open and from which each copies them into its file, a bounded number at a time; entries go straight from the
+    shuffle that brings a cell's together to the files.
     """
     spark = data.cells.sparkSession
     spark.dataSource.register(H5ad)
-    names = [r[0] for r in data.features.orderBy("pos").select("feature_name").collect()]
-    told = json.dumps(names)
-    if len(told) > MOST_NAMES_BYTES:
-        raise ValueError(f"{len(names)} names of features are more than go with each file")
-    places = data.features.select("pos", (F.row_number().over(W.orderBy("pos")) - 1).alias("place"))
+    folder = temporary(spark, "features")
+    ranged = data.features.select("pos", F.coalesce("feature_name", F.lit("")).alias("feature_name")).repartitionByRange("pos").sortWithinPartitions("pos").select("pos", "feature_name", F.spark_partition_id().alias("part"))
+    ranged.write.parquet(f"{folder}/ranged")
+    ranged = spark.read.schema(ranged.schema).parquet(f"{folder}/ranged")
+    # Places are counted within each range, and the ranges before it are added.
+    before = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    placed = ranged.withColumn("within", F.row_number().over(W.partitionBy("part").orderBy("pos")) - 1).join(F.broadcast(before), "part")
+    places = placed.select("pos", (F.col("within") + F.col("before")).cast("int").alias("place"))
+    none = F.array().cast("array<int>"), F.array().cast("array<double>")
+    named = ranged.repartitionByRange("pos").sortWithinPartitions("pos").select(F.col("feature_name").alias("cell_key"), none[0].alias("positions"), none[1].alias("values"))
+    named.write.format("h5ad").mode("overwrite").save(f"{folder}/names")
+    told = ranged.agg(F.count("*").alias("n"), F.max(F.octet_length("feature_name")).alias("widest")).first()
     held = data.entries.join(places, "pos").groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("value").cast("double").alias("value")))).alias("e"))
     cells = data.cells.select("cell_id", F.col(key).cast("string").alias("cell_key")).join(held, "cell_id", "left")
     none = F.array().cast("array<struct<place: int, value: double>>")
     rows = cells.select("cell_id", F.coalesce("cell_key", F.lit("")).alias("cell_key"), F.coalesce("e", none).alias("e"))
     ranged = rows.repartitionByRange(files, "cell_id") if files else rows.repartitionByRange("cell_id")
     shown = ranged.sortWithinPartitions("cell_id").select("cell_key", F.col("e.place").alias("positions"), F.col("e.value").alias("values"))
-    shown.write.format("h5ad").option("features", told).mode("overwrite").save(path)
+    shown.write.format("h5ad").options(features=f"{folder}/names", number=told["n"], widest=told["widest"] or 1).mode("overwrite").save(path)

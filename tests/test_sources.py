@@ -314,6 +314,25 @@ def test_h5ad_written_and_read(spark, tmp_path, monkeypatch):
     assert h5ad.read_h5ad(spark, path).cells.count() == 0 and h5ad.read_h5ad(spark, path).features.count() == 4
 
 
+def test_names_of_features_by_parts(tmp_path, monkeypatch):
+    """Names are written and read a bounded number at a time; no task holds them all."""
+    monkeypatch.setattr(h5ad, "NAMES", 3)
+    names = [f"é{k}" for k in range(10)]
+    told = []
+
+    def write(path, lists):
+        with open(path, "wb") as sink:
+            parts = hdf5_parts.Parts(sink)
+            parts.close(parts.group({"obs": h5ad.frame(parts, lists, max(len(n.encode()) for n in names))}, {}))
+
+    write(tmp_path / "a.h5ad", (names[a : a + 3] for a in range(0, 10, 3)))
+    for some in h5ad.names_at(str(tmp_path)):
+        told.append(some)
+    assert max(map(len, told)) <= 3 and sum(told, []) == names
+    write(tmp_path / "b.h5ad", h5ad.names_at(str(tmp_path / "a.h5ad")))
+    assert sum(h5ad.names_at(str(tmp_path)), []) == 2 * names
+
+
 def test_many_chunks_under_levels(monkeypatch):
     monkeypatch.setattr(h5ad, "CHUNK", 4)
     sink = io.BytesIO()
