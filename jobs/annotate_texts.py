@@ -19,12 +19,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.operators import cluster, evaluate, memory, prepare, select
+from tessella.functions.bits import unpack
+from tessella.operators import cluster, evaluate, harmonise, memory, packed, prepare, select
 from tessella.operators.neighbours import gathered
-from tessella.plans import workflow
 
 from .command import LOG, main, written
 
@@ -52,10 +53,17 @@ def cells_of(rows: DataFrame, *key: str) -> DataFrame:
     return rows.filter(F.concat(*(F.col(k).cast("string") for k in key)).isNotNull()).withColumn("cell_id", F.concat_ws(":", *key))
 
 
+def words_of(text: str) -> Column:
+    """The words of a text, as often as they stand there.
+
+    To be exploded as it is: of a column of its own Spark would first ask whether it is empty, and cut every text into words again.
+    """
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
 def entries_of(cells: DataFrame) -> DataFrame:
     """(cell_id, pos, value) with a word in place of a position: ones for the words that a text has."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    return prepare.binarise_entries(cells.select("cell_id", F.explode(words).alias("pos"), F.lit(1.0).alias("value")))
+    return cells.select("cell_id", F.explode(F.array_distinct(words_of("text"))).alias("pos"), F.lit(1.0).alias("value"))
 
 
 def labelled_cells(cells: DataFrame, label: F.Column) -> DataFrame:
@@ -63,9 +71,14 @@ def labelled_cells(cells: DataFrame, label: F.Column) -> DataFrame:
     return cells.groupBy("cell_id").agg(F.min(label).alias("label")).fillna(0, ["label"])
 
 
-def chosen(entries: DataFrame, top: DataFrame) -> DataFrame:
-    """The entries of the chosen words, one of each cell and word; the words are as many as the settings say, so they are broadcast."""
-    return entries.join(F.broadcast(top.select("pos")), "pos", "left_semi").dropDuplicates(["cell_id", "pos"])
+def chosen(cells: DataFrame, top: DataFrame) -> DataFrame:
+    """(cell_id, pos) of the chosen words, at their places in order of the words; a word that a text repeats comes as often.
+
+    The chosen words, as many as the settings say, are broadcast and met where a text is read; no other word leaves that task.
+    """
+    places = top.select("pos", (F.row_number().over(W.orderBy("pos")) - 1).alias("place"))
+    said = cells.select("cell_id", F.explode(words_of("text")).alias("pos"))
+    return said.join(F.broadcast(places), "pos").select("cell_id", F.col("place").alias("pos"))
 
 
 def run(spark: SparkSession, documents: str, conversations: str, output: str, settings: Settings) -> DataFrame:
@@ -80,11 +93,17 @@ def run(spark: SparkSession, documents: str, conversations: str, output: str, se
     top = written(select.top_features(frequency, settings.features), f"{output}/features")
     width = top.count()
     coded = prepare.encode_labels(first, "lang", settings.codes)
-    own, others = chosen(entries_of(first), top), chosen(entries_of(second), top)
-    lacking = top.select("pos").join(others.select("pos").distinct(), "pos", "left_anti")
-    vectors = workflow.labelled_vectors(labelled_cells(coded, F.col("label")), own, top, width).withColumn("data_set", F.lit("documents"))
-    recalled = workflow.labelled_vectors(labelled_cells(second, F.lit(0)), others, top, width, lacking).withColumn("data_set", F.lit("conversations"))
-    vectors = written(vectors.unionByName(recalled), f"{output}/vectors", "data_set")
+    own, others = chosen(coded, top), chosen(second, top)
+    used = {r["pos"] for r in others.select("pos").distinct().collect()}  # a flag for each chosen feature
+    absent = F.array(*(F.lit(k not in used) for k in range(width))) if width else F.array().cast("array<boolean>")
+    bits = packed.from_entries(own, width, labelled_cells(coded, F.col("label"))).withColumn("data_set", F.lit("documents"))
+    recalled = packed.from_entries(others, width, labelled_cells(second, F.lit(0))).withColumn("data_set", F.lit("conversations"))
+    # Packed cells are so small that few tasks would hold them all, and form all vectors; so they are dealt out to all tasks, by
+    # more than the id, by which they lie already. They are put in order of data sets: the writer, which needs that order, then sorts no vectors.
+    rows = bits.unionByName(recalled).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "data_set", "cell_id").sortWithinPartitions("data_set")
+    x = unpack("words", width)
+    x = F.when(F.col("data_set") == "documents", x).otherwise(F.zip_with(x, absent, lambda v, m: F.when(m, harmonise.ABSENT).otherwise(v)))
+    vectors = written(rows.select("cell_id", "label", x.alias("x"), "data_set"), f"{output}/vectors", "data_set")
 
     taught = prepare.labelled(vectors.filter("data_set = 'documents'"))
     held = memory.Memory(gathered(cluster.majority_profiles(taught)), memory.Settings(settings.beta, settings.steps, True, settings.threshold))

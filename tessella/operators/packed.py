@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bits import WORD, apart, ones, pack
+from ..functions.bits import WORD, apart, ones, pack, words_in
 from .neighbours import too_many
 
 
@@ -15,6 +15,20 @@ def packed(cells: DataFrame, width: int, x: str = "x", out: str = "words") -> Da
     return cells.select(*(c for c in cells.columns if c != x), pack(x, width).alias(out))
 
 
+def from_entries(entries: DataFrame, width: int, cells: DataFrame) -> DataFrame:
+    """The columns of cells with the words of their entries (cell_id, pos), which may repeat; a cell without entries has zeros.
+
+    Entries are gathered into words before the shuffle, so that at most one row for each word of a cell leaves a task.
+    """
+    inside = entries.filter((F.col("pos") >= 0) & (F.col("pos") < width))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("pos") % WORD).cast("int"))
+    parts = inside.groupBy("cell_id", F.floor(F.col("pos") / WORD).cast("int").alias("place")).agg(F.bit_or(bit).alias("word"))
+    held = parts.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("held"))
+    # A sequence can't be empty, so one word more is made and cut off.
+    words = F.slice(F.transform(F.sequence(F.lit(0), F.lit(words_in(width))), lambda k: F.coalesce(F.element_at("held", k), F.lit(0).cast("bigint"))), 1, words_in(width))
+    return cells.join(held, "cell_id", "left").select(*cells.columns, words.alias("words"))
+
+
 def majority_profiles(cells: DataFrame, by: str = "label") -> DataFrame:
     """pattern_id, cls, active and words: for each class, ones where more than half of its cells have one; classes are numbered in their order.
 

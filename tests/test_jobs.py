@@ -111,6 +111,33 @@ def test_annotations(spark, texts, tmp_path, caplog):
     assert {p.name for p in (tmp_path / "out/annotations/data_set=documents").iterdir()} == {"class=en", "class=fr"}
 
 
+def test_vectors_are_formed_by_many_tasks(spark, texts, tmp_path):
+    annotate_texts.run(spark, **texts, output=f"{tmp_path}/out", settings=annotate_texts.Settings({"en": 1, "fr": 2}, features=4))
+    assert len(list((tmp_path / "out/vectors/data_set=documents").glob("*.parquet"))) > 1
+
+
+def test_words_are_cut_once_and_only_packed_ones_move(spark, texts):
+    from tessella.operators import packed
+
+    cells = annotate_texts.cells_of(spark.read.parquet(texts["documents"]), "doc_id")
+    top = spark.createDataFrame([("the", 1), ("cat", 2)], "pos string, rank int")
+    rows = packed.from_entries(annotate_texts.chosen(cells, top), 2, cells.select("cell_id").distinct())
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "partial_bit_or" in plan
+    above = plan[: plan.index("regexp_extract_all")].rsplit("Exchange hashpartitioning", 1)[1]
+    assert "BroadcastHashJoin" in above and "partial_bit_or" in above  # both come before the first shuffle of words
+    assert {r["cell_id"]: r["words"] for r in rows.collect()} == {"1": [0b11], "2": [0b11], "3": [0], "4": [0], "5": [0], "6": [0], "7": [0b10]}
+
+
+def test_packed_entries(spark):
+    from tessella.operators import packed
+
+    entries = spark.createDataFrame([("a", p) for p in (0, 63, 64, 64, 69, 70, -1)] + [("b", 129), ("d", 1)], "cell_id string, pos int")
+    cells = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "cell_id string, label int")
+    assert sorted(map(tuple, packed.from_entries(entries, 70, cells).collect())) == [("a", 1, [1 - 2**63, 0b100001]), ("b", 2, [0, 0]), ("c", 3, [0, 0])]
+    assert {tuple(r["words"]) for r in packed.from_entries(entries, 0, cells).collect()} == {()}
+
+
 def test_too_many_features():
     with pytest.raises(ValueError, match="features"):
         annotate_texts.Settings({"en": 1}, features=annotate_texts.MOST_FEATURES + 1)
